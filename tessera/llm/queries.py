@@ -4,18 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe import encode_decode
+from tessera.llm.html import extract_text
+from tessera.llm.langid import fit, identify, is_held_out
 from tessera.llm.linededup import dedup_lines
 from tessera.llm.mixing import mix_sources
 from tessera.llm.sharding import shard_documents
 
 
+#: The vocabulary of op6, as the contract names it.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = identify(docs.select("doc_id", "text"), fit(docs))
+    return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score", "language.accepted")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -25,6 +39,15 @@ def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_decode(_table(spark, sf_dir, "documents"), VOCABULARY)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.encode("line_dedup.kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -32,7 +55,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_mix_sources": op2_mix_sources,
         "op5_shard_documents": op5_shard_documents,
+        "op6_bpe": op6_bpe,
+        "op8_html_text": op8_html_text,
         "op9_line_dedup": op9_line_dedup,
     }
