@@ -12,6 +12,7 @@ from tessera.llm.bpe import encode_decode
 from tessera.llm.html import extract_text
 from tessera.llm.langid import fit, identify, is_held_out
 from tessera.llm.linededup import dedup_lines
+from tessera.llm.minhash import near_duplicates
 from tessera.llm.mixing import mix_sources
 from tessera.llm.sharding import shard_documents
 
@@ -44,6 +45,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": op2_mix_sources,
         "op5_shard_documents": op5_shard_documents,
         "op6_bpe": op6_bpe,
+        "op7_minhash_dedup": op7_minhash_dedup,
         "op8_html_text": op8_html_text,
         "op9_line_dedup": op9_line_dedup,
     }
