@@ -144,7 +144,7 @@ def fit(docs: DataFrame, clusters: int = 4, sample: int = 500, reject: float = 0
     empty = Model(idf, np.zeros((0, DIMS)), [], np.zeros(32))
 
     def centroids(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        counts = np.stack([c for c, found in map(ngram_counts, group["text"]) if found] or [np.zeros(DIMS, np.int64)])
+        counts = np.stack([c for c, found in map(ngram_counts, sorted(group["text"])) if found] or [np.zeros(DIMS, np.int64)])
         vectors = empty.vectors(counts)
         centres = _cluster(vectors, clusters, seed)
         cosines, bins = (vectors @ centres.T).max(axis=1), _length_bin(counts.sum(axis=1))

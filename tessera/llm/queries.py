@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.ann import search
 from tessera.llm.bpe import encode_decode
+from tessera.llm.embdedup import near_duplicate_vectors
 from tessera.llm.html import extract_text
 from tessera.llm.langid import fit, identify, is_held_out
 from tessera.llm.linededup import dedup_lines
@@ -36,6 +38,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=8)
 
@@ -58,13 +64,19 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.encode("line_dedup.kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_mix_sources": op2_mix_sources,
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op5_shard_documents": op5_shard_documents,
         "op6_bpe": op6_bpe,
         "op7_minhash_dedup": op7_minhash_dedup,
         "op8_html_text": op8_html_text,
         "op9_line_dedup": op9_line_dedup,
+        "op10_ann": op10_ann,
     }
