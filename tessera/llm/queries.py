@@ -16,6 +16,7 @@ from tessera.llm.langid import fit, identify, is_held_out
 from tessera.llm.linededup import dedup_lines
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.mixing import mix_sources
+from tessera.llm.pii import KINDS, find_personal_data, span_list
 from tessera.llm.sharding import shard_documents
 
 
@@ -42,6 +43,13 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(f"pii.{k}").cast("bigint").alias(f"n_{k}") for k in KINDS]
+    base = F.array_sort(F.concat(*[F.transform(f"pii.{k}", lambda s: F.struct(s["start"], s["kind"], s["end"])) for k in KINDS]))
+    return found.select("doc_id", *counts, F.sha2(F.encode(span_list(base), "UTF-8"), 256).alias("base_sha256"), span_list(F.col("pii.spans")).alias("spans"))
+
+
 def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=8)
 
@@ -73,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_mix_sources": op2_mix_sources,
         "op3_embedding_dedup": op3_embedding_dedup,
+        "op4_pii": op4_pii,
         "op5_shard_documents": op5_shard_documents,
         "op6_bpe": op6_bpe,
         "op7_minhash_dedup": op7_minhash_dedup,
