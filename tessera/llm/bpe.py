@@ -57,9 +57,18 @@ class MergeTable:
             a, b, c = vocab[left], vocab[right], vocab[left + right]
             self.ranks[a, b] = rank
             made.setdefault(c, (rank, a, b))
+        #: Beginnings of tokens; -1 where none ends.
+        self.begun: dict[bytes, int] = {}
+        for data, i in self.ids.items():
+            self.begun[data] = i
+            for k in range(1, len(data)):
+                self.begun.setdefault(data[:k], -1)
+        self.size = [len(x) for x in self.bytes_of]
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.bytes_of))]
         self._edges = ({}, {})
         self._made = made
-        self._apart: dict[int, bool] = {}
+        #: What ``apart`` has found, by a << 32 | b.
+        self.pairs: dict[int, bool] = {}
         #: Bytes after which no later token can begin before a place: the longest token.
         self.lookahead = max(map(len, self.ids))
 
@@ -79,14 +88,11 @@ class MergeTable:
 
     def apart(self, a: int, b: int) -> bool:
         """Whether tokens ``a`` and ``b`` can be neighbours in an encoding."""
-        key = a << 32 | b
-        known = self._apart.get(key)
-        if known is None:
-            ranks, right = self.ranks, self._edge(b, 1)
-            known = not any((r := ranks.get((x, y))) is not None and r < x_until and r <= y_until for x, x_until in self._edge(a, 0) for y, y_until in right)
-            if len(self._apart) > 2_000_000:
-                self._apart.clear()
-            self._apart[key] = known
+        ranks, right = self.ranks, self._edge(b, 1)
+        known = not any((r := ranks.get((x, y))) is not None and r < x_until and r <= y_until for x, x_until in self._edge(a, 0) for y, y_until in right)
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        self.pairs[a << 32 | b] = known
         return known
 
 
@@ -94,15 +100,17 @@ class Transducer:
     """Reads bytes, emits token ids once no later byte can change them.
 
     For every place behind the last emitted token it holds the last token of the
-    prefix that ends there. A later token begins at one of the last ``lookahead``
-    places, so tokens on which the paths from all of these agree are stable.
-    Memory is bounded by the lookahead and the stretch on which paths still differ.
+    prefix that ends there. A later token begins at an open place, one from which on
+    the bytes read so far begin a token, hence at one of the last ``lookahead``; so
+    tokens on which the paths to all open places agree are stable. Memory is
+    bounded by the lookahead and the stretch on which paths still differ.
     """
 
     def __init__(self, table: MergeTable) -> None:
         self.table = table
         self.window = b""
         self.last: list[int] = [-1]
+        self.open: list[int] = [0]  # places where a token that goes on may have begun
         self.before = -1  # the last emitted token
 
     def feed(self, data: bytes) -> list[int]:
@@ -111,46 +119,52 @@ class Transducer:
         step = 4 * self.table.lookahead
         for i in range(0, len(data), step):
             self._read(data[i : i + step])
-            out += self._emit(range(max(0, len(self.window) - self.table.lookahead + 1), len(self.window) + 1))
+            out += self._emit({*self.open})
         return out
 
     def close(self) -> list[int]:
         """The rest; then the transducer is as new."""
-        out = self._emit([len(self.window)])
-        self.__init__(self.table)
+        out = self._emit({len(self.window)})
+        self.window, self.last, self.open, self.before = b"", [-1], [0], -1
         return out
 
     def _read(self, data: bytes) -> None:
-        table, last = self.table, self.last
-        ids, apart, longest = table.ids, table.apart, table.lookahead
-        window = self.window = self.window + data
+        begun, pairs, apart = self.table.begun.get, self.table.pairs.get, self.table.apart
+        last, open_, window = self.last, self.open, self.window + data
         for end in range(len(last), len(window) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(window[start:end])
-                if token is not None and last[start] != -2:
+            found, going = -2, []
+            for start in open_:
+                token = begun(window[start:end])
+                if token is None:
+                    continue
+                going.append(start)
+                if token >= 0 and found < 0:
                     left = last[start] if start else self.before
-                    if left == -1 or apart(left, token):
-                        last.append(token)
-                        break
-            else:
-                last.append(-2)  # no encoding ends here: a byte that the vocabulary lacks
-        return
-
-    def _emit(self, ends) -> list[int]:
+                    if left >= 0:
+                        free = pairs(left << 32 | token)
+                        if not (apart(left, token) if free is None else free):
+                            continue
+                    found = token
+            last.append(found)
+            if found >= 0:
+                going.append(end)
+            open_ = going
+        self.window, self.open = window, open_
+
+    def _emit(self, ends: set[int]) -> list[int]:
         """Tokens common to the paths that end in ``ends``."""
-        size = self.table.bytes_of
-        live = {e for e in ends if self.last[e] != -2}
-        while len(live) > 1:
-            far = max(live)
-            live.discard(far)
-            live.add(far - len(size[self.last[far]]))
-        at = live.pop() if live else 0
-        out, end = [], at
+        size, last = self.table.size, self.last
+        while len(ends) > 1:
+            far = max(ends)
+            ends.discard(far)
+            ends.add(far - size[last[far]])
+        at = end = ends.pop()
+        out = []
         while end:
-            out.append(self.last[end])
-            end -= len(size[self.last[end]])
+            out.append(last[end])
+            end -= size[last[end]]
         if at:
-            self.before, self.window, self.last = out[0], self.window[at:], [-1, *self.last[at + 1 :]]
+            self.before, self.window, self.last, self.open = out[0], self.window[at:], [-1, *last[at + 1 :]], [s - at for s in self.open]
         return out[::-1]
 
 
@@ -161,7 +175,7 @@ class Codec(dict):
     are remembered in two generations of ``most`` entries, so memory is bounded.
     """
 
-    def __init__(self, file: str, short: int = 24, most: int = 150_000, chars: int = 1 << 16) -> None:
+    def __init__(self, file: str, short: int = 24, most: int = 500_000, chars: int = 1 << 16) -> None:
         super().__init__()
         self.table, self.short, self.most, self.chars = MergeTable(file), short, most, chars
         self.older: dict[str, bytes] = {}
@@ -170,20 +184,16 @@ class Codec(dict):
         self.transducer = Transducer(self.table)
 
     def __missing__(self, word: str) -> bytes:
-        packed = self.older.get(word)
+        short = len(word) <= self.short
+        packed = self.older.get(word) if short else None
         if packed is None:
-            data = word.encode("utf-8", "surrogatepass")
-            token = self.table.ids.get(data) if len(data) == 1 else None
-            if token is not None:
-                ids = [token]
-            elif len(word) <= self.short:
-                self.transducer._read(data)
-                ids = self.transducer.close()
-            else:
-                ids = self.transducer.feed(data)
-                ids += self.transducer.close()
-            packed = np.array(ids, "<u4").tobytes()
-        if len(word) <= self.short:
+            reader, data = self.transducer, word.encode("utf-8", "surrogatepass")
+            ids = [] if short else reader.feed(data)
+            if short:
+                reader._read(data)
+            ids += reader.close()
+            packed = b"".join(map(self.table.packed.__getitem__, ids))
+        if short:
             if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
@@ -212,7 +222,7 @@ class Codec(dict):
         at = 0
         for found in self.special.finditer(text):
             yield from self._plain(text[at : found.start()])
-            yield np.array([self.table.special[found.group()]], "<u4").tobytes()
+            yield self.table.packed[self.table.special[found.group()]]
             at = found.end()
         yield from self._plain(text[at:] if at else text)
 
