@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.blocks import deal_pairs, smallest_linked, whole_groups
 from tessera.llm.vectors import in_order, is_valid, matrix, unit, unpack
 from tessera.plans import connected_components, materialise
 
@@ -94,28 +95,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, width: i
     all_masks = F.element_at(F.create_map(F.lit(0), F.array(F.lit(0).cast("bigint")), *[x for d, ms in masks.items() for x in (F.lit(d), F.array(*[F.lit(_signed(m)).cast("bigint") for m in ms]))]), F.col("dims"))
     keyed = codes.select("*", F.posexplode(all_masks).alias("table", "mask")).withColumn("part", F.col("code").bitwiseAND(F.col("mask"))).drop("mask")
     bucket = ["label", "dims", "table", "part"]
-    shared = keyed.groupBy(*bucket).agg(F.count("*").alias("members")).where("members > 1").select(*bucket, F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    members = keyed.join(materialise(shared, "buckets"), bucket)
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    paired = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = [*bucket, "low", "high"]
-    paired = paired.select(*bucket, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "copies", "code", "vector")
-    dealt = paired.repartition(*pair).sortWithinPartitions(*pair)
+    dealt = deal_pairs(keyed, bucket, F.xxhash64("rep"), block)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            same = np.ones(len(batch), bool)
-            for c in pair:
-                column = batch[c].to_numpy()
-                same[1:] &= column[1:] == column[:-1]
-            same[0] = False
-            starts = np.flatnonzero(~same)
-            held = batch.iloc[starts[-1] :]
-            yield _linked(batch.iloc[: starts[-1]], starts, masks, threshold)
-        if held is not None:
-            yield _linked(held, np.array([0, len(held)]), masks, threshold)
+        for batch, starts in whole_groups(batches, [*bucket, "low", "high"]):
+            yield _linked(batch, starts, masks, threshold)
 
     found = materialise(dealt.mapInPandas(compare, "rep bigint, links bigint, other bigint"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -149,13 +133,7 @@ def _linked(batch: pd.DataFrame, starts: np.ndarray, masks: dict[int, list[int]]
             differ = code[a + at] ^ code[a + to]
             first = ~((differ[:, None] & masked[None, :]) == 0).any(axis=1)
             count = np.bincount(at[first], weights=copies[a + to[first]], minlength=b - a).astype(np.int64)
-            group = rep[a:b].copy()
-            while True:
-                after = group.copy()
-                np.minimum.at(after, at, group[to])
-                if (after == group).all():
-                    break
-                group = after
+            group = smallest_linked(rep[a:b], near)
             some = np.flatnonzero(near.any(axis=1))
             reps.append(rep[a:b][some])
             links.append(count[some])

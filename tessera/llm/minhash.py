@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.blocks import deal_pairs, smallest_linked, whole_groups
 from tessera.plans import connected_components, materialise
 
 #: Slots of a signature; a power of two, so that an odd step visits every slot once.
@@ -164,7 +165,60 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def _linked_across(batch: pd.DataFrame, starts: np.ndarray, percent: int) -> pd.DataFrame:
+    """Links between different components in the groups between ``starts``: each linked member and the smallest one it reaches.
+
+    Pairs whose sketches differ too much are out. Sizes of intersections come from
+    products of 0/1 matrices, taken over a stretch of the shingles at a time; the
+    largest component's own pairs are never formed.
+    """
+    rep, size, component, own = (batch[c].to_numpy() for c in ("rep", "n", "component", "own"))
+    low, high, held = batch["low"].to_numpy(), batch["high"].to_numpy(), batch["set"].to_numpy()
+    most = int(SLOTS * (0.5 * (1 - percent / 100) + 0.13))
+    ends_a, ends_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in zip(starts[:-1], starts[1:]):
+        if b - a < 2 or (component[a:b] == component[a]).all():
+            continue
+        names, counts = np.unique(component[a:b], return_counts=True)
+        rows = np.flatnonzero(component[a:b] != names[counts.argmax()])  # one end of every pair across
+        n, c, o = size[a:b], component[a:b], own[a:b]
+        open_ = (c[rows, None] != c[None, :]) & (np.maximum(n[rows, None], n[None, :]) * percent <= np.minimum(n[rows, None], n[None, :]) * 100)
+        if low[a] != high[a]:
+            open_ &= o[rows, None] != o[None, :]
+        sketch = np.stack(batch["sketch"].iloc[a:b].to_numpy()).view(np.uint64)
+        apart = sum(np.bitwise_count(sketch[rows, None, k] ^ sketch[None, :, k]).astype(np.int32) for k in range(sketch.shape[1]))
+        open_ &= apart <= most
+        if not open_.any():
+            continue
+        rows, open_ = rows[open_.any(axis=1)], open_[open_.any(axis=1)]
+        columns = np.flatnonzero(open_.any(axis=0))
+        known = np.unique(np.concatenate([held[a + i] for i in rows]))
+        both = np.zeros((len(rows), len(columns)), np.float32)
+        for at in range(0, len(known), 4096):
+            part = known[at : at + 4096]
+            both += _incidence([held[a + i] for i in rows], part) @ _incidence([held[a + j] for j in columns], part).T
+        linked = open_[:, columns] & (100 * both >= percent * (n[rows, None] + n[None, columns] - both))
+        near = np.zeros((b - a, b - a), bool)
+        near[np.ix_(rows, columns)] = linked
+        near |= near.T
+        some = np.flatnonzero(near.any(axis=1))
+        ends_a.append(rep[a:b][some])
+        ends_b.append(smallest_linked(rep[a:b], near)[some])
+    return pd.DataFrame({"a": np.concatenate(ends_a), "b": np.concatenate(ends_b)})
+
+
+def _incidence(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+    """Row i has a 1 at each of the sorted ``part`` that sets[i] (in any order) has."""
+    flat = np.concatenate(sets)
+    at = np.searchsorted(part, flat)
+    at[at == len(part)] = 0
+    there = part[at] == flat
+    out = np.zeros((len(sets), len(part)), np.float32)
+    out[np.repeat(np.arange(len(sets)), [len(s) for s in sets])[there], at[there]] = 1
+    return out
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
     Documents are linked when the Jaccard similarity of their whole sets of
@@ -172,11 +226,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     doc_id reachable by links, kept says that the document is that one.
 
     Equal sets fold into a class first. Classes that share a band are candidates.
-    Each member of a bucket is held against the bucket's smallest and largest
-    class: a number of pairs linear in the members, which joins the bulk of a large
-    group. Where a bucket still has several components, the pairs between
-    different components follow, unless their one-bit sketches (SLOTS bits) differ so much that
-    a link is out of the question. Every link rests on full sets. No pair in a
+    Each member of a bucket is held against the bucket's smallest class and against the one
+    that meets most others in all its buckets: a number of pairs linear in the
+    members, which joins the bulk of a large group. Where a bucket still has several
+    components, the pairs between different components follow, block against block
+    (``block`` rows), unless their one-bit sketches (SLOTS bits) differ so much that a
+    link is out of the question; a block pair returns links only. Every link rests on full sets. No pair in a
     bucket is passed over unless its ends are in one component already. Bands are chosen
     to miss a pair at the threshold with a chance of 1e-5 at most.
 
@@ -189,12 +244,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = materialise(signatures.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
     heads = signatures.join(classes.select(*keys, "rep"), keys).where("doc_id = rep").dropDuplicates([*keys, "rep"])
     banded = heads.select("rep", F.col("n_shingles").alias("n"), "sketch", F.explode("bands").alias("bucket"))
-    shared = banded.select("bucket", "rep").groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("members")).where("members > 1").drop("members")
+    shared = banded.select("bucket").groupBy("bucket").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
     members = materialise(banded.join(shared, "bucket"), "members")
+    # the class that meets most others in its buckets stands in the middle of its group
+    degree = members.groupBy("rep").agg(F.sum("in_bucket").alias("degree"))
+    ranked = members.select("bucket", "rep").join(degree, "rep")
+    hub = ranked.groupBy("bucket").agg(F.min("rep").alias("least"), F.max(F.struct("degree", "rep"))["rep"].alias("hub"))
+    members = materialise(members.join(hub, "bucket"), "members")
 
     sizes = members.select(F.col("rep").alias("c"), F.col("n").alias("n_c")).distinct()
     fit = F.greatest("n", "n_c") * percent <= F.least("n", "n_c") * 100
-    hubs = members.select("rep", "n", F.explode(F.array("least", "most")).alias("c")).where("rep <> c").distinct()
+    hubs = members.select("rep", "n", F.explode(F.array("least", "hub")).alias("c")).where("rep <> c").distinct()
     star = hubs.join(sizes, "c").where(fit).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     ids = docs.select("doc_id", "text").where("doc_id is not null")
@@ -207,12 +267,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     placed = materialise(placed.select("bucket", "rep", "n", "sketch", "component"), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     left = placed.join(materialise(mixed, "mixed"), "bucket", "left_semi")
-    left = materialise(left, "left")
-    right = left.select("bucket", F.col("rep").alias("rep_2"), F.col("n").alias("n_c"), F.col("sketch").alias("sketch_2"), F.col("component").alias("component_2"))
-    apart = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_2")[i])) for i in range(SLOTS // 64)), F.lit(0))
-    near = apart <= int(SLOTS * (0.5 * (1 - percent / 100) + 0.13))
-    across = left.join(right, "bucket").where((F.col("rep") < F.col("rep_2")) & (F.col("component") != F.col("component_2")) & fit & near)
-    more = materialise(_confirmed(across.select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct(), sets, percent), "links")
+    dealt = deal_pairs(left.join(sets, left["rep"] == sets["doc_id"]).drop("doc_id"), ["bucket"], F.xxhash64("rep"), block)
+
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch, starts in whole_groups(batches, ["bucket", "low", "high"]):
+            yield _linked_across(batch, starts, percent)
+
+    more = materialise(dealt.mapInPandas(across, "a bigint, b bigint").distinct(), "links")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
 
