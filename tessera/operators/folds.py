@@ -62,11 +62,11 @@ def train_statistics(df: DataFrame, features: Sequence[str], by: Sequence[str] =
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.nanvl(F.col(f).cast("double"), F.lit(None)).alias("x")) for f in features])
     long = df.select("fold", *by, F.explode(cells).alias("c")).select("fold", *by, "c.feature", "c.x")
     own = long.groupBy("fold", *by, "feature").agg(F.count("x").alias("n"), F.coalesce(F.sum("x"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0.0)).alias("q"))
-    whole = own.groupBy(*by, "feature").agg(F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"))
+    whole = own.groupBy(*by, "feature").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.sum("q").alias("all_q"))
     folds = df.select("fold").distinct()
     every = folds.join(whole, F.lit(True))  # folds x features rows
     met = every.join(own, ["fold", *by, "feature"], "left")
-    n, s, q = (F.col(t) - F.coalesce(F.col(o), F.lit(0)) for t, o in (("N", "n"), ("S", "s"), ("Q", "q")))
+    n, s, q = (F.col(t) - F.coalesce(F.col(o), F.lit(0)) for t, o in (("all_n", "n"), ("all_s", "s"), ("all_q", "q")))
     mean = F.when(n > 0, s / n).otherwise(0.0)
     spread = F.sqrt(F.greatest(F.when(n > 0, q / n).otherwise(0.0) - mean * mean, F.lit(0.0)))
     return met.select("fold", *by, "feature", n.alias("n"), mean.alias("mean"), F.when(spread > 1e-12, spread).otherwise(1.0).alias("sd"))
@@ -95,10 +95,10 @@ def nearest_mean(df: DataFrame, label: str, vector: str, key: str) -> DataFrame:
     """
     long = df.select("fold", F.col(label).alias("label"), F.posexplode(vector).alias("i", "x"))
     own = long.groupBy("fold", "label", "i").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("x").alias("n"))
-    whole = own.groupBy("label", "i").agg(F.sum("s").alias("S"), F.sum("n").alias("N"))
+    whole = own.groupBy("label", "i").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
     folds = df.select("fold").distinct()
     met = folds.join(whole, F.lit(True)).join(own, ["fold", "label", "i"], "left")
-    means = met.select("fold", "label", "i", ((F.col("S") - F.coalesce("s", F.lit(0.0))) / F.nullif(F.col("N") - F.coalesce("n", F.lit(0)), F.lit(0))).alias("m")).where("m is not null")
+    means = met.select("fold", "label", "i", ((F.col("all_s") - F.coalesce("s", F.lit(0.0))) / F.nullif(F.col("all_n") - F.coalesce("n", F.lit(0)), F.lit(0))).alias("m")).where("m is not null")
     vectors = means.groupBy("fold", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("mean"))
     model = vectors.groupBy("fold").agg(F.collect_list(F.struct("label", "mean")).alias("means"))
     far = lambda m: F.aggregate(F.zip_with(vector, m, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)

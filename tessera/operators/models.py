@@ -171,10 +171,12 @@ def mahalanobis_column(features: Sequence[str], mean: np.ndarray, covariance: np
 
 def bimodality(df: DataFrame, value: str, seed: int = 7) -> dict[str, float | bool]:
     """BIC of one and of two Gaussians, and whether two are better by 6, each heavier than 0.15 and over one spread apart."""
-    points = VectorAssembler(inputCols=[value], outputCol="features").transform(df.select(F.col(value).cast("double").alias(value)).dropna())
-    one, two = (GaussianMixture(k=k, seed=seed, maxIter=100).fit(points) for k in (1, 2))
-    n = points.count()
-    bic = [-2 * g.summary.logLikelihood + p * float(np.log(n)) for g, p in ((one, 2), (two, 5))]
+    rows = df.select(F.col(value).cast("double").alias(value)).dropna()
+    points = VectorAssembler(inputCols=[value], outputCol="features").transform(rows)
+    n, spread = rows.agg(F.count("*"), F.var_pop(value)).first()
+    one = -0.5 * n * (float(np.log(2 * np.pi * spread)) + 1)  # one Gaussian's likelihood is closed
+    two = GaussianMixture(k=2, seed=seed, maxIter=100).fit(points)
+    bic = [-2 * likelihood + p * float(np.log(n)) for likelihood, p in ((one, 2), (two.summary.logLikelihood, 5))]
     means, spreads = ([f(r) for r in two.gaussiansDF.collect()] for f in (lambda r: float(r["mean"][0]), lambda r: float(r["cov"].toArray()[0, 0]) ** 0.5))
     apart = abs(means[0] - means[1]) / max(1e-12, (spreads[0] + spreads[1]) / 2)
     return {"bic_1": bic[0], "bic_2": bic[1], "least_weight": min(two.weights), "separation": apart, "bimodal": bic[0] - bic[1] > 6 and min(two.weights) > 0.15 and apart > 1}

@@ -212,7 +212,7 @@ def spectrum_shape(df: DataFrame, freq: str, power: str, by: Sequence[str], shar
 def information_transfer(matrix: DataFrame) -> DataFrame:
     """H(truth) + H(guess) - H(truth, guess) of a confusion matrix, in bits."""
     total = matrix.agg(F.sum("n").alias("t"))
-    entropy = lambda df: df.join(total, F.lit(True)).where("n > 0").agg(-F.sum(F.col("n") / F.col("t") * F.log2(F.col("n") / F.col("t"))).alias("h"))
+    entropy = lambda df: df.join(total, F.lit(True)).where("n > 0").agg((-F.sum(F.col("n") / F.col("t") * F.log2(F.col("n") / F.col("t")))).alias("h"))
     parts = [entropy(matrix.groupBy("truth").agg(F.sum("n").alias("n"))), entropy(matrix.groupBy("guess").agg(F.sum("n").alias("n"))), entropy(matrix)]
     named = [p.withColumnRenamed("h", f"h{i}") for i, p in enumerate(parts)]
     return reduce(lambda a, b: a.join(b, F.lit(True)), named).select((F.col("h0") + F.col("h1") - F.col("h2")).alias("bits"))
