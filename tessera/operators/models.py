@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,17 +168,29 @@ def mahalanobis_column(features: Sequence[str], mean: np.ndarray, covariance: np
     return F.sqrt(F.greatest(square, F.lit(0.0)))
 
 
-def bimodality(df: DataFrame, value: str, seed: int = 7) -> dict[str, float | bool]:
-    """BIC of one and of two Gaussians, and whether two are better by 6, each heavier than 0.15 and over one spread apart."""
-    rows = df.select(F.col(value).cast("double").alias(value)).dropna()
-    points = VectorAssembler(inputCols=[value], outputCol="features").transform(rows)
-    n, spread = rows.agg(F.count("*"), F.var_pop(value)).first()
+def bimodality(df: DataFrame, value: str, rounds: int = 60) -> dict[str, float | bool]:
+    """BIC of one and of two Gaussians, and whether two are better by 6, each heavier than 0.15 and over one spread apart.
+
+    Expectation maximisation starts at the quartiles; a round is one aggregate of seven sums.
+    """
+    x = F.col("x")
+    rows = df.select(F.col(value).cast("double").alias("x")).dropna()
+    n, spread, low, high = rows.agg(F.count("*"), F.var_pop("x"), F.percentile("x", 0.25), F.percentile("x", 0.75)).first()
     one = -0.5 * n * (float(np.log(2 * np.pi * spread)) + 1)  # one Gaussian's likelihood is closed
-    two = GaussianMixture(k=2, seed=seed, maxIter=100).fit(points)
-    bic = [-2 * likelihood + p * float(np.log(n)) for likelihood, p in ((one, 2), (two.summary.logLikelihood, 5))]
-    means, spreads = ([f(r) for r in two.gaussiansDF.collect()] for f in (lambda r: float(r["mean"][0]), lambda r: float(r["cov"].toArray()[0, 0]) ** 0.5))
-    apart = abs(means[0] - means[1]) / max(1e-12, (spreads[0] + spreads[1]) / 2)
-    return {"bic_1": bic[0], "bic_2": bic[1], "least_weight": min(two.weights), "separation": apart, "bimodal": bic[0] - bic[1] > 6 and min(two.weights) > 0.15 and apart > 1}
+    weights, means, spreads, two = [0.5, 0.5], [low, high], [spread / 4, spread / 4], -np.inf
+    for _ in range(rounds):
+        parts = [F.lit(w / (2 * np.pi * v) ** 0.5) * F.exp(-((x - m) ** 2) / (2 * v)) + 1e-300 for w, m, v in zip(weights, means, spreads, strict=True)]
+        share = parts[0] / (parts[0] + parts[1])
+        r = rows.agg(*[F.sum(c) for c in (share, share * x, share * x * x, x, x * x, F.ln(parts[0] + parts[1]))]).first()
+        for k, (w, s, q) in enumerate(((r[0], r[1], r[2]), (n - r[0], r[3] - r[1], r[4] - r[2]))):
+            w = max(w, 1e-9)
+            weights[k], means[k], spreads[k] = w / n, s / w, max(q / w - (s / w) ** 2, 1e-6 * spread)
+        if r[5] - two < 1e-7 * abs(r[5]):
+            break
+        two = r[5]
+    bic = [-2 * likelihood + p * float(np.log(n)) for likelihood, p in ((one, 2), (two, 5))]
+    apart = abs(means[0] - means[1]) / (0.5 * (spreads[0] ** 0.5 + spreads[1] ** 0.5))
+    return {"bic_1": bic[0], "bic_2": bic[1], "least_weight": min(weights), "separation": apart, "bimodal": bool(bic[0] - bic[1] > 6 and min(weights) > 0.15 and apart > 1)}
 
 
 def forest_out_of_fold(df: DataFrame, label: str, features: Sequence[str], key: str, trees: int = 100, depth: int = 8, seed: int = 7) -> DataFrame:
