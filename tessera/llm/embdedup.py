@@ -18,9 +18,10 @@ def learn_rotation(rows: np.ndarray, bits: int, rounds: int = 40, seed: int = 7)
     """Mean and projection (dims x bits) of iterative quantisation.
 
     Centred vectors are projected on their main axes; then codes (signs) and the
-    rotation that brings the projections closest to them are found in turn.
+    rotation that brings the projections closest to them are found in turn. The mean of
+    a few rows says little of where vectors lie, so it is drawn towards the origin.
     """
-    mean = rows.mean(axis=0)
+    mean = rows.mean(axis=0) * len(rows) / (len(rows) + 64)
     _, _, axes = np.linalg.svd(rows - mean, full_matrices=True)
     axes = axes[:bits].T
     projected = (rows - mean) @ axes
@@ -33,12 +34,13 @@ def learn_rotation(rows: np.ndarray, bits: int, rounds: int = 40, seed: int = 7)
 
 
 def table_masks(bits: int, width: int, tables: int, seed: int = 11) -> list[int]:
-    """A mask of ``width`` bits for each table; bits are dealt out anew once all are used."""
+    """A mask of ``width`` bits (half of all bits at the most) for each table; bits are dealt out anew once all are used."""
+    width = min(width, max(1, bits // 2))
     rng, left, masks = np.random.default_rng(seed), [], []
     for _ in range(tables):
         if len(left) < width:
             left = rng.permutation(bits).tolist()
-        masks.append(sum(1 << left.pop() for _ in range(min(width, bits))))
+        masks.append(sum(1 << left.pop() for _ in range(width)))
     return masks
 
 

@@ -169,7 +169,7 @@ def feature_rows(blocks: list[Block]) -> np.ndarray:
     """A row of FEATURES for each block; neighbours outside the page count as empty."""
     none = Block("", 0, 0.0, (False,) * 6)
     rows = []
-    for before, own, after in zip([none, *blocks[:-1]], blocks, [*blocks[1:], none], strict=True):
+    for before, own, after in zip([none, *blocks], blocks, [*blocks[1:], none]):
         frame, cue, header, article, heading, item = own.place
         rows.append((frame, cue, header, article, own.words, own.links, before.words, before.links, after.words, after.links, heading, bool(_END.search(own.text[-6:])), item))
     return np.array(rows, float).reshape(-1, len(FEATURES))
