@@ -165,39 +165,56 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
+def _open_pairs(batch: pd.DataFrame, a: int, b: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the group at a..b: rows, columns, and which of their pairs may be a link between different components.
+
+    The largest component's own pairs are never formed. Pairs of sizes or sketches that differ too much are out.
+    """
+    none = np.zeros(0, np.int64)
+    n, c, o = (batch[k].to_numpy()[a:b] for k in ("n", "component", "own"))
+    names, counts = np.unique(c, return_counts=True)
+    if len(names) < 2:
+        return none, none, np.zeros((0, 0), bool)
+    rows = np.flatnonzero(c != names[counts.argmax()])
+    open_ = (c[rows, None] != c[None, :]) & (np.maximum(n[rows, None], n[None, :]) * percent <= np.minimum(n[rows, None], n[None, :]) * 100)
+    if batch["low"].iat[a] != batch["high"].iat[a]:
+        open_ &= o[rows, None] != o[None, :]
+    sketch = np.stack(batch["sketch"].iloc[a:b].to_numpy()).view(np.uint64)
+    apart = sum(np.bitwise_count(sketch[rows, None, k] ^ sketch[None, :, k]).astype(np.int32) for k in range(sketch.shape[1]))
+    open_ &= apart <= int(SLOTS * (0.5 * (1 - percent / 100) + 0.13))
+    some, columns = open_.any(axis=1), np.flatnonzero(open_.any(axis=0))
+    return rows[some], columns, open_[some][:, columns]
+
+
+def _first_met(batch: pd.DataFrame, a: int, b: int, rows: np.ndarray, columns: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the open pairs of a bucket those that do not share the bucket of an earlier band, where they meet as well."""
+    if not len(rows):
+        return rows, columns, open_
+    bands = np.stack(batch["bands"].iloc[a:b].to_numpy())
+    band = int(np.flatnonzero(bands[rows[0]] == batch["bucket"].iat[a])[0])
+    for k in range(band):
+        open_ = open_ & (bands[rows, k][:, None] != bands[columns, k][None, :])
+    return rows, columns, open_
+
+
 def _linked_across(batch: pd.DataFrame, starts: np.ndarray, percent: int) -> pd.DataFrame:
     """Links between different components in the groups between ``starts``: each linked member and the smallest one it reaches.
 
-    Pairs whose sketches differ too much are out. Sizes of intersections come from
-    products of 0/1 matrices, taken over a stretch of the shingles at a time; the
-    largest component's own pairs are never formed.
+    Sizes of intersections come from products of 0/1 matrices, taken over a stretch of the shingles at a time.
     """
-    rep, size, component, own = (batch[c].to_numpy() for c in ("rep", "n", "component", "own"))
-    low, high, held = batch["low"].to_numpy(), batch["high"].to_numpy(), batch["set"].to_numpy()
-    most = int(SLOTS * (0.5 * (1 - percent / 100) + 0.13))
+    rep, size, held = (batch[c].to_numpy() for c in ("rep", "n", "set"))
     ends_a, ends_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in zip(starts[:-1], starts[1:]):
-        if b - a < 2 or (component[a:b] == component[a]).all():
+        rows, columns, open_ = _open_pairs(batch, a, b, percent)
+        if not len(rows):
             continue
-        names, counts = np.unique(component[a:b], return_counts=True)
-        rows = np.flatnonzero(component[a:b] != names[counts.argmax()])  # one end of every pair across
-        n, c, o = size[a:b], component[a:b], own[a:b]
-        open_ = (c[rows, None] != c[None, :]) & (np.maximum(n[rows, None], n[None, :]) * percent <= np.minimum(n[rows, None], n[None, :]) * 100)
-        if low[a] != high[a]:
-            open_ &= o[rows, None] != o[None, :]
-        sketch = np.stack(batch["sketch"].iloc[a:b].to_numpy()).view(np.uint64)
-        apart = sum(np.bitwise_count(sketch[rows, None, k] ^ sketch[None, :, k]).astype(np.int32) for k in range(sketch.shape[1]))
-        open_ &= apart <= most
-        if not open_.any():
-            continue
-        rows, open_ = rows[open_.any(axis=1)], open_[open_.any(axis=1)]
-        columns = np.flatnonzero(open_.any(axis=0))
         known = np.unique(np.concatenate([held[a + i] for i in rows]))
         both = np.zeros((len(rows), len(columns)), np.float32)
         for at in range(0, len(known), 4096):
             part = known[at : at + 4096]
             both += _incidence([held[a + i] for i in rows], part) @ _incidence([held[a + j] for j in columns], part).T
-        linked = open_[:, columns] & (100 * both >= percent * (n[rows, None] + n[None, columns] - both))
+        n = size[a:b]
+        linked = open_ & (100 * both >= percent * (n[rows, None] + n[None, columns] - both))
         near = np.zeros((b - a, b - a), bool)
         near[np.ix_(rows, columns)] = linked
         near |= near.T
@@ -229,8 +246,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     Each member of a bucket is held against the bucket's smallest class and against the one
     that meets most others in all its buckets: a number of pairs linear in the
     members, which joins the bulk of a large group. Where a bucket still has several
-    components, the pairs between different components follow, block against block
-    (``block`` rows), unless their one-bit sketches (SLOTS bits) differ so much that a
+    components, the pairs between different components follow, in the first bucket that
+    they share, block against block (``block`` rows), unless their one-bit sketches (SLOTS bits) differ so much that a
     link is out of the question; a block pair returns links only. Every link rests on full sets. No pair in a
     bucket is passed over unless its ends are in one component already. Bands are chosen
     to miss a pair at the threshold with a chance of 1e-5 at most.
@@ -243,14 +260,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     keys = ["n_shingles", "k1", "k2"]
     classes = materialise(signatures.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
     heads = signatures.join(classes.select(*keys, "rep"), keys).where("doc_id = rep").dropDuplicates([*keys, "rep"])
-    banded = heads.select("rep", F.col("n_shingles").alias("n"), "sketch", F.explode("bands").alias("bucket"))
-    shared = banded.select("bucket").groupBy("bucket").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
+    heads = materialise(heads.select("rep", F.col("n_shingles").alias("n"), "sketch", "bands"), "heads")
+    banded = heads.select("rep", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
     members = materialise(banded.join(shared, "bucket"), "members")
     # the class that meets most others in its buckets stands in the middle of its group
     degree = members.groupBy("rep").agg(F.sum("in_bucket").alias("degree"))
     ranked = members.select("bucket", "rep").join(degree, "rep")
     hub = ranked.groupBy("bucket").agg(F.min("rep").alias("least"), F.max(F.struct("degree", "rep"))["rep"].alias("hub"))
-    members = materialise(members.join(hub, "bucket"), "members")
+    members = members.join(hub, "bucket").join(heads.drop("bands"), "rep")
+    members = materialise(members.select("bucket", "rep", "least", "hub", "n", "sketch"), "members")
 
     sizes = members.select(F.col("rep").alias("c"), F.col("n").alias("n_c")).distinct()
     fit = F.greatest("n", "n_c") * percent <= F.least("n", "n_c") * 100
@@ -263,16 +282,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     parts = connected_components(links)
 
     # pairs of one bucket that are not in one component yet
+    def open_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch, starts in whole_groups(batches, ["bucket", "low", "high"]):
+            met = [np.zeros(0, np.int64)]
+            for a, b in zip(starts[:-1], starts[1:]):
+                rows, columns, open_ = _first_met(batch, a, b, *_open_pairs(batch, a, b, percent))
+                met += [a + rows[open_.any(axis=1)], a + columns[open_.any(axis=0)]]
+            yield batch.iloc[np.unique(np.concatenate(met))][["bucket", "rep", "n", "component", "sketch"]]
+
     placed = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = materialise(placed.select("bucket", "rep", "n", "sketch", "component"), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     left = placed.join(materialise(mixed, "mixed"), "bucket", "left_semi")
-    dealt = deal_pairs(left.join(sets, left["rep"] == sets["doc_id"]).drop("doc_id"), ["bucket"], F.xxhash64("rep"), block)
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, starts in whole_groups(batches, ["bucket", "low", "high"]):
             yield _linked_across(batch, starts, percent)
 
+    spread = F.xxhash64("rep")
+    asked = deal_pairs(left.join(heads.select("rep", "bands"), "rep"), ["bucket"], spread, block).mapInPandas(open_rows, "bucket bigint, rep bigint, n bigint, component bigint, sketch array<bigint>")
+    asked = materialise(asked.dropDuplicates(["bucket", "rep"]), "asked")
+    dealt = deal_pairs(asked.join(sets.withColumnRenamed("doc_id", "rep"), "rep"), ["bucket"], spread, block)
     more = materialise(dealt.mapInPandas(across, "a bigint, b bigint").distinct(), "links")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
