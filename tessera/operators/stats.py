@@ -12,10 +12,15 @@ _TINY = 1e-12
 
 
 def class_moments(df: DataFrame, label: str, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by, feature, label, n, mean, var): sample variance, 0 for one value; nulls and NaN skipped."""
-    long = df.select(*by, F.col(label).alias("label"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.nanvl(F.col(f).cast("double"), F.lit(None)).alias("x")) for f in features])).alias("s"))
-    long = long.select(*by, "label", "s.feature", "s.x").where("x is not null and label is not null")
-    return long.groupBy(*by, "feature", "label").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.when(F.count("*") > 1, F.var_samp("x")).otherwise(0.0).alias("var"))
+    """(by, feature, label, n, mean, var): sample variance, 0 for one value; nulls and NaN skipped.
+
+    One pass with an aggregate for each feature; only the class rows are turned into feature rows.
+    """
+    clean = df.where(F.col(label).isNotNull()).select(*by, F.col(label).alias("label"), *[F.nanvl(F.col(f).cast("double"), F.lit(None)).alias(f"__x{i}") for i, f in enumerate(features)])
+    sums = [c for i in range(len(features)) for c in (F.count(f"__x{i}").alias(f"n{i}"), F.avg(f"__x{i}").alias(f"m{i}"), F.var_samp(f"__x{i}").alias(f"v{i}"))]
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"), F.col(f"v{i}").alias("var")) for i, f in enumerate(features)])
+    long = clean.groupBy(*by, "label").agg(*sums).select(*by, "label", F.explode(cells).alias("c")).where("c.n > 0")
+    return long.select(*by, "c.feature", "label", "c.n", "c.mean", F.when(F.col("c.n") > 1, F.col("c.var")).otherwise(0.0).alias("var"))
 
 
 def _pairs(moments: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -46,8 +51,9 @@ def dprime_pairs(df: DataFrame, label: str, features: Sequence[str], by: Sequenc
 def fisher_ratio(df: DataFrame, label: str, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Between over within sum of squares of each feature; null if within is below 1e-12. From class moments alone."""
     m = class_moments(df, label, features, by)
-    total = m.groupBy(*by, "feature").agg(F.sum("n").alias("n_all"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
-    sums = m.join(total, [*by, "feature"]).groupBy(*by, "feature").agg(F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("between"), F.sum((F.col("n") - 1) * F.col("var")).alias("within"))
+    whole = Window.partitionBy(*by, "feature")  # a row for each class
+    grand = F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole)
+    sums = m.withColumn("grand", grand).groupBy(*by, "feature").agg(F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("between"), F.sum((F.col("n") - 1) * F.col("var")).alias("within"))
     return sums.select(*by, "feature", F.when(F.col("within") >= _TINY, F.col("between") / F.col("within")).alias("fisher"))
 
 
@@ -80,9 +86,13 @@ def error_structure(matrix: DataFrame) -> DataFrame:
 
 def masked_metrics(df: DataFrame, truth: str, guesses: dict[str, str], masks: dict[str, Column]) -> DataFrame:
     """(mask, model, n, mae, accuracy) for overlapping subsets, from one scan."""
-    cells = [F.struct(F.lit(m).alias("mask"), F.lit(g).alias("model"), keep.alias("keep"), F.col(c).cast("double").alias("guess")) for m, keep in masks.items() for g, c in guesses.items()]
-    long = df.select(F.col(truth).cast("double").alias("truth"), F.explode(F.array(*cells)).alias("c")).where("c.keep and truth is not null and c.guess is not null")
-    return long.groupBy("c.mask", "c.model").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("truth") - F.col("c.guess"))).alias("mae"), F.avg((F.col("truth") == F.col("c.guess")).cast("double")).alias("accuracy"))
+    cells, sums = [], []
+    for i, (m, keep) in enumerate(masks.items()):
+        for j, (g, c) in enumerate(guesses.items()):
+            off = F.when(keep, F.abs(F.col(truth).cast("double") - F.col(c).cast("double")))
+            sums += [F.count(off).alias(f"n{i}_{j}"), F.avg(off).alias(f"e{i}_{j}"), F.avg((off == 0).cast("double")).alias(f"a{i}_{j}")]
+            cells.append(F.struct(F.lit(m).alias("mask"), F.lit(g).alias("model"), F.col(f"n{i}_{j}").alias("n"), F.col(f"e{i}_{j}").alias("mae"), F.col(f"a{i}_{j}").alias("accuracy")))
+    return df.agg(*sums).select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("n > 0")
 
 
 def majority(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
