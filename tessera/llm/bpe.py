@@ -175,7 +175,7 @@ class Codec(dict):
     are remembered in two generations of ``most`` entries, so memory is bounded.
     """
 
-    def __init__(self, file: str, short: int = 24, most: int = 500_000, chars: int = 1 << 16) -> None:
+    def __init__(self, file: str, short: int = 24, most: int = 250_000, chars: int = 1 << 16) -> None:
         super().__init__()
         self.table, self.short, self.most, self.chars = MergeTable(file), short, most, chars
         self.older: dict[str, bytes] = {}
