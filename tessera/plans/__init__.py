@@ -2,6 +2,6 @@
 
 from tessera.plans.components import connected_components
 from tessera.plans.prefix import running_total
-from tessera.plans.workspace import materialise
+from tessera.plans.workspace import materialise, settled
 
-__all__ = ["connected_components", "materialise", "running_total"]
+__all__ = ["connected_components", "materialise", "running_total", "settled"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,17 +37,31 @@ def materialise(df: DataFrame, name: str = "table", partition_by: tuple[str, ...
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str = "table") -> DataFrame:
+    """``materialise`` what ``build`` returns, then drop the intermediate tables that it wrote on the way."""
+    before = set(_WRITTEN)
+    df = build()
+    during = set(_WRITTEN) - before
+    out = materialise(df, name)
+    _drop(spark, during)
+    return out
+
+
+def _drop(spark: SparkSession, tables: set[tuple[str, str]]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for app, path in tables:
+        if app == spark.sparkContext.applicationId:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        _WRITTEN.discard((app, path))
+
+
 def release() -> None:
     """Remove this application's intermediate tables."""
     spark = SparkSession.getActiveSession()
     if spark is None:
         return
     try:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for app, path in list(_WRITTEN):
-            if app == spark.sparkContext.applicationId:
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(conf).delete(where, True)
-            _WRITTEN.discard((app, path))
+        _drop(spark, set(_WRITTEN))
     except Exception as gone:  # the JVM has ended before this hook ran: the folder is left to its owner
         print(f"tessera: intermediate tables were left behind ({type(gone).__name__})")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import audit, encode, folds, joins, models, retrieve, sequence, stats
-from tessera.plans import connected_components, running_total
+from tessera.plans import connected_components, materialise, running_total, settled, workspace
 
 
 def test_duplicate_keys_fail(spark):
@@ -184,3 +184,9 @@ def test_advice_falls_back(spark):
     rules = [(2, "b", F.col("x") > 0), (1, "a", F.col("x") > 0), (3, "c", F.col("x") > 5)]
     assert [r.advice for r in audit.recommendations(facts, rules, "fine").orderBy("priority").collect()] == ["a", "b"]
     assert [r.advice for r in audit.recommendations(facts, rules[2:], "fine").collect()] == ["fine"]
+
+
+def test_settled_keeps_the_result_and_drops_the_rest(spark):
+    before = set(workspace._WRITTEN)
+    out = settled(spark, lambda: materialise(spark.range(5), "a").where("id > 1"), "b")
+    assert sorted(r.id for r in out.collect()) == [2, 3, 4] and len(set(workspace._WRITTEN) - before) == 1
