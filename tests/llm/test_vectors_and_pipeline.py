@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import ann, embdedup, queries
+from tessera.plans import materialise
 
 
 def usable(r):
@@ -156,6 +157,6 @@ def test_run_is_its_stages(spark, data):
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.materialise(stage(spark, docs, data), name)
+        docs = materialise(stage(spark, docs, data), name)
     rows = lambda df: Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in df.collect())
     assert rows(corpus_pipeline.run(spark, data)) == rows(docs)
