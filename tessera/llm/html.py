@@ -71,10 +71,12 @@ class _Reader:
     texts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     in_link: bool = False
+    tags: dict[str, int] = field(default_factory=dict)
     count: dict[str, int] = field(default_factory=lambda: dict.fromkeys(("frame", "cue", "header", "article", "heading", "item"), 0))
 
     def _change(self, box: _Open, by: int) -> None:
         c = self.count
+        self.tags[box.tag] = self.tags.get(box.tag, 0) + by
         c["frame"] += by * box.frame
         c["cue"] += by * box.cue
         c["header"] += by * box.header
@@ -108,6 +110,8 @@ class _Reader:
         if name not in _BOXES:
             return
         if closing:
+            if not self.tags.get(name):
+                return
             for at in range(len(self.stack) - 1, -1, -1):
                 if self.stack[at].tag == name:
                     for box in self.stack[at:]:
@@ -321,10 +325,10 @@ def extract_text(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
     """
     tree = tree or train()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [main_text(page, tree) for page in batch["html"]]
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": [t for t, _, _ in found], "n_blocks": [n for _, _, n in found], "n_kept": [k for _, k, _ in found]})
+    @F.pandas_udf("text string, n_kept bigint, n_blocks bigint")
+    def article(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for pages_ in batches:
+            yield pd.DataFrame([main_text(page, tree) for page in pages_], columns=["text", "n_kept", "n_blocks"])
 
-    out = pages.select("page_id", "url", "html").mapInPandas(run, "page_id bigint, url string, text string, n_blocks bigint, n_kept bigint")
-    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_blocks", "n_kept")
+    out = pages.select("page_id", "url", article(F.col("html")).alias("found"))
+    return out.select("page_id", "url", "found.text", F.length("found.text").cast("bigint").alias("n_chars"), "found.n_blocks", "found.n_kept")

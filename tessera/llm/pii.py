@@ -34,7 +34,7 @@ _PROPOSED_HINTS = {"email": r"@|[\[({<\x20]at[\])}>\x20].{1,70}dot", "ip": r"[0-
 #: Words that speak for a kind in the characters before a span, and words that speak against any.
 _FOR = {"email": r"mail|contact|write|reach", "ip": r"\bip\b|address|host|server|client|login", "card": r"card|visa|master|amex|credit|payment|cc\b", "phone": r"phone|tel\b|call|mobile|cell|fax|dial|whatsapp|\bsms\b"}
 _AGAINST = r"order|invoice|token|version|isbn|serial|\bid\b|\bno\b|number of|page|score|build|release|hash|section|price|total|\bat$|#\s*$|[$€£]\s*$"
-_CONTEXT = 32
+_CONTEXT, _CHUNK = 32, 256
 _SPAN = "array<struct<start:int,kind:int,end:int,text:string>>"
 FEATURES = ("kind", "length", "digits", "groups", "longest", "separators", "brackets", "dots", "cue", "against", "luhn", "distinct", "glued")
 
@@ -72,7 +72,8 @@ def _spans(text: Column, kind: int, pattern: str, hint: str, holds) -> Column:
     """Leftmost non-overlapping matches that hold, with code point offsets.
 
     The text is split at the matches; offsets are running sums of the lengths of
-    what lies between and of the matches themselves.
+    what lies between and of the matches themselves. A growing array is copied at
+    each step, so matches are taken in chunks whose offsets are summed first.
     """
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
@@ -83,8 +84,13 @@ def _spans(text: Column, kind: int, pattern: str, hint: str, holds) -> Column:
         return F.struct(end.alias("at"), F.when(holds(pair["hit"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     empty = F.array().cast(_SPAN)
-    folded = F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(F.coalesce(F.regexp_like(text, F.lit(hint)), F.lit(False)), folded).otherwise(empty)
+    hits = F.filter(pairs, lambda p: p["hit"].isNotNull())
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(hits) - 1, F.lit(0)) / _CHUNK).cast("int")), lambda i: F.slice(hits, i * _CHUNK + 1, F.lit(_CHUNK)))
+    wide = lambda chunk: F.aggregate(chunk, F.lit(0), lambda s, p: s + F.length(p["gap"]) + F.length(p["hit"]))
+    starts = F.aggregate(chunks, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + wide(c))))
+    fold = lambda c: F.aggregate(c["chunk"], F.struct(c["start"].alias("at"), empty.alias("out")), step)["out"]
+    found = F.flatten(F.transform(F.arrays_zip(chunks.alias("chunk"), F.slice(starts, 1, F.size(chunks)).alias("start")), fold))
+    return F.when(F.coalesce(F.regexp_like(text, F.lit(hint)), F.lit(False)), found).otherwise(empty)
 
 
 def base_spans(text: Column) -> list[Column]:
