@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: The vocabulary's pre-token pattern (white space as Unicode has it).
 PRETOKEN = (
@@ -18,6 +19,8 @@ PRETOKEN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 _INF = 1 << 60
+#: Bytes of a pre-token after which the transducer's state is remembered.
+_STEM = 5
 
 
 def _byte_letters() -> dict[str, int]:
@@ -179,6 +182,7 @@ class Codec(dict):
         super().__init__()
         self.table, self.short, self.most, self.chars = MergeTable(file), short, most, chars
         self.older: dict[str, bytes] = {}
+        self.stems: dict[bytes, tuple[tuple[int, ...], list[int]]] = {}
         self.split = regex.compile(PRETOKEN).findall
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.table.special, key=len, reverse=True))) or r"(?!)")
         self.transducer = Transducer(self.table)
@@ -190,7 +194,8 @@ class Codec(dict):
             reader, data = self.transducer, word.encode("utf-8", "surrogatepass")
             ids = [] if short else reader.feed(data)
             if short:
-                reader._read(data)
+                self._start(data[:_STEM])
+                reader._read(data[_STEM:])
             ids += reader.close()
             packed = b"".join(map(self.table.packed.__getitem__, ids))
         if short:
@@ -200,6 +205,18 @@ class Codec(dict):
             self[word] = packed
         return packed
 
+    def _start(self, stem: bytes) -> None:
+        """Brings the new transducer behind a pre-token's first bytes; many pre-tokens share these."""
+        reader = self.transducer
+        known = self.stems.get(stem)
+        if known is None:
+            reader._read(stem)
+            if len(self.stems) >= self.most // 2:
+                self.stems.clear()
+            self.stems[stem] = (tuple(reader.last), reader.open)
+        else:
+            reader.window, reader.last, reader.open = stem, [*known[0]], known[1]
+
     def _plain(self, text: str) -> Iterator[bytes]:
         """Packed ids of a text without special tokens, window by window.
 
@@ -235,7 +252,14 @@ class Codec(dict):
         yield machine.decode(b"", True)
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[str, Codec] = {}
+
+
+def codec_of(name: str, file: str) -> Codec:
+    """This process's codec for a vocabulary; tasks that share a worker share it and what it remembers."""
+    if name not in _CODECS:
+        _CODECS[name] = Codec(file)
+    return _CODECS[name]
 
 
 def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -244,22 +268,20 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     ``vocabulary`` is the path of a byte-level BPE file (JSON with vocab and
     merges). Takes doc_id, text; returns doc_id, ids (little-endian unsigned 32-bit
     integers, packed) and decoded. A null text counts as empty; strings of special
-    tokens in a text become their ids. One pass, no shuffle; a worker keeps its
-    codec from task to task. Repeated rows give repeated rows.
+    tokens in a text become their ids. One pass, no shuffle; only texts go to
+    Python, and a worker keeps its codec from task to task. Repeated rows give repeated rows.
     """
     file = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))  # a vocabulary, never data
-    key = hash(vocabulary)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = _CODECS.get(key)
-        if codec is None:
-            codec = _CODECS[key] = Codec(file.value)
+    @F.pandas_udf("ids binary, decoded string")
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = codec_of(vocabulary, file.value)
         for batch in batches:
             ids, decoded = [], []
-            for text in batch["text"]:
+            for text in batch:
                 pieces = list(codec.encode(text or ""))
                 ids.append(b"".join(pieces))
                 decoded.append("".join(codec.decode(iter(pieces))))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "decoded": decoded})
+            yield pd.DataFrame({"ids": ids, "decoded": decoded})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, ids binary, decoded string")
+    return docs.select("doc_id", coded(F.col("text")).alias("coded")).select("doc_id", "coded.ids", "coded.decoded")
