@@ -21,6 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession, megabytes: int = 8) -> None:
+    """Bound the Arrow batches of this session's Python stages by bytes: texts and sets can be long, and a batch is held several times over."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > megabytes << 20:
+        spark.conf.set(name, megabytes << 20)
+
+
 def new_path(spark: SparkSession, name: str = "table") -> str:
     """A fresh path below the shared folder, removed when the driver ends."""
     path = f"{shared_folder(spark)}/tessera-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
