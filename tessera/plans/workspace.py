@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def small_batches(spark: SparkSession, megabytes: int = 8) -> None:
+def small_batches(spark: SparkSession, megabytes: int = 2) -> None:
     """Bound the Arrow batches of this session's Python stages by bytes: texts and sets can be long, and a batch is held several times over."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name).rstrip("b")
