@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.vectors import in_order, is_valid, matrix, unit, unpack
-from tessera.plans import materialise
+from tessera.plans import materialise, small_batches
 
 
 @dataclass(frozen=True)
@@ -100,6 +100,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, lists: int = 64, re
     vec_id are candidates of their own and one query. Fewer candidates than k:
     all of them.
     """
+    small_batches(vectors.sparkSession)
     rows = vectors.withColumn("__query", F.coalesce(is_query, F.lit(False))).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("__query").alias("query"))
     rows = rows.where(F.col("vec_id").isNotNull() & is_valid(F.col("embedding"))).withColumn("dims", F.size("embedding"))
     per_dims = {r.dims: r.n for r in rows.groupBy("dims").agg(F.count("*").alias("n")).collect()}  # a row for each length of vectors

@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans import small_batches
+
 #: The vocabulary's pre-token pattern (white space as Unicode has it).
 PRETOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -70,7 +72,8 @@ class MergeTable:
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.bytes_of))]
         self._edges = ({}, {})
         self._made = made
-        #: What ``apart`` has found, by a << 32 | b.
+        #: What ``apart`` has found, by a << 32 | b; up to ``most`` pairs.
+        self.most = 200_000
         self.pairs: dict[int, bool] = {}
         #: Bytes after which no later token can begin before a place: the longest token.
         self.lookahead = max(map(len, self.ids))
@@ -93,7 +96,7 @@ class MergeTable:
         """Whether tokens ``a`` and ``b`` can be neighbours in an encoding."""
         ranks, right = self.ranks, self._edge(b, 1)
         known = not any((r := ranks.get((x, y))) is not None and r < x_until and r <= y_until for x, x_until in self._edge(a, 0) for y, y_until in right)
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) >= self.most:
             self.pairs.clear()
         self.pairs[a << 32 | b] = known
         return known
@@ -178,7 +181,7 @@ class Codec(dict):
     are remembered in two generations of ``most`` entries, so memory is bounded.
     """
 
-    def __init__(self, file: str, short: int = 24, most: int = 250_000, chars: int = 1 << 16) -> None:
+    def __init__(self, file: str, short: int = 24, most: int = 100_000, chars: int = 1 << 16) -> None:
         super().__init__()
         self.table, self.short, self.most, self.chars = MergeTable(file), short, most, chars
         self.older: dict[str, bytes] = {}
@@ -271,6 +274,7 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     tokens in a text become their ids. One pass, no shuffle; only texts go to
     Python, and a worker keeps its codec from task to task. Repeated rows give repeated rows.
     """
+    small_batches(docs.sparkSession)
     file = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))  # a vocabulary, never data
 
     @F.pandas_udf("ids binary, decoded string")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.blocks import deal_pairs, smallest_linked, whole_groups
 from tessera.llm.vectors import in_order, is_valid, matrix, unit, unpack
-from tessera.plans import connected_components, materialise
+from tessera.plans import connected_components, materialise, small_batches
 
 
 def learn_rotation(rows: np.ndarray, bits: int, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +66,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, width: i
     Null, empty, zero or non-finite vectors and null labels: 0 links, a component
     of their own. Rows of equal vec_id are one node. A null vec_id: component null.
     """
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
     valid = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & is_valid(F.col("embedding")))
     classes = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans import small_batches
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""", re.DOTALL)
 _NAMES = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
@@ -323,6 +325,7 @@ def extract_text(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
     pages without an article give "" and 0. Repeated rows give repeated rows;
     columns other than page_id, url and html are not looked at.
     """
+    small_batches(pages.sparkSession)
     tree = tree or train()
 
     @F.pandas_udf("text string, n_kept bigint, n_blocks bigint")

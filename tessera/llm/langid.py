@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans import small_batches
+
 #: Width of the hashed n-gram space, and lengths of the n-grams.
 DIMS, ORDERS = 4096, (2, 3)
 _PIECE = 1 << 20
@@ -121,6 +123,7 @@ def fit(docs: DataFrame, clusters: int = 4, sample: int = 500, reject: float = 0
     texts of about its length: short texts lie farther from every centroid. Null lang teaches
     nothing; without any labelled text the model is empty.
     """
+    small_batches(docs.sparkSession)
     taught = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,6 +175,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     Only the text is read. Null or letterless text: ``und``, 0, not accepted.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages * clusters * DIMS numbers
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")

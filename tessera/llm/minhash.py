@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import deal_pairs, smallest_linked, whole_groups
-from tessera.plans import connected_components, materialise
+from tessera.plans import connected_components, materialise, small_batches
 
 #: Slots of a signature; a power of two, so that an odd step visits every slot once.
 SLOTS = 256
@@ -255,6 +255,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     Null, empty or blank text: an empty set, linked with nothing. Rows that share a
     doc_id share a component. A null doc_id takes no part: component_id null, kept true.
     """
+    small_batches(docs.sparkSession)
     rows = band_rows(percent / 100)
     signatures = materialise(_signatures(docs, words, rows), "signatures")
     keys = ["n_shingles", "k1", "k2"]
