@@ -616,7 +616,7 @@ def monotonic_timestamps(spark, sf):
 def unnest_notes(spark, sf):
     """Conversations as charts: a turn is an event, its words' lengths are notes."""
     c = table(spark, sf, "conversations")
-    notes = F.transform(F.slice(F.split("text", " "), 1, 6), lambda w: F.struct((F.length(w) % 9).alias("string"), (F.octet_length(w) % 5 - 1).alias("fret")))
+    notes = F.transform(F.split("text", " "), lambda w: F.struct((F.length(w) % 9).alias("string"), (F.octet_length(w) % 5 - 1).alias("fret")))
     tabs = c.groupBy(F.col("conv_id").alias("tab_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", notes.alias("notes")))), lambda e: F.struct(e["notes"].alias("notes"), F.lit(None).cast("int").alias("strum_ms"))).alias("events"))
     found = encode.notes_of(tabs)
     swept = encode.strum_sweep(found.groupBy("tab_id", "event", "t", "string", "fret").agg(F.count("*").alias("n")), ["tab_id", "event"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import audit, encode, folds, joins, models, retrieve, sequence, stats
 from tessera.plans import connected_components, materialise, running_total, settled, workspace
+from tessera.queries import QUERIES
 
 
 def test_duplicate_keys_fail(spark):
@@ -190,3 +191,12 @@ def test_settled_keeps_the_result_and_drops_the_rest(spark):
     before = set(workspace._WRITTEN)
     out = settled(spark, lambda: materialise(spark.range(5), "a").where("id > 1"), "b")
     assert sorted(r.id for r in out.collect()) == [2, 3, 4] and len(set(workspace._WRITTEN) - before) == 1
+
+
+def test_notes_of_whole_turns(spark, tmp_path):
+    """unnest_notes reads every word of a turn, not only its first six; empty words and a null text give nothing."""
+    text = " ".join(["abcdefghi"] * 6 + ["ab", "", "abc", "abc", "a" * 10])
+    rows = [("c", 0, text), ("c", 1, None), ("c", 2, "ab")]
+    spark.createDataFrame(rows, "conv_id string, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted((r.event, r.string, r.fret, r.n) for r in QUERIES["unnest_notes"](spark, str(tmp_path)).collect())
+    assert got == [(0, 2, 1, 1), (0, 3, 2, 2), (1, 2, 1, 1)]
