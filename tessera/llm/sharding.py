@@ -2,47 +2,77 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans import materialise, running_total
 
 
-def _propagate(cells: DataFrame, quotas: dict[int, int], rounds: int, bins: int) -> DataFrame:
-    """Move cells (gid, shard, n) towards their group's fullest shard, within quotas.
+def _place(n: int, own: dict[int, int], free: list[int], gid: str) -> list[tuple[str, int, int]]:
+    """Cells (gid, shard, n) of a group in the fewest shards that have room; ``free`` shrinks.
 
-    A cell holds the linked documents of one group in one shard, which are
-    interchangeable. In a round every cell outside its group's fullest shard asks
-    to move there; requests are granted in seeded order while the target's
-    linked documents stay within its quota, the last one in part. Requests of a
-    target are summed by ``running_total``, so none gathers in one task.
+    A group that fits into one shard takes the one that most of its documents hold; a
+    larger one fills the emptiest shards until the rest of it fits.
     """
-    for turn in range(rounds):
-        load = {r.shard: r.load for r in cells.groupBy("shard").agg(F.sum("n").alias("load")).collect()}  # a row for each shard
-        free = F.element_at(F.create_map(*[F.lit(x) for s, q in quotas.items() for x in (s, q - (load.get(s) or 0))]), F.col("want"))
-        want = cells.groupBy("gid").agg(F.max_by("shard", F.struct("n", F.xxhash64("gid", "shard"))).alias("want"))
-        asks = cells.join(want, "gid").where("shard <> want").select("gid", "shard", "n", "want")
-        order = F.xxhash64(F.lit(turn), "gid", "shard")
-        asks = running_total(asks, ["want"], order, ["gid", "shard"], F.col("n"), "before", bins)
-        moved = materialise(asks.select("gid", "shard", "want", F.least(F.col("n"), F.greatest(F.lit(0), free - F.col("before"))).alias("n")).where("n > 0"), "moves")
-        if moved.isEmpty():
-            break
-        cells = materialise(
-            cells.select("gid", "shard", "n").unionByName(moved.select("gid", "shard", (-F.col("n")).alias("n"))).unionByName(moved.select("gid", F.col("want").alias("shard"), "n")).groupBy("gid", "shard").agg(F.sum("n").alias("n")).where("n > 0"),
-            "cells",
-        )
+    cells = []
+    while n:
+        room = [s for s, f in enumerate(free) if f >= n]
+        shard = max(room, key=lambda s: own.get(s, 0)) if room else max(range(len(free)), key=lambda s: (free[s], own.get(s, 0)))
+        taken = min(n, free[shard])
+        free[shard] -= taken
+        n -= taken
+        cells.append((gid, shard, taken))
     return cells
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 4, bins: int = 512) -> DataFrame:
+def _propagate(groups: DataFrame, quotas: dict[int, int], few: int, bins: int) -> DataFrame:
+    """Cells (gid, shard, n) of groups (gid, linked, own array<struct<shard, n>>), within quotas.
+
+    The fewer than ``few`` groups that hold more than a ``few``-th of all rows are placed
+    first, the largest first. Then every group asks in rounds for the shard that most of
+    its documents hold among those with room for all of it. Requests are granted in
+    seeded order while the shard has room, summed by ``running_total``, so none gathers
+    in one task. Each round grants at least one; the last ``few`` groups are placed
+    like the first. So a group is cut only if no shard had room for it when it came up,
+    which holds for fewer groups than shards among those that asked in rounds.
+    """
+    spark, free, few = groups.sparkSession, [quotas[s] for s in range(len(quotas))], max(few, len(quotas))
+
+    def placed(some: DataFrame) -> DataFrame:
+        cells = []
+        for r in sorted(some.collect(), key=lambda r: (-r.linked, r.gid)):  # ``few`` rows at the most
+            cells += _place(r.linked, {c.shard: c.n for c in r.own}, free, r.gid)
+        return spark.createDataFrame(cells, "gid string, shard int, n bigint").coalesce(1)
+
+    large = F.col("linked") * few > sum(free)
+    parts = [placed(groups.where(large))]
+    rest, turn = groups.where(~large), 0
+    while rest.count() > few:
+        own = F.map_from_entries("own")
+        room = F.filter(F.transform(F.array(*[F.lit(f).cast("bigint") for f in free]), lambda f, s: F.struct(F.coalesce(own[s], F.lit(0)).alias("own"), F.xxhash64("gid", s).alias("h"), s.alias("shard"), f.alias("free"))), lambda c: c["free"] >= F.col("linked"))
+        asks = rest.withColumn("best", F.array_max(room)).select("*", F.col("best.shard").alias("want"), F.col("best.free").alias("free")).drop("best")
+        mute = asks.where("want is null")  # no shard has room
+        asks = running_total(asks.where("want is not null"), ["want"], F.xxhash64(F.lit(turn), "gid"), ["gid"], F.col("linked"), "before", bins)
+        asks = materialise(asks.withColumn("granted", F.col("before") + F.col("linked") <= F.col("free")), "asks")
+        parts.append(asks.where("granted").select("gid", F.col("want").alias("shard"), F.col("linked").alias("n")))
+        for r in parts[-1].groupBy("shard").agg(F.sum("n").alias("n")).collect():  # a row for each shard
+            free[r.shard] -= r.n
+        rest, turn = materialise(asks.where("not granted").select("gid", "linked", "own").unionByName(mute.select("gid", "linked", "own")), "rest"), turn + 1
+    parts.append(placed(rest))
+    return materialise(reduce(DataFrame.unionByName, parts), "cells")
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, few: int = 512, bins: int = 512) -> DataFrame:
     """Deal documents to shards of equal row counts, keeping linked documents together.
 
     Documents with equal texts are linked (null equals null). They start in a
-    shard drawn from doc_id; ``_propagate`` moves them towards their neighbours
+    shard drawn from doc_id; ``_propagate`` moves them to their neighbours
     while no shard exceeds its quota (rows // shards, one more for the first
     remainder). Documents without a link then fill every shard up to its quota,
-    so row counts differ by one at most. A group larger than a quota stays spread
-    over as few shards as the quotas allow.
+    so row counts differ by one at most. A group for which no shard has room is
+    spread over as few shards as have room for it when it is placed.
 
     Takes doc_id, text; returns doc_id, size (UTF-8 bytes + 1), text_crc32 (0 for
     null), law = "rows", shard, slot (0 upwards without gaps in a shard), linked
@@ -60,13 +90,12 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 4, bins: int
         "rows",
     )
     cells = rows.groupBy("gid", F.pmod("h", F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
-    cells = materialise(cells, "cells")
-    groups = materialise(cells.groupBy("gid").agg(F.sum("n").alias("linked")).where("linked > 1"), "groups")
+    groups = cells.groupBy("gid").agg(F.sum("n").alias("linked"), F.collect_list(F.struct("shard", "n")).alias("own"))  # a cell for each shard at most
+    groups = materialise(groups.where("linked > 1"), "groups")
     total = rows.count()
     quotas = {s: total // shards + int(s < total % shards) for s in range(shards)}
-    # a hash may start more linked documents in a shard than its quota holds: its surplus starts as unlinked ones do
-    cells = materialise(cells.join(groups.select("gid"), "gid", "left_semi"), "cells")
-    cells = _propagate(cells, quotas, rounds, bins)
+    cells = _propagate(groups, quotas, few, bins)
+    groups = groups.select("gid", "linked")
 
     # documents of a group take its cells in order of their rank in the group
     upto = Window.partitionBy("gid").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
@@ -76,17 +105,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 4, bins: int
     linked = linked.join(ranges, "gid").withColumn("shard", F.filter("ranges", lambda r: F.col("rank") < r["until"])[0]["shard"])
     load = {r.shard: r.n for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
 
-    # surplus of an overfull shard (it can only come from the first draw) and unlinked documents fill what is free
-    linked = materialise(linked.select("doc_id", "gid", "size", "text_crc32", "h", "linked", "shard"), "linked")
+    # unlinked documents fill what is free
     alone = rows.join(groups.select("gid"), "gid", "left_anti").withColumn("linked", F.lit(1).cast("bigint")).withColumn("shard", F.lit(None).cast("int"))
-    if any((load.get(s) or 0) > q for s, q in quotas.items()):
-        quota = F.element_at(F.create_map(*[F.lit(x) for s, q in quotas.items() for x in (s, q)]), F.col("shard"))
-        placed = running_total(linked, ["shard"], F.xxhash64("gid"), ["gid", "h", "doc_id"], F.lit(1), "place", bins)
-        placed = placed.withColumn("shard", F.when(F.col("place") < quota, F.col("shard"))).drop("place")
-        placed = materialise(placed, "placed")
-        load = {s: min(load.get(s) or 0, q) for s, q in quotas.items()}
-        alone = alone.select(*placed.columns).unionByName(placed.where("shard is null"))
-        linked = placed.where("shard is not null")
     filled, steps = 0, []
     for s, q in quotas.items():
         filled += q - (load.get(s) or 0)

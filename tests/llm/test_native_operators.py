@@ -90,6 +90,28 @@ def test_a_hot_group_fills_few_shards(spark):
     assert sorted(Counter(r.shard for r in only).values()) == [2, 2, 2, 2, 3, 3, 3, 3]
 
 
+@pytest.mark.parametrize("few", [512, 8])
+def test_groups_fill_the_fewest_shards(spark, few):
+    """A hot group takes as many shards as it needs, a small one stays whole, with and without rows that have no link."""
+
+    def shards_of(texts):
+        out = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), few=few)
+        out = out.join(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id").collect()
+        assert len(out) == len(texts) and set(Counter(r.shard for r in out).values()) == {len(texts) // 8}
+        assert all(sorted(r.slot for r in out if r.shard == s) == list(range(len(texts) // 8)) for s in range(8))
+        found = defaultdict(set)
+        for r in out:
+            found[r.text].add(r.shard)
+        return found
+
+    found = shards_of(["hot"] * 800 + [f"four {i // 4}" for i in range(400)] + [f"text {i}" for i in range(1200)])
+    assert len(found.pop("hot")) == 3 and {len(s) for s in found.values()} == {1}
+    assert len(shards_of(["hot" if i < 400 else f"text {i}" for i in range(800)])["hot"]) == 4
+    assert {len(s) for s in shards_of([f"four {i // 4}" for i in range(800)]).values()} == {1}
+    found = shards_of([f"three {i // 3}" for i in range(1599)] + ["text"])
+    assert sum(len(s) > 1 for s in found.values()) <= 7 and max(len(s) for s in found.values()) == 2
+
+
 def key(line):
     return line.strip(BLANK).translate(LOWER)
 
