@@ -52,6 +52,20 @@ def test_linked_vectors_against_brute_force(vectors, block):
     assert embdedup.near_duplicate_vectors(vectors.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("whole", [16, 0])
+def test_pairs_at_the_threshold_are_met(spark, whole):
+    """1,500 pairs just above 0.93: a label of few blocks misses none, the tables next to none; 12 bits in 32 tables lose some in a hundred."""
+    rng = np.random.default_rng(5)
+    x, z = (rng.normal(size=(1500, 64)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.931 * x + (1 - 0.931**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+    rows = [(2 * i + k, v[i].tolist(), 0) for i in range(1500) for k, v in enumerate((x, y))]
+    out = embdedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), whole=whole).collect()
+    met = sum(r.n_links == 1 and r.component_id == r.vec_id // 2 * 2 for r in out)
+    assert met == 3000 if whole else met >= 2994
+
+
 def test_codes_are_balanced():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 16)) * np.linspace(3, 0.3, 16)
