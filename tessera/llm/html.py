@@ -19,11 +19,13 @@ _NAMES = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _END = re.compile(r"""[.!?…:;»"”)\]][\s"'”)»]*$""")
 #: Elements whose text is never shown as prose.
-_RAW = frozenset("script style noscript template iframe svg head title textarea object math canvas".split())
+_RAW = frozenset("script style noscript template iframe svg title textarea canvas annotation annotation-xml".split())
+#: Of these, the ones whose content is text, not markup.
+_PLAIN = frozenset("script style iframe title textarea".split())
 #: Elements that end a text block.
 _BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+    "h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Containers that are kept on the stack of open elements.
 _BOXES = frozenset("article aside blockquote button details dialog div dl fieldset figure footer form header label li main menu nav ol p search section select span table td ul h1 h2 h3 h4 h5 h6".split())
@@ -139,16 +141,27 @@ class _Reader:
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order; markup, scripts, styles and comments are gone, references decoded."""
     reader, at, raw = _Reader(), 0, ""
+    inside: dict[str, int] = {}  # elements open in the raw one
+    unclosed: set[str] = set()  # names that no later tag closes
     for m in _TOKEN.finditer(page):
+        if m.start() < at:
+            continue
         if raw:
-            if m[1] == "/" and m[2].lower() == raw:
+            if not m[2]:
+                continue
+            name = m[2].lower()
+            if m[1] == "/" and name == raw:
                 raw, at = "", m.end()
-            elif raw == "head" and m[2] and m[2].lower() == "body":
-                raw, at = "", m.start()
-            else:
                 continue
-        if m.start() < at:
-            continue
+            if not m[1]:
+                inside[name] = inside.get(name, 0) + (not m[3].endswith("/"))
+                continue
+            if inside.get(name):
+                inside[name] -= 1
+                continue
+            if not (reader.tags.get(name) or name in ("head", "body", "html")):
+                continue
+            raw, at = "", m.start()  # the end of its parent
         reader.text(page[at : m.start()])
         at = m.end()
         if not m[2]:
@@ -156,13 +169,16 @@ def blocks_of(page: str) -> list[Block]:
         name = m[2].lower()
         if name in _RAW:
             if not m[1] and not m[3].endswith("/"):
-                raw = name
-                if name in ("script", "style"):  # their text is no markup
+                raw, inside = name, {}
+                if name in _PLAIN and name not in unclosed:
                     end = re.compile(rf"</{name}\b", re.IGNORECASE).search(page, at)
-                    if end is None:
+                    if end is not None:
+                        at = end.start()
+                    elif name in ("script", "style"):
                         at = len(page)
                         break
-                    at = end.start()
+                    else:
+                        unclosed.add(name)
             continue
         reader.tag(bool(m[1]), name, m[3])
     if not raw:

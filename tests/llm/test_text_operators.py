@@ -199,3 +199,14 @@ def test_long_texts_are_cut_at_white_space(monkeypatch):
     minhash._powers.cache_clear()
     assert (minhash.shingles(text, 3) == whole).all() and len(minhash.shingles(" \n", 3)) == 0 and len(minhash.shingles("one two", 3)) == 1
     minhash._powers.cache_clear()
+
+
+def test_pages_without_ends_of_head_and_raw_elements():
+    """Omitted </head> and <body>, raw elements that nothing closes, and the text of math and object."""
+    text = lambda page: " ".join(b.text for b in html.blocks_of(page))
+    assert text("<html><head><title>T <b></title><style>p</style><article><p>One.</p><p>Two.</p></article>") == "One. Two."
+    for tag in ("noscript", "iframe", "svg", "template", "canvas", "textarea"):
+        assert text(f"<div><p>One.</p><div><{tag}><i>hidden</i></div><p>Two.</p></div>") == "One. Two.", tag
+    assert text("<head><noscript><link></head><body><p>One.</p></body>") == "One."
+    assert text("<p>Let <math><mi>x</mi><annotation>tex</annotation></math> be <object>two</object>.</p>") == "Let x be two."
+    assert text("<p>One.</p><svg><g><text>t</text></g></svg><script>'</p>'</script><p>Two.</p>") == "One. Two."
