@@ -223,17 +223,21 @@ class Codec(dict):
     def _plain(self, text: str) -> Iterator[bytes]:
         """Packed ids of a text without special tokens, window by window.
 
-        A window's last pre-token may go on behind it and waits for the next one;
-        a pre-token that fills a window makes the window grow.
+        What stands at a window's end may read on behind it and waits for the next
+        one: the last pre-token, and an apostrophe before it that may be a
+        contraction whose last letter is not in the window. Where nothing else is
+        in the window, the window grows.
         """
         at, width, n = 0, self.chars, len(text)
         while at < n:
             words = self.split(text[at : at + width])
             if at + width < n:
-                if len(words) == 1:
+                held = 2 if len(words) > 1 and words[-2] == "'" and len(words[-1]) == 1 else 1
+                if len(words) == held:
                     width *= 2
                     continue
-                at -= len(words.pop())
+                at -= sum(map(len, words[-held:]))
+                del words[-held:]
             yield b"".join(map(self.__getitem__, words))
             at, width = min(n, at + width), self.chars
 

@@ -36,6 +36,23 @@ def test_bpe_of_long_runs(unit):
         assert ids(SMALL, unit * n) == REFERENCE.encode(unit * n, add_special_tokens=False).ids
 
 
+CONTRACTIONS = "they're we'll I've don't he'd I'm it's ''re 'll 'rest '  've\n'r'e ''''ll  x'l l'' 'v e're12're!'re  'the 'Re"
+
+
+@pytest.mark.parametrize("chars", range(2, 14))
+def test_bpe_windows_may_end_anywhere(chars):
+    """Every window length and shift over a text full of contractions, blanks and quotes."""
+    narrow = bpe.Codec(FILE, chars=chars)
+    for shift in range(len(CONTRACTIONS)):
+        text = CONTRACTIONS[shift:]
+        assert ids(narrow, text) == REFERENCE.encode(text, add_special_tokens=False).ids, text
+
+
+def test_bpe_contraction_across_a_whole_window():
+    text = "a" * 65_534 + "'re here " + "b" * 65_527 + "'ll x"
+    assert ids(CODEC, text) == REFERENCE.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_memory_is_bounded():
     reader = bpe.Transducer(CODEC.table)
     most = 0
