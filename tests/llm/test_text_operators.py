@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, html, langid, minhash, queries
+from tests.llm.pages_by_hand import PAGES
 
 FILE = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
 REFERENCE = Tokenizer.from_str(FILE)
@@ -133,6 +134,62 @@ def test_broken_pages_do_not_fail(page):
     assert isinstance(text, str)
 
 
+def share_right(pages):
+    rows, labels = html.table_rows(pages)
+    return np.mean([html.train().predict(r) == (label > 0.5) for r, label in zip(rows, labels)])
+
+
+def test_tree_on_pages_it_has_not_seen():
+    assert share_right(html.labelled(200, seed=11)) > 0.99 and share_right(PAGES) > 0.97
+
+
+def test_words_and_link_density_decide():
+    """All of them stand in nodes of the tree; without them it is far worse, without names it still works on pages without such names."""
+    used, todo = set(), [html.train()]
+    while todo:
+        node = todo.pop()
+        if node.at >= 0:
+            used.add(html.FEATURES[node.at])
+            todo += [node.low, node.high]
+    assert {"words", "links", "words_before", "links_before", "words_after", "links_after"} <= used
+    rows, labels = html.table_rows(html.labelled(100, seed=12))
+    plain = (rows[:, html.FEATURES.index("name")] == 0) & (rows[:, html.FEATURES.index("frame")] == 0) & (rows[:, html.FEATURES.index("article")] == 0)
+    right = lambda x: np.mean([html.train().predict(r) == (label > 0.5) for r, label in zip(x[plain], labels[plain])])
+    blind = rows.copy()
+    blind[:, :6] = np.median(rows[:, :6], axis=0)
+    assert right(rows) > 0.98 and right(blind) < 0.9
+
+
+def test_features_against_brute_force():
+    page = '<nav><a href=/>Home page</a> now</nav><div class="ad">Buy.</div><article><h1>Big <a href=/x>news</a></h1><ul><li>One two three</li></ul></article>'
+    rows = [dict(zip(html.FEATURES, r)) for r in html.feature_rows(html.blocks_of(page))]
+    texts, links = ["Home page now", "Buy.", "Big news", "One two three"], [2 / 3, 0, 1 / 2, 0]
+    for i, r in enumerate(rows):
+        at = lambda x, k: x[k] if 0 <= k < len(x) else 0
+        assert [r["words"], r["words_before"], r["words_after"]] == [len(at(texts, k).split()) if at(texts, k) else 0 for k in (i, i - 1, i + 1)]
+        assert [r["links"], r["links_before"], r["links_after"]] == pytest.approx([at(links, k) for k in (i, i - 1, i + 1)])
+    assert [r["frame"] for r in rows] == [1, 0, 0, 0] and [r["name"] for r in rows] == [0, 2, 0, 0] and [r["article"] for r in rows] == [0, 0, 1, 1]
+    assert [r["heading"] for r in rows] == [0, 0, 1, 0] and [r["item"] for r in rows] == [0, 0, 0, 1] and [r["sentence"] for r in rows] == [0, 1, 0, 0]
+
+
+def test_names_inside_prose_do_not_drop_it():
+    long = "The council met on Tuesday and agreed to wait for the report on the quay before it decides."
+    for name in ("more", "legal-history", "related", "form", "read-more story", "ad-hoc"):
+        page = f'<div><h1>Town news</h1><p>Rain fell.</p><p class="{name}">{long}</p><p>{long}</p></div><div><a href=/1>One</a> <a href=/2>Two</a></div>'
+        assert html.main_text(page, html.train())[0] == f"Town news\nRain fell.\n{long}\n{long}", name
+    wrapped = f"<form id=page><nav><a href=/>Home</a></nav><article><h1>Town</h1><p>{long}</p><form><p>{long}</p></form></article></form>"
+    assert html.main_text(wrapped, html.train())[0] == f"Town\n{long}"
+
+
+@pytest.mark.parametrize("unit", ["<a", '<a "', "<a '", "<!", "<a <", "<p", "<p>", "&", "<!--", "</"])
+def test_tokens_take_time_linear_in_the_page(unit):
+    import time
+
+    began = time.process_time()
+    html.main_text(unit * (1_000_000 // len(unit)), html.train())
+    assert time.process_time() - began < 10
+
+
 def test_pages_of_a_table(spark, data):
     import re
     from html import unescape
