@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -11,6 +12,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans import materialise
+
 #: Fixed by the task's contract: the kinds in order.
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, made linear in the text: a repeat that nothing can follow does not give
@@ -23,20 +26,43 @@ BASE = {
 }
 #: What a text must hold for a pattern to be worth a try.
 _HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-#: High-recall generators of further spans.
-PROPOSED = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|[\[({<]\x20?at\x20?[\])}>]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|[\[({<]\x20?dot\x20?[\])}>]|\x20dot\x20)\x20?[A-Za-z0-9-]{2,24}+){1,4}",
-    "ip": r"(?<![0-9A-Za-z:.\[\]])(?:(?:[0-9A-Fa-f]{1,4}::?){3,7}[0-9A-Fa-f]{1,4}|[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|\.)\x20?[0-9]{1,3}){3})(?![0-9A-Za-z:])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20./_-]{0,2}[0-9]){12,18}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\(?[0-9]|\(?00)[0-9\x20()./-]{6,18}[0-9](?![0-9A-Za-z])",
+#: What the method proposes beside them: the contract's kinds, and secrets.
+FOUND = (*KINDS, "secret")
+#: High-recall generators of further spans, one or more for a kind; those of different patterns may overlap.
+PROPOSED: tuple[tuple[str, str, str], ...] = (
+    (
+        "email",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|[\[({<]\x20?at\x20?[\])}>])\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|[\[({<]\x20?dot\x20?[\])}>]|\x20dot\x20)\x20?[A-Za-z0-9-]{2,24}+){1,4}",
+        r"@|[\[({<]\x20?at\x20?[\])}>]",
+    ),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20at\x20[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]{2,24}+){1,4}", r"\x20at\x20[A-Za-z0-9-]{1,63}+(?:\x20dot\x20|\.[a-z])"),
+    ("ip", r"(?<![0-9A-Za-z:.\[\]])(?:(?:[0-9A-Fa-f]{1,4}::?){3,7}[0-9A-Fa-f]{1,4}|[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|\.)\x20?[0-9]{1,3}){3})(?![0-9A-Za-z:])", r"[0-9A-Fa-f]:[0-9A-Fa-f:]|[0-9]\x20?[\[(]?\.[\])]?\x20?[0-9]"),
+    ("card", r"(?<![0-9A-Za-z])[0-9](?:[\x20./_-]{0,2}[0-9]){12,18}(?![0-9A-Za-z])", r"[0-9](?:[\x20./_-]{0,2}[0-9]){12}"),
+    ("phone", r"(?<![0-9A-Za-z+])(?:\(?[0-9]|\(?00)[0-9\x20()./-]{6,18}[0-9](?![0-9A-Za-z])", r"[0-9][0-9\x20()./-]{6}"),
+    ("phone", r"(?<![0-9A-Za-z+])(?:[01][-.\x20])?(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[-./\x20])[0-9]{3,4}[-.\x20][0-9]{3,4}(?![0-9A-Za-z]|[-.][0-9])", r"[0-9]\)?[-./\x20]?[0-9]{3,4}[-.\x20][0-9]{3}"),
+    (
+        "secret",
+        r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{16})[A-Za-z+/_-]{0,64}+[0-9][A-Za-z0-9+/_-]{0,255}+={0,2}",
+        r"[0-9][A-Za-z0-9+/_-]{7}|(?<![A-Za-z0-9+/_-])[A-Za-z+/_-]{8,64}+[0-9]",
+    ),
+)
+#: Words that speak for a kind in the characters before a span, and words that speak against any. They are features, no filters.
+_FOR = {
+    "email": r"mail|contact|write|reach",
+    "ip": r"\bip\b|address|host|server|client|login|ping",
+    "card": r"card|visa|master|amex|credit|payment|cc\b",
+    "phone": r"phone|tel\b|call|mobile|cell|fax|dial|whatsapp|\bsms\b|number is|\bring\b|reception",
+    "secret": r"token|secret|passw|\bkey\b|api.?key|bearer|credential|auth",
 }
-_PROPOSED_HINTS = {"email": r"@|[\[({<\x20]at[\])}>\x20].{1,70}dot", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f:]|[0-9]\x20?[\[(]?\.[\])]?\x20?[0-9]", "card": r"[0-9](?:[\x20./_-]{0,2}[0-9]){12}", "phone": r"[0-9][0-9\x20()./-]{6}"}
-#: Words that speak for a kind in the characters before a span, and words that speak against any.
-_FOR = {"email": r"mail|contact|write|reach", "ip": r"\bip\b|address|host|server|client|login", "card": r"card|visa|master|amex|credit|payment|cc\b", "phone": r"phone|tel\b|call|mobile|cell|fax|dial|whatsapp|\bsms\b"}
-_AGAINST = r"order|invoice|token|version|isbn|serial|\bid\b|\bno\b|number of|page|score|build|release|hash|section|price|total|\bat$|#\s*$|[$€£]\s*$"
+_AGAINST = r"order|invoice|version|isbn|serial|\bid\b|\bno\b|number of|page|score|build|release|hash|commit|section|price|total|digest|checksum|#\s*$|[$€£]\s*$"
+_UNIT = r"^\s?(?:%|€|\$|km\b|kg\b|items|pages|points|units|votes|people|times)"
+_TLD = r"(?i)(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|eu)$"
 _CONTEXT, _CHUNK = 32, 256
 _SPAN = "array<struct<start:int,kind:int,end:int,text:string>>"
-FEATURES = ("kind", "length", "digits", "groups", "longest", "separators", "brackets", "dots", "cue", "against", "luhn", "distinct", "glued")
+FEATURES = (
+    *("kind", "length", "digits", "letters", "groups", "longest", "shortest", "separators", "spaces", "brackets", "dots", "colons", "largest", "first", "last", "zero_first", "bracket_first"),
+    *("cue", "against", "unit", "luhn", "distinct", "glued", "tld", "capitals"),
+)
 
 
 def luhn(digits: Column) -> Column:
@@ -100,103 +126,119 @@ def base_spans(text: Column) -> list[Column]:
 
 def proposed_spans(text: Column) -> Column:
     """Spans of the generators; they may overlap."""
-    return F.concat(*[_spans(text, i, PROPOSED[k], _PROPOSED_HINTS[k], lambda s: F.lit(True)) for i, k in enumerate(KINDS)])
+    return F.concat(*[_spans(text, FOUND.index(k), pattern, hint, lambda s: F.lit(True)) for k, pattern, hint in PROPOSED])
 
 
-def span_features(kind: Column, span: Column, left: Column) -> list[Column]:
-    """FEATURES of a span: its format, and what the text before it says."""
+def span_features(kind: Column, span: Column, left: Column, right: Column) -> list[Column]:
+    """FEATURES of a span: its format, and what the text around it says."""
     digits, lower = _digits(span), F.lower(left)
     groups = F.filter(F.split(span, "[^0-9A-Za-z]+"), lambda g: g != "")
-    cue = reduce(lambda other, i: F.when(kind == i, F.regexp_like(lower, F.lit(_FOR[KINDS[i]]))).otherwise(other), range(len(KINDS)), F.lit(False))
+    sizes = F.transform(groups, F.length)
+    cue = reduce(lambda other, i: F.when(kind == i, F.regexp_like(lower, F.lit(_FOR[FOUND[i]]))).otherwise(other), range(len(FOUND)), F.lit(False))
+    only = lambda chars: F.length(F.regexp_replace(span, f"[^{chars}]", ""))
     found = [
         kind,
         F.length(span),
         F.length(digits),
+        only("A-Za-z"),
         F.size(groups),
-        F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)),
+        F.coalesce(F.array_max(sizes), F.lit(0)),
+        F.coalesce(F.array_min(sizes), F.lit(0)),
         F.length(F.regexp_replace(span, "[0-9A-Za-z]", "")),
-        F.length(F.regexp_replace(span, r"[^()\[\]{}<>]", "")),
-        F.length(F.regexp_replace(span, "[^.:]", "")),
-        cue.cast("int"),
-        F.regexp_like(lower, F.lit(_AGAINST)).cast("int"),
-        F.when(F.length(digits) > 0, luhn(digits)).otherwise(False).cast("int"),
+        only(r"\x20"),
+        only(r"()\[\]{}<>"),
+        only("."),
+        only(":"),
+        F.coalesce(F.array_max(F.transform(groups, lambda g: F.substring(g, 1, 6).try_cast("int"))), F.lit(-1)),
+        F.length(F.get(groups, F.lit(0))),
+        F.length(F.get(groups, F.size(groups) - 1)),
+        F.startswith(digits, F.lit("0")),
+        F.startswith(span, F.lit("(")),
+        cue,
+        F.regexp_like(lower, F.lit(_AGAINST)),
+        F.regexp_like(right, F.lit(_UNIT)),
+        F.when(F.length(digits).between(8, 24), luhn(digits)).otherwise(False),
         F.size(F.array_distinct(F.split(digits, ""))),
-        F.regexp_like(left, F.lit(r"[^\s(:;,>\"']$")).cast("int"),
+        F.regexp_like(left, F.lit(r"[^\s(:;,>\"'=]$")),
+        F.regexp_like(span, F.lit(_TLD)),
+        only("A-Z"),
     ]
-    return [c.cast("double") for c in found]
-
-
-#: Labelled table: kind, whether it is personal data, text before, and the span's format (# is a digit, ? a letter).
-LABELLED: tuple[tuple[str, bool, str, str], ...] = (
-    ("phone", True, "please call me at ", "(###) ###-####"),
-    ("phone", True, "my phone is ", "###-###-####"),
-    ("phone", True, "tel: ", "#### ######"),
-    ("phone", True, "tel ", "0### / ### ## ##"),
-    ("phone", True, "mobile ", "### ### ####"),
-    ("phone", True, "fax ", "(0##) ####-####"),
-    ("phone", True, "dial ", "00## ### #######"),
-    ("phone", True, "cell: ", "###.###.####"),
-    ("phone", False, "the year ", "19##-20## 10"),
-    ("phone", False, "on the day ", "20##-0#-1# 1#"),
-    ("phone", False, "order ", "##########"),
-    ("phone", False, "order no ", "###-###-####"),
-    ("phone", False, "and then the ", "################"),
-    ("phone", False, "of the house ", "### ### ###"),
-    ("phone", False, "page ", "###-### ##"),
-    ("phone", False, "a price of $", "# ### ### ###"),
-    ("phone", False, "serial ", "(###) ###-####"),
-    ("phone", False, "she said ", "###########"),
-    ("phone", False, "invoice ", "#### ######"),
-    ("phone", False, "was seen in the ", "####-####-####-####"),
-    ("card", True, "card number ", "####.####.####.####"),
-    ("card", True, "my visa is ", "#### #### #### ####"),
-    ("card", True, "credit card ", "################"),
-    ("card", True, "paid by amex ", "#### ###### #####"),
-    ("card", True, "payment with ", "####/####/####/####"),
-    ("card", False, "the number ", "################"),
-    ("card", False, "of and the ", "################"),
-    ("card", False, "order ", "#### #### #### ####"),
-    ("card", False, "isbn ", "978-#-##-######-#"),
-    ("card", False, "token ", "################"),
-    ("card", False, "at the time ", "20## 0# 1# ## ## ##"),
-    ("card", False, "hash ", "###################"),
-    ("card", False, "in the list ", "### ### ### ### ###"),
-    ("card", False, "the price was ", "###.###.###.###.##"),
-    ("ip", True, "ip address ", "2001:db8:##:#:#:#"),
-    ("ip", True, "login from ", "fe80:#:#:##:####:####"),
-    ("ip", True, "the host ", "1##[.]1##[.]#[.]##"),
-    ("ip", True, "server ", "1#(.)##(.)#(.)##"),
-    ("ip", True, "client ip ", "10.#. #. ##"),
-    ("ip", False, "version ", "#. #. #. ##"),
-    ("ip", False, "at ", "1#:##:##:##"),
-    ("ip", False, "release ", "#. #.##.##"),
-    ("ip", False, "section ", "#[.]#[.]#[.]#"),
-    ("ip", False, "a ratio of ", "#:#:#:#"),
-    ("ip", False, "the score was ", "##:##:##:##:##"),
-    ("ip", False, "and so the ", "#. #. #. #"),
-    ("email", True, "mail me: ", "????.????? (at) ?????? (dot) com"),
-    ("email", True, "contact ", "?????[at]?????[dot]org"),
-    ("email", True, "write to ", "???? at ?????? dot net"),
-    ("email", True, "e-mail ", "??????(at)????.com"),
-    ("email", True, "reach me under ", "???? @ ?????? . com"),
-    ("email", True, "of the ", "?????[at]?????[dot]com"),
-    ("email", False, "we looked ", "???? at ???? . ?????"),
-    ("email", False, "then the ", "??? at ?????? dot ????"),
-    ("email", False, "in the end ", "???? at ??? . ???"),
-    ("email", False, "costs ", "??? @ ##.##"),
-)
-
+    return [F.coalesce(c.cast("double"), F.lit(0.0)) for c in found]
+
+
+#: Formats of the labelled table (# is a digit, ~ one that completes a Luhn number, ? a small letter, ! a capital, % any hexadecimal digit): the first
+#: ones are personal data unless the context speaks against it, the second ones only if it speaks for it, the last ones never.
+FORMS: dict[str, tuple[tuple[str, ...], ...]] = {
+    "phone": (
+        ("(###) ###-####", "###-###-####", "(###)###-####", "(0##) ####-####", "(###) ### ####", "0##-###-####", "1-###-###-####", "00## ### #######", "1 (###) ###-####", "0### / ### ## ##", "(0###) ######", "(0##) ### ####", "0## / ### ## ##", "00## ## #######", "0#### / ######"),
+        ("#### ######", "### ### ####", "##### ######", "###.###.####", "0## #### ####", "###.### ####", "##########", "0#### ######", "0#########", "0## ### ## ##", "###-####", "0# ## ## ## ##", "00###########"),
+        ("19##-20## 10", "20##-0#-1# 1#", "20##-20## 1#", "####-####-####-####", "#### #### #### ####", "####.####.####.####", "################", "#################", "###############", "20## (###) ###-####", "## (###) ###-####", "19## (###) ###-####")
+        + ("## ###-###-####", "20## ###-###-####", "#### ###-###-####", "# ### ### ###", "### ### ### ###", "## ### ### ###", "1. 2. 3. 4", "20##/0#/1# 20##", "20##/1#/0# 10##"),
+    ),
+    "card": (
+        ("####.####.####.###~", "####/####/####/###~", "####.####.####.###~", "#### - #### - #### - ###~", "####_####_####_###~", "####/####/####/###~", "3###.######.####~"),
+        ("####.####.####.####", "################", "#### #### #### ####", "#### ###### #####", "####-####-####-####", "###############", "####/####/####/####"),
+        ("978-#-##-######-#", "20## 0# 1# ## ## ##", "### ### ### ### ###", "979-##-##-#####-#", "19## 1# 0# ## ## ##", "20##-0#-1# ##-##-##", "###.###.###.###.##", "##################", "###.###.###.###.###", "#.#.#.#.#.#.#.#.#.#.#.#.#", "#.#.##.#.#.#.#.#.#.#.#.#.#"),
+    ),
+    "ip": (
+        ("2001:db8:%%:#:#:#", "1##[.]1##[.]#[.]##", "fe80:#:#:%%:%%%%:%%%%", "1#(.)##(.)#(.)##", "2a0#:%%%%:%%::%", "1##[.]##[.]1##[.]1##", "fe80::#:%%:%%%%:%%%%"),
+        ("10.#. #. ##", "1## . ## . # . ##", "%%%%:%%%%:%%%%:%%%%"),
+        ("#. #. #. ##", "1#:##:##:##", "#. #. #. #", "#. #.##.##", "##:##:##:##:##", "#:##:##:##", "#[.]#[.]#[.]#", "#:#:#:#", "1#:##:##:##:##", "#(.)#(.)#(.)#", "#:#:#:#:#", "##:##:##:##"),
+    ),
+    "email": (
+        ("????.????? (at) ?????? (dot) com", "?????[at]?????[dot]org", "??????(at)????.com", "????.?? [at] ?????? [dot] net", "????## (at) ????.de", "????@????? . com", "???? @ ??????.org", "?????{at}????{dot}co", "????_?? at ?????? dot com", "???? at ??????.com"),
+        ("???? at ?????? dot net", "???? @ ?????? . com", "???? at ??????.???"),
+        ("???? at ????.?????", "??? at ?????? dot ????", "???? at ???.???????", "??? @ ##.##", "?? at ###.##", "?? at ##.##", "???? @ ???. ???", "??? at ?? dot ???????"),
+    ),
+    "secret": (
+        ("%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%", "%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%", "AKIA!#!!#!!#!#!!!#!!", "ghp_?#?!??#!?#??!?#!??#?!?#??!?#??!?#!", "sk-?#??#?!??#?#!?#??#?!??#?#!?", "eyJ?#?!??!#?#!?#??!?#!??#?!?#??!?#?!#!", "xoxb-############-?#?!??#!?#??!?#!"),
+        ("%%%%%%%%-%%%%-%%%%-%%%%-%%%%%%%%%%%%", "?#?#?#??#?#?#?#??#", "%%%%%%%%%%%%%%%%", "?????-?????-##?#??-????#"),
+        ("????????????-20##", "20##-##-##-????-????", "/????/??????/???##", "?????????_???????_#", "????????????????##", "################", "######################", "????????/????????/####", "+++++++++++++++##", "=======####======="),
+    ),
+}
+#: Contexts of the labelled table: what stands before a span and behind it.
+_SPEAKS_FOR: dict[str, tuple[tuple[str, str], ...]] = {
+    "phone": (("please call me at ", " tomorrow"), ("my phone is ", "."), ("tel: ", ""), ("mobile ", ", thanks"), ("fax ", "."), ("my number is ", ""), ("whatsapp ", " any time"), ("you can dial ", "")),
+    "card": (("card number ", " exp"), ("my visa is ", "."), ("credit card ", ""), ("paid by amex ", " on"), ("payment with ", " went"), ("charge my card: ", "")),
+    "ip": (("ip address ", " was"), ("login from ", "."), ("the host ", " is down"), ("server ", ""), ("client ip ", ", port"), ("ping ", "")),
+    "email": (("mail me: ", ""), ("contact ", " for"), ("write to ", "."), ("e-mail ", ""), ("reach me under ", " please"), ("my mail is ", "")),
+    "secret": (('token = "', '"'), ("api_key=", ""), ("password: ", " "), ("secret ", "."), ("Authorization: Bearer ", ""), ("the access key ", " works")),
+}
+_NEUTRAL = (("and then the ", " was"), ("", ""), ("of the house ", " in"), ("she said ", "."), ("in the end ", ", and"), ("that is ", " for details"), ("we have ", " here"), ("they took ", " with them"), ("and so ", " it is"), ("der Text ", " und"), ("see ", ""), ("is hers. ", " is his"))
+_SPEAKS_AGAINST = (("order no ", " was"), ("invoice ", "."), ("serial ", ""), ("isbn ", ""), ("version ", " is"), ("a price of $", " a year"), ("page ", ""), ("the build ", " failed"), ("commit ", " adds"), ("total ", " items"), ("score ", " points"), ("section ", ""))
 
-def _training_rows(spark: SparkSession, per_row: int) -> DataFrame:
-    """``per_row`` spans of every row of LABELLED, their digits and letters drawn by a hash."""
-    rows = spark.createDataFrame([(i, KINDS.index(k), int(y), left, form) for i, (k, y, left, form) in enumerate(LABELLED)], "row int, kind int, label int, left string, form string").coalesce(1)
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(per_row - 1))))
 
-    def fill(c: Column, i: Column) -> Column:
-        h = F.pmod(F.xxhash64("row", "draw", i), F.lit(260))
-        return F.when(c == "#", (h % 10).cast("string")).when(c == "?", F.char(97 + h % 26)).otherwise(c)
+def _labelled(draws: int, seed: int = 5) -> list[tuple[int, int, int, str, str, str]]:
+    """(part, kind, label, span, left, right): every form in every context, ``draws`` times.
 
-    return drawn.select("draw", "kind", "label", "left", F.array_join(F.transform(F.split("form", ""), fill), "").alias("span"))
+    Part 0 teaches; of part 1 either the form or the context is in no row of part 0.
+    """
+    rng, rows = random.Random(seed), []
+    letters, capitals, hexes = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+
+    def fill(form: str) -> str:
+        out = "".join(str(rng.randrange(10)) if c in "#~" else rng.choice({"?": letters, "!": capitals, "%": hexes}[c]) if c in "?!%" else c for c in form)
+        if "~" not in form:
+            return out
+        at = form.index("~")
+        digits = [int(c) for c in out if c.isdigit()]
+        total = sum(2 * d - 9 * (d > 4) if i % 2 == 0 else d for i, d in enumerate(reversed(digits[:-1])))
+        return f"{out[:at]}{-total % 10}{out[at + 1 :]}"
+
+    for kind, groups in FORMS.items():
+        contexts = [(1, x) for x in _SPEAKS_FOR[kind]] + [(0, x) for x in _NEUTRAL] + [(-1, x) for x in _SPEAKS_AGAINST]
+        for evidence, forms in zip((2, 1, 0), groups, strict=True):
+            for i, form in enumerate(forms):
+                for j, (says, (left, right)) in enumerate(contexts):
+                    label = int((evidence == 2 and says >= 0) or (evidence == 1 and says > 0))
+                    part = int(i % 3 == 2 or j % 3 == 2)
+                    rows += [(part, FOUND.index(kind), label, fill(form), left, right) for _ in range(draws)]
+    return rows
+
+
+def training_rows(spark: SparkSession, draws: int) -> DataFrame:
+    """The labelled table (see ``_labelled``) as rows."""
+    return spark.createDataFrame(_labelled(draws), "part int, kind int, label int, span string, left string, right string").coalesce(1)
 
 
 def _tree_column(debug: str, features: list[Column]) -> Column:
@@ -229,24 +271,24 @@ class Model:
 _MODELS: dict[tuple[str, int, float], Model] = {}
 
 
-def train(spark: SparkSession, per_row: int = 40, precision: float = 0.99) -> Model:
-    """Boosted trees on half of the labelled spans; thresholds are calibrated on the other half.
+def train(spark: SparkSession, draws: int = 2, precision: float = 0.95) -> Model:
+    """Boosted trees on the labelled table's part 0; thresholds are calibrated on its part 1.
 
     A kind's threshold is the least probability from which on at least ``precision`` of
-    the other half's spans are personal data. The table has len(LABELLED) * per_row rows.
+    the spans of part 1, whose forms or contexts the trees have not seen, are personal data.
     """
-    key = (spark.sparkContext.applicationId, per_row, precision)
+    key = (spark.sparkContext.applicationId, draws, precision)
     if key not in _MODELS:
-        rows = _training_rows(spark, per_row)
-        spans = rows.select("draw", "kind", "label", *[c.alias(n) for n, c in zip([f"f{i}" for i in range(len(FEATURES))], span_features(F.col("kind"), F.col("span"), F.col("left")), strict=True)])
         names = [f"f{i}" for i in range(len(FEATURES))]
-        taught = VectorAssembler(inputCols=names, outputCol="features").transform(spans.where("draw % 2 = 0"))
-        fitted = GBTClassifier(featuresCol="features", labelCol="label", maxIter=12, maxDepth=3, stepSize=0.3, seed=7).fit(taught)
+        spans = training_rows(spark, draws).select("part", "kind", "label", *[c.alias(n) for n, c in zip(names, span_features(*[F.col(n) for n in ("kind", "span", "left", "right")]), strict=True)])
+        spans = materialise(spans, "labelled")
+        taught = VectorAssembler(inputCols=names, outputCol="features").transform(spans.where("part = 0"))
+        fitted = GBTClassifier(featuresCol="features", labelCol="label", maxIter=12, maxDepth=5, stepSize=0.3, seed=7).fit(taught)
         model = Model(tuple((float(w), t.toDebugString) for w, t in zip(fitted.treeWeights, fitted.trees, strict=True)), ())
-        scored = spans.where("draw % 2 = 1").select("kind", "label", F.round(model.probability([F.col(n) for n in names]), 3).alias("p"))
+        scored = spans.where("part = 1").select("kind", "label", F.round(model.probability([F.col(n) for n in names]), 3).alias("p"))
         counts = scored.groupBy("kind", "p").agg(F.count("*").alias("n"), F.sum("label").alias("good")).orderBy("kind", F.col("p").desc()).collect()  # of the labelled table
         least = []
-        for i in range(len(KINDS)):
+        for i in range(len(FOUND)):
             n = good = 0
             best = 1.0
             for r in counts:
@@ -259,42 +301,57 @@ def train(spark: SparkSession, per_row: int = 40, precision: float = 0.99) -> Mo
 
 
 def find_personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """All columns of ``docs`` and a struct ``pii``: base (array for each kind), spans and redacted.
-
-    ``spans`` has every base span and those proposed spans that do not touch one and
-    whose calibrated probability is high enough, sorted by start, kind, end; start
-    and end count code points, end exclusive. ``redacted`` is the text with each stretch
-    of spans replaced by its first kind in brackets. A null text counts as empty.
-    All of it is expressions on the one row: no shuffle, no explode, no Python.
+    """All columns of ``docs`` and a struct ``pii``: base (array for each kind), spans, secrets and redacted.
+
+    ``spans`` has every base span and those proposed spans of the four kinds that do not
+    touch one and whose calibrated probability is high enough, sorted by start, kind,
+    end; ``secrets`` has those of keys and tokens. Of accepted spans that overlap, the most
+    probable stays (then the longest, then the first). Start and end count code points, end exclusive. ``redacted`` is
+    the text with each stretch of spans replaced by its first kind in brackets. A null text counts as empty.
+    All of it is expressions on the one row: no shuffle, no explode, no Python. A span's features are
+    computed once, as an array that the trees read.
     """
     model = model or train(docs.sparkSession)
     text = F.coalesce(F.col("__text"), F.lit(""))
     rows = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__text"))
-    rows = rows.select("__row", "__text", *[c.alias(f"__{k}") for k, c in zip(KINDS, base_spans(text), strict=True)], proposed_spans(text).alias("__more"))
-    base = F.concat(*[F.col(f"__{k}") for k in KINDS])
-
-    def chosen(span: Column) -> Column:
-        left = F.substring(text, F.greatest(span["start"] - _CONTEXT + 1, F.lit(1)), F.least(span["start"], F.lit(_CONTEXT)))
-        free = ~F.exists("__base", lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-        least = F.element_at(F.array(*[F.lit(x) for x in model.least]), span["kind"] + 1)
-        return free & (model.probability(span_features(span["kind"], span["text"], left)) >= least)
-
-    rows = rows.withColumn("__base", base)
-    rows = rows.withColumn("__added", F.when(F.size("__more") > 0, F.filter("__more", chosen)).otherwise(F.col("__more")))
-    spans = F.transform(F.array_sort(F.concat("__base", "__added")), lambda s: F.struct(s["start"], s["kind"], s["end"]))
-    names = F.array(*[F.lit(k) for k in KINDS])
+    rows = rows.select("__row", "__text", *[c.alias(f"__{k}") for k, c in zip(KINDS, base_spans(text), strict=True)], F.array_distinct(proposed_spans(text)).alias("__more"))
+    rows = rows.withColumn("__base", F.concat(*[F.col(f"__{k}") for k in KINDS]))
+    least = F.array(*[F.lit(x) for x in model.least])
+
+    def described(s: Column) -> Column:
+        left = F.substring(text, F.greatest(s["start"] - _CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(_CONTEXT)))
+        right = F.substring(text, s["end"] + 1, F.lit(16))
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.array(*span_features(s["kind"], s["text"], left, right)).alias("f"))
+
+    def scored(s: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), model.probability([s["f"][i] for i in range(len(FEATURES))]).alias("p"))
+
+    def crosses(a: Column, b: Column) -> Column:
+        return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+    rank = lambda s: F.struct(s["p"], s["end"] - s["start"], -s["start"], -s["kind"])
+    likely = F.filter(F.transform(F.transform("__more", described), scored), lambda s: s["p"] >= F.element_at(least, s["kind"] + 1))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,p:double>>")
+    rows = rows.withColumn("__likely", F.when(F.size("__more") > 0, likely).otherwise(none))
+    rows = rows.withColumn("__likely", F.filter("__likely", lambda s: ~F.exists("__base", lambda b: crosses(s, b))))
+    rows = rows.withColumn("__added", F.filter("__likely", lambda s: ~F.exists("__likely", lambda o: crosses(s, o) & (rank(o) > rank(s)))))
+    place = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
+    everything = F.array_sort(F.concat(F.transform("__base", place), F.transform("__added", place)))
+    spans, secrets = F.filter(everything, lambda s: s["kind"] < len(KINDS)), F.filter(everything, lambda s: s["kind"] == len(KINDS))
+    names = F.array(*[F.lit(k) for k in FOUND])
 
     def hide(acc: Column, s: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]"))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
 
-    hidden = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), hide)
+    hidden = F.aggregate(everything, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), hide)
     redacted = F.concat(hidden["out"], F.substring(text, hidden["at"] + 1, F.length(text)))
-    return rows.select("__row.*", F.struct(*[F.col(f"__{k}").alias(k) for k in KINDS], spans.alias("spans"), redacted.alias("redacted")).alias("pii"))
+    added = F.size(F.filter("__added", lambda s: s["kind"] < len(KINDS))).cast("bigint")
+    return rows.select("__row.*", F.struct(*[F.col(f"__{k}").alias(k) for k in KINDS], spans.alias("spans"), secrets.alias("secrets"), added.alias("n_added"), redacted.alias("redacted")).alias("pii"))
 
 
 def span_list(spans: Column) -> Column:
     """kind:start:end of sorted spans, joined by commas."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in FOUND])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -47,7 +47,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(f"pii.{k}").cast("bigint").alias(f"n_{k}") for k in KINDS]
     base = F.array_sort(F.concat(*[F.transform(f"pii.{k}", lambda s: F.struct(s["start"], s["kind"], s["end"])) for k in KINDS]))
-    return found.select("doc_id", *counts, F.sha2(F.encode(span_list(base), "UTF-8"), 256).alias("base_sha256"), span_list(F.col("pii.spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.encode(span_list(base), "UTF-8"), 256).alias("base_sha256"), span_list(F.col("pii.spans")).alias("spans"), "pii.n_added", span_list(F.col("pii.secrets")).alias("secrets"), (F.size("pii.spans") + F.size("pii.secrets")).cast("bigint").alias("n_spans"))
 
 
 def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
