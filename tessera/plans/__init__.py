@@ -2,6 +2,6 @@
 
 from tessera.plans.components import connected_components
 from tessera.plans.prefix import running_total
-from tessera.plans.workspace import materialise, settled, small_batches
+from tessera.plans.workspace import materialise, settled, small_batches, sorted_run
 
-__all__ = ["connected_components", "materialise", "running_total", "settled", "small_batches"]
+__all__ = ["connected_components", "materialise", "running_total", "settled", "small_batches", "sorted_run"]

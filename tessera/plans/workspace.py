@@ -10,12 +10,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: set[tuple[str, str]] = set()
+#: Names in the catalog of the runs among them, by path.
+_TABLES: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, a temporary one on a local master only.
+
+    Elsewhere every executor would write to a disk of its own, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -45,6 +52,20 @@ def materialise(df: DataFrame, name: str = "table", partition_by: tuple[str, ...
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sorted_run(df: DataFrame, keys: tuple[str, ...], name: str = "run") -> DataFrame:
+    """Write ``df`` once, in as many buckets of ``keys`` as the session shuffles to, each sorted by them.
+
+    Tables so written meet on ``keys`` bucket by bucket, without a shuffle. A frame that comes out of
+    an aggregate by ``keys`` is not shuffled again either. The table's files lie in the shared folder.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    table = f"tessera_{uuid.uuid4().hex}"
+    first, *rest = keys
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), first, *rest).sortBy(first, *rest).option("path", path).saveAsTable(table)
+    _TABLES[path] = table
+    return spark.table(table)
+
+
 def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str = "table") -> DataFrame:
     """``materialise`` what ``build`` returns, then drop the intermediate tables that it wrote on the way."""
     before = set(_WRITTEN)
@@ -59,6 +80,8 @@ def _drop(spark: SparkSession, tables: set[tuple[str, str]]) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for app, path in tables:
         if app == spark.sparkContext.applicationId:
+            if path in _TABLES:
+                spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(path)}")
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
         _WRITTEN.discard((app, path))
