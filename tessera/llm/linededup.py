@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans import materialise
+from tessera.plans import materialise, sorted_run
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed by the task's contract: what is stripped from both ends of a line.
@@ -18,74 +18,77 @@ def lines_of(text: Column) -> Column:
 
 
 def line_hashes(text: Column, min_chars: int = 1) -> Column:
-    """For each line the hash of its key; null where the key is shorter than ``min_chars``."""
+    """For each line 128 bits of its key, as a struct of two hashes; null where the key is shorter than ``min_chars``."""
     keys = lines_of(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER))
 
     def hashed(line: Column) -> Column:
         key = F.btrim(line, F.lit(_BLANK))
-        return F.when(F.length(key) >= min_chars, F.xxhash64(key))
+        return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("line_hash"), F.xxhash64(F.lit(1), key).alias("line_check")))
 
     return F.transform(keys, hashed)
 
 
+_KEY = ("line_hash", "line_check")
+
+
 class LineRuns:
-    """Levelled runs of (line_hash, n_docs), each sorted by hash.
+    """Levelled runs of (line_hash, line_check, n_docs), bucketed by the hash and sorted in each bucket.
 
-    ``add`` writes a batch's counts as a run of level 0; when ``fanout`` runs stand
-    on a level they are merged into one of the next, so a hash is rewritten
-    about log_fanout(batches) times. A run is written in hash ranges, each sorted:
-    later merges and anti-joins read it in that order. Batches must not
-    share documents.
+    A new batch's counts are anti-joined with the runs: lines that a run holds in
+    ``enough`` documents already need no more counting. What is left becomes a run of
+    level 0. Two runs of a level are merged into one of the next, so a line is rewritten
+    about log2(batches) times. Anti-join and merge are sort-merge joins of tables that are
+    bucketed alike, so neither shuffles. Batches must not share documents.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 4) -> None:
-        self.spark, self.fanout = spark, fanout
-        self.levels: list[list[DataFrame]] = []
+    def __init__(self, spark: SparkSession, enough: int) -> None:
+        self.spark, self.enough = spark, enough
+        self.levels: list[DataFrame | None] = []
 
-    def _write(self, counts: DataFrame) -> DataFrame:
-        return materialise(counts.sortWithinPartitions("line_hash"), "run")
+    def runs(self) -> list[DataFrame]:
+        return [run for run in self.levels if run is not None]
+
+    def new_lines(self, lines: DataFrame) -> DataFrame:
+        """The rows of ``lines`` (with the key's columns) that no run holds in ``enough`` documents yet."""
+        for run in self.runs():
+            lines = lines.join(run.where(F.col("n_docs") >= self.enough).select(*_KEY).hint("merge"), list(_KEY), "left_anti")
+        return lines
 
     def add(self, lines: DataFrame) -> None:
-        """Add a batch's (line_hash, doc_id) rows, one for each line or fewer, as a run."""
-        once = lines.where("line_hash is not null").groupBy("line_hash", "doc_id").agg(F.lit(1).alias("one"))
-        self._push(self._write(once.groupBy("line_hash").agg(F.count("*").alias("n_docs"))), 0)
-
-    def _push(self, run: DataFrame, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fanout:
-            merged = self._write(self._merged(self.levels[level]))
-            self.levels[level] = []
-            self._push(merged, level + 1)
+        """Add a batch's (line_hash, line_check, doc_id) rows, one for each line or fewer."""
+        once = lines.where("line_hash is not null").groupBy(*_KEY, "doc_id").agg(F.lit(1).alias("one"))
+        run, level = sorted_run(self.new_lines(once.groupBy(*_KEY).agg(F.count("*").alias("n_docs"))), _KEY), 0
+        while level < len(self.levels) and self.levels[level] is not None:
+            run, self.levels[level] = self._merged(self.levels[level], run), None
+            level += 1
+        self.levels += [None] * (level + 1 - len(self.levels))
+        self.levels[level] = run
 
     @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        first, *others = runs
-        for other in others:
-            first = first.unionByName(other)
-        return first.groupBy("line_hash").agg(F.sum("n_docs").alias("n_docs"))
-
-    def at_least(self, min_docs: int) -> DataFrame:
-        """Hashes that the runs together hold in ``min_docs`` documents or more."""
-        runs = [run for level in self.levels for run in level]
+    def _merged(one: DataFrame, other: DataFrame) -> DataFrame:
+        other = other.withColumnRenamed("n_docs", "more")
+        both = one.hint("merge").join(other, list(_KEY), "full_outer")
+        return sorted_run(both.select(*_KEY, (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs")), _KEY)
+
+    def at_least(self) -> DataFrame:
+        """Keys that the runs together hold in ``enough`` documents or more; the runs become one."""
+        runs = self.runs()
         if not runs:
-            return self.spark.createDataFrame([], "line_hash bigint")
-        merged = runs[0] if len(runs) == 1 else self._merged(runs)
-        return merged.where(F.col("n_docs") >= min_docs).select("line_hash")
-
-    def new_lines(self, lines: DataFrame, min_docs: int = 1) -> DataFrame:
-        """The batch's lines that the runs do not hold in ``min_docs`` documents yet."""
-        return lines.join(self.at_least(min_docs), "line_hash", "left_anti")
+            return self.spark.createDataFrame([], "line_hash bigint, line_check bigint")
+        whole = runs[0]
+        for run in runs[1:]:
+            whole = self._merged(whole, run)
+        self.levels = [None] * (len(self.levels) - 1) + [whole]
+        return whole.where(F.col("n_docs") >= self.enough).select(*_KEY)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
     """Drop every line whose key occurs in ``min_docs`` documents or more, everywhere.
 
     Returns all columns of ``docs`` and, in ``line_dedup``, a struct of kept (the
     text that stays), n_lines and n_dropped. Documents are told apart by doc_id: rows that
-    repeat an id count once. Batches go to ``LineRuns``; then the lines are held
-    against the runs. Only hashes are exploded and shuffled; each text moves once, to meet its
+    repeat an id count once. Batches of documents go to ``LineRuns`` one after the other; then the lines are held
+    against the runs. Only hashes (128 bits a key) are exploded and shuffled; each text moves once, to meet its
     flags, and documents without a dropped line carry no flags. A line key in a
     third of all documents is counted by partial aggregates, and the join with
     the frequent keys has one row a key on its other side, so it can be split.
@@ -95,15 +98,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
     marked = packed.select(F.col("__id").alias("doc_id"), F.xxhash64("__text").alias("text_hash"), line_hashes(F.col("__text"), min_chars).alias("hashes"))
     lines = materialise(
-        marked.select("doc_id", "text_hash", F.posexplode("hashes").alias("pos", "line_hash")).where("line_hash is not null").withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")),
+        marked.select("doc_id", "text_hash", F.posexplode("hashes").alias("pos", "key")).where("key is not null").select("doc_id", "text_hash", "pos", "key.*", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")),
         "lines",
         ("batch",),
     )
-    runs = LineRuns(spark, fanout)
+    runs = LineRuns(spark, min_docs)
     for batch in range(batches):
-        runs.add(lines.where(F.col("batch") == batch).select("line_hash", "doc_id"))
-    frequent = materialise(runs.at_least(min_docs), "frequent")
-    dropped = lines.join(frequent, "line_hash", "left_semi").groupBy(F.col("doc_id").alias("__fid"), F.col("text_hash").alias("__fhash")).agg(F.array_sort(F.collect_set("pos")).alias("__drop"))
+        runs.add(lines.where(F.col("batch") == batch).select(*_KEY, "doc_id"))
+    frequent = materialise(runs.at_least(), "frequent")
+    dropped = lines.join(frequent, list(_KEY), "left_semi").groupBy(F.col("doc_id").alias("__fid"), F.col("text_hash").alias("__fhash")).agg(F.array_sort(F.collect_set("pos")).alias("__drop"))
     met = packed.withColumn("__hash", F.xxhash64("__text")).join(dropped, F.col("__id").eqNullSafe(F.col("__fid")) & (F.col("__hash") == F.col("__fhash")), "left")
     return met.select("row.*", _kept(F.col("__text"), F.col("__drop")).alias("line_dedup"))
 

@@ -136,14 +136,29 @@ def test_lines_against_brute_force(spark, awkward, awkward_rows, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
-def test_runs_compact_and_answer(spark):
-    runs = linededup.LineRuns(spark, fanout=2)
+def test_runs_compact_and_answer(spark, capsys):
+    runs, schema = linededup.LineRuns(spark, enough=3), "line_hash bigint, line_check bigint, doc_id bigint"
     for b in range(5):
-        runs.add(spark.createDataFrame([(h, b) for h in range(b, b + 3)], "line_hash bigint, doc_id bigint"))
-    assert [len(level) for level in runs.levels] == [1, 0, 1]
-    assert sorted(r[0] for r in runs.at_least(3).collect()) == [2, 3, 4]
-    fresh = runs.new_lines(spark.createDataFrame([(0, 9), (99, 9)], "line_hash bigint, doc_id bigint"))
-    assert [r.line_hash for r in fresh.collect()] == [99]
+        rows = [(h, -h, 10 * b + d) for h in range(b, b + 3) for d in range(1 + (h == 4) * 3)]
+        runs.add(spark.createDataFrame(rows + rows[:2], schema))
+    assert [level is not None for level in runs.levels] == [True, False, True]
+    fresh = runs.new_lines(spark.createDataFrame([(4, -4, 9), (4, 5, 9), (1, -1, 9), (99, -99, 9)], schema))
+    assert sorted((r.line_hash, r.line_check) for r in fresh.collect()) == [(1, -1), (4, 5), (99, -99)]
+    capsys.readouterr()
+    runs.levels[2].join(runs.levels[0].hint("merge"), ["line_hash", "line_check"], "left_anti").explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert sorted(r.line_hash for r in runs.at_least().collect()) == [2, 3, 4]
+    assert linededup.LineRuns(spark, 1).at_least().count() == 0
+
+
+def test_settled_lines_are_not_counted_again(spark):
+    """A batch adds nothing for a line that a run holds often enough; the answer stays."""
+    runs, schema = linededup.LineRuns(spark, enough=2), "line_hash bigint, line_check bigint, doc_id bigint"
+    runs.add(spark.createDataFrame([(1, 1, 1), (1, 1, 2), (2, 2, 1)], schema))
+    runs.add(spark.createDataFrame([(1, 1, 3), (2, 2, 3), (3, 3, 3)], schema))
+    assert {(r.line_hash, r.n_docs) for run in runs.runs() for r in run.collect()} == {(1, 2), (2, 2), (3, 1)}
+    assert sorted(r.line_hash for r in runs.at_least().collect()) == [1, 2]
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
