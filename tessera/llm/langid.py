@@ -11,11 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.sampling import bounded_sample
 from tessera.plans import small_batches
 
 #: Width of the hashed n-gram space, and lengths of the n-grams.
 DIMS, ORDERS = 4096, (2, 3)
 _PIECE = 1 << 20
+#: N-grams without which a text is too short to be rejected.
+_JUDGED = 16
 
 
 @lru_cache(maxsize=1)
@@ -84,7 +87,8 @@ class Model:
                 continue
             near = self.vectors(counts) @ self.centroids.T
             best = near.argmax(axis=1)
-            least = self.least[_length_bin(counts.sum(axis=1))]
+            grams = counts.sum(axis=1)
+            least = np.where(grams < _JUDGED, 0.0, self.least[_length_bin(grams)])
             for (_, found), row, k, low in zip(pairs, near, best, least, strict=True):
                 score = float(min(1.0, max(0.0, row[k])))
                 out.append((self.langs[k], score, score >= low) if found else ("und", 0.0, False))
@@ -92,7 +96,7 @@ class Model:
 
 
 def _length_bin(grams: np.ndarray) -> np.ndarray:
-    return np.minimum(31, np.log2(np.maximum(grams, 1)).astype(int))
+    return np.clip(np.log2(np.maximum(grams, 1)).astype(int), 6, 31)
 
 
 def _cluster(vectors: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -113,14 +117,14 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, clusters: int = 4, sample: int = 500, reject: float = 0.25, seed: int = 7) -> Model:
+def fit(docs: DataFrame, clusters: int = 4, sample: int = 500, quantile: float = 0.01, reject: float = 0.45, seed: int = 7) -> Model:
     """Learn from text and lang of the documents that are not held out.
 
     Document frequencies cover all of them. Centroids are fitted, per language and in a
-    task of their own, on about ``sample`` documents (the documented bound),
-    drawn by a hash at the rate sample / documents of that language. A text is rejected
-    when its best cosine is below ``reject`` times the sample's median among
-    texts of about its length: short texts lie farther from every centroid. Null lang teaches
+    task of their own, on ``sample`` documents at the most (the documented bound),
+    those with the smallest hashes. A text of 16 n-grams or more is rejected
+    when its best cosine is below ``reject`` times the ``quantile`` of the sample's own cosines among
+    texts of about its length (a quarter to four times), of which the sample must have 30: short texts lie farther from every centroid. Null lang teaches
     nothing; without any labelled text the model is empty.
     """
     small_batches(docs.sparkSession)
@@ -142,8 +146,7 @@ def fit(docs: DataFrame, clusters: int = 4, sample: int = 500, reject: float = 0
     per_lang = {r.lang: r.n for r in taught.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not per_lang:
         return Model(idf, np.zeros((0, DIMS)), [], np.zeros(32))
-    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in per_lang.items() for x in (lang, min(1.0, sample / n))]), F.col("lang"))
-    drawn = taught.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
+    drawn = bounded_sample(taught, "lang", per_lang, ["doc_id", "text"], sample, seed)
     empty = Model(idf, np.zeros((0, DIMS)), [], np.zeros(32))
 
     def centroids(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -151,22 +154,19 @@ def fit(docs: DataFrame, clusters: int = 4, sample: int = 500, reject: float = 0
         vectors = empty.vectors(counts)
         centres = _cluster(vectors, clusters, seed)
         cosines, bins = (vectors @ centres.T).max(axis=1), _length_bin(counts.sum(axis=1))
-        sums = [[int(b), float(np.median(cosines[bins == b])), int((bins == b).sum())] for b in np.unique(bins)]
-        return pd.DataFrame({"lang": [key[0]], "centres": [centres.ravel().tolist()], "bins": [[float(x) for s in sums for x in s]]})
+        return pd.DataFrame({"lang": [key[0]], "centres": [centres.ravel().tolist()], "cosines": [cosines.tolist()], "bins": [bins.tolist()]})
 
-    fitted = sorted(drawn.select("lang", "text").groupBy("lang").applyInPandas(centroids, "lang string, centres array<double>, bins array<double>").collect(), key=lambda r: r.lang)  # clusters * DIMS numbers a language
-    langs, centres, medians = [], [], [[] for _ in range(32)]
+    fitted = sorted(drawn.select("lang", "text").groupBy("lang").applyInPandas(centroids, "lang string, centres array<double>, cosines array<double>, bins array<bigint>").collect(), key=lambda r: r.lang)  # clusters * DIMS + 2 * sample numbers a language
+    langs, centres = [], []
     for r in fitted:
         own = np.array(r.centres).reshape(-1, DIMS)
         langs += [r.lang] * len(own)
         centres.append(own)
-        for b, median, n in np.array(r.bins).reshape(-1, 3):
-            if n >= 3:
-                medians[int(b)].append(median)
-    least, known = np.zeros(32), 0.0
-    for b in range(32):  # a length that the sample lacks takes the next shorter one's
-        known = min(medians[b]) if medians[b] else known
-        least[b] = reject * known
+    cosines, bins = (np.concatenate([np.array(r[name], float) for r in fitted] or [np.zeros(0)]) for name in ("cosines", "bins"))
+    least = np.zeros(32)
+    for b in range(32):
+        like = cosines[np.abs(bins - b) <= 2]
+        least[b] = reject * np.quantile(like, quantile) if len(like) >= 30 else 0.0
     return Model(idf, np.vstack(centres) if centres else np.zeros((0, DIMS)), langs, least)
 
 

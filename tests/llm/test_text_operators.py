@@ -108,10 +108,81 @@ def test_language_counts_do_not_depend_on_pieces(monkeypatch):
     assert found and (langid.ngram_counts(text)[0] == whole).all()
 
 
-def test_language_rejects_strange_text(spark, data):
+def naive_grams(text):
+    """Hashed letter n-grams of a text, one by one."""
+    points, counts = [0], Counter()
+    for c in (text or "").lower():
+        p = ord(c) if c.isalpha() else 0
+        if p or points[-1]:
+            points.append(p)
+    points += [0]
+    for order in langid.ORDERS:
+        for i in range(len(points) - order + 1):
+            code = order
+            for p in points[i : i + order]:
+                code = (code ^ p) * 0x9E3779B1 & 0xFFFFFFFF
+                code ^= code >> 15
+            counts[code % langid.DIMS] += 1
+    return counts
+
+
+def test_language_against_a_naive_model(spark, data):
+    """Document frequencies, weights, cosines, labels and the centroids' own rule, all by plain loops."""
+    import math
+    import zlib
+
+    rows = spark.read.parquet(f"{data}/documents.parquet").collect()
+    taught = [r for r in rows if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
     model = langid.fit(spark.read.parquet(f"{data}/documents.parquet"))
-    (strange,) = model.predict(["жзщ ъыьэ ююя " * 40])
-    assert not strange[2] and strange[1] < 0.3
+    held = Counter(d for r in taught for d in naive_grams(r.text))
+    idf = [math.log((1 + len(taught)) / (1 + held[d])) + 1 for d in range(langid.DIMS)]
+    assert np.allclose(model.idf, idf)
+
+    def vector(text):
+        v = np.zeros(langid.DIMS)
+        for d, n in naive_grams(text).items():
+            v[d] = math.log(1 + n) * idf[d]
+        return v / math.sqrt(sum(x * x for x in v))
+
+    vectors = {r.doc_id: vector(r.text) for r in rows if any(c.isalpha() for c in r.text or "")}
+    for r in queries.op1_language_id(spark, data).collect():
+        if r.doc_id in vectors:
+            cosines = [float(vectors[r.doc_id] @ c) for c in model.centroids]
+            best = max(range(len(cosines)), key=cosines.__getitem__)
+            assert r.lang_pred == model.langs[best] and r.score == pytest.approx(min(1, max(0, cosines[best])), abs=1e-9)
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0)
+    for lang in set(model.langs):  # every document of the table is in the sample: centroids are the means of their own members
+        centres = model.centroids[[i for i, x in enumerate(model.langs) if x == lang]]
+        own = np.stack([vectors[r.doc_id] for r in taught if r.lang == lang and r.doc_id in vectors])
+        near = (own @ centres.T).argmax(axis=1)
+        moved = [centre @ (mean := own[near == k].sum(axis=0)) / np.linalg.norm(mean) for k, centre in enumerate(centres) if (near == k).any()]
+        assert min(moved) > 0.98
+
+
+def test_language_rejects_junk_and_keeps_prose(spark, data):
+    import random
+
+    rng, docs = random.Random(1), spark.read.parquet(f"{data}/documents.parquet".replace("sf0.001", "sf0.01"))
+    model = langid.fit(docs)
+    junk = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)) for n in (20, 60, 200)]
+    junk += ["жзщ ъыьэ ююя " * 40, "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=900)), "xq zv wkj " * 50]
+    assert [accepted for _, _, accepted in model.predict(junk)] == [False] * len(junk)
+    texts = [r.text for r in docs.where("text is not null").collect()]
+    assert np.mean([accepted for _, _, accepted in model.predict(texts)]) > 0.999
+
+
+def test_a_sample_is_bounded(spark):
+    from tessera.llm.sampling import bounded_sample
+
+    df = spark.createDataFrame([("a", i % 7) for i in range(500)] + [("b", i) for i in range(20)], "g string, x int")
+    counts = {"a": 500, "b": 20}
+    out = Counter(r.g for r in bounded_sample(df, "g", counts, ["x"], 30, 1).collect())
+    assert out["a"] <= 30 and out["b"] == 20
+    rows = lambda df: sorted((r.g, r.x) for r in bounded_sample(df, "g", counts, ["x"], 30, 1).collect())
+    assert rows(df) == rows(df.repartition(3))
+    assert bounded_sample(df.limit(0), "g", {}, ["x"], 30, 1).count() == 0
 
 
 PAGE = """<!doctype html><html><head><title>T &amp; U</title><script>if (a < b) document.write("<p>no</p>");</script><style>p{}</style></head>
