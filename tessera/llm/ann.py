@@ -2,49 +2,63 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.sampling import bounded_sample, unit_hash
 from tessera.llm.vectors import in_order, is_valid, matrix, unit, unpack
 from tessera.plans import materialise, small_batches
 
 
 @dataclass(frozen=True)
 class Lists:
-    """Unit centroids of the inverted lists, and how many lists a query probes."""
+    """Unit centroids of the inverted lists, how many lists a query probes, and, where there are two levels, the coarse centroids and each list's own."""
 
     centres: np.ndarray
-    probes: int
-
-
-def fit_lists(rows: np.ndarray, k: int, lists: int, recall: float, seed: int = 7) -> Lists:
-    """Spherical k-means on unit ``rows``; probes are set for ``recall`` of the rows' own neighbours.
-
-    Up to 400 rows query the others; the number of probes is the least that reaches
-    the wanted share of their k nearest.
-    """
+    probes: int = 1
+    coarse: np.ndarray | None = None
+    parent: np.ndarray | None = None
+
+    def assign(self, rows: np.ndarray) -> np.ndarray:
+        """The list of each unit row: that of its nearest centroid, on two levels among those of its nearest coarse one."""
+        if self.coarse is None:
+            return (rows @ self.centres.T).argmax(axis=1)
+        top, out = (rows @ self.coarse.T).argmax(axis=1), np.zeros(len(rows), np.int64)
+        for c in np.unique(top):
+            own, at = np.flatnonzero(self.parent == c), np.flatnonzero(top == c)
+            out[at] = own[(rows[at] @ self.centres[own].T).argmax(axis=1)] if len(own) else (rows[at] @ self.centres.T).argmax(axis=1)
+        return out
+
+
+def cluster(rows: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
+    """Spherical k-means on unit ``rows``: ``k`` centroids, or one for every eight rows if that is less."""
     rng = np.random.default_rng(seed)
-    centres = rows[rng.permutation(len(rows))[: max(1, min(lists, len(rows) // 8))]]
+    centres = rows[rng.permutation(len(rows))[: max(1, min(k, len(rows) // 8))]]
     for _ in range(12):
         near = (rows @ centres.T).argmax(axis=1)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, rows)
         length = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(length > 1e-9, sums / np.maximum(length, 1e-12), centres)
-    near = (rows @ centres.T).argmax(axis=1)
-    asked = rng.permutation(len(rows))[:400]
+    return centres
+
+
+def fit_probes(rows: np.ndarray, lists: Lists, k: int, recall: float, seed: int = 7) -> int:
+    """The least number of probed lists that reaches ``recall`` of the ``k`` nearest of up to 400 of the rows among the others."""
+    near = lists.assign(rows)
+    asked = np.random.default_rng(seed).permutation(len(rows))[:400]
     cosines = rows[asked] @ rows.T
     cosines[np.arange(len(asked)), asked] = -2
     best = np.argsort(-cosines, axis=1)[:, : min(k, max(1, len(rows) - 1))]
-    order = np.argsort(np.argsort(-(rows[asked] @ centres.T), axis=1), axis=1)
+    order = np.argsort(np.argsort(-(rows[asked] @ lists.centres.T), axis=1), axis=1)
     rank = np.take_along_axis(order, near[best], axis=1)
-    probes = int(np.quantile(rank, recall, method="higher")) + 1
-    return Lists(centres, min(len(centres), probes))
+    return min(len(lists.centres), int(np.quantile(rank, recall, method="higher")) + 1)
 
 
 def rotation(dims: int, seed: int = 5) -> np.ndarray:
@@ -83,11 +97,68 @@ def scan(query: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: int, k: int,
     return places[whole <= bound + 1e-9]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, lists: int = 64, recall: float = 0.99, sample: int = 8192, rows_per_block: int = 4096, queries_per_block: int = 1024, width: int = 16, slack: float = 2.1) -> DataFrame:
+def fit_lists(rows: DataFrame, counts: dict[int, int], k: int, recall: float, sample: int, lists: int | None, flat: int, numbers: int) -> dict[int, Lists]:
+    """Lists for the vectors (dims, vec_id, embedding) of each length; see ``search``."""
+    wanted = {d: max(1, min(lists or max(64, math.ceil(n**0.5)), max(flat, numbers // d))) for d, n in counts.items()}
+    drawn = materialise(bounded_sample(rows.select("dims", "vec_id", "embedding"), "dims", counts, ["vec_id", "embedding"], sample, 3).select("dims", "embedding"), "sample")
+
+    def first(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        want = wanted[key[0]]
+        centres = cluster(in_order(unit(matrix(group["embedding"]))), want if want <= flat else math.ceil(want**0.5))
+        return pd.DataFrame({"dims": [key[0]], "centres": [centres.ravel().tolist()]})
+
+    found = {r.dims: np.array(r.centres).reshape(-1, r.dims) for r in drawn.groupBy("dims").applyInPandas(first, "dims int, centres array<double>").collect()}  # sqrt(lists) or flat x dims numbers each
+    models = {d: Lists(found[d] if d in found else np.eye(1, d)) for d in counts}
+    deep = [d for d in counts if wanted[d] > flat]
+    if deep:
+        # the second level: under each coarse centroid, from some 16 rows for every list, each in a task of its own
+        def coarse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for dims, group in batch.groupby("dims"):
+                    top = (unit(matrix(group["embedding"])) @ models[dims].centres.T).argmax(axis=1)
+                    yield pd.DataFrame({"dims": dims, "coarse": top, "embedding": group["embedding"].to_numpy()})
+
+        def second(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+            centres = cluster(in_order(unit(matrix(group["embedding"]))), math.ceil(wanted[key[0]] ** 0.5))
+            return pd.DataFrame({"dims": [key[0]], "coarse": [key[1]], "centres": [centres.ravel().tolist()]})
+
+        rate = F.element_at(F.create_map(*[F.lit(x) for d in deep for x in (d, min(1.0, 16 * wanted[d] / max(1, counts[d])))]), F.col("dims"))
+        more = rows.where(F.col("dims").isin(deep)).where(unit_hash(5, "vec_id", "embedding") < rate)
+        fine = more.select("dims", "embedding").mapInPandas(coarse, "dims int, coarse int, embedding array<double>").groupBy("dims", "coarse").applyInPandas(second, "dims int, coarse int, centres array<double>")
+        rows_ = sorted(fine.collect(), key=lambda r: (r.dims, r.coarse))  # ``numbers`` numbers each at the most
+        for d in deep:
+            own = [(r.coarse, np.array(r.centres).reshape(-1, d)) for r in rows_ if r.dims == d]
+            if own:
+                models[d] = Lists(np.vstack([c for _, c in own]), 1, models[d].centres, np.concatenate([np.full(len(c), top) for top, c in own]))
+
+    def last(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"dims": [key[0]], "probes": [fit_probes(in_order(unit(matrix(group["embedding"]))), models[key[0]], k, recall)]})
+
+    probes = {r.dims: r.probes for r in drawn.groupBy("dims").applyInPandas(last, "dims int, probes int").collect()}  # a row for each length of vectors
+    return {d: replace(m, probes=probes.get(d, 1)) for d, m in models.items()}
+
+
+def search(
+    vectors: DataFrame,
+    is_query: Column,
+    k: int = 5,
+    lists: int | None = None,
+    recall: float = 0.99,
+    sample: int = 8192,
+    flat: int = 1024,
+    numbers: int = 1 << 22,
+    rows_per_block: int = 4096,
+    queries_per_block: int = 1024,
+    width: int = 16,
+    slack: float = 2.1,
+) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every query, by cosine in double precision.
 
-    Every vector goes to the list of its nearest centroid; centroids and the number
-    of probed lists are fitted on about ``sample`` vectors (the documented bound).
+    Every vector goes to the list of its nearest centroid. There are as many lists as the square root of
+    the rows (64 at least), or ``lists``; their centroids have ``numbers`` numbers at the most, which bounds what tasks are sent.
+    Up to ``flat`` lists are fitted at once on ``sample`` vectors at the most (the documented bound); more of them on two levels,
+    the second from some 16 vectors for every list, under each coarse centroid in a task of its own. The number of
+    probed lists is fitted on the sample.
     Lists are cut into blocks of about ``rows_per_block`` rows and a list's queries
     into blocks of about ``queries_per_block``; each pair of blocks is scanned on
     its own, so neither a hot list nor a hot query set is gathered in one task, and
@@ -105,21 +176,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, lists: int = 64, re
     rows = rows.where(F.col("vec_id").isNotNull() & is_valid(F.col("embedding"))).withColumn("dims", F.size("embedding"))
     per_dims = {r.dims: r.n for r in rows.groupBy("dims").agg(F.count("*").alias("n")).collect()}  # a row for each length of vectors
 
-    def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        found = fit_lists(in_order(unit(matrix(group["embedding"]))), k, lists, recall)
-        return pd.DataFrame({"dims": [key[0]], "probes": [found.probes], "centres": [found.centres.ravel().tolist()]})
-
-    rate = F.element_at(F.create_map(F.lit(0), F.lit(0.0), *[F.lit(x) for d, n in per_dims.items() for x in (d, min(1.0, sample / n))]), F.col("dims"))
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1 << 20)) < rate * (1 << 20))
-    learned = drawn.select("dims", "embedding").groupBy("dims").applyInPandas(learn, "dims int, probes int, centres array<double>").collect()  # lists x dims numbers each
-    models = {r.dims: Lists(np.array(r.centres).reshape(-1, r.dims), r.probes) for r in learned}
-    models = {d: models.get(d) or Lists(np.eye(1, d), 1) for d in per_dims}
+    models = fit_lists(rows, per_dims, k, recall, sample, lists, flat, numbers)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dims, group in batch.groupby("dims"):
                 own = matrix(group["embedding"])
-                near = (unit(own) @ models[dims].centres.T).argmax(axis=1)
+                near = models[dims].assign(unit(own))
                 yield pd.DataFrame({"dims": dims, "list": near, "vec_id": group["vec_id"].to_numpy(), "query": group["query"].to_numpy(), "vector": [v.tobytes() for v in own.astype("<f8")]})
 
     index = materialise(rows.mapInPandas(assign, "dims int, list int, vec_id bigint, query boolean, vector binary"), "index")
