@@ -58,15 +58,16 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), bud
     doc_id) and are taken until the quota is met; the one that crosses it is taken
     if more than half of it fits. The running sum is first taken over ``bins``
     ranges of that order, so only a source's one crossing range is sorted, and a
-    hot source is never gathered in a task. Last, the document whose change brings
-    the source closest to its target is turned over, if any does.
+    hot source is never gathered in a task. Last, the one row whose change brings
+    the source closest to its target is turned over, if any does; among rows that agree in
+    doc_id and size it does not matter which.
 
     Null texts and texts without words have size 0; null source is a source of
     its own, last in order; rows that repeat are rows of their own. An empty table
     gives an empty result. Other columns of ``docs`` are not looked at.
     """
     sized = materialise(
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), seeded_order(F.col("doc_id"), seed).alias("h")).withColumn("bin", F.pmod("h", F.lit(bins)).cast("int")),
+        docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), seeded_order(F.col("doc_id"), seed).alias("h"), F.monotonically_increasing_id().alias("row")).withColumn("bin", F.pmod("h", F.lit(bins)).cast("int")),
         "sized",
     )
     per_bin = materialise(sized.groupBy("source", "bin").agg(F.sum("size").alias("words")), "bins")
@@ -87,7 +88,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), bud
         "sources",
     )
     rows = sized.join(per_source, F.col("source").eqNullSafe(F.col("of")))
-    inside = Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("cross_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     edge = rows.where("bin = cross_bin").withColumn("extra", (before + F.col("size") / 2 <= F.col("quota")) & (F.col("quota") > 0))
     rest = rows.where("bin <> cross_bin").withColumn("extra", (F.col("bin") < F.col("cross_bin")) & (F.col("quota") > 0))
@@ -97,8 +98,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), bud
     gaps = materialise(gaps, "gaps")
     change = F.when(F.col("extra"), -F.col("size")).otherwise(F.col("size"))
     off = F.abs(F.col("gap") - change)
-    best = drawn.join(gaps, F.col("source").eqNullSafe(F.col("of2"))).where((F.col("q2") > 0) & (off < F.abs("gap"))).groupBy(F.col("source").alias("of3")).agg(F.min(F.struct(off.alias("off"), "h")).alias("best"))
-    turned = materialise(best.select("of3", F.col("best.h").alias("turn")), "turned")
-    final = drawn.join(turned, F.col("source").eqNullSafe(F.col("of3")) & (F.col("h") == F.col("turn")), "left")
+    best = drawn.join(gaps, F.col("source").eqNullSafe(F.col("of2"))).where((F.col("q2") > 0) & (off < F.abs("gap"))).groupBy(F.col("source").alias("of3")).agg(F.min(F.struct(off.alias("off"), "h", "doc_id", "size", "row")).alias("best"))
+    turned = materialise(best.select("of3", F.col("best.row").alias("turn")), "turned")
+    final = drawn.join(turned, F.col("source").eqNullSafe(F.col("of3")) & (F.col("row") == F.col("turn")), "left")
     repeats = F.col("whole") + F.when(F.col("turn").isNull(), F.col("extra")).otherwise(~F.col("extra")).cast("bigint")
     return final.select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 _MIX = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h, row_number() OVER () AS row
   FROM {docs}),
 ranked AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank
@@ -23,16 +23,16 @@ plan AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets),
 rows_ AS (
   SELECT s.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS quota,
-         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h % 4096, s.h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h % 4096, s.h, s.doc_id, s.size, s.row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
 drawn AS (SELECT *, quota > 0 AND before + size / CAST(2 AS DOUBLE) <= quota AS extra FROM rows_),
 gaps AS (SELECT *, quota - coalesce(sum(CASE WHEN extra THEN size END) OVER (PARTITION BY source), 0) AS gap FROM drawn),
 best AS (
-  SELECT source, min({{'off': abs(gap - CASE WHEN extra THEN -size ELSE size END), 'h': h}}).h AS turn
+  SELECT source, min({{'off': abs(gap - CASE WHEN extra THEN -size ELSE size END), 'h': h, 'doc_id': doc_id, 'size': size, 'row': row}}).row AS turn
   FROM gaps WHERE quota > 0 AND abs(gap - CASE WHEN extra THEN -size ELSE size END) < abs(gap) GROUP BY source),
 final AS (
   SELECT g.*, g.whole + CAST(CASE WHEN b.turn IS NULL THEN g.extra ELSE NOT g.extra END AS BIGINT) AS repeats
-  FROM gaps g LEFT JOIN best b ON g.source IS NOT DISTINCT FROM b.source AND g.h = b.turn)
+  FROM gaps g LEFT JOIN best b ON g.source IS NOT DISTINCT FROM b.source AND g.row = b.turn)
 """
 
 _LINES = r"""

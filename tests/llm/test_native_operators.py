@@ -62,6 +62,13 @@ def test_mixing_targets_and_takes(awkward, awkward_rows):
     assert sorted((r.doc_id or -1, r.taken) for r in out) == sorted((r.doc_id or -1, r.taken) for r in mixing.mix_sources(awkward.repartition(5)).collect())
 
 
+def test_one_row_is_turned_over_where_an_id_repeats(spark):
+    """Rows of one doc_id share their place in the order; the last correction takes one of them, not all."""
+    rows = [(7, "a b c d", "x")] * 9 + [(8, "a b", "x"), (9, "a b c d e f g", "x")]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), weights=(1,), budget=1.5).collect()
+    assert abs(sum(r.taken for r in out) - 1.5 * 45) <= 1
+
+
 def test_mixing_of_nothing(empty, spark):
     assert mixing.mix_sources(empty).count() == 0
     one = spark.createDataFrame([(1, None, None)], "doc_id bigint, text string, source string")
