@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import deal_pairs, smallest_linked, whole_groups
+from tessera.llm.sampling import bounded_sample
 from tessera.llm.vectors import in_order, is_valid, matrix, unit, unpack
 from tessera.plans import connected_components, materialise, small_batches
 
@@ -36,6 +37,8 @@ def learn_rotation(rows: np.ndarray, bits: int, rounds: int = 40, seed: int = 7)
 def table_masks(bits: int, width: int, tables: int, seed: int = 11) -> list[int]:
     """A mask of ``width`` bits (half of all bits at the most) for each table; bits are dealt out anew once all are used."""
     width = min(width, max(1, bits // 2))
+    if not width:
+        return [0]
     rng, left, masks = np.random.default_rng(seed), [], []
     for _ in range(tables):
         if len(left) < width:
@@ -44,27 +47,71 @@ def table_masks(bits: int, width: int, tables: int, seed: int = 11) -> list[int]
     return masks
 
 
+def to_codes(bits: np.ndarray) -> np.ndarray:
+    return (bits.astype(np.uint64) << np.arange(bits.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
+def pairs_at(rows: np.ndarray, threshold: float, n: int = 4096, seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors at the threshold: a sampled row, and one turned away from it.
+
+    A third turn towards another sampled row, a third by a difference of two sampled rows, a third anywhere, so
+    vectors that share a direction yield pairs of their own kind. Pairs of the sample itself just above the threshold come on top.
+    """
+    rng, count = np.random.default_rng(seed), len(rows)
+    x = rows[rng.integers(count, size=n)]
+    others, more = rows[rng.integers(count, size=n)], rows[rng.integers(count, size=n)]
+    kind = np.arange(n)[:, None] % 3
+    z = np.where(kind == 0, others, np.where(kind == 1, others - more, rng.normal(size=x.shape)))
+    z = z - (z * x).sum(axis=1, keepdims=True) * x
+    length = np.linalg.norm(z, axis=1)
+    x, z = x[length > 1e-9], z[length > 1e-9] / length[length > 1e-9, None]
+    y = threshold * x + (1 - threshold**2) ** 0.5 * z
+    some = rows[rng.permutation(count)[:2048]]
+    near = some @ some.T
+    a, b = np.nonzero(np.triu((near >= threshold) & (near < threshold + 0.02), 1))
+    picked = rng.permutation(len(a))[:n]
+    return np.vstack([x, some[a[picked]]]), np.vstack([y, some[b[picked]]])
+
+
+def fit_tables(rows: np.ndarray, mean: np.ndarray, projection: np.ndarray, threshold: float, width: int, tables: int, recall: float) -> tuple[int, int, float]:
+    """Width of the masks, Hamming radius, and the share of ``pairs_at`` the threshold that meet within both.
+
+    The widest masks are taken under which ``recall`` of the pairs meet in some table; width 0, one
+    bucket for all, if none does. The radius holds every one of the pairs with two bits to spare.
+    """
+    x, y = pairs_at(rows, threshold)
+    bits = projection.shape[1]
+    if not len(x):
+        return 0, bits, 1.0
+    differ = to_codes((x - mean) @ projection >= 0) ^ to_codes((y - mean) @ projection >= 0)
+    radius = min(bits, int(np.bitwise_count(differ).max()) + 2)
+    for w in range(min(width, max(1, bits * 7 // 32)), 0, -1):
+        met = ((differ[:, None] & np.array(table_masks(bits, w, tables), np.uint64)) == 0).any(axis=1).mean()
+        if met >= recall:
+            return w, radius, float(met)
+    return 0, radius, 1.0
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, width: int = 10, tables: int = 64, sample: int = 8192, block: int = 1024, whole: int = 16) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, width: int = 12, tables: int = 64, recall: float = 0.999, sample: int = 8192, block: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector.
 
     Vectors with equal, non-null labels and as many dimensions are linked when
     their cosine in double precision is ``threshold`` or more. Equal vectors
     fold into a class first. Each class gets a code of up to 64 bits: the rotation
-    is learned on about ``sample`` classes (the documented bound), every class is
-    indexed. A label of at most ``whole`` blocks of classes is one bucket, so all
-    its pairs are compared and none is missed; that costs a class no more copies than
-    the tables would. In a larger label, classes that agree on the ``width`` bits (7 of
-    32 bits at the most) of one of ``tables`` masks meet in a bucket and are compared
-    by their original vectors. Masks share bits, so the chance to meet nowhere is
-    measured: on 200,000 simulated pairs of 64 dimensions 2.2e-4 at a cosine of 0.93 and
-    2e-5 at 0.95. Buckets larger than ``block`` are split
+    is learned on ``sample`` classes at the most (the documented bound), every class is
+    indexed. Classes that agree on the bits of one of ``tables`` masks meet in a bucket. The masks are as wide
+    (``width`` at the most) as ``recall`` of pairs at the threshold allows, measured on pairs made from the sample
+    (``fit_tables``); where vectors crowd so that no width does, the label is one bucket.
+
+    Only codes travel to the buckets. There pairs that met in an earlier table or differ in more bits
+    than any of the sample's pairs are out; the vectors of classes that still have a partner follow and
+    are compared. Buckets larger than ``block`` are split
     into blocks, and block is held against block, so no bucket is gathered in one
-    task and none is cut. A pair counts in the first table on which its codes
-    agree. A block returns a count and one representative a member, never its pairs.
+    task and none is cut. A block returns a count and one representative a member, never its pairs.
 
     Null, empty, zero or non-finite vectors and null labels: 0 links, a component
     of their own. Rows of equal vec_id are one node. A null vec_id: component null.
@@ -79,35 +126,41 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, width: i
     def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         found = in_order(unit(matrix(group["embedding"])))
         mean, projection = learn_rotation(found, min(64, found.shape[1]))
-        return pd.DataFrame({"dims": [key[0]], "mean": [mean.tolist()], "projection": [projection.ravel().tolist()]})
+        wide, radius, _ = fit_tables(found, mean, projection, threshold, width, tables, recall)
+        return pd.DataFrame({"dims": [key[0]], "mean": [mean.tolist()], "projection": [projection.ravel().tolist()], "width": [wide], "radius": [radius]})
 
-    rate = F.element_at(F.create_map(F.lit(0), F.lit(0.0), *[F.lit(x) for d, n in per_dims.items() for x in (d, min(1.0, sample / n))]), F.col("dims"))
-    drawn = classes.where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(1 << 20)) < rate * (1 << 20))
-    learned = drawn.groupBy("dims").applyInPandas(learn, "dims int, mean array<double>, projection array<double>").collect()  # dims x 64 numbers each
+    drawn = bounded_sample(classes, "dims", per_dims, ["rep"], sample, 3)
+    learned = drawn.groupBy("dims").applyInPandas(learn, "dims int, mean array<double>, projection array<double>, width int, radius int").collect()  # dims x 64 numbers each
     models = {r.dims: (np.array(r.mean), np.array(r.projection).reshape(r.dims, -1)) for r in learned}
-    masks = {d: table_masks(min(64, d), min(width, max(1, min(64, d) * 7 // 32)), tables) for d in per_dims}
+    masks = {r.dims: table_masks(min(64, r.dims), r.width, tables) for r in learned}
+    radii = {r.dims: r.radius for r in learned}
+    packed = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dims, group in batch.groupby("dims"):
-                own = unit(matrix(group["embedding"]))
-                mean, projection = models.get(dims) or (np.zeros(dims), np.eye(dims)[:, :64])
-                bits = (own - mean) @ projection >= 0
-                codes = (bits.astype(np.uint64) << np.arange(bits.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-                yield pd.DataFrame({"label": group["label"].to_numpy(), "dims": dims, "rep": group["rep"].to_numpy(), "copies": group["copies"].to_numpy(), "code": codes.view(np.int64), "vector": [v.tobytes() for v in own.astype("<f8")]})
+                raw = matrix(group["embedding"])
+                mean, projection = models[dims]
+                codes = to_codes((unit(raw) - mean) @ projection >= 0)
+                yield pd.DataFrame({"label": group["label"].to_numpy(), "dims": dims, "rep": group["rep"].to_numpy(), "copies": group["copies"].to_numpy(), "code": codes.view(np.int64), "vector": [v.tobytes() for v in raw.astype(packed)]})
 
     label = dict(classes.dtypes)["label"]
     codes = materialise(classes.mapInPandas(encode, f"label {label}, dims int, rep bigint, copies bigint, code bigint, vector binary"), "codes")
     all_masks = F.element_at(F.create_map(F.lit(0), F.array(F.lit(0).cast("bigint")), *[x for d, ms in masks.items() for x in (F.lit(d), F.array(*[F.lit(_signed(m)).cast("bigint") for m in ms]))]), F.col("dims"))
-    sizes = materialise(classes.groupBy("label", "dims").agg((F.count("*") <= whole * block).alias("whole")), "sizes")
-    wanted = F.when(F.col("whole"), F.array(F.lit(0).cast("bigint"))).otherwise(all_masks)
-    keyed = codes.join(sizes, ["label", "dims"]).select(*[F.col(c) for c in codes.columns], F.posexplode(wanted).alias("table", "mask")).withColumn("part", F.col("code").bitwiseAND(F.col("mask"))).drop("mask")
+    keyed = codes.select("label", "dims", "rep", "code", F.posexplode(all_masks).alias("table", "mask")).withColumn("part", F.col("code").bitwiseAND(F.col("mask"))).drop("mask")
     bucket = ["label", "dims", "table", "part"]
-    dealt = deal_pairs(keyed, bucket, F.xxhash64("rep"), block)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch, starts in whole_groups(batches, [*bucket, "low", "high"]):
+            yield batch.iloc[_partnered(batch, starts, masks, radii)][[*bucket, "rep"]]
+
+    met = deal_pairs(keyed, bucket, F.xxhash64("rep"), block).mapInPandas(meet, f"label {label}, dims int, table int, part bigint, rep bigint")
+    met = materialise(met.dropDuplicates([*bucket, "rep"]), "met")
+    dealt = deal_pairs(met.join(codes.select("rep", "copies", "code", "vector"), "rep"), bucket, F.xxhash64("rep"), block)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, starts in whole_groups(batches, [*bucket, "low", "high"]):
-            yield _linked(batch, starts, masks, threshold)
+            yield _linked(batch, starts, masks, threshold, packed)
 
     found = materialise(dealt.mapInPandas(compare, "rep bigint, links bigint, other bigint"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -119,7 +172,26 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, width: i
     return tagged.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _linked(batch: pd.DataFrame, starts: np.ndarray, masks: dict[int, list[int]], threshold: float) -> pd.DataFrame:
+def _partnered(batch: pd.DataFrame, starts: np.ndarray, masks: dict[int, list[int]], radii: dict[int, int]) -> np.ndarray:
+    """Places of the members that have a partner within the radius whom no earlier table brings to them."""
+    own, low, high, table, dims = (batch[c].to_numpy() for c in ("own", "low", "high", "table", "dims"))
+    code, found = batch["code"].to_numpy().view(np.uint64), [np.zeros(0, np.int64)]
+    for a, b in zip(starts[:-1], starts[1:]):
+        differ = code[a:b, None] ^ code[None, a:b]
+        near = np.bitwise_count(differ) <= radii[int(dims[a])]
+        np.fill_diagonal(near, False)
+        if low[a] != high[a]:
+            near &= own[a:b, None] != own[None, a:b]
+        at, to = np.nonzero(near)
+        left = differ[at, to]
+        for mask in masks[int(dims[a])][: int(table[a])]:
+            stay = (left & np.uint64(mask)) != 0
+            at, left = at[stay], left[stay]
+        found.append(a + np.unique(at))
+    return np.concatenate(found)
+
+
+def _linked(batch: pd.DataFrame, starts: np.ndarray, masks: dict[int, list[int]], threshold: float, packed_as: str) -> pd.DataFrame:
     """For each linked member of the groups between ``starts``: links first met here, and its group's smallest class."""
     reps, links, others = [], [], []
     if len(batch):
@@ -129,7 +201,7 @@ def _linked(batch: pd.DataFrame, starts: np.ndarray, masks: dict[int, list[int]]
         for a, b in zip(starts[:-1], starts[1:]):
             if b - a < 2:
                 continue
-            vectors = unpack(packed[a:b])
+            vectors = unit(unpack(packed[a:b], packed_as))
             near = vectors @ vectors.T >= threshold
             np.fill_diagonal(near, False)
             if low[a] != high[a]:  # two blocks: pairs inside a block are met elsewhere

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 from pyspark.sql import Column
@@ -31,7 +31,7 @@ def in_order(rows: np.ndarray) -> np.ndarray:
     return rows[np.lexsort(rows.T[::-1])]
 
 
-def unpack(packed: Iterable[bytes]) -> np.ndarray:
-    """Rows packed as little-endian doubles."""
+def unpack(packed: Sequence[bytes], packed_as: str = "<f8") -> np.ndarray:
+    """Rows packed as little-endian floating-point numbers, as doubles."""
     joined = b"".join(packed)
-    return np.frombuffer(joined, "<f8").reshape(len(packed), -1)
+    return np.frombuffer(joined, packed_as).reshape(len(packed), -1).astype(np.float64, copy=False)

@@ -52,18 +52,44 @@ def test_linked_vectors_against_brute_force(vectors, block):
     assert embdedup.near_duplicate_vectors(vectors.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("whole", [16, 0])
-def test_pairs_at_the_threshold_are_met(spark, whole):
-    """1,500 pairs just above 0.93: a label of few blocks misses none, the tables next to none; 12 bits in 32 tables lose some in a hundred."""
-    rng = np.random.default_rng(5)
-    x, z = (rng.normal(size=(1500, 64)) for _ in range(2))
+def planted_pairs(n, dims, shared, seed=5, cosine_=0.931):
+    """``n`` pairs at a cosine; different pairs' mean cosine is ``shared`` by a direction that all vectors have."""
+    rng = np.random.default_rng(seed)
+    common = np.zeros(dims)
+    common[0] = 1
+    x = rng.normal(size=(n, dims))
+    x[:, 0] = 0
     x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = shared**0.5 * common + (1 - shared) ** 0.5 * x
+    z = rng.normal(size=(n, dims))
+    z[:, 0] = 0
     z -= (z * x).sum(axis=1, keepdims=True) * x
-    y = 0.931 * x + (1 - 0.931**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
-    rows = [(2 * i + k, v[i].tolist(), 0) for i in range(1500) for k, v in enumerate((x, y))]
-    out = embdedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), whole=whole).collect()
-    met = sum(r.n_links == 1 and r.component_id == r.vec_id // 2 * 2 for r in out)
-    assert met == 3000 if whole else met >= 2994
+    return x, cosine_ * x + (1 - cosine_**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("dims", "shared"), [(64, 0.0), (64, 0.8)])
+def test_pairs_at_the_threshold_are_met(spark, dims, shared):
+    """500 pairs just above 0.93, in labels of 125: next to none is missed, also where all vectors share a direction."""
+    x, y = planted_pairs(500, dims, shared)
+    rows = [(2 * i + k, v[i].tolist(), i % 4) for i in range(500) for k, v in enumerate((x, y))]
+    out = embdedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
+    together = sum(r.n_links >= 1 and r.component_id <= r.vec_id // 2 * 2 for r in out.collect())
+    assert together >= 995
+
+
+def test_width_follows_the_vectors():
+    """Wide masks for vectors in all directions, narrower ones where they crowd; the recall is measured, and holds on pairs of another seed."""
+    widths = []
+    for shared in (0.0, 0.5, 0.8):
+        rows = embdedup.in_order(np.vstack(planted_pairs(2000, 64, shared)))
+        mean, projection = embdedup.learn_rotation(rows, 64)
+        width, radius, met = embdedup.fit_tables(rows, mean, projection, 0.93, 12, 64, 0.999)
+        x, y = planted_pairs(4000, 64, shared, seed=99)
+        differ = embdedup.to_codes((x - mean) @ projection >= 0) ^ embdedup.to_codes((y - mean) @ projection >= 0)
+        masks = np.array(embdedup.table_masks(64, width, 64), np.uint64)
+        assert met >= 0.999 and ((differ[:, None] & masks) == 0).any(axis=1).mean() >= 0.995 and (np.bitwise_count(differ) <= radius).mean() >= 0.999
+        widths.append(width)
+    assert widths[0] >= 9 and widths == sorted(widths, reverse=True)
 
 
 def test_codes_are_balanced():
@@ -104,6 +130,24 @@ def test_search_against_brute_force(vectors):
         assert all(s == pytest.approx(cosine(vectors_[q], vectors_[i]), abs=1e-12) for i, s in ranks)
 
 
+def test_search_on_two_levels(spark):
+    """Lists beyond ``flat`` hang under coarse centroids; recall against brute force holds."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 16))
+    x = centres[rng.integers(0, 30, 2000)] + rng.normal(0, 0.5, (2000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, k=5, lists=64, flat=16).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 2000, 20):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert len(got) == 100 and hits >= 0.95 * 500
+
+
 def test_search_with_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
     out = sorted((r.rank, r.vec_id) for r in ann.search(df, F.col("vec_id") == 0).collect())
