@@ -210,11 +210,50 @@ def test_stages_on_an_empty_table(spark, empty, tmp_path):
     assert docs.count() == 0
 
 
-def test_run_is_its_stages(spark, data):
-    from collections import Counter
-
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES:
-        docs = materialise(stage(spark, docs, data), name)
-    rows = lambda df: Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in df.collect())
-    assert rows(corpus_pipeline.run(spark, data)) == rows(docs)
+def test_every_stage_against_plain_python(spark, data, tmp_path):
+    """The run on the smallest table: each stage's rows follow from its predecessor's by plain loops, and the last are the run's."""
+    import hashlib
+    from collections import Counter, defaultdict
+
+    from tessera.llm import langid
+    from tests.llm.test_native_operators import filled, key
+    from tests.llm.test_text_operators import REFERENCE, jaccard_groups
+
+    tables = {"": spark.read.parquet(f"{data}/documents.parquet")}
+    for (name, stage), before in zip(corpus_pipeline.STAGES, ["", "language", "lines", "near", "mix"]):
+        tables[name] = materialise(stage(spark, tables[before], data), name)
+    rows = {name: df.collect() for name, df in tables.items()}
+
+    model = langid.fit(tables[""])
+    accepted = [r for r, (_, _, ok) in zip(rows[""], model.predict([r.text for r in rows[""]])) if ok]
+    assert Counter(rows["language"]) == Counter(accepted)
+
+    seen = defaultdict(set)
+    for r in accepted:
+        for line in r.text.split("\n"):
+            seen[key(line)].add(r.doc_id)
+    gone = {k for k, ids in seen.items() if k and len(ids) >= 10}
+    texts = {r.doc_id: "\n".join(x for x in r.text.split("\n") if key(x) not in gone) for r in accepted}
+    assert gone and {r.doc_id: (r.text, r.n_chars) for r in rows["lines"]} == {i: (t, len(t)) for i, t in texts.items()}
+
+    groups, _ = jaccard_groups([(r.doc_id, r.text) for r in rows["lines"]], 5, 80)
+    assert sorted(r.doc_id for r in rows["near"]) == sorted(i for i, c in groups.items() if i == c)
+    assert {r.doc_id: r.text for r in rows["near"]}.items() <= texts.items()
+
+    size = {r.doc_id: len((r.text or "").translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ")) - (r.text or "").translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ").count("") for r in rows["near"]}
+    source = {r.doc_id: r.source for r in rows["near"]}
+    names = sorted({s for s in source.values() if s is not None}) + [None] * (None in source.values())
+    words = [sum(n for i, n in size.items() if source[i] == s) for s in names]
+    targets = filled(words, [(3, 1, 2)[j % 3] for j in range(len(names))], 1.5, 2.0)
+    times = Counter(r.doc_id for r in rows["mix"])
+    assert max(times.values()) <= 2 and set(times) <= set(size)
+    for s, target in zip(names, targets):
+        took = sum(times[i] * size[i] for i in size if source[i] == s)
+        assert abs(took - target) <= max([1] + [n for i, n in size.items() if source[i] == s]) / 2 + 1
+
+    want = Counter()
+    for r in rows["mix"]:
+        ids = REFERENCE.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows["tokens"]) == want
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, data).collect()) == want
