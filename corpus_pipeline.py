@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_decode
@@ -36,7 +36,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8) and of each doc_id; null ids stay."""
     kept = near_duplicates(docs, words=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source", "lang"), "text", "source", "lang")  # rows of one id
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("__turn", F.row_number().over(order)).where("__turn = 1")
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
@@ -61,7 +62,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("tokens", tokens),
 ]
 
-#: Centroids, signatures and merges are beyond SQL; tests hold each stage against a brute-force version.
+#: Centroids, signatures and merges are beyond SQL; a test holds every stage against plain Python on a small table.
 ORACLE_SQL: str | None = None
 
 
