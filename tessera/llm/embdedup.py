@@ -172,23 +172,43 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, width: i
     return tagged.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _partnered(batch: pd.DataFrame, starts: np.ndarray, masks: dict[int, list[int]], radii: dict[int, int]) -> np.ndarray:
-    """Places of the members that have a partner within the radius whom no earlier table brings to them."""
+def _partnered(batch: pd.DataFrame, starts: np.ndarray, masks: dict[int, list[int]], radii: dict[int, int], small: int = 64) -> np.ndarray:
+    """Places of the members that have a partner within the radius whom no earlier table brings to them.
+
+    Groups of up to ``small`` members are held against themselves all at once, at one distance in the
+    batch after the other; larger ones each as a matrix.
+    """
     own, low, high, table, dims = (batch[c].to_numpy() for c in ("own", "low", "high", "table", "dims"))
-    code, found = batch["code"].to_numpy().view(np.uint64), [np.zeros(0, np.int64)]
-    for a, b in zip(starts[:-1], starts[1:]):
-        differ = code[a:b, None] ^ code[None, a:b]
-        near = np.bitwise_count(differ) <= radii[int(dims[a])]
-        np.fill_diagonal(near, False)
+    code, found = batch["code"].to_numpy().view(np.uint64), np.zeros(len(batch), bool)
+    radius = np.array([radii[int(d)] for d in np.unique(dims)])[np.searchsorted(np.unique(dims), dims)]
+    earlier = {d: np.array(m, np.uint64) for d, m in masks.items()}
+
+    def settle(at: np.ndarray, to: np.ndarray) -> None:
+        """Mark the pairs' members unless an earlier table's bucket holds the pair."""
+        left = code[at] ^ code[to]
+        for d in np.unique(dims[at]):
+            for t in range(len(earlier[int(d)])):
+                stay = (dims[at] != d) | (table[at] <= t) | ((left & earlier[int(d)][t]) != 0)
+                if not stay.all():
+                    at, to, left = at[stay], to[stay], left[stay]
+                if not len(at):
+                    return
+        found[at] = found[to] = True
+
+    sizes = np.diff(starts)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    little = sizes[group] <= small
+    for gap in range(1, int(sizes[sizes <= small].max(initial=1))):
+        at = np.flatnonzero(little[:-gap] & (group[:-gap] == group[gap:]))
+        at = at[(np.bitwise_count(code[at] ^ code[at + gap]) <= radius[at]) & ((low[at] == high[at]) | (own[at] != own[at + gap]))]
+        settle(at, at + gap)
+    for a, b in zip(starts[:-1][sizes > small], starts[1:][sizes > small]):
+        near = np.triu(np.bitwise_count(code[a:b, None] ^ code[None, a:b]) <= radius[a], 1)
         if low[a] != high[a]:
             near &= own[a:b, None] != own[None, a:b]
         at, to = np.nonzero(near)
-        left = differ[at, to]
-        for mask in masks[int(dims[a])][: int(table[a])]:
-            stay = (left & np.uint64(mask)) != 0
-            at, left = at[stay], left[stay]
-        found.append(a + np.unique(at))
-    return np.concatenate(found)
+        settle(a + at, a + to)
+    return np.flatnonzero(found)
 
 
 def _linked(batch: pd.DataFrame, starts: np.ndarray, masks: dict[int, list[int]], threshold: float, packed_as: str) -> pd.DataFrame:

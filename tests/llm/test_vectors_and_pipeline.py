@@ -92,6 +92,27 @@ def test_width_follows_the_vectors():
     assert widths[0] >= 9 and widths == sorted(widths, reverse=True)
 
 
+@pytest.mark.parametrize("small", [64, 2])
+def test_partners_against_brute_force(small):
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    masks, radii, rows = {8: embdedup.table_masks(8, 2, 4)}, {8: 2}, []
+    for g in range(30):
+        rows += [(g // 4, g % 4, int(rng.integers(0, 256)), 0, 1, int(rng.integers(0, 2))) for _ in range(int(rng.integers(2, 9)))]
+    batch = pd.DataFrame(rows, columns=["g", "table", "code", "low", "high", "own"]).assign(dims=8)
+    batch["code"] = batch["code"].astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, (np.diff(batch["g"]) != 0) | (np.diff(batch["table"]) != 0), True])
+    want = set()
+    for a, b in zip(starts[:-1], starts[1:]):
+        for i in range(a, b):
+            for j in range(a, b):
+                differ = rows[i][2] ^ rows[j][2]
+                if rows[i][5] != rows[j][5] and bin(differ).count("1") <= 2 and all(differ & m for m in masks[8][: rows[i][1]]):
+                    want.add(i)
+    assert set(embdedup._partnered(batch, starts, masks, radii, small).tolist()) == want and want
+
+
 def test_codes_are_balanced():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 16)) * np.linspace(3, 0.3, 16)
