@@ -134,3 +134,34 @@ def diagnosis(heard_left: Column, heard_right: Column, ratio: float = 2.0, floor
         .when(heard_right >= ratio * heard_left, "SWAPPED")
         .otherwise("UNCLEAR")
     )
+
+
+def optional_filter(df: DataFrame, **wanted) -> DataFrame:
+    """P5: rows whose columns have the wanted values; what is wanted as None is not asked for."""
+    for name, value in wanted.items():
+        if value is not None:
+            df = df.where(F.col(name) == value)
+    return df
+
+
+def pick_named(df: DataFrame, name: str, needle: str, order: Sequence[Column]) -> DataFrame:
+    """Of the rows whose name holds ``needle`` in any case the first by ``order``; a needle of digits is the row's place in ``order``."""
+    if needle.isdigit():
+        return df.orderBy(*order).offset(int(needle)).limit(1)
+    return df.where(F.contains(F.lower(F.col(name)), F.lit(needle.lower()))).orderBy(*order).limit(1)
+
+
+def setting(document: Column, path: str, default) -> Column:
+    """a value of a JSON document as the default's type, else the default."""
+    kind = {int: "bigint", float: "double", bool: "boolean"}.get(type(default), "string")
+    return F.coalesce(F.get_json_object(document, path).try_cast(kind), F.lit(default))
+
+
+def below(root: str, path: Column) -> Column:
+    """an absolute path as it is, another one below ``root``."""
+    return F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+
+
+def lacking(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The columns of ``df`` that are not among ``names``, in order."""
+    return df.select(*[c for c in df.columns if c not in set(names)])

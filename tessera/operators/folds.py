@@ -37,19 +37,28 @@ def stratified(df: DataFrame, label: str, key: str, most: int = 5, k: int | None
 
 
 def grouped(df: DataFrame, group: str, k: int) -> DataFrame:
-    """V3: ``fold`` of 0..k-1, whole groups in one fold, the largest groups first into the lightest fold.
+    """V3: ``fold`` of 0..k-1, whole groups in one fold, the largest groups first into the lightest folds.
 
-    Greedy balancing is an order over group sizes: groups, not rows, are folded in one aggregate.
+    Groups of one size are alike: k of them at a time go to the k folds, what is left over to
+    the lightest ones. So only the sizes are folded in order (there are few: n different ones
+    need n * n / 2 rows), and a group's place among those of its size is a running total.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    listed = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col(group).alias("g")))).alias("gs"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), k).alias("load"), F.array().cast(f"array<struct<g:{dict(df.dtypes)[group]},fold:int>>").alias("out"))
-
-    def deal(s: Column, g: Column) -> Column:
-        at = (F.array_position(s["load"], F.array_min(s["load"])) - 1).cast("int")
-        return F.struct(F.transform(s["load"], lambda x, i: F.when(i == at, x - g["neg"]).otherwise(x)).alias("load"), F.concat(s["out"], F.array(F.struct(g["g"].alias("g"), at.alias("fold")))).alias("out"))
-
-    folds = listed.select(F.explode(F.aggregate("gs", start, deal)["out"]).alias("f")).select(F.col("f.g").alias(group), F.col("f.fold").alias("fold"))
+    from tessera.plans import running_total
+
+    sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
+    listed = sizes.groupBy("__n").agg(F.count("*").alias("m")).agg(F.array_sort(F.collect_list(F.struct((-F.col("__n")).alias("neg"), "m"))).alias("sizes"))
+    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), k).alias("load"), F.array().cast("array<struct<n:bigint,whole:bigint,order:array<int>>>").alias("out"))
+
+    def deal(s: Column, c: Column) -> Column:
+        n, left = -c["neg"], c["m"] % k
+        order = F.transform(F.array_sort(F.transform(s["load"], lambda x, i: F.struct(x.alias("load"), i.alias("fold")))), lambda f: f["fold"])
+        load = F.transform(s["load"], lambda x, i: x + n * (F.floor(c["m"] / k) + (F.array_position(order, i) <= left).cast("bigint")))
+        return F.struct(load.alias("load"), F.concat(s["out"], F.array(F.struct(n.alias("n"), (c["m"] - left).alias("whole"), order.alias("order")))).alias("out"))
+
+    plan = listed.select(F.explode(F.aggregate("sizes", start, deal)["out"]).alias("c")).select(F.col("c.n").alias("__of"), "c.whole", "c.order")
+    ranked = running_total(sizes, ["__n"], F.xxhash64(F.col(group)), [group], F.lit(1), "__rank", 64)
+    at = F.when(F.col("__rank") < F.col("whole"), F.pmod("__rank", F.lit(k)).cast("int")).otherwise(F.get("order", (F.col("__rank") - F.col("whole")).cast("int")))
+    folds = ranked.join(plan, F.col("__n") == F.col("__of")).select(group, at.alias("fold"))
     return df.join(folds, group)
 
 

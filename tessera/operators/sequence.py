@@ -106,3 +106,9 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     rest = [c for c in df.columns if c not in keys]
     first = F.min_by(F.struct(*rest), F.struct(*order))
     return df.groupBy(*keys).agg(first.alias("__row")).select(*keys, "__row.*")
+
+
+def percentile_threshold(df: DataFrame, event: Sequence[str], value: str, share: float = 0.25, slack: float = 1e-6) -> DataFrame:
+    """Rows at or above their event's own percentile less ``slack``; events are short."""
+    least = df.groupBy(*event).agg((F.percentile(value, share) - slack).alias("__least"))
+    return df.join(least, list(event)).where(F.col(value) >= F.col("__least")).drop("__least")

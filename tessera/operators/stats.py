@@ -226,3 +226,14 @@ def information_transfer(matrix: DataFrame) -> DataFrame:
     parts = [entropy(matrix.groupBy("truth").agg(F.sum("n").alias("n"))), entropy(matrix.groupBy("guess").agg(F.sum("n").alias("n"))), entropy(matrix)]
     named = [p.withColumnRenamed("h", f"h{i}") for i, p in enumerate(parts)]
     return reduce(lambda a, b: a.join(b, F.lit(True)), named).select((F.col("h0") + F.col("h1") - F.col("h2")).alias("bits"))
+
+
+def groups_by_variety(df: DataFrame, group: str, member: str, mixed: int = 3) -> DataFrame:
+    """For each group its number of different members, and whether it is mixed (``mixed`` or more), single (one) or neither."""
+    found = df.groupBy(group).agg(F.count_distinct(member).alias("members"), F.count("*").alias("n"))
+    return found.withColumn("kind", F.when(F.col("members") >= mixed, "mixed").when(F.col("members") == 1, "single").otherwise("few"))
+
+
+def median_stack(df: DataFrame, cell: Sequence[str], value: str) -> DataFrame:
+    """The median of each cell (a pixel) over a stack of frames."""
+    return df.groupBy(*cell).agg(F.median(value).alias("median"), F.count(value).alias("n"))

@@ -163,9 +163,9 @@ SELECT user_id, CAST(sum(n) AS BIGINT) AS events, CAST(sum(cl) AS BIGINT) AS cli
     "dedup_keep_first": "SELECT md5(text) AS text_md5, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1",
     "knn_topk": _KNN.format(where="a.vec_id % 100 = 0") + " SELECT query, rank, vec_id, round(score, 6) AS score FROM k",
     "knn_coherence": _KNN.format(where="true") + " SELECT CAST(la AS BIGINT) AS label, count(*) AS n, round(avg((la = lb)::INT), 6) AS coherence FROM k GROUP BY 1",
-    "neighbour_lift": _KNN.format(where="a.label = 3")
-    + """, b AS (SELECT label, count(*) / sum(count(*)) OVER ()::DOUBLE AS base FROM embeddings GROUP BY 1), s AS (SELECT lb AS label, count(*) / sum(count(*)) OVER ()::DOUBLE AS share FROM k GROUP BY 1)
-SELECT CAST(label AS BIGINT) AS label, round(coalesce(share, 0), 6) AS share, round(base, 6) AS base, round(coalesce(share, 0) / base, 6) AS lift FROM b LEFT JOIN s USING (label)""",
+    "neighbour_lift": _KNN.format(where="true")
+    + """, b AS (SELECT label, count(*) / sum(count(*)) OVER ()::DOUBLE AS base FROM embeddings GROUP BY 1), s AS (SELECT la, lb AS label, count(*) / sum(count(*)) OVER (PARTITION BY la)::DOUBLE AS share FROM k GROUP BY 1, 2)
+SELECT CAST(o.label AS BIGINT) AS "of", CAST(b.label AS BIGINT) AS label, round(coalesce(share, 0), 6) AS share, round(b.base, 6) AS base, round(coalesce(share, 0) / b.base, 6) AS lift FROM b o CROSS JOIN b LEFT JOIN s ON s.la = o.label AND s.label = b.label""",
     "seeded_search": _KNN.format(where="a.vec_id IN (SELECT vec_id FROM embeddings WHERE label = 1 ORDER BY vec_id LIMIT 5)") + " SELECT query, rank, vec_id FROM k",
     "silhouette_exact": """WITH d AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sum(CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END) AS s, count(*) AS c FROM embeddings a CROSS JOIN embeddings b GROUP BY 1, 2, 3),
 p AS (SELECT vec_id, max(CASE WHEN la = lb THEN s / nullif(c - 1, 0) END) AS a, min(CASE WHEN la <> lb THEN s / c END) AS b FROM d GROUP BY 1)
@@ -188,3 +188,106 @@ SELECT 'either' AS part, k FROM (SELECT k FROM a UNION SELECT k FROM b) UNION AL
     "status_priority": """WITH m AS (SELECT CASE WHEN l_tax > 0.06 THEN 'sam' WHEN l_discount > 0.08 THEN 'skin' ELSE 'box' END AS method, CASE WHEN l_tax > 0.06 THEN l_tax WHEN l_discount > 0.08 THEN l_discount ELSE l_quantity END AS v FROM lineitem)
 SELECT method, count(*) AS n, round(avg(v), 6) AS mean FROM m GROUP BY 1""",
 }
+
+_P = "WITH p AS (SELECT p_partkey AS k, p_size::DOUBLE AS s, p_retailprice / 1000 AS r, p_size, p_brand FROM part)"
+_STEPS = f"WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, value, {_T} AS t, row_number() OVER (PARTITION BY user_id ORDER BY {_T}, event_id) AS rn FROM events)"
+_HANDS = _P + """, f AS (SELECT p.*, i, f, s * (0.01::DOUBLE + i / 200::DOUBLE) AS x, r / 2 + i / 10::DOUBLE AS y FROM p CROSS JOIN (VALUES (0, 'index'), (1, 'middle'), (2, 'ring'), (3, 'pinky')) v(i, f) WHERE p_size % 7 <> 0)"""
+_WIRE = "(1 - 2.0::DOUBLE ** (-({n}) / 12.0::DOUBLE))"
+
+ORACLES |= {
+    "quad_shapes": _P
+    + """ SELECT k, round((20 * s + 10 * r * (s + 1)) / 2, 6) AS area, round((2 * s + 1) / 4, 6) AS cx, round((20 + 10 * r) / 4, 6) AS cy, round((3 * s + r * r) / (s * s + r * r), 5) AS share, s + 1 AS third_x,
+  CASE WHEN s + sqrt((s + 1) ** 2 + (20 - 10 * r) ** 2) >= sqrt(401::DOUBLE) + 10 * r THEN 0 ELSE s END AS first_x FROM p""",
+    "box_relations": _P
+    + """ SELECT k, round((25 - s) / 10, 6) AS bx, round((2 - r) / 5, 6) AS "by", 25.0::DOUBLE AS x, sqrt((s + 5 - 25.5) ** 2 + (r + 2.5 - 3.5) ** 2) > 0.2 * sqrt(146::DOUBLE) AS jumped,
+  round(0.35 * s / 50 + 0.125 + 0.40 * r / 2, 6) AS detector, round(0.5 * s / 50 + 0.15 + 0.2 * r / 2, 6) AS hand, CASE WHEN p_size % 2 = 0 THEN 'index' WHEN p_size <> 7 AND abs(s - 25) <= abs(r - 1) THEN 'index' ELSE 'middle' END AS finger FROM p""",
+    "scalar_helpers": _P
+    + """ SELECT k, round(least(greatest(s, 10), 40), 6) AS clipped, round(s + (r - s) * 0.25, 6) AS "between", round(sqrt((s * s + r * r + 4) / 3), 6) AS rms, round(sqrt(s * s + r * r), 6) AS hypot,
+  CASE WHEN p_size % 4 > 0 THEN printf('%.1f', p_size / 7.0::DOUBLE * 100) || '%' ELSE '–' END AS percent, '&lt;a href=&quot;' || p_brand || '&quot;&gt;&amp;' AS escaped, round(r, 6) AS second,
+  CAST(CASE WHEN p_size % 3 = 0 THEN p_size ELSE 440 END AS BIGINT) AS hz, CASE WHEN p_size % 2 = 0 THEN '/abs/' ELSE '/data/runs/' END || p_brand AS path FROM p""",
+    "list_parsing": _P
+    + """, q AS (SELECT *, list_distinct([round(r, 1), round(r + 0.00005, 1), 1.0::DOUBLE, 0.5::DOUBLE]) AS peaks FROM p)
+SELECT k, CASE WHEN p_size % 3 > 0 THEN '1' || CASE WHEN p_size <= 12 THEN ',' || p_size ELSE '' END || ',3' ELSE '1,2,3,4,5,6,7,8' END AS channels, 2::BIGINT AS n_scores, s AS first_score, 'b' AS second_element,
+  CAST(len(peaks) AS BIGINT) AS n_peaks, round(list_min(peaks), 6) AS first_peak FROM q""",
+    "expected_pitches": _P
+    + """, q AS (SELECT *, CASE WHEN p_size % 3 = 1 THEN [64, 59, 55, 50, 45, 40][p_size % 6 + 1] + p_size % 13 END AS m FROM p)
+SELECT k, CAST(CASE WHEN p_size % 3 = 0 THEN 5 ELSE 1 END AS BIGINT) AS n, round(CASE WHEN p_size % 3 = 0 THEN 440 * 2.0::DOUBLE ** ((48 - 69) / 12.0::DOUBLE) WHEN p_size % 3 = 1 THEN 440 * 2.0::DOUBLE ** ((m - 69) / 12.0::DOUBLE) ELSE r * 100 END, 6) AS first,
+  round(CASE WHEN p_size % 3 = 0 THEN 440 * 2.0::DOUBLE ** ((64 - 69) / 12.0::DOUBLE) WHEN p_size % 3 = 1 THEN 440 * 2.0::DOUBLE ** ((m - 69) / 12.0::DOUBLE) ELSE r * 100 END, 6) AS highest FROM q""",
+    "tones": _P
+    + """ SELECT k, round((SELECT sum((sin(2 * pi() * (100 + s) * i / 8000) * 0.5 * (1 - cos(2 * pi() * i / 79))) ** 2) FROM range(80) t(i)), 6) AS tone,
+  round((SELECT sum(sin(2 * pi() * (s * i / 8000 + 3 * s * i * i / (2 * 8000.0::DOUBLE * 8000 * 0.01))) ** 2) FROM range(80) t(i)), 6) AS glide, CAST(3 * (p_size % 5 + 1) AS BIGINT) AS n, 1.25::DOUBLE * (p_size % 5 + 1) AS train FROM p""",
+    "chord_fingers": _P
+    + """, c AS (SELECT k, ['G', 'C', 'D'][p_size % 3 + 1] AS name FROM p)
+SELECT k, name, v.finger::BIGINT AS finger, v.string::BIGINT AS string, v.fret::BIGINT AS fret FROM c JOIN (VALUES (true, 2, 6, 3), (true, 3, 5, 2), (true, 4, 1, 3), (false, 3, 5, 3), (false, 2, 4, 2), (false, 1, 2, 1)) v(g, finger, string, fret) ON v.g = (name = 'G')""",
+    "note_channels": _P + " SELECT k, concat_ws(',', CASE WHEN p_size % 8 BETWEEN 1 AND 6 THEN p_size % 8 END, CASE WHEN p_size % 9 BETWEEN 1 AND 6 THEN p_size % 9 + 6 END) AS channels FROM p",
+    "chart_sequence": "SELECT i AS pos, n_name AS name, round(i * 60 / 90.0::DOUBLE, 6) AS t FROM range(50) r(i) JOIN nation ON n_nationkey = i % 25",
+    "planned_runs": "SELECT p AS pass, s AS string, 3::BIGINT AS n, 6::BIGINT AS turns, 3::BIGINT AS classes FROM range(1, 4) a(p) CROSS JOIN range(4, 7) b(s)",
+    "demo_grid": """SELECT concat_ws('-', 'p' || (p + 1), s, f, c, t) AS run_id, 'p' || (p + 1) AS player_id, s AS s_num, 1::BIGINT AS expected, round(440 * 2.0::DOUBLE ** ((CASE s WHEN 6 THEN 40 ELSE 64 END + f - 69) / 12.0::DOUBLE) * (1 + 0.0008::DOUBLE * p), 6) AS hz, round(0.5::DOUBLE + 0.05::DOUBLE * p, 6) AS gain
+FROM range(2) a(p) CROSS JOIN (VALUES (6::BIGINT), (1::BIGINT)) b(s) CROSS JOIN (VALUES (0), (5)) d(f) CROSS JOIN (VALUES ('clean'), ('buzz')) g(c) CROSS JOIN range(2) h(t)""",
+    "csv_round_trip": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier",
+    "manifest_scan": """SELECT 's' || (event_id % 2) AS session_id, 'p' || (user_id % 3) AS player_id, event_type AS intended_class, count(*) AS n, max(event_id) AS last FROM events
+WHERE user_id % 3 IN (0, 2) AND event_id % 11 > 0 AND event_id % 13 > 0 AND event_id % 17 > 0 GROUP BY ALL""",
+    "sampled_frames": "SELECT event_type, round(median(value), 6) AS median, count(*) AS n, arg_max(event_id, value * 1e6 - event_id / 1e6) AS strongest FROM events WHERE event_id % 1000 % 20 = 0 GROUP BY 1",
+    "calibration_scan": "SELECT s_suppkey, s_suppkey % 7 + 1 AS n FROM supplier WHERE s_suppkey % 7 >= 3",
+    "document_scan": "SELECT n_name AS guitar_id, CAST(n_regionkey AS BIGINT) AS frets FROM nation",
+    "head_onset": _P
+    + """, q AS (SELECT *, r > 0.2 * s / 5 AND (p_size % 5 = 0 OR r / 20 > 0.06) AS head FROM p)
+SELECT k, CAST(CASE WHEN p_size % 5 > 0 THEN 2 ELSE 0 END + head::INT AS BIGINT) AS n, round(CASE WHEN head THEN 0 WHEN p_size % 5 > 0 THEN r / 20 END, 6) AS first FROM q""",
+    "backtracked_peaks": f"""WITH e AS (SELECT user_id, CAST(floor({_T}) AS BIGINT) AS t, max(value) AS energy, max((event_type = 'purchase')::INT) AS peak FROM events GROUP BY 1, 2),
+l AS (SELECT *, energy <= coalesce(lag(energy) OVER w, 'inf'::DOUBLE) AND energy < coalesce(lead(energy) OVER w, 'inf'::DOUBLE) AS low FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+s AS (SELECT *, max(CASE WHEN low THEN t END) OVER (PARTITION BY user_id ORDER BY t) AS seen FROM l) SELECT user_id, t, coalesce(seen, t) AS onset FROM s WHERE peak = 1""",
+    "bridged_runs": _P + ' SELECT k, CAST(min(i) AS BIGINT) AS "first", CAST(max(i) AS BIGINT) AS "last" FROM p CROSS JOIN range(10) t(i) WHERE (p_size + i * 3) % 4 < 2 GROUP BY 1',
+    "event_percentile": "WITH q AS (SELECT l_orderkey, quantile_cont(l_quantity, 0.25) - 1e-6 AS least FROM lineitem GROUP BY 1) SELECT l_orderkey, count(*) AS n, min(l_quantity) AS least FROM lineitem l JOIN q USING (l_orderkey) WHERE l_quantity >= q.least GROUP BY 1",
+    "run_variety": "WITH o AS (SELECT count(DISTINCT l_returnflag) AS m, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT CASE WHEN m >= 3 THEN 'mixed' WHEN m = 1 THEN 'single' ELSE 'few' END AS kind, count(*) AS runs, CAST(sum(n) AS BIGINT) AS rows FROM o GROUP BY 1",
+    "optional_filters": """SELECT 'kept' AS what, CAST(count(*) AS VARCHAR) AS found FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'named', (SELECT n_name FROM nation WHERE lower(n_name) LIKE '%an%' ORDER BY length(n_name) DESC, n_name LIMIT 1)
+WHERE EXISTS (SELECT 1 FROM nation WHERE lower(n_name) LIKE '%an%') UNION ALL SELECT 'numbered', (SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 1 OFFSET 2)""",
+    "strengths_sorted": "SELECT user_id, string_agg(event_type, '>' ORDER BY top DESC, event_type) AS types FROM (SELECT user_id, event_type, max(value) AS top FROM events GROUP BY 1, 2) GROUP BY 1",
+    "vector_members": "SELECT vec_id, CAST(e.label AS BIGINT) AS label, round(list_cosine_similarity(embedding::DOUBLE[], anchor::DOUBLE[]), 5) AS score FROM embeddings e JOIN (SELECT label, arg_min(embedding, vec_id) AS anchor FROM embeddings GROUP BY 1) a ON a.label = e.label",
+    "eased_values": _STEPS
+    + """, s AS (SELECT user_id, rn, event_id, value AS x FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.rn, e.event_id, s.x + 0.15::DOUBLE * (e.value - s.x) FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1)
+SELECT event_id, round(x, 6) AS eased FROM s""",
+    "cached_steps": _STEPS
+    + """, s AS (SELECT user_id, rn, event_id, value > 60 AS far, 0 AS n, true AS fresh, event_id AS kept FROM e WHERE rn = 1
+  UNION ALL SELECT e.user_id, e.rn, e.event_id, e.value > 60, CASE WHEN s.far <> (e.value > 60) OR s.n >= 4 THEN 0 ELSE s.n + 1 END, s.far <> (e.value > 60) OR s.n >= 4, CASE WHEN s.far <> (e.value > 60) OR s.n >= 4 THEN e.event_id ELSE s.kept END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1) SELECT event_id, fresh, CAST(kept AS VARCHAR) AS payload FROM s""",
+    "hysteresis_hits": _STEPS
+    + """, s AS (SELECT user_id, rn, event_id, value > 60 AS hit, CASE WHEN value > 60 THEN false ELSE true END AS armed, CASE WHEN value > 60 THEN t END AS last FROM e WHERE rn = 1
+  UNION ALL SELECT user_id, rn, event_id, hit, CASE WHEN hit THEN false WHEN value < 0.7::DOUBLE * 60 THEN true ELSE armed END, CASE WHEN hit THEN t ELSE last END
+  FROM (SELECT e.*, s.armed, s.last, s.armed AND e.value > 60 AND (s.last IS NULL OR e.t - s.last >= 0.12) AS hit FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1)) SELECT event_id, hit FROM s""",
+    "one_euro_smooth": _STEPS
+    + """, s AS (SELECT user_id, rn, event_id, t, value AS x, 0.0::DOUBLE AS dx FROM e WHERE rn = 1
+  UNION ALL SELECT user_id, rn, event_id, t, x0 + (value - x0) / (1 + 1 / (2 * pi() * (1 + 0.01::DOUBLE * abs(dx)) * dt)), dx
+  FROM (SELECT *, dx0 + ((value - x0) / dt - dx0) / (1 + 1 / (2 * pi() * dt)) AS dx FROM (SELECT e.*, s.x AS x0, s.dx AS dx0, greatest(0.001::DOUBLE, e.t - s.t) AS dt FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1)))
+SELECT event_id, round(x, 6) AS smooth FROM s""",
+    "monotonic_timestamps": f"""WITH e AS (SELECT event_id, user_id, {_T} AS t, CAST(floor({_T} / 3600) AS BIGINT) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY {_T}, event_id) AS rn FROM events)
+SELECT event_id, max(ts - rn) OVER (PARTITION BY user_id ORDER BY rn) + rn AS ts_fixed FROM e""",
+    "onset_top_spaced": f"""WITH RECURSIVE e AS (SELECT user_id, {_T} AS t, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, {_T}) AS rn FROM events),
+s AS (SELECT user_id, rn, [t] AS kept FROM e WHERE rn = 1
+  UNION ALL SELECT e.user_id, e.rn, CASE WHEN len(s.kept) < 12 AND len(list_filter(s.kept, lambda x: abs(x - e.t) < 43200)) = 0 THEN list_append(s.kept, e.t) ELSE s.kept END FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1)
+SELECT user_id, unnest(kept) AS onset FROM s WHERE (user_id, rn) IN (SELECT user_id, max(rn) FROM e GROUP BY 1)""",
+    "group_kfold": """WITH RECURSIVE c AS (SELECT n, count(*) AS m, row_number() OVER (ORDER BY n DESC) AS i FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) GROUP BY n),
+s AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS load, [0, 0, 0, 0, 0]::BIGINT[] AS held
+  UNION ALL SELECT c.i, list_transform(taken, lambda x, f: load[f] + c.n * x), list_transform(taken, lambda x, f: held[f] + x)
+  FROM (SELECT s.*, c.i AS j, list_transform(s.load, lambda x, f: c.m // 5 + CAST(len(list_filter(s.load, lambda y, g: y < x OR (y = x AND g < f))) < c.m % 5 AS BIGINT)) AS taken FROM s JOIN c ON c.i = s.i + 1) q JOIN c ON c.i = q.j)
+SELECT f - 1 AS fold, load[f] AS n, held[f] AS customers FROM (SELECT * FROM s ORDER BY i DESC LIMIT 1) CROSS JOIN range(1, 6) r(f)""",
+    "held_frames": "SELECT user_id, round(avg((event_type = 'click')::INT), 6) AS fresh, count(*) FILTER (event_type = 'view') AS held FROM events WHERE value / 100 >= 0.3 GROUP BY 1",
+    "pose_features": _HANDS
+    + """, w AS (SELECT k, s * 0.015::DOUBLE + 0.2::DOUBLE AS mx, r / 2 AS my FROM p), c AS (SELECT f.*, sqrt((mx + 0.5) ** 2 + (my + 0.2) ** 2) AS scale FROM f JOIN w USING (k))
+SELECT CAST(k AS VARCHAR) AS event_id, round(max(CASE WHEN i = 0 THEN (x + 0.5) / scale END), 5) AS index_x, round(max(CASE WHEN i = 0 THEN (y + 0.2) / scale END), 5) AS index_y, round(max(CASE WHEN i = 3 THEN (x + 0.5) / scale END), 5) AS pinky_x, round(max(CASE WHEN i = 3 THEN (y + 0.2) / scale END), 5) AS pinky_y FROM c GROUP BY 1""",
+    "vision_rows": _HANDS
+    + f""", n AS (SELECT f.*, (SELECT arg_min(j, abs(f.x - {_WIRE.format(n="j")}) * 1e6 + j * 1e-6) FROM range(8) t(j)) AS near FROM f),
+d AS (SELECT *, x - {_WIRE.format(n="CASE WHEN p_size % 4 > 0 THEN p_size % 4 ELSE near END")} AS d FROM n),
+a AS (SELECT k, min(CASE WHEN p_size % 2 = 0 THEN CASE WHEN i = 0 THEN {{'off': 0.0::DOUBLE, 'i': i, 'd': d, 'y': y, 'near': near}} END ELSE {{'off': abs(d), 'i': i, 'd': d, 'y': y, 'near': near}} END) AS b, max(CASE WHEN i = 0 THEN d END) AS d_index, max(CASE WHEN i = 3 THEN d END) AS d_pinky FROM d GROUP BY 1)
+SELECT CAST(p.k AS VARCHAR) AS event_id, round(b.d, 5) AS d_active, round(d_index, 5) AS d_index, round(d_pinky, 5) AS d_pinky, CASE WHEN a.k IS NOT NULL THEN CAST(least(6, greatest(1, 6 - round_even(b.y * 5, 0))) AS DOUBLE) END AS string_est, CAST(b.near AS DOUBLE) AS fret_est,
+  CASE WHEN a.k IS NOT NULL THEN 0.8::DOUBLE END AS hand_conf, CASE WHEN a.k IS NOT NULL THEN 1.5::DOUBLE END AS reproj_px FROM p LEFT JOIN a USING (k)""",
+    "stratified_holdout": "WITH f AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 5 = 0 AS h FROM embeddings) SELECT CAST(label AS BIGINT) AS label, count(*) AS n, count(*) FILTER (h) AS held, max(CASE WHEN h THEN vec_id END) AS last FROM f GROUP BY 1",
+    "controlled_covariate": "SELECT l_returnflag, l_linestatus, round((SELECT avg(l_discount) FROM lineitem), 6) AS mean, round(stddev_pop(l_discount), 6) AS sd, count(*) AS n FROM lineitem GROUP BY 1, 2",
+    "class_medoids": """WITH m AS (SELECT p_brand, avg(p_size) AS a, avg(p_retailprice) AS b FROM part GROUP BY 1), d AS (SELECT p_brand, p_partkey, (p_size - a) ** 2 + (p_retailprice - b) ** 2 AS far FROM part JOIN m USING (p_brand)), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY far, p_partkey) AS rn FROM d)
+SELECT p_brand, p_partkey, round(sqrt(far), 6) AS distance FROM r WHERE rn = 1""",
+    "series_offset": f"SELECT 2::BIGINT AS lag, count(*) AS users FROM (SELECT user_id FROM events GROUP BY 1 HAVING count(DISTINCT floor({_T} / 86400)) > 2)",
+    "quarantined_runs": "SELECT conv_id, count(*) AS detected, count(*) <> max(turn) + CASE WHEN conv_id % 5 = 0 THEN 2 ELSE 1 END OR conv_id % 7 = 0 AS quarantined FROM conversations GROUP BY conv_id",
+    "largest_loadings": """WITH w AS (SELECT l_returnflag, l_linenumber, round(sum(l_discount - 0.05::DOUBLE), 4) AS w FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY abs(w) DESC, l_linenumber) AS rank FROM w)
+SELECT l_returnflag, rank, round(abs(w), 3) AS weight FROM r WHERE rank <= 3""",
+    "between_means": """WITH m AS (SELECT avg(p_retailprice) FILTER (p_brand = 'Brand#1') AS lo, avg(p_retailprice) FILTER (p_brand = 'Brand#2') AS hi FROM part)
+SELECT p_partkey, round(CASE WHEN abs(hi - lo) > 1e-12 THEN (p_retailprice - lo) / (hi - lo) END, 4) AS position FROM part, m""",
+}

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry, pitch, values, vector
-from tessera.operators import audit, encode, folds, joins, models, retrieve, sequence, stats
-from tessera.streaming.machines import hysteresis, monotonic, one_euro
-from tessera.streaming.run import on_table, session_audit
+from tessera.operators import audit, encode, experiments, folds, joins, models, retrieve, sequence, stats, vision
+from tessera.plans.workspace import new_path
+from tessera.sources import files, sinks
+from tessera.streaming.machines import cadence, easing, hysteresis, monotonic, one_euro
+from tessera.streaming.run import confident, held_share, on_table, session_audit
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,7 +120,7 @@ def cue_anchored_onset(spark, sf):
 
 @query
 def unseen_share(spark, sf):
-    """Share of a month's part brands not ordered in the fold's other rows."""
+    """For each fold the share of its finished orders whose customer has no other order in it."""
     o = table(spark, sf, "orders").withColumn("fold", F.pmod("o_orderkey", F.lit(4)))
     train = o.where("o_orderstatus <> 'F'").select("fold", F.col("o_custkey").alias("label"))
     test = o.where("o_orderstatus = 'F'").select("fold", F.col("o_custkey").alias("label"))
@@ -492,10 +494,14 @@ def knn_coherence(spark, sf):
 
 @query
 def neighbour_lift(spark, sf):
-    """A26."""
+    """For every label the labels of its rows' neighbours against their base rates."""
     e = embeddings(spark, sf)
-    found = retrieve.nearest(e.where("label = 3"), e, 10)
-    return retrieve.neighbour_lift(found, e, "label").select(F.col("label").cast("bigint").alias("label"), *r6("share", "base", "lift"))
+    out = None
+    for r in e.select("label").distinct().orderBy("label").collect():  # the class list
+        found = retrieve.nearest(e.where(F.col("label") == r.label), e, 10)
+        own = retrieve.neighbour_lift(found, e, "label").select(F.lit(r.label).cast("bigint").alias("of"), F.col("label").cast("bigint").alias("label"), *r6("share", "base", "lift"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 @query
@@ -662,3 +668,340 @@ def status_priority(spark, sf):
     li = table(spark, sf, "lineitem")
     value, name = first_available(sam=F.when(F.col("l_tax") > 0.06, F.col("l_tax")), skin=F.when(F.col("l_discount") > 0.08, F.col("l_discount")), box=F.col("l_quantity"))
     return li.groupBy(name.alias("method")).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"))
+
+
+def parts(spark, sf) -> DataFrame:
+    """Parts with numbers to build shapes from: k, s (size), r (price / 1000)."""
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("s"), (F.col("p_retailprice") / 1000).alias("r"), "p_size", "p_name", "p_brand", "p_type")
+
+
+@query
+def quad_shapes(spark, sf):
+    """Area, centroid, share along an edge and corner order of quads."""
+    p = parts(spark, sf)
+    at = lambda x, y: geometry.point(x, y)
+    zero = F.lit(0.0)
+    quad = F.array(at(zero, zero), at(F.col("s"), zero), at(F.col("s") + 1, F.lit(20.0)), at(zero, F.col("r") * 10))
+    turned = F.array(*[quad[i] for i in (2, 3, 0, 1)])
+    back = geometry.align_corners(turned, quad)
+    long = geometry.order_along_long_edges(quad)
+    return p.select(
+        "k", F.round(geometry.area(quad), 6).alias("area"), F.round(geometry.centroid(quad)["x"], 6).alias("cx"), F.round(geometry.centroid(quad)["y"], 6).alias("cy"),
+        geometry.along_edge(at(F.lit(3.0), F.col("r")), at(zero, zero), at(F.col("s"), F.col("r"))).alias("share"), F.round(back[2]["x"], 6).alias("third_x"), F.round(long[0]["x"], 6).alias("first_x"),
+    )
+
+
+@query
+def box_relations(spark, sf):
+    """points in boxes and back, jumps, confidences, the active finger."""
+    p = parts(spark, sf)
+    box = lambda x0, y0, x1, y1: F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    own, last = box(F.col("s"), F.col("r"), F.col("s") + 10, F.col("r") + 5), box(F.lit(20.0), F.lit(1.0), F.lit(31.0), F.lit(6.0))
+    rel = geometry.to_box(geometry.point(F.lit(25.0), F.lit(2.0)), own)
+    offsets = F.create_map(*[x for f, c in (("index", F.nullif(F.col("s"), F.lit(7.0)) - 25), ("middle", F.col("r") - 1), ("ring", F.lit(None).cast("double"))) for x in (F.lit(f), c)])
+    finger = geometry.active_finger(F.when(F.col("p_size") % 2 == 0, "index").otherwise("ring"), offsets, ("index", "middle", "ring"))
+    return p.select(
+        "k", F.round(rel["x"], 6).alias("bx"), F.round(rel["y"], 6).alias("by"), F.round(geometry.from_box(rel, own)["x"], 6).alias("x"), geometry.box_jumped(own, last).alias("jumped"),
+        F.round(geometry.detector_confidence(F.col("s") / 50, F.lit(0.5), F.col("r") / 2), 6).alias("detector"), F.round(geometry.hand_confidence(F.col("s") / 50, F.lit(0.5), F.col("r") / 2), 6).alias("hand"), finger.alias("finger"),
+    )
+
+
+@query
+def scalar_helpers(spark, sf):
+    """Numbers, formats, JSON vectors, settings and paths."""
+    p = parts(spark, sf)
+    vector_ = F.array("s", "r", F.lit(2.0))
+    document = F.when(F.col("p_size") % 3 == 0, F.format_string('{"audio": {"hz": %d}}', F.col("p_size"))).otherwise('{"audio": {"hz": "loud"}}')
+    share = F.when(F.col("p_size") % 4 > 0, F.col("p_size") / 7)
+    return p.select(
+        "k", F.round(values.clip(F.col("s"), 10.0, 40.0), 6).alias("clipped"), F.round(values.lerp(F.col("s"), F.col("r"), F.lit(0.25)), 6).alias("between"), F.round(values.rms(vector_), 6).alias("rms"), F.round(F.hypot("s", "r"), 6).alias("hypot"),
+        values.percent(share).alias("percent"), values.html_escape(F.concat(F.lit('<a href="'), F.col("p_brand"), F.lit('">&'))).alias("escaped"), F.round(F.from_json(F.to_json(vector_), "array<double>")[1], 6).alias("second"),
+        values.setting(document, "$.audio.hz", 440).alias("hz"), values.below("/data/runs/", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("/abs/"), F.col("p_brand"))).otherwise(F.col("p_brand"))).alias("path"),
+    )
+
+
+@query
+def list_parsing(spark, sf):
+    """Channel lists, element scores and rounded peaks."""
+    p = parts(spark, sf)
+    channels = values.channel_list(F.when(F.col("p_size") % 3 > 0, F.concat_ws(",", F.lit("1"), F.col("p_size").cast("string"), F.lit(" 3"), F.lit("x"))), F.lit(12))
+    scores = values.element_scores(F.array(F.col("p_brand"), F.col("p_size").cast("string"), F.lit("b"), F.lit("0.5"), F.lit("odd")))
+    peaks = sequence.rounded_peaks(F.array(F.col("r"), F.col("r") + 0.00005, F.lit(1.0), F.lit(0.5)), 1)
+    return p.select("k", F.array_join(F.transform(channels, lambda c: c.cast("string")), ",").alias("channels"), F.size(scores).cast("bigint").alias("n_scores"), scores[0]["score"].alias("first_score"), scores[1]["element"].alias("second_element"), F.size(peaks).cast("bigint").alias("n_peaks"), F.round(peaks[0], 6).alias("first_peak"))
+
+
+@query
+def expected_pitches(spark, sf):
+    """pitches of chords, of single notes, and measured ones."""
+    p = parts(spark, sf)
+    chord = F.when(F.col("p_size") % 3 == 0, F.array(*[F.lit(x) for x in (-1, 3, 2, 0, 1, 0)]))
+    found = pitch.expected_pitches(chord, F.when(F.col("p_size") % 3 == 1, F.col("p_size") % 6 + 1), F.col("p_size") % 13, F.col("r") * 100)
+    return p.select("k", F.size(found).cast("bigint").alias("n"), F.round(found[0], 6).alias("first"), F.round(F.array_max(found), 6).alias("highest"))
+
+
+@query
+def tones(spark, sf):
+    """energy of a tone, of a chirp and of a pulse train."""
+    p = parts(spark, sf)
+    energy = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x), 6)
+    train = pitch.pulse_train(F.array(F.lit(1.0), F.lit(0.5)), F.array(F.lit(0.0)), F.pmod("p_size", F.lit(5)) + 1)
+    return p.select("k", energy(pitch.tone(100 + F.col("s"), 0.01)).alias("tone"), energy(pitch.glide(F.col("s"), F.col("s") * 4, 0.01)).alias("glide"), F.size(train).cast("bigint").alias("n"), energy(train).alias("train"))
+
+
+@query
+def chord_fingers(spark, sf):
+    """Fingers of a chord's strings, one shape corrected."""
+    p = parts(spark, sf).select("k", "p_size")
+    p = p.withColumn("name", F.element_at(F.array(F.lit("G"), F.lit("C"), F.lit("D")), (F.col("p_size") % 3 + 1).cast("int")))
+    shape = encode.corrected_chord(F.col("name"), F.array(F.lit(0), F.lit(3), F.lit(2), F.lit(0), F.lit(1), F.lit(0)), {"G": [3, 2, 0, 0, 0, 3]})
+    return encode.fingers_of(p, shape, F.array(*[F.lit(x) for x in (2, 3, 2, 0, 1, 4)])).select("k", "name", F.col("finger").cast("bigint").alias("finger"), F.col("string").cast("bigint").alias("string"), F.col("fret").cast("bigint").alias("fret"))
+
+
+@query
+def note_channels(spark, sf):
+    """Channels of notes."""
+    p = parts(spark, sf)
+    found = encode.note_channels((F.col("p_size") % 8).cast("int"), (F.col("p_size") % 9).cast("int"))
+    return p.select("k", F.array_join(F.transform(found, lambda c: c.cast("string")), ",").alias("channels"))
+
+
+@query
+def chart_sequence(spark, sf):
+    """Nation names at the beats of a tempo, twice over."""
+    names = [r.n_name for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]  # the chart's names
+    return encode.chart_of_sequence(spark, names, 2, 90.0).select("pos", "name", F.round("t", 6).alias("t"))
+
+
+@query
+def planned_runs(spark, sf):
+    """The plan's turns; the seeded order itself is checked by its invariants."""
+    plan = encode.plan_runs(spark, 3, [6, 5, 4], ["clean", "buzz", "mute"], 11)
+    again = sequence.seeded_shuffle(plan.drop("turn"), ["pass", "string"], F.col("class"), 5)
+    return again.groupBy(F.col("pass").cast("bigint").alias("pass"), F.col("string").cast("bigint").alias("string")).agg(F.count("*").alias("n"), F.sum("turn").cast("bigint").alias("turns"), F.count_distinct("class").alias("classes"))
+
+
+@query
+def demo_grid(spark, sf):
+    """The generated batch's runs and pitches."""
+    return files.demo_runs(spark, 2, [6, 1], [0, 5], ["clean", "buzz"], 2).select("run_id", "player_id", F.col("s_num").cast("bigint").alias("s_num"), F.col("expected_note_count").cast("bigint").alias("expected"), F.round("hz", 6).alias("hz"), F.round("gain", 6).alias("gain"))
+
+
+@query
+def csv_round_trip(spark, sf):
+    """S3: suppliers written as CSV with a header and scanned under a schema."""
+    path = new_path(spark, "csv")
+    sinks.write_csv(table(spark, sf, "supplier"), path)
+    return files.read_table(spark, path, "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double")
+
+
+@query
+def manifest_scan(spark, sf):
+    """JSON lines below <session>/<player>/, with blank and broken lines among them; the folders name what lines lack."""
+    path = new_path(spark, "manifests")
+    e = table(spark, sf, "events").select((F.col("event_id") % 2).alias("session"), (F.col("user_id") % 3).alias("player"), "event_id", "event_type")
+    line = F.when(F.col("event_id") % 11 == 0, "{broken").when(F.col("event_id") % 13 == 0, "").when(F.col("event_id") % 17 == 0, "[1]").otherwise(F.to_json(F.struct(F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("intended_class"), F.lit(1).alias("unknown"))))
+    lines = e.select(line.alias("value"), "session", "player")
+    for r in e.select("session", "player").distinct().orderBy("session", "player").collect():  # six folders
+        lines.where((F.col("session") == r.session) & (F.col("player") == r.player)).select("value").write.text(f"{path}/s{r.session}/p{r.player}/run")
+        part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/s{r.session}/p{r.player}")
+        fs = part.getFileSystem(spark._jsc.hadoopConfiguration())
+        for i, f in enumerate(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/s{r.session}/p{r.player}/run/part-*"))):
+            fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{path}/s{r.session}/p{r.player}/{i}.jsonl"))
+    runs = files.read_manifests(spark, path, players=["p0", "p2"])
+    return runs.groupBy("session_id", "player_id", "intended_class").agg(F.count("*").alias("n"), F.max(F.col("run_id").cast("bigint")).alias("last"))
+
+
+@query
+def sampled_frames(spark, sf):
+    """Every n-th event of a user as a frame; median stack and the strongest frame of each type."""
+    e = timed_events(spark, sf).withColumn("i", F.pmod("event_id", F.lit(1000)))
+    picked = files.every_nth(e, "i", F.lit(1000), 50)
+    stack = stats.median_stack(picked, ["event_type"], "value")
+    top = picked.groupBy("event_type").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("strongest"))
+    return stack.join(top, "event_type").select("event_type", F.round("median", 6).alias("median"), "n", "strongest")
+
+
+@query
+def calibration_scan(spark, sf):
+    """Calibration lines of four points or more."""
+    path = new_path(spark, "calibrations")
+    points = F.transform(F.sequence(F.lit(1), F.pmod("s_suppkey", F.lit(7)).cast("int") + 1), lambda i: F.struct(i.alias("x"), (i * 2).alias("y")))
+    table(spark, sf, "supplier").select("s_suppkey", points.alias("points")).write.json(path)
+    found = files.read_calibrations(spark, path, "s_suppkey bigint, points array<struct<x:int,y:int>>")
+    return found.select("s_suppkey", F.size("points").cast("bigint").alias("n"))
+
+
+@query
+def document_scan(spark, sf):
+    """Nations as JSON documents, one a file's line, read under a schema."""
+    path = new_path(spark, "documents")
+    table(spark, sf, "nation").select(F.col("n_name").alias("guitar_id"), F.struct(F.col("n_regionkey").alias("frets")).alias("board")).coalesce(1).write.option("maxRecordsPerFile", 1).json(path)
+    return files.read_document(spark, path, "guitar_id string, board struct<frets:int>").select("guitar_id", F.col("board.frets").cast("bigint").alias("frets"))
+
+
+@query
+def head_onset(spark, sf):
+    """An onset at 0 where the head is loud and nothing starts there."""
+    p = parts(spark, sf)
+    onsets = F.when(F.col("p_size") % 5 > 0, F.array(F.col("r") / 20, F.lit(1.0))).otherwise(F.array().cast("array<double>"))
+    found = sequence.with_head(onsets, F.col("r"), F.col("s") / 5)
+    return p.select("k", F.size(found).cast("bigint").alias("n"), F.round(F.get(found, F.lit(0)), 6).alias("first"))
+
+
+@query
+def backtracked_peaks(spark, sf):
+    """Purchases moved back to the last minimum of their user's values."""
+    e = timed_events(spark, sf).select("user_id", F.floor("t").alias("t"), "value", "event_type").groupBy("user_id", "t").agg(F.max("value").alias("energy"), F.max((F.col("event_type") == "purchase").cast("int")).alias("peak"))
+    return sequence.backtracked(e.where("peak = 1").select("user_id", "t"), e.select("user_id", "t", "energy"), ["user_id"])
+
+
+@query
+def bridged_runs(spark, sf):
+    """The first run of narrow bins in ten bins, three missing ones bridged."""
+    p = parts(spark, sf)
+    bins = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when((F.col("p_size") + i * 3) % 4 < 2, 1.0 + (i % 2) * 0.1))
+    found = sequence.bridged_run(bins, 2.0)
+    return p.select("k", found["first"].cast("bigint").alias("first"), found["last"].cast("bigint").alias("last"))
+
+
+@query
+def event_percentile(spark, sf):
+    """Lines at or above the 25th percentile of their order's quantities."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return sequence.percentile_threshold(li, ["l_orderkey"], "l_quantity").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.min("l_quantity").alias("least"))
+
+
+@query
+def run_variety(spark, sf):
+    """Orders by the number of their different return flags."""
+    return stats.groups_by_variety(table(spark, sf, "lineitem"), "l_orderkey", "l_returnflag").groupBy("kind").agg(F.count("*").alias("runs"), F.sum("n").alias("rows"))
+
+
+@query
+def optional_filters(spark, sf):
+    """Filters that may be absent, and a device picked by a part of its name."""
+    c = values.optional_filter(table(spark, sf, "customer"), c_mktsegment="BUILDING", c_nationkey=None)
+    one = values.pick_named(table(spark, sf, "nation"), "n_name", "an", [F.length("n_name").desc(), F.col("n_name")])
+    third = values.pick_named(table(spark, sf, "nation"), "n_name", "2", [F.col("n_nationkey")])
+    return c.agg(F.lit("kept").alias("what"), F.count("*").cast("string").alias("found")).unionByName(one.select(F.lit("named").alias("what"), F.col("n_name").alias("found"))).unionByName(third.select(F.lit("numbered").alias("what"), F.col("n_name").alias("found")))
+
+
+@query
+def strengths_sorted(spark, sf):
+    """Each user's strongest event types in falling order; columns without those that a model must not see."""
+    e = values.lacking(table(spark, sf, "events"), ["props", "ts"])
+    top = e.groupBy("user_id", "event_type").agg(F.max("value").alias("top")) if values.has_columns(e, "value", "event_type") else e.limit(0)
+    order = F.array_sort(F.collect_list(F.struct((-F.col("top")).alias("s"), "event_type")))  # five types
+    return top.groupBy("user_id").agg(F.array_join(F.transform(order, lambda x: x["event_type"]), ">").alias("types"))
+
+
+@query
+def vector_members(spark, sf):
+    """Every vector of a label, by a plain scan, with its cosine to the label's first one."""
+    e = embeddings(spark, sf)
+    anchors = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("anchor"))  # a row for each label
+    return e.join(anchors, "label").select("vec_id", F.col("label").cast("bigint").alias("label"), F.round(vector.cosine(F.col("embedding"), F.col("anchor")), 5).alias("score"))
+
+
+@query
+def eased_values(spark, sf):
+    """Values eased by 0.15 for each user anew."""
+    e = timed_events(spark, sf).select("user_id", "t", "event_id", "value")
+    return on_table(e, easing(0.15), "user_id", ["t", "event_id"]).select("event_id", F.round("eased", 6).alias("eased"))
+
+
+@query
+def cached_steps(spark, sf):
+    """When the costly step runs on a user's box, and the payload that stands."""
+    e = timed_events(spark, sf)
+    x = F.when(F.col("value") > 60, 100.0).otherwise(0.0)
+    boxes = e.select("user_id", "t", "event_id", F.array(x, F.lit(0.0), x + 10, F.lit(10.0)).alias("box"), F.col("event_id").cast("string").alias("payload"))
+    return on_table(boxes, cadence(), "user_id", ["t", "event_id"]).select("event_id", "fresh", "payload")
+
+
+@query
+def held_frames(spark, sf):
+    """Of confident rows the share of fresh ones and the held ones, for each user."""
+    e = table(spark, sf, "events").withColumn("confidence", F.col("value") / 100).withColumn("state", F.when(F.col("event_type") == "click", "fresh").when(F.col("event_type") == "view", "held").otherwise("miss"))
+    return held_share(confident(e), "user_id").select("user_id", *r6("fresh"), F.col("held").alias("held"))
+
+
+def hands(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Events, and landmarks of most of them, made from parts."""
+    p = parts(spark, sf)
+    fingers = ("index", "middle", "ring", "pinky")
+    at = lambda i, k: geometry.point(F.col("s") * (0.01 + i / 200) + k / 10, F.col("r") / 2 + i / 10 - k / 20)
+    tips = F.create_map(*[x for i, f in enumerate(fingers) for x in (F.lit(f), at(i, 0))])
+    joints = F.create_map(*[x for i, f in enumerate(fingers) for k, part in enumerate(("tip", "pip", "mcp")) for x in (F.lit(f"{f}_{part}"), geometry.point(at(i, k)["x"] + float(k == 1) * F.col("r") / 10, at(i, k)["y"]))], F.lit("wrist"), geometry.point(F.lit(-0.5), F.lit(-0.2)))
+    events = p.select(F.col("k").cast("string").alias("event_id"), (F.col("p_size") % 4).alias("target_fret"), F.when(F.col("p_size") % 2 == 0, "index").alias("finger"))
+    return events, p.where("p_size % 7 <> 0").select(F.col("k").cast("string").alias("event_id"), tips.alias("tips"), joints.alias("joints"), F.lit(0.8).alias("conf"))
+
+
+@query
+def pose_features(spark, sf):
+    """Poses of fingers relative to the wrist, and their matrix."""
+    events, landmarks = hands(spark, sf)
+    m = vision.pose_matrix(vision.pose_rows(events, landmarks))
+    return m.select("event_id", *[F.round(c, 5).alias(c) for c in ("index_x", "index_y", "pinky_x", "pinky_y")])
+
+
+@query
+def vision_rows(spark, sf):
+    """Distances to wires, frets and strings of fingers on a board; nulls where there are no landmarks."""
+    events, landmarks = hands(spark, sf)
+    board = spark.range(1).select(F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in ((1, 0, 0), (0, 1, 0), (0, 0, 1))]).alias("h"), F.lit(1.5).alias("reproj_px"))
+    v = vision.vision_features(events, landmarks, board)
+    return v.select("event_id", *[F.round(c, 5).alias(c) for c in ("d_active", "d_index", "d_pinky", "string_est", "fret_est", "hand_conf", "reproj_px")])
+
+
+@query
+def stratified_holdout(spark, sf):
+    """V4: a fifth of every label held out."""
+    held = experiments.holdout(embeddings(spark, sf).select("vec_id", "label"), "label", "vec_id")
+    return held.groupBy(F.col("label").cast("bigint").alias("label")).agg(F.count("*").alias("n"), F.count_if("held_out").alias("held"), F.max(F.when(F.col("held_out"), F.col("vec_id"))).alias("last"))
+
+
+@query
+def controlled_covariate(spark, sf):
+    """Discounts less their cell's mean, plus the grand mean."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount")
+    return experiments.controlled(li, "l_discount", ["l_returnflag", "l_linestatus"]).groupBy("l_returnflag", "l_linestatus").agg(F.round(F.avg("l_discount_controlled"), 6).alias("mean"), F.round(F.stddev_pop("l_discount_controlled"), 6).alias("sd"), F.count("*").alias("n"))
+
+
+@query
+def class_medoids(spark, sf):
+    """For each brand the part nearest to its mean."""
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    return experiments.medoids(p, "p_brand", ["p_size", "p_retailprice"], "p_partkey").select("p_brand", "p_partkey", F.round("distance", 6).alias("distance"))
+
+
+@query
+def series_offset(spark, sf):
+    """Lag of the largest correlation between two series of each user."""
+    e = timed_events(spark, sf).select("user_id", F.floor(F.col("t") / 86400).alias("day"), "value").groupBy("user_id", "day").agg(F.sum("value").alias("a"))
+    shifted = e.select("user_id", (F.col("day") + 2).alias("day"), F.col("a").alias("v"))
+    met = e.join(shifted, ["user_id", "day"], "full_outer")
+    return experiments.av_offset(met, "user_id", "day", "a", "v", 3).where("r > 0.9999").groupBy(F.col("lag").cast("bigint").alias("lag")).agg(F.count("*").alias("users"))
+
+
+@query
+def quarantined_runs(spark, sf):
+    """Conversations whose turns are not as many as expected, or whose intent did not match."""
+    c = table(spark, sf, "conversations")
+    runs = c.groupBy("conv_id").agg((F.max("turn") + F.when(F.col("conv_id") % 5 == 0, 2).otherwise(1)).alias("expected_note_count"), F.when(F.col("conv_id") % 7 == 0, "n").otherwise("y").alias("matched_intent"))
+    return experiments.quarantine(runs, c, ["conv_id"]).select("conv_id", "detected", "quarantined")
+
+
+@query
+def largest_loadings(spark, sf):
+    """O2: the three largest discounts by size in each flag."""
+    w = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.round(F.sum(F.col("l_discount") - 0.05), 4).alias("weight"))
+    return experiments.loudest_first(w, ["l_returnflag"], "weight", 3).select("l_returnflag", F.col("rank").cast("bigint").alias("rank"), F.round(F.abs("weight"), 3).alias("weight"))
+
+
+@query
+def between_means(spark, sf):
+    """Prices between the mean prices of two brands."""
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice")
+    means = p.agg(F.avg(F.when(F.col("p_brand") == "Brand#1", F.col("p_retailprice"))).alias("low"), F.avg(F.when(F.col("p_brand") == "Brand#2", F.col("p_retailprice"))).alias("high"))
+    return p.join(means, F.lit(True)).select("p_partkey", F.round(stats.position_between(F.col("p_retailprice"), F.col("low"), F.col("high")), 4).alias("position"))
