@@ -37,28 +37,38 @@ def stratified(df: DataFrame, label: str, key: str, most: int = 5, k: int | None
 
 
 def grouped(df: DataFrame, group: str, k: int) -> DataFrame:
-    """V3: ``fold`` of 0..k-1, whole groups in one fold, the largest groups first into the lightest folds.
+    """V3: ``fold`` of 0..k-1, whole groups in one fold, each group, the largest first, into the lightest fold.
 
-    Groups of one size are alike: k of them at a time go to the k folds, what is left over to
-    the lightest ones. So only the sizes are folded in order (there are few: n different ones
+    Groups of one size are alike, so it is enough to know how many of them each fold takes: folds below
+    the level that m groups of size n reach are filled up to it, the rest goes round in order of load.
+    Only the sizes are folded in order (there are few: n different ones
     need n * n / 2 rows), and a group's place among those of its size is a running total.
     """
     from tessera.plans import running_total
 
     sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
     listed = sizes.groupBy("__n").agg(F.count("*").alias("m")).agg(F.array_sort(F.collect_list(F.struct((-F.col("__n")).alias("neg"), "m"))).alias("sizes"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), k).alias("load"), F.array().cast("array<struct<n:bigint,whole:bigint,order:array<int>>>").alias("out"))
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(F.array_repeat(zero, k).alias("load"), F.array().cast("array<struct<n:bigint,takes:array<bigint>>>").alias("out"))
+    total = lambda xs: F.aggregate(xs, zero, lambda t, x: t + x)
 
     def deal(s: Column, c: Column) -> Column:
-        n, left = -c["neg"], c["m"] % k
-        order = F.transform(F.array_sort(F.transform(s["load"], lambda x, i: F.struct(x.alias("load"), i.alias("fold")))), lambda f: f["fold"])
-        load = F.transform(s["load"], lambda x, i: x + n * (F.floor(c["m"] / k) + (F.array_position(order, i) <= left).cast("bigint")))
-        return F.struct(load.alias("load"), F.concat(s["out"], F.array(F.struct(n.alias("n"), (c["m"] - left).alias("whole"), order.alias("order")))).alias("out"))
-
-    plan = listed.select(F.explode(F.aggregate("sizes", start, deal)["out"]).alias("c")).select(F.col("c.n").alias("__of"), "c.whole", "c.order")
+        n, m, load = -c["neg"], c["m"], s["load"]
+        upto = lambda level: F.transform(load, lambda x: F.greatest(F.ceil((level - x) / n), zero))
+        level = F.array_max(F.filter(load, lambda x: total(upto(x)) <= m))
+        filled = F.zip_with(load, upto(level), lambda x, t: F.struct((x <= level).alias("open"), (x + n * t).alias("load"), t.alias("t")))
+        turns = F.filter(F.transform(filled, lambda f, i: F.struct(f["open"].alias("open"), f["load"].alias("load"), i.alias("i"))), lambda f: f["open"])
+        rest = m - total(F.transform(filled, lambda f: f["t"]))
+        place = lambda i: F.array_position(F.transform(F.array_sort(turns), lambda f: f["i"]), i)
+        more = lambda f, i: F.when(f["open"], F.floor(rest / F.size(turns)) + (place(i) <= rest % F.size(turns)).cast("bigint")).otherwise(zero)
+        takes = F.transform(filled, lambda f, i: f["t"] + more(f, i))
+        return F.struct(F.zip_with(load, takes, lambda x, t: x + n * t).alias("load"), F.concat(s["out"], F.array(F.struct(n.alias("n"), takes.alias("takes")))).alias("out"))
+
+    plan = listed.select(F.explode(F.aggregate("sizes", start, deal)["out"]).alias("c"))
+    ends = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: total(F.slice("c.takes", F.lit(1), i)))
+    plan = plan.select(F.col("c.n").alias("__of"), ends.alias("ends"))
     ranked = running_total(sizes, ["__n"], F.xxhash64(F.col(group)), [group], F.lit(1), "__rank", 64)
-    at = F.when(F.col("__rank") < F.col("whole"), F.pmod("__rank", F.lit(k)).cast("int")).otherwise(F.get("order", (F.col("__rank") - F.col("whole")).cast("int")))
-    folds = ranked.join(plan, F.col("__n") == F.col("__of")).select(group, at.alias("fold"))
+    folds = ranked.join(plan, F.col("__n") == F.col("__of")).select(group, F.size(F.filter("ends", lambda e: e <= F.col("__rank"))).cast("int").alias("fold"))
     return df.join(folds, group)
 
 

@@ -265,10 +265,10 @@ SELECT event_id, max(ts - rn) OVER (PARTITION BY user_id ORDER BY rn) + rn AS ts
 s AS (SELECT user_id, rn, [t] AS kept FROM e WHERE rn = 1
   UNION ALL SELECT e.user_id, e.rn, CASE WHEN len(s.kept) < 12 AND len(list_filter(s.kept, lambda x: abs(x - e.t) < 43200)) = 0 THEN list_append(s.kept, e.t) ELSE s.kept END FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1)
 SELECT user_id, unnest(kept) AS onset FROM s WHERE (user_id, rn) IN (SELECT user_id, max(rn) FROM e GROUP BY 1)""",
-    "group_kfold": """WITH RECURSIVE c AS (SELECT n, count(*) AS m, row_number() OVER (ORDER BY n DESC) AS i FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) GROUP BY n),
+    "group_kfold": """WITH RECURSIVE c AS (SELECT count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, o_custkey) AS i FROM orders GROUP BY o_custkey),
 s AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS load, [0, 0, 0, 0, 0]::BIGINT[] AS held
-  UNION ALL SELECT c.i, list_transform(taken, lambda x, f: load[f] + c.n * x), list_transform(taken, lambda x, f: held[f] + x)
-  FROM (SELECT s.*, c.i AS j, list_transform(s.load, lambda x, f: c.m // 5 + CAST(len(list_filter(s.load, lambda y, g: y < x OR (y = x AND g < f))) < c.m % 5 AS BIGINT)) AS taken FROM s JOIN c ON c.i = s.i + 1) q JOIN c ON c.i = q.j)
+  UNION ALL SELECT i, list_transform(load, lambda x, f: x + CASE WHEN f = lightest THEN n ELSE 0 END), list_transform(held, lambda x, f: x + CASE WHEN f = lightest THEN 1 ELSE 0 END)
+  FROM (SELECT c.i, c.n, s.load, s.held, list_position(s.load, list_min(s.load)) AS lightest FROM s JOIN c ON c.i = s.i + 1))
 SELECT f - 1 AS fold, load[f] AS n, held[f] AS customers FROM (SELECT * FROM s ORDER BY i DESC LIMIT 1) CROSS JOIN range(1, 6) r(f)""",
     "held_frames": "SELECT user_id, round(avg((event_type = 'click')::INT), 6) AS fresh, count(*) FILTER (event_type = 'view') AS held FROM events WHERE value / 100 >= 0.3 GROUP BY 1",
     "pose_features": _HANDS
