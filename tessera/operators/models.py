@@ -6,8 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml import Estimator
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -193,14 +195,91 @@ def bimodality(df: DataFrame, value: str, rounds: int = 60) -> dict[str, float |
     return {"bic_1": bic[0], "bic_2": bic[1], "least_weight": min(weights), "separation": apart, "bimodal": bool(bic[0] - bic[1] > 6 and min(weights) > 0.15 and apart > 1)}
 
 
-def forest_out_of_fold(df: DataFrame, label: str, features: Sequence[str], key: str, trees: int = 100, depth: int = 8, seed: int = 7) -> DataFrame:
-    """M6, V5: out-of-fold predictions of a random forest with balanced class weights; labels are integers from 0."""
+def pairwise_out_of_fold(df: DataFrame, label: str, features: Sequence[str], key: str) -> DataFrame:
+    """V6: (key, fold, class_a, class_b, label, score): each row on the axis of every pair of classes that it belongs to.
+
+    For each fold and pair (a before b) a fresh discriminant of two classes learns from the other folds' rows of these
+    two; a pair that lacks a class there is skipped. Scores have the training rows' weighted mean at 0, a spread of 1
+    within the classes, and b on the positive side. Two aggregates serve all folds and pairs; the axes (folds x pairs
+    rows) are sent to the rows. A row with a missing feature has no score.
+    """
+    whole = gather_moments(df, label, features)
+    parts = gather_moments(df.withColumn("__fc", F.struct("fold", F.col(label).alias("c"))).where(F.col(label).isNotNull()), "__fc", features)
+    axes = []
+    for fold in sorted({c["fold"] for c in parts.classes}):
+        at = [k for k, c in enumerate(parts.classes) if c["fold"] == fold]
+        train = less(whole, Moments([parts.classes[k]["c"] for k in at], parts.n[at], parts.mean[at], parts.scatter[at]))
+        for i in range(len(train.classes)):
+            for j in range(i + 1, len(train.classes)):
+                within = (train.scatter[i] + train.scatter[j]) / max(train.n[i] + train.n[j] - 2, 1)
+                gap = train.mean[j] - train.mean[i]
+                axis = np.linalg.pinv(within, hermitian=True) @ gap
+                axis = axis / max(np.sqrt(max(axis @ gap, 0)), 1e-12)
+                centre = (train.n[i] * train.mean[i] + train.n[j] * train.mean[j]) / (train.n[i] + train.n[j])
+                axes.append((fold, train.classes[i], train.classes[j], axis.tolist(), float(axis @ centre)))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    table = df.sparkSession.createDataFrame(axes, f"__fold {kinds['fold']}, class_a {kinds[label]}, class_b {kinds[label]}, axis array<double>, bias double")
+    met = df.join(table, (F.col("fold") == F.col("__fold")) & ((F.col(label) == F.col("class_a")) | (F.col(label) == F.col("class_b"))))
+    score = sum((F.col("axis")[i] * F.col(f) for i, f in enumerate(features)), -F.col("bias"))
+    return met.select(key, "fold", "class_a", "class_b", F.col(label).alias("label"), score.alias("score")).where("score is not null")
+
+
+def pairwise_dprime(scores: DataFrame) -> DataFrame:
+    """V6, A4: (class_a, class_b, n, dprime) of the scores of all folds together; null without spread."""
+    a, b = (F.when(F.col("label") == F.col(c), F.col("score")) for c in ("class_a", "class_b"))
+    spread = F.sqrt(0.5 * (F.coalesce(F.var_samp(a), F.lit(0.0)) + F.coalesce(F.var_samp(b), F.lit(0.0))))
+    return scores.groupBy("class_a", "class_b").agg(F.count("score").alias("n"), F.when(spread >= 1e-12, F.abs(F.avg(a) - F.avg(b)) / spread).alias("dprime"))
+
+
+def third_axis(scalings: np.ndarray) -> int:
+    """M5: of the principal axes (rows, the widest first) the one to show beside the discriminant's axes (columns).
+
+    Each is charged its rank, and its length in the discriminant relative to the longest times their number; the least charge, the first of equals.
+    """
+    use = np.linalg.norm(scalings, axis=1)
+    return int(np.argmin(np.arange(len(use)) + use / (use.max() + 1e-12) * len(use)))
+
+
+def view_axes(df: DataFrame, label: str, features: Sequence[str], keep: float | int = 0.95) -> tuple[DataFrame, int]:
+    """M5, O1: ``df`` with columns view1, view2 (discriminant axes) and view3 (a principal axis), and that axis's number from 0."""
+    main = pca(df, features, keep)
+    names = [f"__pc{k + 1}" for k in range(main.axes.shape[1])]
+    placed = df.select("*", *main.columns("__pc"))
+    axes = lda(gather_moments(placed, label, names), names).axes
+    axes = Projection(names, axes.centre, axes.axes[:, :2], axes.share[:2])
+    third = third_axis(axes.axes)
+    return placed.select(*df.columns, *axes.columns("view"), F.col(names[third]).alias("view3")), third
+
+
+def out_of_fold(df: DataFrame, label: str, features: Sequence[str], key: str, learner: Estimator) -> DataFrame:
+    """V5: (key, fold, truth, guess): each fold's rows as predicted by ``learner`` fitted on the rows of all other folds.
+
+    ``learner`` reads the columns features and ``label``, and __w, the reciprocal size of the row's class. Rows with a missing feature are left out.
+    """
     rows = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
-    counts = rows.groupBy(label).agg(F.count("*").alias("__n"))
-    weighted = rows.join(counts, label).withColumn("__w", F.lit(1.0) / F.col("__n"))
+    counts = rows.groupBy(label).agg((F.lit(1.0) / F.count("*")).alias("__w"))
+    weighted = rows.join(counts, label)
     out = None
     for r in df.select("fold").distinct().orderBy("fold").collect():  # a handful
-        model = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="__w", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed).fit(weighted.where(F.col("fold") != r.fold))
-        part = model.transform(rows.where(F.col("fold") == r.fold)).select(key, "fold", F.col(label).alias("truth"), F.col("prediction").cast("int").alias("guess"))
+        model = learner.fit(weighted.where(F.col("fold") != r.fold))
+        part = model.transform(rows.where(F.col("fold") == r.fold)).select(key, "fold", F.col(label).alias("truth"), F.col("prediction").alias("guess"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def forest_out_of_fold(df: DataFrame, label: str, features: Sequence[str], key: str, trees: int = 300, depth: int = 20, bins: int = 64, seed: int = 7) -> DataFrame:
+    """M6, V5: out-of-fold predictions of a random forest with balanced class weights; labels are integers from 0. Leaves hold two rows or more."""
+    learner = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="__w", numTrees=trees, maxDepth=depth, maxBins=bins, minInstancesPerNode=2, seed=seed)
+    return out_of_fold(df, label, features, key, learner).withColumn("guess", F.col("guess").cast("int"))
+
+
+def forest_values_out_of_fold(df: DataFrame, target: str, features: Sequence[str], key: str, trees: int = 300, depth: int = 20, bins: int = 64, seed: int = 7) -> DataFrame:
+    """M6, V5: the same with a forest that predicts numbers."""
+    return out_of_fold(df, target, features, key, RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, maxBins=bins, minInstancesPerNode=2, seed=seed))
+
+
+def perceptron_out_of_fold(df: DataFrame, label: str, features: Sequence[str], key: str, hidden: Sequence[int] = (128, 64), rounds: int = 200, seed: int = 7) -> DataFrame:
+    """M7, V5: out-of-fold predictions of a perceptron with hidden layers; labels are integers from 0, features ought to be z-scores."""
+    classes = (df.agg(F.max(label)).first()[0] or 0) + 1
+    learner = MultilayerPerceptronClassifier(featuresCol="features", labelCol=label, layers=[len(features), *hidden, max(classes, 2)], maxIter=rounds, seed=seed)
+    return out_of_fold(df, label, features, key, learner).withColumn("guess", F.col("guess").cast("int"))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.values import two_sided_p
+
 _TINY = 1e-12
 
 
@@ -153,14 +155,14 @@ def ks_two_sample(df: DataFrame, value: str, is_a: Column, by: Sequence[str] = (
 
 
 def mann_whitney(df: DataFrame, value: str, is_a: Column, by: Sequence[str] = ()) -> DataFrame:
-    """U of sample a and z by the normal approximation with tie correction and continuity correction."""
+    """U of sample a, and z and two-sided p by the normal approximation with tie correction and continuity correction."""
     t = value_table(df, value, is_a, by)
     n = F.col("n_a") + F.col("n_b")
     ties = F.col("a") + F.col("b")
     s = t.groupBy(*by).agg(F.sum(F.col("a") * (F.col("b_below") + 0.5 * F.col("b"))).alias("u"), F.sum(ties.cast("double") ** 3 - ties).alias("ties"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     product = F.col("n_a").cast("double") * F.col("n_b")
     sigma = F.sqrt(product / 12 * ((n + 1) - F.col("ties") / F.nullif(n * (n - 1), F.lit(0))))
-    return s.withColumn("z", (F.abs(F.col("u") - product / 2) - 0.5) / F.nullif(sigma, F.lit(0.0))).drop("ties")
+    return s.withColumn("z", (F.abs(F.col("u") - product / 2) - 0.5) / F.nullif(sigma, F.lit(0.0))).withColumn("p", two_sided_p(F.col("z"))).drop("ties")
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, by: Sequence[str] = ()) -> DataFrame:
@@ -193,9 +195,15 @@ def position_between(x: Column, low_mean: Column, high_mean: Column) -> Column:
 
 
 def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Interpolated quantiles, null and NaN left out."""
-    x = F.nanvl(F.col(value).cast("double"), F.lit(None))
-    return df.groupBy(*by).agg(*[F.percentile(x, q).alias(f"p{round(q * 100)}") for q in shares])
+    """Interpolated quantiles, null and NaN left out; a group without a value has no row (without ``by``: one row of nulls).
+
+    Read off the running counts of ``value_table``, so that no task holds all values of a group.
+    """
+    t = value_table(df, value, F.lit(True), by)
+    place = lambda q: q * (F.col("n_a") - 1)
+    at = lambda rank: F.max(F.when((F.col("a_below") <= rank) & (rank < F.col("a_below") + F.col("a")), F.col("value")))
+    found = t.groupBy(*by).agg(*[c for i, q in enumerate(shares) for c in (at(F.floor(place(q))).alias(f"__lo{i}"), at(F.ceil(place(q))).alias(f"__hi{i}"), F.max(place(q) - F.floor(place(q))).alias(f"__f{i}"))])
+    return found.select(*by, *[(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__f{i}")).alias(f"p{round(q * 100)}") for i, q in enumerate(shares)])
 
 
 def slope(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:

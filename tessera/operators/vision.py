@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -89,11 +91,11 @@ def reprojection(h: np.ndarray, board: np.ndarray, image: np.ndarray) -> np.ndar
     return np.hypot(*(p[:, :2] / p[:, 2:] - image).T)
 
 
-def registrations(points: DataFrame, most_px: float = 6.0, least_frets: int = 4) -> DataFrame:
+def registrations(points: DataFrame, most_px: float = 6.0, least_frets: int = 4, robust: bool = False) -> DataFrame:
     """A homography a frame from wire points (frame, fret, side 0 or 1, x, y).
 
     Wires may be counted from 0, 1 or 2; the count with the least median error wins, the first of equals. stage:
-    too_few_frets, fit (the error exceeds ``most_px``) or ok.
+    too_few_frets, fit (the error exceeds ``most_px``) or ok. ``robust``: points far off are left out of the fit.
     """
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -104,7 +106,7 @@ def registrations(points: DataFrame, most_px: float = 6.0, least_frets: int = 4)
         best = None
         for nut in range(3):
             board = np.c_[1 - 2.0 ** (-(rows["fret"].to_numpy(float) + nut) / 12), rows["side"].to_numpy(float)]
-            h = fit_homography(board, image)
+            h = robust_homography(board, image, most_px) if robust else fit_homography(board, image)
             error = float(np.median(reprojection(h, board, image)))
             if best is None or error < best[0]:
                 best = (error, nut, h)
@@ -115,35 +117,78 @@ def registrations(points: DataFrame, most_px: float = 6.0, least_frets: int = 4)
     return points.groupBy("frame").applyInPandas(solve, f"frame {kind}, stage string, n_frets int, nut int, residual_px double, h array<array<double>>")
 
 
-def fit_law(places: np.ndarray, most: int = 15, tolerance: float = 0.02) -> tuple[float, float, int, float]:
-    """(nut, scale, inliers, residual) of wire places along a line under x = nut + scale * (1 - 2^(-n / 12)).
+#: Fixed values of the law fit: wires counted, least wires, least range and distance of two anchors, least tolerance, share of the range tolerated, residual (in scales) that costs half of the quality.
+WIRES, LEAST_WIRES, LEAST_RANGE, LEAST_APART, LEAST_OFF, OFF_SHARE, HALF_OFF = 14, 5, 10.0, 8.0, 5.0, 0.05, 0.020
+
 
-    Every two places are tried as every two wires; most inliers win, then the least residual.
+def fit_law(places: np.ndarray) -> dict[str, float] | None:
+    """Nut, scale, sign and fit of wire places under x = nut + sign * scale * (1 - 2^(-n / 12)); None if too few wires fit.
+
+    Any two places can be two wires up to four numbers apart, the lower of them among the first four, with the nut at
+    either end. All these laws are scored at once: wires met, less 1.3 for each number skipped between them, less the mean distance in
+    tolerances. A wire met by several places keeps the nearest.
     """
-    places = np.sort(np.unique(np.round(places, 6)))
-    fractions = 1 - 2.0 ** (-np.arange(most + 1) / 12)
-    best = (0.0, 0.0, 0, float("inf"))
-    for i in range(len(places)):
-        for j in range(i + 1, len(places)):
-            for a in range(most):
-                for b in range(a + 1, most + 1):
-                    scale = (places[j] - places[i]) / (fractions[b] - fractions[a])
-                    nut = places[i] - scale * fractions[a]
-                    off = np.abs(places[:, None] - (nut + scale * fractions)[None, :]).min(axis=1) / scale
-                    inliers, residual = int((off <= tolerance).sum()), float(off[off <= tolerance].mean()) if (off <= tolerance).any() else 1.0
-                    if (inliers, -residual) > (best[2], -best[3]):
-                        best = (float(nut), float(scale), inliers, residual)
-    return best
+    places = np.unique(np.round(np.asarray(places, float), 1))
+    reach = float(np.ptp(places)) if len(places) else 0.0
+    if len(places) < LEAST_WIRES or reach < LEAST_RANGE:
+        return None
+    tolerance = max(LEAST_OFF, OFF_SHARE * reach)
+    fractions = 1 - 2.0 ** (-np.arange(WIRES + 1) / 12)
+    low, high = np.nonzero(np.triu(places[None, :] - places[:, None] >= LEAST_APART, 1))
+    lower, step, sign = (x.ravel() for x in np.meshgrid(np.arange(4), np.arange(1, 5), [1.0, -1.0], indexing="ij"))
+    near = np.where(sign > 0, places[low][:, None], places[high][:, None])  # the anchor that lies nearer to the nut
+    scale = ((places[high] - places[low])[:, None] / (fractions[lower + step] - fractions[lower])[None, :]).ravel()
+    sign = np.broadcast_to(sign, near.shape).ravel()
+    nut = near.ravel() - sign * scale * np.broadcast_to(fractions[lower], near.shape).ravel()
+    best = None
+    for at in np.array_split(np.arange(len(nut)), max(1, len(nut) // 2000)):
+        off = np.abs(places[None, :, None] - (nut[at, None] + (sign * scale)[at, None] * fractions)[:, None, :])
+        own = off.argmin(axis=2)[:, :, None] == np.arange(WIRES + 1)  # a place belongs to its nearest wire
+        least = np.where(own & (off <= tolerance), off, np.inf).min(axis=1)
+        met = np.isfinite(least)
+        count = met.sum(axis=1)
+        gaps = np.where(count > 0, WIRES + 1 - met[:, ::-1].argmax(axis=1) - met.argmax(axis=1) - count, 0)
+        residual = np.where(met, least, 0).sum(axis=1) / np.maximum(count, 1)
+        score = np.where(count >= LEAST_WIRES, np.round(count - 1.3 * gaps - residual / tolerance, 4), -np.inf)
+        k = int(score.argmax())
+        if np.isfinite(score[k]) and (best is None or score[k] > best[0]):
+            best = (score[k], at[k], int(count[k]), int(gaps[k]), float(residual[k]))
+    if best is None:
+        return None
+    _, k, count, gaps, residual = best
+    quality = float(np.clip(count / 8 - 0.1 * gaps - residual / max(scale[k], 1.0) / HALF_OFF / 2, 0, 1))
+    return {"nut": float(nut[k]), "scale": float(scale[k]), "sign": float(sign[k]), "fret7": float(nut[k] + sign[k] * scale[k] * fractions[7]), "inliers": count, "gaps": gaps, "residual": residual, "quality": quality}
 
 
 def laws(wires: DataFrame) -> DataFrame:
-    """The law of every frame's wire places (frame, u)."""
+    """The law of every frame's wire places (frame, u); a frame in which too few wires fit has nulls."""
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *fit_law(rows["u"].to_numpy(float)))], columns=["frame", "nut", "scale", "inliers", "residual"])
+        found = fit_law(rows["u"].dropna().to_numpy(float)) or {}
+        return pd.DataFrame([(key[0], *[found.get(n) for n in names])], columns=["frame", *names])
 
+    names = ["nut", "scale", "sign", "fret7", "inliers", "gaps", "residual", "quality"]
     kind = dict(wires.dtypes)["frame"]
-    return wires.groupBy("frame").applyInPandas(solve, f"frame {kind}, nut double, scale double, inliers int, residual double")
+    return wires.groupBy("frame").applyInPandas(solve, f"frame {kind}, nut double, scale double, sign double, fret7 double, inliers int, gaps int, residual double, quality double")
+
+
+def robust_homography(board: np.ndarray, image: np.ndarray, most_px: float = 6.0, draws: int = 200, seed: int = 7) -> np.ndarray:
+    """The least-squares matrix of the points that agree, within ``most_px``, with the four points most agree with.
+
+    All fours are tried if there are no more than ``draws`` of them, else so many seeded draws.
+    """
+    fours = list(itertools.islice(itertools.combinations(range(len(board)), 4), draws + 1))
+    if len(fours) > draws:
+        rng = np.random.default_rng(seed)
+        fours = [rng.choice(len(board), 4, replace=False) for _ in range(draws)]
+    best = np.zeros(len(board), bool)
+    for four in map(list, fours):
+        with np.errstate(all="ignore"):
+            h = fit_homography(board[four], image[four])
+            agree = reprojection(h, board, image) <= most_px if np.isfinite(h).all() else best
+        if agree.sum() > best.sum():
+            best = agree
+    return fit_homography(board[best], image[best]) if best.sum() >= 4 else fit_homography(board, image)
 
 
 def twin(registered: DataFrame, by: str) -> DataFrame:

@@ -128,8 +128,10 @@ SELECT user_id, event_type AS majority, n FROM r WHERE rn = 1""",
     "ks_two_sample": _TWO + _TABLE + " SELECT round(max(abs((a_below + a) / n_a::DOUBLE - (b_below + b) / n_b::DOUBLE)), 6) AS ks, CAST(max(n_a) AS BIGINT) AS n_a, CAST(max(n_b) AS BIGINT) AS n_b FROM t",
     "mann_whitney_u": _TWO
     + _TABLE
-    + """, u AS (SELECT sum(a * (b_below + 0.5 * b))::DOUBLE AS u, sum((a + b)::DOUBLE ** 3 - (a + b)) AS ties, max(n_a)::DOUBLE AS p, max(n_b)::DOUBLE AS q FROM t)
-SELECT round(u, 6) AS u, round((abs(u - p * q / 2) - 0.5) / sqrt(p * q / 12 * ((p + q + 1) - ties / ((p + q) * (p + q - 1)))), 6) AS z FROM u""",
+    + """, u AS (SELECT sum(a * (b_below + 0.5 * b))::DOUBLE AS u, sum((a + b)::DOUBLE ** 3 - (a + b)) AS ties, max(n_a)::DOUBLE AS p, max(n_b)::DOUBLE AS q FROM t),
+z AS (SELECT u, (abs(u - p * q / 2) - 0.5) / sqrt(p * q / 12 * ((p + q + 1) - ties / ((p + q) * (p + q - 1)))) AS z FROM u), h AS (SELECT u, z, greatest(z, 0) / sqrt(2) AS x FROM z)
+SELECT round(u, 6) AS u, round(z, 6) AS z, round(CASE WHEN x < 2 THEN 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 61), lambda n: (-1) ** n * x ** (2 * n + 1) / (gamma(n + 1.0) * (2 * n + 1))))
+  ELSE exp(-x * x) / (sqrt(pi()) * list_reduce(list_transform(range(60, 0, -1), lambda n: n::DOUBLE), lambda t, n: x + n / 2 / t, x)) END, 6) AS p FROM h""",
     "hist_fixed": "SELECT event_type, CAST(least(floor(value / 25), 19) AS BIGINT) AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 500 GROUP BY 1, 2",
     "overlap_coef": """WITH sp AS (SELECT event_type AS l, min(value) AS lo, max(value) AS hi, count(value) AS n FROM events GROUP BY 1),
 p AS (SELECT a.l AS class_a, b.l AS class_b, least(a.lo, b.lo) AS lo, greatest(a.hi, b.hi) AS hi, a.n AS na, b.n AS nb FROM sp a JOIN sp b ON a.l < b.l),
@@ -291,3 +293,20 @@ SELECT l_returnflag, rank, round(abs(w), 3) AS weight FROM r WHERE rank <= 3""",
     "between_means": """WITH m AS (SELECT avg(p_retailprice) FILTER (p_brand = 'Brand#1') AS lo, avg(p_retailprice) FILTER (p_brand = 'Brand#2') AS hi FROM part)
 SELECT p_partkey, round(CASE WHEN abs(hi - lo) > 1e-12 THEN (p_retailprice - lo) / (hi - lo) END, 4) AS position FROM part, m""",
 }
+
+_TONES = "SELECT s_suppkey::BIGINT AS k, (s_suppkey % 45 + 45)::BIGINT AS midi FROM supplier"
+ORACLES |= {
+    "forest_values": "SELECT p_partkey % 3 AS fold, count(*) AS n, true AS close FROM part GROUP BY 1",
+    "perceptron": "SELECT p_partkey % 3 AS fold, count(*) AS n, true AS accurate FROM part GROUP BY 1",
+    "pairwise_axis": """WITH r AS (SELECT l_returnflag AS c, l_quantity::DOUBLE AS x, l_discount::DOUBLE AS y, l_orderkey % 5 AS f FROM lineitem), fo AS (SELECT DISTINCT f FROM r),
+m AS (SELECT fo.f, r.c, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS sxx, var_pop(y) * count(*) AS syy, covar_pop(x, y) * count(*) AS sxy FROM fo JOIN r ON r.f <> fo.f GROUP BY 1, 2),
+p AS (SELECT a.f, a.c AS ca, b.c AS cb, (a.sxx + b.sxx) / (a.n + b.n - 2) AS vx, (a.syy + b.syy) / (a.n + b.n - 2) AS vy, (a.sxy + b.sxy) / (a.n + b.n - 2) AS vxy, b.mx - a.mx AS dx, b.my - a.my AS dy,
+  (a.n * a.mx + b.n * b.mx) / (a.n + b.n) AS gx, (a.n * a.my + b.n * b.my) / (a.n + b.n) AS gy FROM m a JOIN m b ON a.f = b.f AND a.c < b.c),
+w AS (SELECT *, (vy * dx - vxy * dy) / (vx * vy - vxy * vxy) AS ux, (vx * dy - vxy * dx) / (vx * vy - vxy * vxy) AS uy FROM p),
+s AS (SELECT ca, cb, c, ((x - gx) * ux + (y - gy) * uy) / sqrt(ux * dx + uy * dy) AS z FROM w JOIN r ON r.f = w.f AND (c = ca OR c = cb))
+SELECT ca AS class_a, cb AS class_b, count(*) AS n, round(abs(avg(z) FILTER (c = ca) - avg(z) FILTER (c = cb)) / sqrt((var_samp(z) FILTER (c = ca) + var_samp(z) FILTER (c = cb)) / 2), 6) AS dprime FROM s GROUP BY 1, 2""",
+    "tone_features": f"SELECT k, midi, true AS level, true AS crossings, true AS in_tune, true AS tonal, true AS dark, 1.0::DOUBLE AS chroma_peak, true AS harmonic, true AS cepstrum FROM ({_TONES})",
+    "tone_residuals": f"SELECT k, k % 2 = 0 AS expected FROM ({_TONES})",
+    "tone_onsets": f"SELECT k, true AS in_time FROM ({_TONES})",
+    "wire_laws": "SELECT s_suppkey AS frame, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE -1 END::BIGINT AS sign, 10::BIGINT AS inliers, 1::BIGINT AS gaps, true AS nut_found FROM supplier",
+}

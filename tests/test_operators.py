@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.values import two_sided_p
 from tessera.operators import audit, encode, folds, joins, models, retrieve, sequence, stats
 from tessera.plans import connected_components, materialise, running_total, settled, workspace
 from tessera.queries import QUERIES
@@ -200,3 +201,42 @@ def test_notes_of_whole_turns(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id string, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = sorted((r.event, r.string, r.fret, r.n) for r in QUERIES["unnest_notes"](spark, str(tmp_path)).collect())
     assert got == [(0, 2, 1, 1), (0, 3, 2, 2), (1, 2, 1, 1)]
+
+
+def test_two_sided_p(spark):
+    import math
+
+    zs = [-3.0, 0.0, 0.3, 1.0, 1.96, 2.8, 2.9, 5.0, 12.0, 30.0, 300.0, None]
+    got = [r.p for r in spark.createDataFrame([(z,) for z in zs], "z double").select(two_sided_p(F.col("z")).alias("p")).collect()]
+    assert got.pop() is None and got[0] == 1
+    for z, p in zip(zs[1:], got[1:], strict=False):
+        assert p == pytest.approx(math.erfc(z / 2**0.5), rel=1e-9, abs=1e-300)
+
+
+def test_pairwise_axes_learn_from_other_folds_only(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "abc"[i % 3], i // 3 % 4, *map(float, rng.normal(i % 3, 1, 2))) for i in range(120)]
+    rows += [(200, "d", 0, 1.0, 2.0), (201, "a", 1, None, 2.0)]  # d is in fold 0 alone: no axis is left for it there
+    got = models.pairwise_out_of_fold(spark.createDataFrame(rows, "id int, c string, fold int, x double, y double"), "c", ["x", "y"], "id").collect()
+    assert not [r for r in got if r.id in (200, 201)]
+    for fold, a, b in [(0, "a", "b"), (3, "b", "c")]:
+        part = {k: np.array([r[3:] for r in rows[:120] if r[1] == k and r[2] != fold]) for k in (a, b)}
+        within = sum((v - v.mean(0)).T @ (v - v.mean(0)) for v in part.values()) / (sum(map(len, part.values())) - 2)
+        axis = np.linalg.solve(within, part[b].mean(0) - part[a].mean(0))
+        axis /= np.sqrt(axis @ within @ axis)
+        want = {r[0]: (np.array(r[3:]) - np.concatenate(list(part.values())).mean(0)) @ axis for r in rows[:120] if r[2] == fold and r[1] in (a, b)}
+        found = {r.id: r.score for r in got if (r.fold, r.class_a, r.class_b) == (fold, a, b)}
+        assert found == pytest.approx(want)
+
+
+def test_third_axis_is_wide_and_unused():
+    assert models.third_axis(np.array([[3.0, 0.0], [0.1, 0.0], [0.0, 0.0]])) == 1
+    assert models.third_axis(np.array([[0.0, 0.0], [2.0, 2.0]])) == 0
+
+
+def test_quantiles_of_groups(spark):
+    rows = [("a", v) for v in (4.0, 1.0, 1.0, None, float("nan"), 10.0)] + [("b", None), ("c", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.p25, r.p50) for r in stats.quantiles(df, "v", [0.25, 0.5], ["g"]).collect()}
+    assert got == {"a": (1.0, 2.5), "c": (2.0, 2.0)}
+    assert stats.quantiles(df.where("g = 'b'"), "v", [0.5]).first().p50 is None

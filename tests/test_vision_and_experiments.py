@@ -39,9 +39,22 @@ def test_registrations_and_twin(spark):
 
 
 def test_law():
-    places = 40 + 500 * (1 - 2.0 ** (-np.array([1, 2, 3, 5, 7]) / 12))
-    nut, scale, inliers, residual = vision.fit_law(np.append(places, 47.0))
-    assert inliers >= 5 and residual < 0.02
+    places = 900 * (1 - 2.0 ** (-np.array([0, 1, 2, 3, 5, 6, 7, 8, 9, 10]) / 12))
+    for sign in (1, -1):
+        got = vision.fit_law(40 + sign * places)
+        assert got["sign"] == sign and abs(got["nut"] - 40) < 3 and abs(got["scale"] - 900) < 20 and (got["inliers"], got["gaps"]) == (10, 1)
+        assert got["residual"] < 3 and 0 < got["quality"] <= 1
+    assert vision.fit_law(np.array([1.0, 2.0, 3.0])) is None and vision.fit_law(np.zeros(0)) is None
+
+
+def test_robust_homography_leaves_wild_points_out():
+    board = board_points()
+    image = in_image(board)
+    image[3] += 90
+    image[8] -= 70
+    good = np.delete(np.arange(len(board)), [3, 8])
+    assert vision.reprojection(vision.robust_homography(board, image), board, image)[good].max() < 1e-6
+    assert vision.reprojection(vision.fit_homography(board, image), board, image)[good].max() > 1
 
 
 def test_hand_features(spark):
