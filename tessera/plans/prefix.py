@@ -34,6 +34,7 @@ def running_total(
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     inside = Window.partitionBy(*keys, "__bin").orderBy("__ord", *ties).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = tagged.withColumn("__before", F.coalesce(F.sum("__val").over(inside), F.lit(0)))
+    dealt = tagged.repartition(*keys, "__bin")  # rows that already lie by ``keys`` would otherwise stay there, whole groups in a task
+    ranked = dealt.withColumn("__before", F.coalesce(F.sum("__val").over(inside), F.lit(0)))
     joined = ranked.join(starts, same, "inner").withColumn(out, F.col("__start") + F.col("__before"))
     return joined.drop("__bin", "__ord", "__val", "__before", "__start", "__b", *[f"__k_{k}" for k in keys])
