@@ -85,10 +85,10 @@ class PatriciaTrie:
             node, at = kid, at + len(kid.label)
 
     def _spill(self) -> None:
-        """Move the root's subtrees to files, the largest first, until half the limit is free."""
+        """Move the root's subtrees to files, the largest first, until half the limit is free; a string that is alone stays, whatever its length."""
         weights = [(sum(len(n.label) + 200 for n in _below(kid)), first) for first, kid in self.root.kids.items() if kid.spool is None]
         for weight, first in sorted(weights, reverse=True):
-            if self.held <= self.limit // 2:
+            if self.held <= self.limit // 2 or (len(weights) == 1 and not self.root.kids[first].kids):
                 break
             kid = self.root.kids[first]
             label = kid.label if kid.kids else kid.label[:1]  # a whole text goes with the rest
