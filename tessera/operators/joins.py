@@ -156,3 +156,32 @@ def two_adapters(endpoints: DataFrame, index: str, explicit: tuple[int, int] | N
     chosen = endpoints.where(F.col(index).isin(*explicit)) if explicit else endpoints
     ranked = chosen.select(F.col(index)).orderBy(index).limit(2)
     return ranked.agg(F.min(index).alias("first"), F.when(F.count("*") > 1, F.max(index)).alias("second"))
+
+
+def medians_nearby(asked: DataFrame, rows: DataFrame, keys: Sequence[str], key: str, time: str, value: str, tolerance: float, most: int = 3) -> DataFrame:
+    """For each asked row (``keys``, ``key``, ``time``) component-wise medians over the ``most`` rows of its keys that are nearest in time.
+
+    Rows (``keys``, ``time``, ``value`` array<double>) count within ``tolerance`` on both sides, the earlier one first where two are
+    as near, then the smaller array. Returns ``key``, n_used, gap (to the nearest) and ``value``; without
+    one 0 and nulls. Missing and NaN components are passed over; arrays may differ in length. Null keys and times meet nothing.
+
+    Both sides meet on (keys, time bucket as wide as the tolerance): an asked row goes to three buckets, a row to one.
+    So a recording of any length is spread over its buckets, and a task holds what lies within three of them.
+    """
+    bucket = F.floor(F.col(time) / tolerance)
+    probes = asked.select(*keys, key, F.col(time).alias("__at"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("__bucket"))
+    found = probes.join(rows.select(*keys, F.col(time).alias("__t"), F.col(value).cast("array<double>").alias("__value"), bucket.alias("__bucket")), [*keys, "__bucket"])
+    near = found.withColumn("__gap", F.abs(F.col("__t") - F.col("__at"))).where(F.col("__gap") <= tolerance)
+    order = Window.partitionBy(key).orderBy("__gap", "__t", "__value")
+    best = near.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= most)
+    grouped = best.groupBy(key).agg(F.count("*").alias("n_used"), F.min("__gap").alias("gap"), F.collect_list("__value").alias("__all"))  # ``most`` arrays
+
+    def median(k: Column) -> Column:
+        parts = F.array_sort(F.filter(F.transform("__all", lambda a: F.get(a, k)), lambda x: x.isNotNull() & ~F.isnan(x)))
+        n = F.size(parts)
+        return F.when(n > 0, (F.get(parts, F.floor((n - 1) / 2).cast("int")) + F.get(parts, F.floor(n / 2).cast("int"))) / 2)
+
+    longest = F.array_max(F.transform("__all", lambda a: F.coalesce(F.size(a), F.lit(0))))
+    middle = F.when(longest > 0, F.transform(F.sequence(F.lit(0), longest - 1), median)).otherwise(F.array().cast("array<double>"))
+    out = grouped.select(key, "n_used", "gap", middle.alias(value))
+    return asked.select(key).join(out, key, "left").select(key, F.coalesce("n_used", F.lit(0)).alias("n_used"), "gap", value)

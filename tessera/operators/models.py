@@ -195,35 +195,6 @@ def bimodality(df: DataFrame, value: str, rounds: int = 60) -> dict[str, float |
     return {"bic_1": bic[0], "bic_2": bic[1], "least_weight": min(weights), "separation": apart, "bimodal": bool(bic[0] - bic[1] > 6 and min(weights) > 0.15 and apart > 1)}
 
 
-def pairwise_out_of_fold(df: DataFrame, label: str, features: Sequence[str], key: str) -> DataFrame:
-    """V6: (key, fold, class_a, class_b, label, score): each row on the axis of every pair of classes that it belongs to.
-
-    For each fold and pair (a before b) a fresh discriminant of two classes learns from the other folds' rows of these
-    two; a pair that lacks a class there is skipped. Scores have the training rows' weighted mean at 0, a spread of 1
-    within the classes, and b on the positive side. Two aggregates serve all folds and pairs; the axes (folds x pairs
-    rows) are sent to the rows. A row with a missing feature has no score.
-    """
-    whole = gather_moments(df, label, features)
-    parts = gather_moments(df.withColumn("__fc", F.struct("fold", F.col(label).alias("c"))).where(F.col(label).isNotNull()), "__fc", features)
-    axes = []
-    for fold in sorted({c["fold"] for c in parts.classes}):
-        at = [k for k, c in enumerate(parts.classes) if c["fold"] == fold]
-        train = less(whole, Moments([parts.classes[k]["c"] for k in at], parts.n[at], parts.mean[at], parts.scatter[at]))
-        for i in range(len(train.classes)):
-            for j in range(i + 1, len(train.classes)):
-                within = (train.scatter[i] + train.scatter[j]) / max(train.n[i] + train.n[j] - 2, 1)
-                gap = train.mean[j] - train.mean[i]
-                axis = np.linalg.pinv(within, hermitian=True) @ gap
-                axis = axis / max(np.sqrt(max(axis @ gap, 0)), 1e-12)
-                centre = (train.n[i] * train.mean[i] + train.n[j] * train.mean[j]) / (train.n[i] + train.n[j])
-                axes.append((fold, train.classes[i], train.classes[j], axis.tolist(), float(axis @ centre)))
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    table = df.sparkSession.createDataFrame(axes, f"__fold {kinds['fold']}, class_a {kinds[label]}, class_b {kinds[label]}, axis array<double>, bias double")
-    met = df.join(table, (F.col("fold") == F.col("__fold")) & ((F.col(label) == F.col("class_a")) | (F.col(label) == F.col("class_b"))))
-    score = sum((F.col("axis")[i] * F.col(f) for i, f in enumerate(features)), -F.col("bias"))
-    return met.select(key, "fold", "class_a", "class_b", F.col(label).alias("label"), score.alias("score")).where("score is not null")
-
-
 def pairwise_dprime(scores: DataFrame) -> DataFrame:
     """V6, A4: (class_a, class_b, n, dprime) of the scores of all folds together; null without spread."""
     a, b = (F.when(F.col("label") == F.col(c), F.col("score")) for c in ("class_a", "class_b"))

@@ -298,13 +298,27 @@ _TONES = "SELECT s_suppkey::BIGINT AS k, (s_suppkey % 45 + 45)::BIGINT AS midi F
 ORACLES |= {
     "forest_values": "SELECT p_partkey % 3 AS fold, count(*) AS n, true AS close FROM part GROUP BY 1",
     "perceptron": "SELECT p_partkey % 3 AS fold, count(*) AS n, true AS accurate FROM part GROUP BY 1",
-    "pairwise_axis": """WITH r AS (SELECT l_returnflag AS c, l_quantity::DOUBLE AS x, l_discount::DOUBLE AS y, l_orderkey % 5 AS f FROM lineitem), fo AS (SELECT DISTINCT f FROM r),
-m AS (SELECT fo.f, r.c, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS sxx, var_pop(y) * count(*) AS syy, covar_pop(x, y) * count(*) AS sxy FROM fo JOIN r ON r.f <> fo.f GROUP BY 1, 2),
-p AS (SELECT a.f, a.c AS ca, b.c AS cb, (a.sxx + b.sxx) / (a.n + b.n - 2) AS vx, (a.syy + b.syy) / (a.n + b.n - 2) AS vy, (a.sxy + b.sxy) / (a.n + b.n - 2) AS vxy, b.mx - a.mx AS dx, b.my - a.my AS dy,
-  (a.n * a.mx + b.n * b.mx) / (a.n + b.n) AS gx, (a.n * a.my + b.n * b.my) / (a.n + b.n) AS gy FROM m a JOIN m b ON a.f = b.f AND a.c < b.c),
-w AS (SELECT *, (vy * dx - vxy * dy) / (vx * vy - vxy * vxy) AS ux, (vx * dy - vxy * dx) / (vx * vy - vxy * vxy) AS uy FROM p),
-s AS (SELECT ca, cb, c, ((x - gx) * ux + (y - gy) * uy) / sqrt(ux * dx + uy * dy) AS z FROM w JOIN r ON r.f = w.f AND (c = ca OR c = cb))
-SELECT ca AS class_a, cb AS class_b, count(*) AS n, round(abs(avg(z) FILTER (c = ca) - avg(z) FILTER (c = cb)) / sqrt((var_samp(z) FILTER (c = ca) + var_samp(z) FILTER (c = cb)) / 2), 6) AS dprime FROM s GROUP BY 1, 2""",
+    "pairwise_axis": """WITH li AS (SELECT l_returnflag AS c, CASE WHEN l_linenumber <> 4 THEN l_quantity::DOUBLE END AS x, l_discount::DOUBLE AS d, l_quantity::DOUBLE + 20::DOUBLE * l_discount AS w, l_orderkey % 5 AS f FROM lineitem),
+r AS (SELECT 'wide' AS space, c, x, d AS y, f FROM li UNION ALL SELECT 'narrow', c, x, w, f FROM li), fo AS (SELECT DISTINCT f FROM r),
+k AS (SELECT DISTINCT a.c AS ca, b.c AS cb FROM r a JOIN (SELECT DISTINCT c FROM r) b ON a.c < b.c),
+t AS (SELECT fo.f, k.ca, k.cb, r.space, r.c, r.x, r.y FROM fo JOIN r ON r.f <> fo.f JOIN k ON r.c = k.ca OR r.c = k.cb),
+m AS (SELECT space, f, ca, cb, avg(x) AS mx, avg(y) AS my FROM t GROUP BY ALL),
+s AS (SELECT t.space, t.f, t.ca, t.cb, any_value(mx) AS mx, any_value(my) AS my, stddev_pop(coalesce(x, mx)) AS sx, stddev_pop(coalesce(y, my)) AS sy, corr(coalesce(x, mx), coalesce(y, my)) AS r FROM t JOIN m USING (space, f, ca, cb) GROUP BY ALL),
+z AS (SELECT t.space, t.f, t.ca, t.cb, t.c, (coalesce(x, mx) - mx) / sx AS zx, (coalesce(y, my) - my) / sy AS zy, CASE WHEN (1 + abs(r)) / 2 > 0.95 THEN 1 ELSE 2 END AS axes, sign(r) AS sg FROM t JOIN s USING (space, f, ca, cb)),
+u AS (SELECT space, f, ca, cb, axes, c, CASE WHEN axes = 1 THEN zx + sg * zy ELSE zx END AS p, CASE WHEN axes = 1 THEN 0 ELSE zy END AS q FROM z),
+g AS (SELECT space, f, ca, cb, axes, c, count(*) AS n, avg(p) AS mp, avg(q) AS mq, var_pop(p) * count(*) AS spp, var_pop(q) * count(*) AS sqq, covar_pop(p, q) * count(*) AS spq FROM u GROUP BY ALL),
+w AS (SELECT a.space, a.f, a.ca, a.cb, a.axes, (a.spp + b.spp) / (a.n + b.n - 2) AS vp, (a.sqq + b.sqq) / (a.n + b.n - 2) AS vq, (a.spq + b.spq) / (a.n + b.n - 2) AS vpq, b.mp - a.mp AS dp, b.mq - a.mq AS dq
+  FROM g a JOIN g b ON a.space = b.space AND a.f = b.f AND a.ca = b.ca AND a.cb = b.cb AND a.c = a.ca AND b.c = b.cb),
+h AS (SELECT *, CASE WHEN axes = 1 THEN dp / vp ELSE (vq * dp - vpq * dq) / (vp * vq - vpq * vpq) END AS up, CASE WHEN axes = 1 THEN 0 ELSE (vp * dq - vpq * dp) / (vp * vq - vpq * vpq) END AS uq FROM w),
+o AS (SELECT r.space, ca, cb, axes, c, CASE WHEN axes = 1 THEN ((coalesce(x, mx) - mx) / sx + sign(s.r) * (coalesce(y, my) - my) / sy) * up ELSE (coalesce(x, mx) - mx) / sx * up + (coalesce(y, my) - my) / sy * uq END / sqrt(up * dp + uq * dq) AS z
+  FROM h JOIN s USING (space, f, ca, cb) JOIN r ON r.space = h.space AND r.f = h.f AND (r.c = ca OR r.c = cb))
+SELECT space, ca AS class_a, cb AS class_b, max(axes)::BIGINT AS axes, count(*) AS n, round(abs(avg(z) FILTER (c = ca) - avg(z) FILTER (c = cb)) / sqrt((var_samp(z) FILTER (c = ca) + var_samp(z) FILTER (c = cb)) / 2), 6) AS dprime FROM o GROUP BY 1, 2, 3""",
+    "tone_pitches": "SELECT s_suppkey::BIGINT AS k, (s_suppkey % 36 + 43)::BIGINT AS before, (s_suppkey % 36 + 48)::BIGINT AS after, 0::BIGINT AS voiced_in_silence FROM supplier",
+    "resampled_tones": "SELECT s_suppkey AS k, ceil(22050 * 16000 / 44100.0)::BIGINT AS n, ceil(22050 / 4096.0)::BIGINT AS chunks, CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE round(sqrt(0.5), 2) END::DOUBLE AS level FROM supplier",
+    "audio_containers": """SELECT doc_id, ['wav', 'wav', 'flac', 'ogg', 'webm', 'mp4', 'mp3', NULL][doc_id % 8 + 1] AS container, ['pcm', 'mp3', 'flac', 'opus', 'opus', 'aac', 'mp3', NULL][doc_id % 8 + 1] AS codec, doc_id % 8 IN (0, 2) AS kept FROM documents""",
+    "nearest_landmarks": f"""WITH e AS (SELECT *, {_T} AS t FROM events), p AS (SELECT event_id, user_id, t FROM e WHERE event_type = 'purchase'),
+n AS (SELECT p.event_id, abs(v.t - p.t) AS gap, v.value, floor(v.t / 3600) % 24 AS hour, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(v.t - p.t), v.t, v.value) AS rank FROM p JOIN e v ON v.user_id = p.user_id AND v.event_type = 'view' AND abs(v.t - p.t) <= 86400)
+SELECT p.event_id, count(n.rank) AS n_used, round(min(gap), 3) AS gap, round(median(n.value), 6) AS value, median(n.hour)::DOUBLE AS hour FROM p LEFT JOIN n ON n.event_id = p.event_id AND rank <= 3 GROUP BY 1""",
     "tone_features": f"SELECT k, midi, true AS level, true AS crossings, true AS in_tune, true AS tonal, true AS dark, 1.0::DOUBLE AS chroma_peak, true AS harmonic, true AS cepstrum FROM ({_TONES})",
     "tone_residuals": f"SELECT k, k % 2 = 0 AS expected FROM ({_TONES})",
     "tone_onsets": f"SELECT k, true AS in_time FROM ({_TONES})",

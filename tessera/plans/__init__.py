@@ -1,7 +1,8 @@
 """Plan building blocks that several operators share."""
 
 from tessera.plans.components import connected_components
+from tessera.plans.partials import array_sums
 from tessera.plans.prefix import running_total
 from tessera.plans.workspace import materialise, settled, small_batches, sorted_run
 
-__all__ = ["connected_components", "materialise", "running_total", "settled", "small_batches", "sorted_run"]
+__all__ = ["array_sums", "connected_components", "materialise", "running_total", "settled", "small_batches", "sorted_run"]

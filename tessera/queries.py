@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import geometry, pitch, signal, values, vector
-from tessera.operators import audit, encode, experiments, folds, joins, models, retrieve, sequence, stats, vision
+from tessera.functions import geometry, pitch, pitchtrack, resample, signal, values, vector
+from tessera.operators import audit, encode, experiments, folds, joins, models, pairs, perceptron as perceptrons, retrieve, sequence, stats, vision
 from tessera.plans.workspace import new_path
 from tessera.sources import files, sinks
 from tessera.streaming.machines import cadence, easing, hysteresis, monotonic, one_euro
@@ -626,10 +626,26 @@ def perceptron(spark, sf):
 
 @query
 def pairwise_axis(spark, sf):
-    """V6, A4: separability of every class pair on axes fitted without the fold that they score."""
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", F.col("l_quantity").cast("double").alias("x"), F.col("l_discount").cast("double").alias("y"), F.pmod("l_orderkey", F.lit(5)).alias("fold"))
-    found = models.pairwise_dprime(models.pairwise_out_of_fold(li, "l_returnflag", ["x", "y"], "l_orderkey"))
-    return found.select("class_a", "class_b", "n", *r6("dprime"))
+    """V6, A4: separability of every class pair on axes fitted without the fold that they score; in the narrow space one principal axis is enough."""
+    x = F.when(F.col("l_linenumber") != 4, F.col("l_quantity").cast("double"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", x.alias("x"), F.col("l_discount").cast("double").alias("y"), (F.col("l_quantity") + 20 * F.col("l_discount")).cast("double").alias("w"), F.pmod("l_orderkey", F.lit(5)).alias("fold"))
+    out = None
+    for space, features in (("wide", ["x", "y"]), ("narrow", ["x", "w"])):
+        found = pairs.pairwise_out_of_fold(li, "l_returnflag", features, "l_orderkey")
+        axes = found.groupBy("class_a", "class_b").agg(F.max("kept").cast("bigint").alias("axes"))
+        part = models.pairwise_dprime(found).join(axes, ["class_a", "class_b"]).select(F.lit(space).alias("space"), "class_a", "class_b", "axes", "n", *r6("dprime"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def perceptron_values(spark, sf):
+    """M7: the length of a document's text from its words, lines and wide letters, out of fold, beside the error of the mean. Held against NumPy in the tests."""
+    d = table(spark, sf, "documents").where("text is not null")
+    counts = {"words": F.size(F.split("text", r"\s+")), "lines": F.size(F.split("text", "\n")), "wide": F.octet_length("text") - F.length("text"), "chars": F.length("text")}
+    docs = d.select("doc_id", F.pmod("doc_id", F.lit(3)).alias("fold"), *[F.log1p(c).alias(k) for k, c in counts.items()])
+    found = perceptrons.perceptron_values_out_of_fold(docs, "chars", ["words", "lines", "wide"], "doc_id", rounds=60)
+    return found.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("truth") - F.col("guess"))), 3).alias("mean_error"), F.round(F.stddev_pop("truth"), 3).alias("spread"))
 
 
 @query
@@ -659,6 +675,50 @@ def tone_features(spark, sf):
     )
 
 
+@query
+def tone_pitches(spark, sf):
+    """Tones with a weak first harmonic, silence, then the same tone a fourth higher: the note before and after, as decoded."""
+    key = F.pmod("s_suppkey", F.lit(36)) + 43
+    rate, part = 22050, 11025
+
+    def tone(hz: Column, i: Column) -> Column:
+        return sum(F.lit(share) * F.sin(2 * F.pi() * hz * k * i / rate) for k, share in ((1, 0.15), (2, 0.5), (3, 0.25)))
+
+    hz = 440 * F.pow(F.lit(2.0), (key - 69) / 12)
+    samples = F.transform(F.sequence(F.lit(0), F.lit(3 * part - 1)), lambda i: F.when(i < part, tone(hz, i)).when(i >= 2 * part, tone(hz * 2 ** (5 / 12), i)).otherwise(0.0).cast("float"))
+    tracks = pitchtrack.pitch_tracks(table(spark, sf, "supplier").repartition("s_suppkey").select(F.col("s_suppkey").alias("event_id"), F.lit(rate).alias("rate"), samples.alias("samples")), 2048)
+    note = F.round(69 + 12 * F.log2(F.col("hz") / 440)).cast("bigint")
+    return tracks.groupBy(F.col("event_id").cast("bigint").alias("k")).agg(F.mode(F.when(F.col("t") < 0.5, note)).alias("before"), F.mode(F.when(F.col("t") > 1.0, note)).alias("after"), F.count_if((F.col("t").between(0.65, 0.9)) & F.col("hz").isNotNull()).alias("voiced_in_silence"))
+
+
+@query
+def resampled_tones(spark, sf):
+    """Tones of 1 and 10 kHz, cut in chunks, from 44.1 to 16 kHz: samples and level of what is left."""
+    hz = F.when(F.col("s_suppkey") % 2 == 0, 10_000).otherwise(1000)
+    samples = F.transform(F.sequence(F.lit(0), F.lit(22049)), lambda i: F.sin(2 * F.pi() * hz * i / 44100).cast("float"))
+    runs = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.lit(44100).alias("rate"), samples.alias("samples"))
+    out = resample.resample_chunks(resample.cut_in_chunks(runs, "k", 4096), "k", 16_000, 4096)
+    square = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    return out.groupBy("k").agg(F.sum(F.size("samples")).alias("n"), F.count("*").alias("chunks"), F.round(F.sqrt(F.sum(square) / F.sum(F.size("samples"))), 2).alias("level"))
+
+
+@query
+def audio_containers(spark, sf):
+    """Files of eight kinds parted by whether every sample is kept."""
+    heads = ["52494646FFFFFFFF57415645666D7420100000000100", "52494646FFFFFFFF57415645666D7420100000005500", "664C614300000022", "4F67675300020000000000004F70757348656164", "1A45DFA3A3428681014F5055535F00415F4F505553", "000000206674797069736F6D6D703461", "494433040000", "00112233"]
+    content = F.unhex(F.element_at(F.array(*[F.lit(h) for h in heads]), (F.pmod("doc_id", F.lit(len(heads))) + 1).cast("int")))
+    keeps, others = resample.part_by_loss(table(spark, sf, "documents").select("doc_id", content.alias("content")))
+    return keeps.withColumn("kept", F.lit(True)).unionByName(others.withColumn("kept", F.lit(False))).select("doc_id", "audio.container", "audio.codec", "kept")
+
+
+@query
+def nearest_landmarks(spark, sf):
+    """For each purchase medians of value and hour over the user's three views nearest in time, a day away at the most."""
+    e = timed_events(spark, sf).withColumn("landmark", F.array(F.col("value"), F.floor(F.col("t") / 3600) % 24))
+    found = joins.medians_nearby(e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), ["user_id"], "event_id", "t", "landmark", 86400.0)
+    return found.select("event_id", "n_used", F.round("gap", 3).alias("gap"), F.round(F.get("landmark", F.lit(0)), 6).alias("value"), F.get("landmark", F.lit(1)).alias("hour"))
+
+
 @query
 def tone_residuals(spark, sf):
     """X11: next to nothing is left of a tone that was expected, nearly all of one a tritone away."""
