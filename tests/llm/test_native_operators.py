@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,12 +98,11 @@ def test_a_hot_group_fills_few_shards(spark):
     assert sorted(Counter(r.shard for r in only).values()) == [2, 2, 2, 2, 3, 3, 3, 3]
 
 
-@pytest.mark.parametrize("few", [512, 8])
-def test_groups_fill_the_fewest_shards(spark, few):
+def test_groups_fill_the_fewest_shards(spark):
     """A hot group takes as many shards as it needs, a small one stays whole, with and without rows that have no link."""
 
     def shards_of(texts):
-        out = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), few=few)
+        out = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
         out = out.join(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id").collect()
         assert len(out) == len(texts) and set(Counter(r.shard for r in out).values()) == {len(texts) // 8}
         assert all(sorted(r.slot for r in out if r.shard == s) == list(range(len(texts) // 8)) for s in range(8))
@@ -119,6 +119,87 @@ def test_groups_fill_the_fewest_shards(spark, few):
     assert sum(len(s) > 1 for s in found.values()) <= 7 and max(len(s) for s in found.values()) == 2
 
 
+def start_cells(spark, sizes, shards, seed=3):
+    """Cells of groups, each document in a random shard; shards are equally full up to the quotas that come with them."""
+    rng = np.random.default_rng(seed)
+    docs = [f"g{g}" for g, n in enumerate(sizes) for _ in range(n)]
+    at = rng.permutation(np.arange(len(docs)) % shards)
+    count = Counter(zip(docs, at.tolist(), strict=True))
+    return spark.createDataFrame([(g, s, n) for (g, s), n in count.items()], "gid string, shard int, n bigint"), [int((at == s).sum()) for s in range(shards)]
+
+
+def cut(cells):
+    groups = defaultdict(list)
+    for (g, _), n in cells.items():
+        groups[g].append(n)
+    return sum(sum(ns) ** 2 - sum(n * n for n in ns) for ns in groups.values()) // 2
+
+
+def propagated_twin(spark, cells, quotas, bins, rounds=20):
+    """The same rounds document by document in plain Python; only the hashes come from Spark."""
+    state = {(r.gid, r.shard): r.n for r in cells.collect()}
+    gids = cells.select("gid").distinct()
+    own = {(r.gid, r.s): r.h for r in gids.select("gid", F.explode(F.array(*[F.lit(s) for s in range(len(quotas))])).alias("s")).select("gid", "s", F.xxhash64("gid", "s").alias("h")).collect()}
+    turns = {(r.t, r.gid): r.h for r in gids.select("gid", F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("t")).select("gid", "t", F.xxhash64("t", "gid").alias("h")).collect()}
+    told = []
+    for turn in range(rounds):
+        told.append(cut(state))
+        want = {}
+        for g in {g for g, _ in state}:
+            want[g] = max((n, own[g, s], s) for (of, s), n in state.items() if of == g)[2]
+        asked = Counter()
+        for (g, s), n in state.items():
+            if s != want[g]:
+                asked[s, want[g]] += n
+        load = [sum(n for (_, s), n in state.items() if s == k) for k in range(len(quotas))]
+        flows = sharding.allowed_flows(dict(asked), [q - n for q, n in zip(quotas, load, strict=True)])
+        if not any(flows.values()):
+            break
+        for g, s in sorted((c for c in state if c[1] != want[c[0]]), key=lambda c: (turns[turn, c[0]] % bins, turns[turn, c[0]], c[0])):
+            for _ in range(state[g, s]):
+                if flows[s, want[g]] > 0:
+                    flows[s, want[g]] -= 1
+                    state[g, s] -= 1
+                    state[g, want[g]] += 1
+        state = {c: n for c, n in state.items() if n}
+    return state, told
+
+
+@pytest.mark.parametrize("slack", [0, 7])
+def test_propagation_against_documents_one_by_one(spark, slack):
+    cells, quotas = start_cells(spark, [2, 3, 5, 2, 9, 4, 4, 30, 17, 2, 6, 3, 3, 8, 2, 2, 12], 4)
+    quotas = [q + slack for q in quotas]
+    found, told = sharding.propagate(cells, quotas, bins=16)
+    state, twin = propagated_twin(spark, cells, quotas, 16)
+    assert {(r.gid, r.shard): r.n for r in found.collect()} == state
+    assert told == twin and len(told) > 1 and all(a > b for a, b in zip(told, told[1:], strict=False))
+
+
+def test_flows_keep_every_shard_within_its_quota():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        k = int(rng.integers(2, 6))
+        asked = {(i, j): int(rng.integers(0, 9)) for i in range(k) for j in range(k) if i != j and rng.random() < 0.7}
+        free = rng.integers(0, 4, k).tolist()
+        flows = sharding.allowed_flows(asked, free)
+        assert all(0 <= flows[c] <= n for c, n in asked.items())
+        for s in range(k):
+            assert sum(n for (_, to), n in flows.items() if to == s) - sum(n for (of, _), n in flows.items() if of == s) <= free[s]
+    assert sharding.allowed_flows({(0, 1): 5, (1, 0): 3}, [0, 0]) == {(0, 1): 3, (1, 0): 3}
+    assert sharding.allowed_flows({(0, 1): 5, (1, 2): 5, (2, 0): 4}, [0, 0, 0]) == {(0, 1): 4, (1, 2): 4, (2, 0): 4}
+
+
+def test_propagation_runs_on_the_tables(spark, data, monkeypatch):
+    """Rounds take place at the smallest size, and each cuts fewer links than the one before."""
+    seen, place = [], sharding.place_groups
+    monkeypatch.setattr(sharding, "place_groups", lambda *a: seen.append(place(*a)) or seen[-1])
+    out = queries.op5_shard_documents(spark, data)
+    told = seen[0][1]
+    assert len(told) > 1 and all(a > b for a, b in zip(told, told[1:], strict=False))
+    linked = out.where("linked > 1").groupBy("text_crc32", "size").agg(F.countDistinct("shard").alias("n"))
+    assert linked.where("n > 1").count() == 0
+
+
 def key(line):
     return line.strip(BLANK).translate(LOWER)
 
