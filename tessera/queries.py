@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry, pitch, pitchtrack, resample, signal, values, vector
-from tessera.operators import audit, encode, experiments, folds, joins, models, pairs, perceptron as perceptrons, retrieve, sequence, stats, vision
+from tessera.operators import audit, encode, experiments, folds, joins, models, pairs, perceptron as perceptrons, retrieve, sequence, spacing, stats, vision
 from tessera.plans.workspace import new_path
 from tessera.sources import files, sinks
 from tessera.streaming.machines import cadence, easing, hysteresis, monotonic, one_euro
-from tessera.streaming.run import confident, held_share, on_table, session_audit
+from tessera.streaming.run import confident, held_share, in_buckets, on_table, session_audit
 
+#: A time bucket of the machines that run over each user's events: ten days.
+DAY = 864_000.0
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -206,15 +208,15 @@ def segment_spans(spark, sf):
 @query
 def onset_min_gap(spark, sf):
     """W3, over each user's onsets."""
-    per_user = timed_events(spark, sf).groupBy("user_id").agg(F.collect_list(F.round("t", 3)).alias("ts"))
-    return per_user.select("user_id", F.explode(sequence.min_gap(F.col("ts"), 86400.0)).alias("onset"))
+    e = timed_events(spark, sf).select("user_id", F.round("t", 3).alias("onset"))
+    return spacing.gapped_onsets(e, ["user_id"], "onset", 86400.0)
 
 
 @query
 def onset_top_spaced(spark, sf):
     """W4, W8."""
-    per_user = timed_events(spark, sf).groupBy("user_id").agg(F.collect_list(F.struct("t", F.col("value").alias("strength"))).alias("peaks"))
-    return per_user.select("user_id", F.explode(sequence.top_spaced(F.col("peaks"), 43200.0, F.lit(12))).alias("onset"))
+    e = timed_events(spark, sf).select("user_id", F.col("t").alias("onset"), "value")
+    return spacing.spaced_peaks(e, ["user_id"], "onset", "value", 43200.0, 12).select("user_id", "onset")
 
 
 @query
@@ -747,7 +749,7 @@ def wire_laws(spark, sf):
 def hysteresis_hits(spark, sf):
     """The batch twin; sequential, held against a loop in the tests."""
     e = timed_events(spark, sf).select("user_id", "t", "event_id", F.col("value").alias("level"))
-    return on_table(e, hysteresis(60.0), "user_id", ["t", "event_id"]).select("event_id", "hit")
+    return in_buckets(e, hysteresis(60.0), "user_id", ["t", "event_id"], DAY).select("event_id", "hit")
 
 
 @query
@@ -761,7 +763,7 @@ def one_euro_smooth(spark, sf):
 def monotonic_timestamps(spark, sf):
     """T11."""
     e = timed_events(spark, sf).select("user_id", "t", "event_id", F.floor(F.col("t") / 3600).alias("ts_ms"))
-    return on_table(e, monotonic(), "user_id", ["t", "event_id"]).select("event_id", "ts_fixed")
+    return in_buckets(e, monotonic(), "user_id", ["t", "event_id"], DAY).select("event_id", "ts_fixed")
 
 
 @query
@@ -1053,7 +1055,7 @@ def vector_members(spark, sf):
 def eased_values(spark, sf):
     """Values eased by 0.15 for each user anew."""
     e = timed_events(spark, sf).select("user_id", "t", "event_id", "value")
-    return on_table(e, easing(0.15), "user_id", ["t", "event_id"]).select("event_id", F.round("eased", 6).alias("eased"))
+    return in_buckets(e, easing(0.15), "user_id", ["t", "event_id"], DAY).select("event_id", F.round("eased", 6).alias("eased"))
 
 
 @query

@@ -16,6 +16,10 @@ class Machine:
     start: tuple
     output: str
     step: Callable[[tuple, tuple], tuple[tuple, tuple]]
+    #: What many rows do to a state, as a value: ``compose(earlier, later)`` of two such, and ``act(value, state)``; ``lift(row)`` is one row's.
+    lift: Callable[[tuple], tuple] | None = None
+    compose: Callable[[tuple, tuple], tuple] | None = None
+    act: Callable[[tuple, tuple], tuple] | None = None
 
 
 def _blend(a: list[float], b: list[float], share: float) -> list[float]:
@@ -106,7 +110,20 @@ def easing(share: float) -> Machine:
         x = x if value is None else float(value) if x is None else x + share * (value - x)
         return (x,), (x,)
 
-    return Machine(("value",), "x double", (None,), "eased double", step)
+    # x -> keep * x + add, and what becomes of no state at all
+    def lift(row: tuple) -> tuple:
+        (value,) = row
+        return (1.0, 0.0, None) if value is None else (1 - share, share * float(value), float(value))
+
+    def compose(a: tuple, b: tuple) -> tuple:
+        fresh = b[2] if a[2] is None else b[0] * a[2] + b[1]
+        return (a[0] * b[0], b[0] * a[1] + b[1], fresh)
+
+    def act(f: tuple, state: tuple) -> tuple:
+        (x,) = state
+        return (f[2] if x is None else f[0] * x + f[1],)
+
+    return Machine(("value",), "x double", (None,), "eased double", step, lift, compose, act)
 
 
 def cadence(every: int = 4, move: float = 0.20, shrink: float = 0.75, grow: float = 1.33) -> Machine:
@@ -146,4 +163,17 @@ def monotonic() -> Machine:
         ts = int(ts) if last is None else max(int(ts), last + 1)
         return (ts,), (ts,)
 
-    return Machine(("ts_ms",), "last bigint", (None,), "ts_fixed bigint", step)
+    # last -> max(floor, last + more); without a last one: the floor
+    def lift(row: tuple) -> tuple:
+        (ts,) = row
+        return (None, 0) if ts is None else (int(ts), 1)
+
+    def compose(a: tuple, b: tuple) -> tuple:
+        shifted = None if a[0] is None else a[0] + b[1]
+        return (max((v for v in (shifted, b[0]) if v is not None), default=None), a[1] + b[1])
+
+    def act(f: tuple, state: tuple) -> tuple:
+        (last,) = state
+        return (max((v for v in (None if last is None else last + f[1], f[0]) if v is not None), default=None),)
+
+    return Machine(("ts_ms",), "last bigint", (None,), "ts_fixed bigint", step, lift, compose, act)

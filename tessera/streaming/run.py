@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.plans import materialise
 from tessera.streaming.machines import Machine
 
 
@@ -83,6 +85,85 @@ def on_table(df: DataFrame, machine: Machine, key: str, order: Sequence[str]) ->
     return df.select(*columns).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, _schema(df, machine, key, order))
 
 
+def _entries_composed(whole: DataFrame, machine: Machine, key: str) -> DataFrame:
+    """Entry states of every bucket from the buckets' composed maps: a row a bucket, a key's in order."""
+
+    def entries(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__bucket", ignore_index=True)
+        state, out = machine.start, []
+        for made in rows["__map"]:
+            out.append(json.dumps(state))
+            state = machine.act(tuple(json.loads(made)), state)
+        return pd.DataFrame({key: rows[key], "__bucket": rows["__bucket"], "__entry": out}, dtype=object)
+
+    return whole.groupBy(key).applyInPandas(entries, f"`{key}` {dict(whole.dtypes)[key]}, __bucket bigint, __entry string")
+
+
+def in_buckets(df: DataFrame, machine: Machine, key: str, order: Sequence[str], width: float) -> DataFrame:
+    """``on_table`` with a key's rows in time buckets (``order[0]`` in steps of ``width``), each a task's work of its own.
+
+    Every bucket runs from a guess of the state in which it is entered and says in what state it is left; buckets that
+    are entered in another state than guessed run again until all agree, so the result is that of the whole sequence, to the last
+    bit. Machines that can compose what rows do (affine maps for T9, maxima for T11) guess well: each bucket's rows become one map, and
+    a row a bucket gives the states. All others (two-state triggers as T7) guess the start; those that
+    forget need a round or two. The worst case, a state that crosses every bucket unchanged, takes a round a bucket.
+
+    Rows of a null key are a key's; a null time is a bucket of its own, before all others. Memory holds a bucket's rows.
+    """
+    columns = list(dict.fromkeys([key, *order, *machine.inputs]))
+    bucket = F.coalesce(F.floor(F.col(order[0]) / width), F.lit(-(1 << 62))).cast("bigint")
+    rows = materialise(df.select(*columns).withColumn("__bucket", bucket), "rows")
+    kind = dict(rows.dtypes)[key]
+    cell = f"`{key}` {kind}, __bucket bigint"
+    names = [f.split()[0] for f in machine.output.replace(", ", ",").split(",")]
+
+    def ordered(part: pd.DataFrame) -> pd.DataFrame:
+        return part.sort_values(list(order), ignore_index=True, na_position="first")
+
+    def lifted(part: pd.DataFrame) -> pd.DataFrame:
+        part, made = ordered(part), None
+        for row in zip(*[part[c] for c in machine.inputs], strict=True):
+            own = machine.lift(tuple(map(_plain, row)))
+            made = own if made is None else machine.compose(made, own)
+        return pd.DataFrame({key: [part[key][0]], "__bucket": [part["__bucket"][0]], "__map": [json.dumps(made)]}, dtype=object)
+
+    def left(part: pd.DataFrame, entry: str) -> str:
+        return json.dumps(_fold(machine, tuple(json.loads(entry)), ordered(part))[0])
+
+    def exits(part: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(entry):
+            return pd.DataFrame({key: [], "__bucket": [], "__entry": [], "__exit": []}, dtype=object)
+        return pd.DataFrame({key: [part[key][0]], "__bucket": [part["__bucket"][0]], "__entry": [entry["__entry"][0]], "__exit": [left(part, entry["__entry"][0])]}, dtype=object)
+
+    def final(part: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        part = ordered(part)
+        return _frame(key, order, machine, part, _fold(machine, tuple(json.loads(entry["__entry"][0])), part)[1])
+
+    if machine.compose is not None:
+        guess = _entries_composed(rows.groupBy(key, "__bucket").applyInPandas(lifted, f"{cell}, __map string"), machine, key)
+    else:
+        guess = rows.select(key, "__bucket").distinct().withColumn("__entry", F.lit(json.dumps(machine.start)))
+    entries = _entries_agreed(rows, machine, key, exits, cell, guess)
+    met = rows.groupBy(key, "__bucket").cogroup(entries.groupBy(key, "__bucket"))
+    kinds = dict(df.dtypes)
+    return met.applyInPandas(final, ", ".join([*(f"`{c}` {kinds[c]}" for c in [key, *order]), machine.output])).select(key, *order, *names)
+
+
+def _entries_agreed(rows: DataFrame, machine: Machine, key: str, exits, cell: str, guess: DataFrame) -> DataFrame:
+    """Entry states of every bucket, by running buckets until each is entered as its predecessor is left."""
+    known, todo = None, materialise(guess, "entries")
+    while True:
+        ran = rows.groupBy(key, "__bucket").cogroup(todo.groupBy(key, "__bucket")).applyInPandas(exits, f"{cell}, __entry string, __exit string")
+        if known is not None:
+            stays = known.join(todo.select(F.col(key).alias("__k"), F.col("__bucket").alias("__b")), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__bucket") == F.col("__b")), "left_anti")
+            ran = stays.unionByName(ran)
+        known = materialise(ran, "exits")
+        before = F.lag("__exit", 1, json.dumps(machine.start)).over(Window.partitionBy(key).orderBy("__bucket"))  # a row a bucket
+        todo = materialise(known.withColumn("__was", before).where("__was <> __entry").select(key, "__bucket", F.col("__was").alias("__entry")), "entries")
+        if todo.isEmpty():
+            return known.select(key, "__bucket", "__entry")
+
+
 def first_available(**candidates: Column) -> tuple[Column, Column]:
     """The first candidate that is not null, and its name."""
     name = F
