@@ -171,7 +171,7 @@ def fit(docs: DataFrame, clusters: int = 4, sample: int = 500, quantile: float =
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and a struct ``language``: lang_pred, score (cosine, 0 to 1), accepted.
+    """All columns of ``docs`` (but one of that name) and a struct ``language``: lang_pred, score (cosine, 0 to 1), accepted.
 
     Only the text is read. Null or letterless text: ``und``, 0, not accepted.
     """

@@ -82,10 +82,10 @@ class LineRuns:
         return whole.where(F.col("n_docs") >= self.enough).select(*_KEY)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, out: str = "line_dedup") -> DataFrame:
     """Drop every line whose key occurs in ``min_docs`` documents or more, everywhere.
 
-    Returns all columns of ``docs`` and, in ``line_dedup``, a struct of kept (the
+    Returns all columns of ``docs`` (but one named ``out``) and, in ``out``, a struct of kept (the
     text that stays), n_lines and n_dropped. Documents are told apart by doc_id: rows that
     repeat an id count once. Batches of documents go to ``LineRuns`` one after the other; then the lines are held
     against the runs. Only hashes (128 bits a key) are exploded and shuffled; each text moves once, to meet its
@@ -95,7 +95,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     Null text: one empty line, kept is "". A null doc_id is a document too.
     """
     spark = docs.sparkSession
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    packed = docs.select(F.struct(*[c for c in docs.columns if c.lower() != out.lower()]).alias("row"), F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
     marked = packed.select(F.col("__id").alias("doc_id"), F.xxhash64("__text").alias("text_hash"), line_hashes(F.col("__text"), min_chars).alias("hashes"))
     lines = materialise(
         marked.select("doc_id", "text_hash", F.posexplode("hashes").alias("pos", "key")).where("key is not null").select("doc_id", "text_hash", "pos", "key.*", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")),
@@ -108,7 +108,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     frequent = materialise(runs.at_least(), "frequent")
     dropped = lines.join(frequent, list(_KEY), "left_semi").groupBy(F.col("doc_id").alias("__fid"), F.col("text_hash").alias("__fhash")).agg(F.array_sort(F.collect_set("pos")).alias("__drop"))
     met = packed.withColumn("__hash", F.xxhash64("__text")).join(dropped, F.col("__id").eqNullSafe(F.col("__fid")) & (F.col("__hash") == F.col("__fhash")), "left")
-    return met.select("row.*", _kept(F.col("__text"), F.col("__drop")).alias("line_dedup"))
+    return met.select("row.*", _kept(F.col("__text"), F.col("__drop")).alias(out))
 
 
 def _kept(text: Column, drop: Column) -> Column:

@@ -32,18 +32,18 @@ FOUND = (*KINDS, "secret")
 PROPOSED: tuple[tuple[str, str, str], ...] = (
     (
         "email",
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|[\[({<]\x20?at\x20?[\])}>])\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|[\[({<]\x20?dot\x20?[\])}>]|\x20dot\x20)\x20?[A-Za-z0-9-]{2,24}+){1,4}",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|[\[({<]\x20?at\x20?[\])}>])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[({<]\x20?dot\x20?[\])}>]|\x20dot\x20)\x20?[A-Za-z0-9-]{2,}+)++",
         r"@|[\[({<]\x20?at\x20?[\])}>]",
     ),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20at\x20[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]{2,24}+){1,4}", r"\x20at\x20[A-Za-z0-9-]{1,63}+(?:\x20dot\x20|\.[a-z])"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20at\x20[A-Za-z0-9-]++(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]{2,}+)++", r"\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20|\.[a-z])"),
     ("ip", r"(?<![0-9A-Za-z:.\[\]])(?:(?:[0-9A-Fa-f]{1,4}::?){3,7}[0-9A-Fa-f]{1,4}|[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|\.)\x20?[0-9]{1,3}){3})(?![0-9A-Za-z:])", r"[0-9A-Fa-f]:[0-9A-Fa-f:]|[0-9]\x20?[\[(]?\.[\])]?\x20?[0-9]"),
     ("card", r"(?<![0-9A-Za-z])[0-9](?:[\x20./_-]{0,2}[0-9]){12,18}(?![0-9A-Za-z])", r"[0-9](?:[\x20./_-]{0,2}[0-9]){12}"),
     ("phone", r"(?<![0-9A-Za-z+])(?:\(?[0-9]|\(?00)[0-9\x20()./-]{6,18}[0-9](?![0-9A-Za-z])", r"[0-9][0-9\x20()./-]{6}"),
     ("phone", r"(?<![0-9A-Za-z+])(?:[01][-.\x20])?(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[-./\x20])[0-9]{3,4}[-.\x20][0-9]{3,4}(?![0-9A-Za-z]|[-.][0-9])", r"[0-9]\)?[-./\x20]?[0-9]{3,4}[-.\x20][0-9]{3}"),
     (
         "secret",
-        r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{16})[A-Za-z+/_-]{0,64}+[0-9][A-Za-z0-9+/_-]{0,255}+={0,2}",
-        r"[0-9][A-Za-z0-9+/_-]{7}|(?<![A-Za-z0-9+/_-])[A-Za-z+/_-]{8,64}+[0-9]",
+        r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{16})[A-Za-z+/_-]*+[0-9][A-Za-z0-9+/_-]*+={0,2}",
+        r"[0-9][A-Za-z0-9+/_-]{7}|(?<![A-Za-z0-9+/_-])[A-Za-z+/_-]{8,}+[0-9]",
     ),
 )
 #: Words that speak for a kind in the characters before a span, and words that speak against any. They are features, no filters.
@@ -301,7 +301,7 @@ def train(spark: SparkSession, draws: int = 2, precision: float = 0.95) -> Model
 
 
 def find_personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """All columns of ``docs`` and a struct ``pii``: base (array for each kind), spans, secrets and redacted.
+    """All columns of ``docs`` (but one of that name) and a struct ``pii``: base (array for each kind), spans, secrets and redacted.
 
     ``spans`` has every base span and those proposed spans of the four kinds that do not
     touch one and whose calibrated probability is high enough, sorted by start, kind,
@@ -313,7 +313,7 @@ def find_personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame
     """
     model = model or train(docs.sparkSession)
     text = F.coalesce(F.col("__text"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__text"))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c.lower() != "pii"]).alias("__row"), F.col("text").alias("__text"))
     rows = rows.select("__row", "__text", *[c.alias(f"__{k}") for k, c in zip(KINDS, base_spans(text), strict=True)], F.array_distinct(proposed_spans(text)).alias("__more"))
     rows = rows.withColumn("__base", F.concat(*[F.col(f"__{k}") for k in KINDS]))
     least = F.array(*[F.lit(x) for x in model.least])

@@ -332,6 +332,30 @@ def test_overlapping_readings_leave_one(spark):
     assert r.redacted == 'my phone is [phone] and token = "[secret]"' and r.n_added == 1
 
 
+def test_columns_of_the_operators_own_names(awkward, empty):
+    """Such a column of the input gives way; a repeated run and an empty table are no different."""
+    found = linededup.dedup_lines(awkward)
+    assert found.columns == [*[c for c in awkward.columns if c != "line_dedup"], "line_dedup"]
+    assert found.select("line_dedup.n_lines").count() == awkward.count()
+    assert linededup.dedup_lines(found.drop("text").withColumn("text", F.lit("a")), out="kept").select("kept.n_lines", "line_dedup.n_lines").count() == awkward.count()
+    found = pii.find_personal_data(awkward)
+    assert found.columns == [*[c for c in awkward.columns if c != "pii"], "pii"] and found.select("pii.n_added").count() == awkward.count()
+    assert pii.find_personal_data(empty).count() == linededup.dedup_lines(empty).count() == 0
+
+
+def test_long_secrets_and_addresses_are_found_whole(spark):
+    rng = np.random.default_rng(3)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    texts = [f'token = "{"".join(rng.choice(letters, n))}7" and more' for n in (40, 900, 10_000)]
+    texts += [f"mail me: {'a' * 100} (at) {'b' * 80}.{'c' * 30} (dot) com", "word" * 30_000 + "!"]
+    rows = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).select("doc_id", "pii.*").collect()}
+    for i in (0, 1, 2):
+        assert [(s.start, s.end) for s in rows[i].secrets] == [(9, len(texts[i]) - 10)], i
+        assert rows[i].redacted == 'token = "[secret]" and more'
+    assert [(s.start, s.end) for s in rows[3].spans] == [(9, len(texts[3]))]
+    assert not rows[4].spans and not rows[4].secrets
+
+
 def test_pii_digest(spark, data):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     for r in queries.op4_pii(spark, data).collect():

@@ -278,3 +278,10 @@ def test_every_stage_against_plain_python(spark, data, tmp_path):
         want[r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows["tokens"]) == want
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, data).collect()) == want
+
+
+def test_stage_lines_with_a_clashing_column(spark):
+    rows = [(i, "shared\n" + f"own {i}", "en", "s", 1, 7, 8) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, line_dedup int, __lines int")
+    out = corpus_pipeline.lines(spark, docs, "")
+    assert out.columns == docs.columns and {(r.text, r.line_dedup, r["__lines"]) for r in out.collect()} == {(f"own {i}", 7, 8) for i in range(12)}
