@@ -28,8 +28,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents without the lines that ten or more of them share; n_chars follows the text."""
-    kept = dedup_lines(docs, min_docs=10)
-    text = F.when(F.col("text").isNotNull(), F.col("line_dedup.kept"))
+    out = "__lines"
+    while out in docs.columns:  # a name that the documents do not have
+        out += "_"
+    kept = dedup_lines(docs, min_docs=10, out=out)
+    text = F.when(F.col("text").isNotNull(), F.col(f"{out}.kept"))
     return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
