@@ -316,6 +316,21 @@ SELECT space, ca AS class_a, cb AS class_b, max(axes)::BIGINT AS axes, count(*)
     "tone_pitches": "SELECT s_suppkey::BIGINT AS k, (s_suppkey % 36 + 43)::BIGINT AS before, (s_suppkey % 36 + 48)::BIGINT AS after, 0::BIGINT AS voiced_in_silence FROM supplier",
     "resampled_tones": "SELECT s_suppkey AS k, ceil(22050 * 16000 / 44100.0)::BIGINT AS n, ceil(22050 / 4096.0)::BIGINT AS chunks, CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE round(sqrt(0.5), 2) END::DOUBLE AS level FROM supplier",
     "audio_containers": """SELECT doc_id, ['wav', 'wav', 'flac', 'ogg', 'webm', 'mp4', 'mp3', NULL][doc_id % 8 + 1] AS container, ['pcm', 'mp3', 'flac', 'opus', 'opus', 'aac', 'mp3', NULL][doc_id % 8 + 1] AS codec, doc_id % 8 IN (0, 2) AS kept FROM documents""",
+    "score_charts": """WITH b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS bar, turn, length(text) AS n FROM conversations WHERE text IS NOT NULL),
+s AS (SELECT *, sum(CASE WHEN turn % 4 = 0 OR after_close THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY bar) AS section FROM (SELECT *, coalesce(lag(turn % 4 = 3) OVER (PARTITION BY conv_id ORDER BY bar), false) AS after_close FROM b)),
+p AS (SELECT *, unnest(range(1, CASE WHEN max(turn % 4) OVER (PARTITION BY conv_id, section) = 3 THEN 3 ELSE 2 END)) AS pass FROM s),
+o AS (SELECT *, row_number() OVER w - 1 AS play, coalesce(last_value(CASE WHEN turn % 3 = 0 THEN 60 + n % 120 END IGNORE NULLS) OVER w, 120)::DOUBLE AS bpm FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY section, pass, bar ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT *, coalesce(sum(240 / bpm) OVER (PARTITION BY conv_id ORDER BY play ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_s FROM o)
+SELECT conv_id, round(start_s + k * 60 / bpm, 4) AS t, CASE j WHEN 0 THEN 1 + n % 3 WHEN 4 THEN 4 + n % 3 ELSE 1 + (n + k) % 6 END::INT AS string, ((n * 7 + k) % 13)::INT AS fret, round(60 / bpm, 4) AS dur, CASE WHEN k = 0 THEN play + 1 END AS chord
+FROM t, (VALUES (0, 0), (4, 0), (1, 1), (2, 2), (3, 3)) v(j, k)""",
+    "neck_edges": """WITH s AS (SELECT s_suppkey AS k, s_suppkey % 50 AS m, unnest(range(0, 30)) AS i FROM supplier),
+p AS (SELECT k, i * 4.0::DOUBLE AS x, m * 2.0::DOUBLE AS y FROM s UNION ALL SELECT k, i * 4.0::DOUBLE, m * 2.0::DOUBLE + 60 FROM s UNION ALL SELECT k, m::DOUBLE, i * 3.0::DOUBLE FROM s WHERE i < 20),
+g AS (SELECT k, a, floor((x * cos(a * (pi() / 36)) + y * sin(a * (pi() / 36))) / 2 + 0.5)::BIGINT AS o, count(*) AS n FROM p, range(0, 36) r(a) GROUP BY ALL HAVING count(*) >= 15),
+v AS (SELECT k, a, o, n, a AS va, o AS vo FROM g UNION ALL SELECT k, a, o, n, a + 36, -o FROM g UNION ALL SELECT k, a, o, n, a - 36, -o FROM g),
+t AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.k = g.k AND abs(v.va - g.a) <= 3 AND abs(v.vo - g.o) <= 5 AND (v.n > g.n OR (v.n = g.n AND (v.a, v.o) < (g.a, g.o))))),
+w AS (SELECT c.k, c.a AS angle_a, c.o AS offset_a, d.a AS angle_b, d.o AS offset_b, (c.n + d.n)::DOUBLE AS votes, row_number() OVER (PARTITION BY c.k ORDER BY c.n + d.n DESC, c.a, c.o, d.a, d.o) AS r
+  FROM t c JOIN t d ON c.k = d.k AND (c.a, c.o) < (d.a, d.o) AND (abs(c.a - d.a) <= 4 OR abs(c.a - d.a) >= 32))
+SELECT k AS s_suppkey, angle_a::INT AS angle_a, offset_a, angle_b::INT AS angle_b, offset_b, votes FROM w WHERE r = 1""",
     "nearest_landmarks": f"""WITH e AS (SELECT *, {_T} AS t FROM events), p AS (SELECT event_id, user_id, t FROM e WHERE event_type = 'purchase'),
 n AS (SELECT p.event_id, abs(v.t - p.t) AS gap, v.value, floor(v.t / 3600) % 24 AS hour, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(v.t - p.t), v.t, v.value) AS rank FROM p JOIN e v ON v.user_id = p.user_id AND v.event_type = 'view' AND abs(v.t - p.t) <= 86400)
 SELECT p.event_id, count(n.rank) AS n_used, round(min(gap), 3) AS gap, round(median(n.value), 6) AS value, median(n.hour)::DOUBLE AS hour FROM p LEFT JOIN n ON n.event_id = p.event_id AND rank <= 3 GROUP BY 1""",

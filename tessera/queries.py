@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry, pitch, pitchtrack, resample, signal, values, vector
-from tessera.operators import audit, encode, experiments, folds, joins, models, pairs, perceptron as perceptrons, retrieve, sequence, spacing, stats, vision
+from tessera.operators import audit, encode, experiments, folds, joins, lines, models, pairs, perceptron as perceptrons, retrieve, sequence, spacing, stats, vision
 from tessera.plans.workspace import new_path
-from tessera.sources import files, sinks
+from tessera.sources import files, scores, sinks
 from tessera.streaming.machines import cadence, easing, hysteresis, monotonic, one_euro
 from tessera.streaming.run import confident, held_share, in_buckets, on_table, session_audit
 
@@ -713,6 +713,38 @@ def audio_containers(spark, sf):
     return keeps.withColumn("kept", F.lit(True)).unionByName(others.withColumn("kept", F.lit(False))).select("doc_id", "audio.container", "audio.codec", "kept")
 
 
+@query
+def score_charts(spark, sf):
+    """Each conversation as a MusicXML part, a bar a turn: four turns are a repeat, every third has a tempo mark; its notes as they are played."""
+    c = table(spark, sf, "conversations").where("text is not null")
+    n = F.length("text")
+
+    def note(k: int, string: Column, chord: str = "") -> Column:
+        return F.format_string(f"<note>{chord}<duration>4</duration><notations><technical><string>%s</string><fret>%s</fret></technical></notations></note>", string, (n * 7 + k) % 13)
+
+    notes = F.concat(note(0, 1 + n % 3), note(0, 4 + n % 3, "<chord/>"), *[note(k, 1 + (n + k) % 6) for k in (1, 2, 3)])
+    head = F.when(F.col("turn") == 0, "<attributes><divisions>4</divisions></attributes>").otherwise("")
+    tempo = F.when(F.col("turn") % 3 == 0, F.format_string('<direction><sound tempo="%s"/></direction>', 60 + n % 120)).otherwise("")
+    left = F.when(F.col("turn") % 4 == 0, '<barline location="left"><repeat direction="forward"/></barline>').otherwise("")
+    right = F.when(F.col("turn") % 4 == 3, '<barline location="right"><repeat direction="backward"/></barline>').otherwise("")
+    bars = F.struct("turn", F.concat(F.lit("<measure>"), head, left, tempo, notes, right, F.lit("</measure>")).alias("bar"))
+    parts = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(bars)), lambda b: b["bar"]), "").alias("bars"))  # a conversation's turns
+    path = new_path(spark, "scores")
+    files_ = parts.groupBy(F.floor(F.col("conv_id") / 64).alias("file")).agg(F.array_join(F.collect_list(F.format_string('<part id="%s">%s</part>', "conv_id", "bars")), "").alias("parts"))
+    files_.select(F.format_string("<score-partwise>%s</score-partwise>", "parts")).write.option("maxRecordsPerFile", 1).text(path)
+    found = scores.chart_of(scores.read_parts(spark, path))
+    return found.select(F.col("part").cast("bigint").alias("conv_id"), "t", "string", "fret", "dur", "chord")
+
+
+@query
+def neck_edges(spark, sf):
+    """Points of two parallel lines and a third across them for each supplier: cells of the grid with most votes."""
+    s = table(spark, sf, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("i"), F.pmod("s_suppkey", F.lit(50)).alias("at"))
+    shapes = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((F.col("i") * 4.0, F.col("at") * 2.0), (F.col("i") * 4.0, F.col("at") * 2.0 + 60.0), (F.col("at") * 1.0, F.when(F.col("i") < 20, F.col("i") * 3.0)))])
+    points = s.select("s_suppkey", F.explode(shapes).alias("p")).select("s_suppkey", "p.x", "p.y")
+    return lines.neck_edges(points, ["s_suppkey"], 36, 2.0, least=15).select("s_suppkey", "angle_a", "offset_a", "angle_b", "offset_b", "votes")
+
+
 @query
 def nearest_landmarks(spark, sf):
     """For each purchase medians of value and hour over the user's three views nearest in time, a day away at the most."""
