@@ -130,8 +130,40 @@ FROM documents d LEFT JOIN lists l ON d.doc_id = l.doc_id LEFT JOIN kept k ON d.
 """
 
 
+_COMPONENTS = """
+reach AS (SELECT id, id AS far FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.far),
+parts AS (SELECT id, min(far) AS component_id FROM reach GROUP BY id)"""
+
+_VECTORS = f"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+nodes AS (SELECT vec_id AS id FROM embeddings), {_COMPONENTS}
+SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM embeddings v JOIN parts p ON p.id = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON c.a = v.vec_id
+"""
+
+_SHINGLES = rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT DISTINCT doc_id, shingle FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [ws] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2]) END) AS shingle FROM split)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * shared >= 85 * (s.n + t.n - shared)),
+nodes AS (SELECT doc_id AS id FROM documents), {_COMPONENTS}
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN parts p ON p.id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_embedding_dedup": _VECTORS,
+        "op7_minhash_dedup": _SHINGLES,
         "op11_exact_dedup": _EXACT,
         "op12_merkle_manifest": _MERKLE,
         "op13_periodic_runs": _RUNS,
