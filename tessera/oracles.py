@@ -316,6 +316,27 @@ SELECT space, ca AS class_a, cb AS class_b, max(axes)::BIGINT AS axes, count(*)
     "tone_pitches": "SELECT s_suppkey::BIGINT AS k, (s_suppkey % 36 + 43)::BIGINT AS before, (s_suppkey % 36 + 48)::BIGINT AS after, 0::BIGINT AS voiced_in_silence FROM supplier",
     "resampled_tones": "SELECT s_suppkey AS k, ceil(22050 * 16000 / 44100.0)::BIGINT AS n, ceil(22050 / 4096.0)::BIGINT AS chunks, CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE round(sqrt(0.5), 2) END::DOUBLE AS level FROM supplier",
     "audio_containers": """SELECT doc_id, ['wav', 'wav', 'flac', 'ogg', 'webm', 'mp4', 'mp3', NULL][doc_id % 8 + 1] AS container, ['pcm', 'mp3', 'flac', 'opus', 'opus', 'aac', 'mp3', NULL][doc_id % 8 + 1] AS codec, doc_id % 8 IN (0, 2) AS kept FROM documents""",
+    "ablation_arms": """WITH l AS (SELECT l_orderkey % 4 AS f, CASE WHEN l_quantity + 10 * (l_linenumber % 3) > 40 THEN 'high' WHEN l_quantity > 15 THEN 'middle' ELSE 'low' END AS y, CASE WHEN l_linenumber <> 5 THEN l_quantity::DOUBLE END AS a, l_extendedprice / 1000::DOUBLE AS b FROM lineitem),
+r AS (SELECT row_number() OVER () AS id, * FROM l WHERE a IS NOT NULL AND b IS NOT NULL),
+m AS (SELECT id, f, y, 'quantity' AS arm, a AS x FROM r UNION ALL SELECT id, f, y, 'price', b FROM r), fo AS (SELECT DISTINCT f FROM r),
+t AS (SELECT arm, fo.f, y, count(*) AS n, avg(x) AS m, var_pop(x) * count(*) AS s FROM fo JOIN m ON m.f <> fo.f GROUP BY ALL),
+p AS (SELECT arm, f, y, m, n / sum(n) OVER w AS prior, sum(s) OVER w / (sum(n) OVER w - count(*) OVER w) AS v FROM t WINDOW w AS (PARTITION BY arm, f)),
+g AS (SELECT m.arm, m.id, m.y, arg_max(p.y, p.m * m.x / v - p.m * p.m / (2 * v) + ln(prior)) AS guess FROM m JOIN p ON p.arm = m.arm AND p.f = m.f GROUP BY ALL)
+SELECT arm, count(*) AS n, round(avg((y = guess)::INT), 6) AS accuracy FROM g GROUP BY 1
+UNION ALL SELECT 'majority', sum(n)::BIGINT, round(max(n) / sum(n), 6) FROM (SELECT y, count(*) AS n FROM r GROUP BY 1)""",
+    "transfer_positions": """WITH l AS (SELECT l_returnflag AS c, l_linenumber, l_quantity::DOUBLE AS a, (l_discount * 100 + CASE WHEN l_returnflag = 'N' THEN l_quantity / 10 ELSE 0 END)::DOUBLE AS b FROM lineitem),
+m AS (SELECT c, count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_pop(a) * count(*) AS saa, var_pop(b) * count(*) AS sbb, covar_pop(a, b) * count(*) AS sab FROM l WHERE c <> 'R' GROUP BY 1),
+s AS (SELECT sum(saa) AS saa, sum(sbb) AS sbb, sum(sab) AS sab FROM m), d AS (SELECT lo.ma, lo.mb, hi.ma - lo.ma AS da, hi.mb - lo.mb AS db FROM m lo JOIN m hi ON lo.c = 'A' AND hi.c = 'N'),
+w AS (SELECT ma, mb, da, db, sbb * da - sab * db AS wa, saa * db - sab * da AS wb FROM d, s)
+SELECT l_linenumber, count(*) AS n, round(avg((wa * (a - ma) + wb * (b - mb)) / (wa * da + wb * db)), 4) AS position FROM l, w WHERE c = 'R' GROUP BY 1""",
+    "smoothed_quads": _STEPS
+    + """, s AS (SELECT user_id, rn, event_id, CASE WHEN event_type <> 'view' THEN value / 100 END AS x, CASE WHEN event_type <> 'view' THEN 0.9::DOUBLE END AS conf, CASE WHEN event_type <> 'view' THEN 0 ELSE 1 END AS missed, CASE WHEN event_type <> 'view' THEN 'fresh' ELSE 'miss' END AS state FROM e WHERE rn = 1
+  UNION ALL SELECT user_id, rn, event_id, CASE WHEN new IS NULL THEN CASE WHEN missed < 5 THEN x END WHEN x IS NULL THEN new ELSE x + CASE WHEN abs(new - x) < 0.08::DOUBLE * sqrt(2) THEN 0.4::DOUBLE ELSE 0.8::DOUBLE END * (new - x) END,
+    CASE WHEN new IS NOT NULL THEN 0.9::DOUBLE WHEN x IS NOT NULL AND missed < 5 THEN conf * 0.8::DOUBLE END, CASE WHEN new IS NULL THEN missed + 1 ELSE 0 END, CASE WHEN new IS NOT NULL THEN 'fresh' WHEN x IS NOT NULL AND missed < 5 THEN 'held' ELSE 'miss' END
+  FROM (SELECT e.user_id, e.rn, e.event_id, CASE WHEN e.event_type <> 'view' THEN e.value / 100 END AS new, s.x, s.conf, s.missed FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1))
+SELECT event_id, state, round(x, 6) AS x, round(conf, 6) AS confidence FROM s""",
+    "board_twins": """WITH u AS (SELECT 1 - 2.0::DOUBLE ** (-3 / 12.0::DOUBLE) AS u)
+SELECT s_nationkey, count(*) AS n_keyframes, 0.0::DOUBLE AS median_reproj_px, round((110 + s_nationkey + 900 * any_value(u)) / (1 + any_value(u) / 10), 3) AS third_x, round((50 + 2 * s_nationkey - 30 * any_value(u) + (200 + s_nationkey) / 2::DOUBLE) / (1 + any_value(u) / 10), 3) AS third_y FROM supplier, u WHERE s_suppkey % 5 <> 0 GROUP BY 1""",
     "score_charts": """WITH b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS bar, turn, length(text) AS n FROM conversations WHERE text IS NOT NULL),
 s AS (SELECT *, sum(CASE WHEN turn % 4 = 0 OR after_close THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY bar) AS section FROM (SELECT *, coalesce(lag(turn % 4 = 3) OVER (PARTITION BY conv_id ORDER BY bar), false) AS after_close FROM b)),
 p AS (SELECT *, unnest(range(1, CASE WHEN max(turn % 4) OVER (PARTITION BY conv_id, section) = 3 THEN 3 ELSE 2 END)) AS pass FROM s),

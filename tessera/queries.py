@@ -11,7 +11,7 @@ from tessera.functions import geometry, pitch, pitchtrack, resample, signal, val
 from tessera.operators import audit, encode, experiments, folds, joins, lines, models, pairs, perceptron as perceptrons, retrieve, sequence, spacing, stats, vision
 from tessera.plans.workspace import new_path
 from tessera.sources import files, scores, sinks
-from tessera.streaming.machines import cadence, easing, hysteresis, monotonic, one_euro
+from tessera.streaming.machines import cadence, easing, hysteresis, monotonic, one_euro, smooth_and_hold
 from tessera.streaming.run import confident, held_share, in_buckets, on_table, session_audit
 
 #: A time bucket of the machines that run over each user's events: ten days.
@@ -713,6 +713,62 @@ def audio_containers(spark, sf):
     return keeps.withColumn("kept", F.lit(True)).unionByName(others.withColumn("kept", F.lit(False))).select("doc_id", "audio.container", "audio.codec", "kept")
 
 
+@query
+def ablation_arms(spark, sf):
+    """The same folds and rows on two measures, each alone, and on the majority class; rows without one of them are in no arm."""
+    y = F.when(F.col("l_quantity") + 10 * (F.col("l_linenumber") % 3) > 40, "high").when(F.col("l_quantity") > 15, "middle").otherwise("low")
+    li = table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), y.alias("y"), F.pmod("l_orderkey", F.lit(4)).alias("fold"), F.when(F.col("l_linenumber") != 5, F.col("l_quantity").cast("double")).alias("a"), (F.col("l_extendedprice") / 1000).alias("b"))
+    found = experiments.ablation(li, "y", {"quantity": ["a"], "price": ["b"]}, "id")
+    return found.select("arm", F.col("n").cast("bigint").alias("n"), *r6("accuracy"))
+
+
+@query
+def transfer_positions(spark, sf):
+    """Where the rows of a third class lie on the axis that two others taught, by line."""
+    li = table(spark, sf, "lineitem").select("l_returnflag", "l_linenumber", F.col("l_quantity").cast("double").alias("a"), (F.col("l_discount") * 100 + F.when(F.col("l_returnflag") == "N", F.col("l_quantity") / 10).otherwise(0.0)).cast("double").alias("b"))
+    found = experiments.transfer(li.where("l_returnflag <> 'R'"), li.where("l_returnflag = 'R'"), "l_returnflag", ["a", "b"])
+    return found.groupBy("l_linenumber").agg(F.count("*").alias("n"), F.round(F.avg("position"), 4).alias("position"))
+
+
+@query
+def off_detection(spark, sf):
+    """Rows of three classes told from another class's by distance. No SQL counterpart (shrunk inverse, seeded draws)."""
+    li = table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "l_returnflag", (F.col("l_quantity") + F.when(F.col("l_returnflag") == "N", 20).when(F.col("l_returnflag") == "R", -20).otherwise(0)).cast("double").alias("a"), F.col("l_discount").cast("double").alias("b"))
+    return experiments.off_detection(li, "l_returnflag", ["a", "b"], "id")
+
+
+@query
+def promotion_gate(spark, sf):
+    """Whether the prices of parts fall into two, each side seen in enough brands. No SQL counterpart (a mixture)."""
+    return experiments.promotion(table(spark, sf, "part").select("p_brand", (F.col("p_retailprice") + F.when(F.col("p_size") > 25, 2000).otherwise(0)).alias("price")), "price", "p_brand", 3)
+
+
+@query
+def smoothed_quads(spark, sf):
+    """A unit square for each of a user's events at its value, missed on views: smoothed, held for five rows, then gone."""
+    e = timed_events(spark, sf)
+    x = F.col("value") / 100
+    quads = e.select("user_id", "t", "event_id", F.when(F.col("event_type") != "view", F.array(x, F.lit(0.0), x + 1, F.lit(0.0), x + 1, F.lit(1.0), x, F.lit(1.0))).alias("quad"), F.lit(0.9).alias("confidence"))
+    found = on_table(quads, smooth_and_hold(), "user_id", ["t", "event_id"])
+    return found.select("event_id", "state", F.round(F.get("quad", F.lit(0)), 6).alias("x"), F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def board_twins(spark, sf):
+    """Wire points of each supplier's frame under its nation's map; frames with three wires are too few. Where the third wire lies between the edges."""
+    u = lambda fret: 1 - F.pow(F.lit(2.0), -fret / 12)
+    n = F.col("s_nationkey")
+    frets = F.explode(F.sequence(F.lit(1), F.when(F.col("s_suppkey") % 5 == 0, 3).otherwise(6)))
+    wires = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", frets.alias("fret")).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    w = 1 + 0.1 * u(F.col("fret"))
+    points = wires.select(F.col("s_suppkey").alias("frame"), "s_nationkey", "fret", "side", ((100 + n + 900 * u(F.col("fret")) + 20 * F.col("side")) / w).alias("x"), ((50 + 2 * n - 30 * u(F.col("fret")) + (200 + n) * F.col("side")) / w).alias("y"))
+    found = vision.registrations(points.drop("s_nationkey")).join(points.select("frame", "s_nationkey").distinct(), "frame")
+    h, v = lambda i, j: F.col("h")[i][j], u(3 + F.col("nut"))
+    at = lambda i: h(i, 0) * v + h(i, 1) * 0.5 + h(i, 2)
+    third = found.groupBy("s_nationkey").agg(F.round(F.avg(at(0) / at(2)), 3).alias("third_x"), F.round(F.avg(at(1) / at(2)), 3).alias("third_y"))
+    return vision.twin(found, "s_nationkey").join(third, "s_nationkey").select("s_nationkey", "n_keyframes", F.round("median_reproj_px", 3).alias("median_reproj_px"), "third_x", "third_y")
+
+
 @query
 def score_charts(spark, sf):
     """Each conversation as a MusicXML part, a bar a turn: four turns are a repeat, every third has a tempo mark; its notes as they are played."""
