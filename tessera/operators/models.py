@@ -13,6 +13,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import pairs
+
 
 @dataclass(frozen=True)
 class Moments:
@@ -195,6 +197,11 @@ def bimodality(df: DataFrame, value: str, rounds: int = 60) -> dict[str, float |
     return {"bic_1": bic[0], "bic_2": bic[1], "least_weight": min(weights), "separation": apart, "bimodal": bool(bic[0] - bic[1] > 6 and min(weights) > 0.15 and apart > 1)}
 
 
+def pairwise_out_of_fold(df: DataFrame, label: str, features: Sequence[str], key: str) -> DataFrame:
+    """V6 without imputation and principal axes (``pairs`` has the whole chain): (key, fold, class_a, class_b, label, score); a row with a missing feature has no score and teaches nothing."""
+    return pairs.pairwise_out_of_fold(df.dropna(subset=list(features)), label, features, key, keep=1.0).drop("kept")
+
+
 def pairwise_dprime(scores: DataFrame) -> DataFrame:
     """V6, A4: (class_a, class_b, n, dprime) of the scores of all folds together; null without spread."""
     a, b = (F.when(F.col("label") == F.col(c), F.col("score")) for c in ("class_a", "class_b"))
