@@ -85,18 +85,25 @@ def on_table(df: DataFrame, machine: Machine, key: str, order: Sequence[str]) ->
     return df.select(*columns).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, _schema(df, machine, key, order))
 
 
-def _entries_composed(whole: DataFrame, machine: Machine, key: str) -> DataFrame:
-    """Entry states of every bucket from the buckets' composed maps: a row a bucket, a key's in order."""
-
-    def entries(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("__bucket", ignore_index=True)
-        state, out = machine.start, []
-        for made in rows["__map"]:
-            out.append(json.dumps(state))
-            state = machine.act(tuple(json.loads(made)), state)
-        return pd.DataFrame({key: rows[key], "__bucket": rows["__bucket"], "__entry": out}, dtype=object)
-
-    return whole.groupBy(key).applyInPandas(entries, f"`{key}` {dict(whole.dtypes)[key]}, __bucket bigint, __entry string")
+_CELL = ("__key", "__bucket")
+
+
+def _states(batches: Iterator[pd.DataFrame], inputs: Sequence[str], first, step) -> Iterator[tuple[pd.DataFrame, list, list]]:
+    """Per batch of sorted rows what ``step(state, row)`` gives for each row, and the cells (key and bucket) that ended, with their last state; ``first(entry)`` begins one."""
+    cell = state = entry = None
+    for batch in batches:
+        made, ended = [], []
+        entries = batch["__entry"].tolist() if "__entry" in batch else [None] * len(batch)
+        for k, b, e, row in zip(batch["__key"].tolist(), batch["__bucket"].tolist(), entries, zip(*[batch[c] for c in inputs], strict=True), strict=True):
+            if (k, b) != cell:
+                if cell is not None:
+                    ended.append((*cell, entry, state))
+                cell, entry, state = (k, b), e, first(e)
+            state, out = step(state, tuple(map(_plain, row)))
+            made.append(out)
+        yield batch, made, ended
+    if cell is not None:
+        yield None, [], [(*cell, entry, state)]
 
 
 def in_buckets(df: DataFrame, machine: Machine, key: str, order: Sequence[str], width: float) -> DataFrame:
@@ -108,60 +115,63 @@ def in_buckets(df: DataFrame, machine: Machine, key: str, order: Sequence[str],
     a row a bucket gives the states. All others (two-state triggers as T7) guess the start; those that
     forget need a round or two. The worst case, a state that crosses every bucket unchanged, takes a round a bucket.
 
-    Rows of a null key are a key's; a null time is a bucket of its own, before all others. Memory holds a bucket's rows.
+    Rows of a null key are a key's; a null time is a bucket of its own, before all others. Buckets are read in order, batch by batch, with
+    the state carried on, so memory does not grow with them.
     """
     columns = list(dict.fromkeys([key, *order, *machine.inputs]))
     bucket = F.coalesce(F.floor(F.col(order[0]) / width), F.lit(-(1 << 62))).cast("bigint")
-    rows = materialise(df.select(*columns).withColumn("__bucket", bucket), "rows")
-    kind = dict(rows.dtypes)[key]
-    cell = f"`{key}` {kind}, __bucket bigint"
-    names = [f.split()[0] for f in machine.output.replace(", ", ",").split(",")]
+    named = F.coalesce(F.to_json(F.struct(F.col(key).alias("k"))), F.lit(""))  # null-safe
+    rows = materialise(df.select(*columns, named.alias("__key"), bucket.alias("__bucket")), "rows")
 
-    def ordered(part: pd.DataFrame) -> pd.DataFrame:
-        return part.sort_values(list(order), ignore_index=True, na_position="first")
+    def dealt(part: DataFrame) -> DataFrame:
+        return part.repartition(*_CELL).sortWithinPartitions(*_CELL, *order)
 
-    def lifted(part: pd.DataFrame) -> pd.DataFrame:
-        part, made = ordered(part), None
-        for row in zip(*[part[c] for c in machine.inputs], strict=True):
-            own = machine.lift(tuple(map(_plain, row)))
-            made = own if made is None else machine.compose(made, own)
-        return pd.DataFrame({key: [part[key][0]], "__bucket": [part["__bucket"][0]], "__map": [json.dumps(made)]}, dtype=object)
+    def lifted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        add = lambda made, row: (machine.lift(row) if made is None else machine.compose(made, machine.lift(row)), None)
+        for _, _, ended in _states(batches, machine.inputs, lambda e: None, add):
+            yield pd.DataFrame([(k, b, json.dumps(made)) for k, b, _, made in ended], columns=[*_CELL, "__map"], dtype=object)
 
-    def left(part: pd.DataFrame, entry: str) -> str:
-        return json.dumps(_fold(machine, tuple(json.loads(entry)), ordered(part))[0])
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, _, ended in _states(batches, machine.inputs, lambda e: tuple(json.loads(e)), machine.step):
+            yield pd.DataFrame([(k, b, e, json.dumps(state)) for k, b, e, state in ended], columns=[*_CELL, "__entry", "__exit"], dtype=object)
 
-    def exits(part: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if not len(part) or not len(entry):
-            return pd.DataFrame({key: [], "__bucket": [], "__entry": [], "__exit": []}, dtype=object)
-        return pd.DataFrame({key: [part[key][0]], "__bucket": [part["__bucket"][0]], "__entry": [entry["__entry"][0]], "__exit": [left(part, entry["__entry"][0])]}, dtype=object)
-
-    def final(part: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        part = ordered(part)
-        return _frame(key, order, machine, part, _fold(machine, tuple(json.loads(entry["__entry"][0])), part)[1])
+    def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch, made, _ in _states(batches, machine.inputs, lambda e: tuple(json.loads(e)), machine.step):
+            if batch is not None:
+                yield _frame(key, order, machine, batch, made)
 
+    cell = "__key string, __bucket bigint"
     if machine.compose is not None:
-        guess = _entries_composed(rows.groupBy(key, "__bucket").applyInPandas(lifted, f"{cell}, __map string"), machine, key)
+        guess = _entries_composed(dealt(rows).mapInPandas(lifted, f"{cell}, __map string"), machine)
     else:
-        guess = rows.select(key, "__bucket").distinct().withColumn("__entry", F.lit(json.dumps(machine.start)))
-    entries = _entries_agreed(rows, machine, key, exits, cell, guess)
-    met = rows.groupBy(key, "__bucket").cogroup(entries.groupBy(key, "__bucket"))
-    kinds = dict(df.dtypes)
-    return met.applyInPandas(final, ", ".join([*(f"`{c}` {kinds[c]}" for c in [key, *order]), machine.output])).select(key, *order, *names)
-
-
-def _entries_agreed(rows: DataFrame, machine: Machine, key: str, exits, cell: str, guess: DataFrame) -> DataFrame:
-    """Entry states of every bucket, by running buckets until each is entered as its predecessor is left."""
+        guess = rows.select(*_CELL).distinct().withColumn("__entry", F.lit(json.dumps(machine.start)))
     known, todo = None, materialise(guess, "entries")
     while True:
-        ran = rows.groupBy(key, "__bucket").cogroup(todo.groupBy(key, "__bucket")).applyInPandas(exits, f"{cell}, __entry string, __exit string")
+        ran = dealt(rows.join(todo, list(_CELL))).mapInPandas(exits, f"{cell}, __entry string, __exit string")
         if known is not None:
-            stays = known.join(todo.select(F.col(key).alias("__k"), F.col("__bucket").alias("__b")), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__bucket") == F.col("__b")), "left_anti")
-            ran = stays.unionByName(ran)
+            ran = known.join(todo.select(*_CELL), list(_CELL), "left_anti").unionByName(ran)
         known = materialise(ran, "exits")
-        before = F.lag("__exit", 1, json.dumps(machine.start)).over(Window.partitionBy(key).orderBy("__bucket"))  # a row a bucket
-        todo = materialise(known.withColumn("__was", before).where("__was <> __entry").select(key, "__bucket", F.col("__was").alias("__entry")), "entries")
+        before = F.lag("__exit", 1, json.dumps(machine.start)).over(Window.partitionBy("__key").orderBy("__bucket"))  # a row a bucket
+        todo = materialise(known.withColumn("__was", before).where("__was <> __entry").select(*_CELL, F.col("__was").alias("__entry")), "entries")
         if todo.isEmpty():
-            return known.select(key, "__bucket", "__entry")
+            return dealt(rows.join(known.select(*_CELL, "__entry"), list(_CELL))).mapInPandas(final, _schema(df, machine, key, order))
+
+
+def _entries_composed(whole: DataFrame, machine: Machine) -> DataFrame:
+    """Entry states of every bucket from the buckets' composed maps: a row a bucket, a key's in order."""
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for k, made in zip(batch["__key"].tolist(), batch["__map"].tolist(), strict=True):
+                if k != key:
+                    key, state = k, machine.start
+                out.append(json.dumps(state))
+                state = machine.act(tuple(json.loads(made)), state)
+            yield pd.DataFrame({"__key": batch["__key"].astype(object), "__bucket": batch["__bucket"], "__entry": pd.Series(out, dtype=object)})
+
+    return whole.repartition("__key").sortWithinPartitions(*_CELL).mapInPandas(entries, "__key string, __bucket bigint, __entry string")
 
 
 def first_available(**candidates: Column) -> tuple[Column, Column]:
