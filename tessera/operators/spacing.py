@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -66,6 +66,23 @@ def _decided(rows: pd.DataFrame, gap: float) -> np.ndarray:
     return state
 
 
+def _whole_windows(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches of whole windows of sorted rows, with the windows' starts and the end; one that a batch cuts is carried on."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        batch = pd.concat([*held, batch], ignore_index=True) if held else batch
+        new = np.ones(len(batch), bool)
+        new[1:] = np.any([batch[k].to_numpy()[1:] != batch[k].to_numpy()[:-1] for k in keys], axis=0)
+        starts = np.flatnonzero(new)
+        held = [batch.iloc[starts[-1] :].reset_index(drop=True)]
+        if starts[-1]:
+            yield batch.iloc[: starts[-1]], starts
+    if held:
+        yield held[0], np.array([0, len(held[0])])
+
+
 def spaced_peaks(peaks: DataFrame, run: Sequence[str], time: str, strength: str, gap: float, most: Column | int | None = None, span: int = 256) -> DataFrame:
     """(``run``, ``time``, ``strength``) of the strongest peaks, each ``gap`` or more from all stronger ones kept; the ``most`` strongest of a run.
 
@@ -87,13 +104,16 @@ def spaced_peaks(peaks: DataFrame, run: Sequence[str], time: str, strength: str,
     home = F.floor(F.col("t") / width)
     schema = ", ".join([*(f"{n} string" for n in names), "t double, strength double, state int"])
 
-    def step(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(state=_decided(part, gap))
-        return part.loc[part.own & (part.state != _GONE), [*names, "t", "strength", "state"]]
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch, starts in _whole_windows(batches, [*names, "window"]):
+            state = np.concatenate([_decided(batch.iloc[a:b], gap) for a, b in zip(starts[:-1], starts[1:], strict=True)])
+            batch = batch.assign(state=state)
+            yield batch.loc[batch.own & (batch.state != _GONE), [*names, "t", "strength", "state"]]
 
     while True:
         seen = known.withColumn("window", F.explode(F.array_distinct(F.array(home, F.floor((F.col("t") - gap) / width), F.floor((F.col("t") + gap) / width)))))
-        after = seen.withColumn("own", F.col("window") == home).groupBy(*names, "window").applyInPandas(step, schema)
+        dealt = seen.withColumn("own", F.col("window") == home).repartition(*names, "window").sortWithinPartitions(*names, "window")
+        after = dealt.mapInPandas(step, schema)
         known = materialise(after, "peaks")
         if known.where(F.col("state") == _OPEN).isEmpty():
             break
