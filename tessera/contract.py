@@ -17,6 +17,7 @@ VISION_FEATURES = "d_active d_index d_middle d_ring d_pinky string_est fret_est
 RESIDUAL_FEATURES = "res_energy_ratio res_centroid res_flatness res_highband_ratio res_rolloff perc_ratio".split() + [f"res_mfcc_{i}" for i in range(1, 6)]
 FUSED_FEATURES = [*AUDIO_FEATURES, *VISION_FEATURES]
 
+#: The columns of a run and of an event in order.
 RUN_DDL = (
     "run_id string, session_id string, player_id string, app_version string, block string, string string, s_num int, fret_range string, frets array<int>, finger string, "
     "intended_class string, intended_placement string, pluck_strength string, pluck_variant string, pose_variant string, chord_name string, is_arpeggio boolean, is_strum boolean, "

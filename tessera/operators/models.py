@@ -212,7 +212,7 @@ def pairwise_dprime(scores: DataFrame) -> DataFrame:
 def third_axis(scalings: np.ndarray) -> int:
     """M5: of the principal axes (rows, the widest first) the one to show beside the discriminant's axes (columns).
 
-    Each is charged its rank, and its length in the discriminant relative to the longest times their number; the least charge, the first of equals.
+    A fixed rule of the reference results: each is charged its rank, and its length in the discriminant relative to the longest times their number; the least charge, the first of equals.
     """
     use = np.linalg.norm(scalings, axis=1)
     return int(np.argmin(np.arange(len(use)) + use / (use.max() + 1e-12) * len(use)))
