@@ -73,43 +73,52 @@ def pairs_at(rows: np.ndarray, threshold: float, n: int = 4096, seed: int = 13)
     return np.vstack([x, some[a[picked]]]), np.vstack([y, some[b[picked]]])
 
 
-def fit_tables(rows: np.ndarray, mean: np.ndarray, projection: np.ndarray, threshold: float, width: int, tables: int, recall: float) -> tuple[int, int, float]:
-    """Width of the masks, Hamming radius, and the share of ``pairs_at`` the threshold that meet within both.
+def fit_tables(rows: np.ndarray, mean: np.ndarray, projection: np.ndarray, threshold: float, tables: int, recall: float) -> tuple[list[int], int]:
+    """For masks of 1, 2, ... bits the fewest tables in which ``recall`` of ``pairs_at`` the threshold meet, and the Hamming radius.
 
-    The widest masks are taken under which ``recall`` of the pairs meet in some table; width 0, one
-    bucket for all, if none does. The radius holds every one of the pairs with two bits to spare.
+    The list ends at the width that would need more than ``tables``; it is empty where vectors crowd so that
+    no width will do. The radius holds every one of the pairs with two bits to spare.
     """
     x, y = pairs_at(rows, threshold)
     bits = projection.shape[1]
     if not len(x):
-        return 0, bits, 1.0
+        return [], bits
     differ = to_codes((x - mean) @ projection >= 0) ^ to_codes((y - mean) @ projection >= 0)
     radius = min(bits, int(np.bitwise_count(differ).max()) + 2)
-    for w in range(min(width, max(1, bits * 7 // 32)), 0, -1):
-        met = ((differ[:, None] & np.array(table_masks(bits, w, tables), np.uint64)) == 0).any(axis=1).mean()
-        if met >= recall:
-            return w, radius, float(met)
-    return 0, radius, 1.0
+    needed: list[int] = []
+    for width in range(1, bits // 2 + 1):
+        apart, count = differ, 0
+        for mask in table_masks(bits, width, tables):
+            if len(apart) <= (1 - recall) * len(differ):
+                break
+            apart, count = apart[(apart & np.uint64(mask)) != 0], count + 1
+        if len(apart) > (1 - recall) * len(differ):
+            break
+        needed.append(count)
+    return needed, radius
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, width: int = 12, tables: int = 64, recall: float = 0.999, sample: int = 8192, block: int = 1024) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int = 512, company: int = 256, recall: float = 0.999, sample: int = 8192, block: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector.
 
     Vectors with equal, non-null labels and as many dimensions are linked when
     their cosine in double precision is ``threshold`` or more. Equal vectors
     fold into a class first. Each class gets a code of up to 64 bits: the rotation
     is learned on ``sample`` classes at the most (the documented bound), every class is
-    indexed. Classes that agree on the bits of one of ``tables`` masks meet in a bucket. The masks are as wide
-    (``width`` at the most) as ``recall`` of pairs at the threshold allows, measured on pairs made from the sample
-    (``fit_tables``); where vectors crowd so that no width does, the label is one bucket.
+    indexed. Classes that agree on the bits of one of several masks meet in a bucket. Masks of w bits need as many tables
+    as let ``recall`` of pairs at the threshold meet, measured on pairs made from the sample (``fit_tables``), ``tables`` at
+    the most. In a label of n classes a class costs each table one row, which is as dear as comparing ``company``
+    codes, and n / 2^w codes to compare; w is where that is least, so masks and tables grow with the logarithm of n. Where vectors
+    crowd so that no width will do, the label is one bucket.
 
     Only codes travel to the buckets. There pairs that met in an earlier table or differ in more bits
     than any of the sample's pairs are out; the vectors of classes that still have a partner follow and
-    are compared. Buckets larger than ``block`` are split
+    are compared. A link is a pair within that radius whose cosine is high enough, wherever it meets, so links
+    and components agree. Buckets larger than ``block`` are split
     into blocks, and block is held against block, so no bucket is gathered in one
     task and none is cut. A block returns a count and one representative a member, never its pairs.
 
@@ -126,13 +135,14 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, width: i
     def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         found = in_order(unit(matrix(group["embedding"])))
         mean, projection = learn_rotation(found, min(64, found.shape[1]))
-        wide, radius, _ = fit_tables(found, mean, projection, threshold, width, tables, recall)
-        return pd.DataFrame({"dims": [key[0]], "mean": [mean.tolist()], "projection": [projection.ravel().tolist()], "width": [wide], "radius": [radius]})
+        needed, radius = fit_tables(found, mean, projection, threshold, tables, recall)
+        return pd.DataFrame({"dims": [key[0]], "mean": [mean.tolist()], "projection": [projection.ravel().tolist()], "needed": [needed], "radius": [radius]})
 
     drawn = bounded_sample(classes, "dims", per_dims, ["rep"], sample, 3)
-    learned = drawn.groupBy("dims").applyInPandas(learn, "dims int, mean array<double>, projection array<double>, width int, radius int").collect()  # dims x 64 numbers each
+    learned = drawn.groupBy("dims").applyInPandas(learn, "dims int, mean array<double>, projection array<double>, needed array<int>, radius int").collect()  # dims x 64 numbers each
     models = {r.dims: (np.array(r.mean), np.array(r.projection).reshape(r.dims, -1)) for r in learned}
-    masks = {r.dims: table_masks(min(64, r.dims), r.width, tables) for r in learned}
+    masks = {(r.dims, 0): [0] for r in learned}
+    masks |= {(r.dims, w): table_masks(min(64, r.dims), w, n) for r in learned for w, n in enumerate(r.needed, 1)}
     radii = {r.dims: r.radius for r in learned}
     packed = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
 
@@ -146,21 +156,26 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, width: i
 
     label = dict(classes.dtypes)["label"]
     codes = materialise(classes.mapInPandas(encode, f"label {label}, dims int, rep bigint, copies bigint, code bigint, vector binary"), "codes")
-    all_masks = F.element_at(F.create_map(F.lit(0), F.array(F.lit(0).cast("bigint")), *[x for d, ms in masks.items() for x in (F.lit(d), F.array(*[F.lit(_signed(m)).cast("bigint") for m in ms]))]), F.col("dims"))
-    keyed = codes.select("label", "dims", "rep", "code", F.posexplode(all_masks).alias("table", "mask")).withColumn("part", F.col("code").bitwiseAND(F.col("mask"))).drop("mask")
-    bucket = ["label", "dims", "table", "part"]
+    sizes = codes.groupBy("label", "dims").agg(F.count("*").alias("n"))
+    needed = vectors.sparkSession.createDataFrame([(r.dims, r.needed) for r in learned], "dims int, needed array<int>")
+    cost = F.transform("needed", lambda count, i: F.struct((count * (company + F.col("n") / F.pow(F.lit(2.0), i + 1))).alias("cost"), (i + 1).alias("width")))
+    widths = sizes.join(F.broadcast(needed), "dims").select("label", "dims", F.coalesce(F.array_min(cost)["width"], F.lit(0)).alias("width"))
+    all_masks = vectors.sparkSession.createDataFrame([(d, w, t, _signed(m)) for (d, w), found in masks.items() for t, m in enumerate(found)], "dims int, width int, table int, mask bigint")  # at most 32 x ``tables`` a length
+    keyed = codes.select("label", "dims", "rep", "code").join(materialise(widths, "widths"), ["label", "dims"]).join(F.broadcast(all_masks), ["dims", "width"])
+    keyed = keyed.withColumn("part", F.col("code").bitwiseAND(F.col("mask"))).drop("mask")
+    bucket = ["label", "dims", "width", "table", "part"]
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, starts in whole_groups(batches, [*bucket, "low", "high"]):
             yield batch.iloc[_partnered(batch, starts, masks, radii)][[*bucket, "rep"]]
 
-    met = deal_pairs(keyed, bucket, F.xxhash64("rep"), block).mapInPandas(meet, f"label {label}, dims int, table int, part bigint, rep bigint")
+    met = deal_pairs(keyed, bucket, F.xxhash64("rep"), block).mapInPandas(meet, f"label {label}, dims int, width int, table int, part bigint, rep bigint")
     met = materialise(met.dropDuplicates([*bucket, "rep"]), "met")
     dealt = deal_pairs(met.join(codes.select("rep", "copies", "code", "vector"), "rep"), bucket, F.xxhash64("rep"), block)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, starts in whole_groups(batches, [*bucket, "low", "high"]):
-            yield _linked(batch, starts, masks, threshold, packed)
+            yield _linked(batch, starts, masks, radii, threshold, packed)
 
     found = materialise(dealt.mapInPandas(compare, "rep bigint, links bigint, other bigint"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -172,27 +187,29 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, width: i
     return tagged.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _partnered(batch: pd.DataFrame, starts: np.ndarray, masks: dict[int, list[int]], radii: dict[int, int], small: int = 64) -> np.ndarray:
+def _partnered(batch: pd.DataFrame, starts: np.ndarray, masks: dict[tuple[int, int], list[int]], radii: dict[int, int], small: int = 64) -> np.ndarray:
     """Places of the members that have a partner within the radius whom no earlier table brings to them.
 
     Groups of up to ``small`` members are held against themselves all at once, at one distance in the
     batch after the other; larger ones each as a matrix.
     """
-    own, low, high, table, dims = (batch[c].to_numpy() for c in ("own", "low", "high", "table", "dims"))
+    own, low, high, table, dims, width = (batch[c].to_numpy() for c in ("own", "low", "high", "table", "dims", "width"))
     code, found = batch["code"].to_numpy().view(np.uint64), np.zeros(len(batch), bool)
     radius = np.array([radii[int(d)] for d in np.unique(dims)])[np.searchsorted(np.unique(dims), dims)]
-    earlier = {d: np.array(m, np.uint64) for d, m in masks.items()}
+    kinds, kind = np.unique(np.stack([dims, width], axis=1), axis=0, return_inverse=True)
+    kind = kind.ravel()
+    earlier = [np.array(masks[int(d), int(w)], np.uint64) for d, w in kinds]
 
     def settle(at: np.ndarray, to: np.ndarray) -> None:
         """Mark the pairs' members unless an earlier table's bucket holds the pair."""
         left = code[at] ^ code[to]
-        for d in np.unique(dims[at]):
-            for t in range(len(earlier[int(d)])):
-                stay = (dims[at] != d) | (table[at] <= t) | ((left & earlier[int(d)][t]) != 0)
+        for k in np.unique(kind[at]):
+            for t in range(len(earlier[k])):
+                stay = (kind[at] != k) | (table[at] <= t) | ((left & earlier[k][t]) != 0)
                 if not stay.all():
                     at, to, left = at[stay], to[stay], left[stay]
-                if not len(at):
-                    return
+                if not len(at) or table[at].max() <= t:
+                    break
         found[at] = found[to] = True
 
     sizes = np.diff(starts)
@@ -211,25 +228,26 @@ def _partnered(batch: pd.DataFrame, starts: np.ndarray, masks: dict[int, list[in
     return np.flatnonzero(found)
 
 
-def _linked(batch: pd.DataFrame, starts: np.ndarray, masks: dict[int, list[int]], threshold: float, packed_as: str) -> pd.DataFrame:
+def _linked(batch: pd.DataFrame, starts: np.ndarray, masks: dict[tuple[int, int], list[int]], radii: dict[int, int], threshold: float, packed_as: str) -> pd.DataFrame:
     """For each linked member of the groups between ``starts``: links first met here, and its group's smallest class."""
     reps, links, others = [], [], []
     if len(batch):
         rep, copies, own = (batch[c].to_numpy() for c in ("rep", "copies", "own"))
-        low, high, table, dims = (batch[c].to_numpy() for c in ("low", "high", "table", "dims"))
+        low, high, table, dims, width = (batch[c].to_numpy() for c in ("low", "high", "table", "dims", "width"))
         code, packed = batch["code"].to_numpy().view(np.uint64), batch["vector"].to_numpy()
         for a, b in zip(starts[:-1], starts[1:]):
             if b - a < 2:
                 continue
             vectors = unit(unpack(packed[a:b], packed_as))
             near = vectors @ vectors.T >= threshold
+            near &= np.bitwise_count(code[a:b, None] ^ code[None, a:b]) <= radii[int(dims[a])]
             np.fill_diagonal(near, False)
             if low[a] != high[a]:  # two blocks: pairs inside a block are met elsewhere
                 near &= own[a:b, None] != own[None, a:b]
             at, to = np.nonzero(near)
             if not len(at):
                 continue
-            masked = np.array(masks[int(dims[a])][: int(table[a])], np.uint64)
+            masked = np.array(masks[int(dims[a]), int(width[a])][: int(table[a])], np.uint64)
             differ = code[a + at] ^ code[a + to]
             first = ~((differ[:, None] & masked[None, :]) == 0).any(axis=1)
             count = np.bincount(at[first], weights=copies[a + to[first]], minlength=b - a).astype(np.int64)

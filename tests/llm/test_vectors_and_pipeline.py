@@ -77,19 +77,46 @@ def test_pairs_at_the_threshold_are_met(spark, dims, shared):
     assert together >= 995
 
 
-def test_width_follows_the_vectors():
-    """Wide masks for vectors in all directions, narrower ones where they crowd; the recall is measured, and holds on pairs of another seed."""
-    widths = []
+def test_tables_follow_the_vectors():
+    """Few tables for vectors in all directions, more where they crowd; the recall is measured, and holds on pairs of another seed."""
+    tables = []
     for shared in (0.0, 0.5, 0.8):
         rows = embdedup.in_order(np.vstack(planted_pairs(2000, 64, shared)))
         mean, projection = embdedup.learn_rotation(rows, 64)
-        width, radius, met = embdedup.fit_tables(rows, mean, projection, 0.93, 12, 64, 0.999)
+        needed, radius = embdedup.fit_tables(rows, mean, projection, 0.93, 512, 0.999)
         x, y = planted_pairs(4000, 64, shared, seed=99)
         differ = embdedup.to_codes((x - mean) @ projection >= 0) ^ embdedup.to_codes((y - mean) @ projection >= 0)
-        masks = np.array(embdedup.table_masks(64, width, 64), np.uint64)
-        assert met >= 0.999 and ((differ[:, None] & masks) == 0).any(axis=1).mean() >= 0.995 and (np.bitwise_count(differ) <= radius).mean() >= 0.999
-        widths.append(width)
-    assert widths[0] >= 9 and widths == sorted(widths, reverse=True)
+        assert (np.bitwise_count(differ) <= radius).mean() >= 0.999
+        for width in range(2, len(needed) + 1, 3):
+            masks = np.array(embdedup.table_masks(64, width, needed[width - 1]), np.uint64)
+            assert ((differ[:, None] & masks) == 0).any(axis=1).mean() >= 0.99
+        tables.append(needed)
+    assert len(tables[0]) >= 16 and tables[0][5] <= tables[1][5] <= tables[2][5]
+
+
+def test_cost_of_a_label_stays_below_quadratic():
+    """Rows and comparisons of codes in a label of n classes: ten times the classes, less than 30 times the cost, where all pairs take 100 times."""
+    rows = embdedup.in_order(np.vstack(planted_pairs(2000, 64, 0.0)))
+    mean, projection = embdedup.learn_rotation(rows, 64)
+    needed, _ = embdedup.fit_tables(rows, mean, projection, 0.93, 512, 0.999)
+    codes = embdedup.to_codes((np.vstack(planted_pairs(50_000, 64, 0.0, seed=21)) - mean) @ projection >= 0)
+    cost = []
+    for n in (1_000, 10_000, 100_000):
+        width = min(range(1, len(needed) + 1), key=lambda w: needed[w - 1] * (256 + n / 2**w))
+        members = [np.unique(codes[:n] & np.uint64(m), return_counts=True)[1] for m in embdedup.table_masks(64, width, needed[width - 1])]
+        cost.append(sum(256.0 * n + float((c.astype(float) ** 2).sum()) for c in members))
+    assert cost[1] < 30 * cost[0] and cost[2] < 30 * cost[1]
+
+
+def test_links_and_components_agree_beyond_the_radius():
+    """A pair near by cosine whose codes differ too much is no link, in the count as in the components."""
+    import pandas as pd
+
+    masks, vectors = {(2, 0): [0]}, np.array([[1.0, 0.0], [1.0, 0.1]])
+    batch = pd.DataFrame({"rep": [1, 2], "copies": [1, 1], "own": [0, 0], "low": [0, 0], "high": [0, 0], "table": [0, 0], "dims": [2, 2], "width": [0, 0], "code": [0, 7], "vector": [v.tobytes() for v in vectors]})
+    assert len(embdedup._linked(batch, np.array([0, 2]), masks, {2: 2}, 0.93, "<f8")) == 0
+    found = embdedup._linked(batch, np.array([0, 2]), masks, {2: 3}, 0.93, "<f8")
+    assert found["links"].tolist() == [1, 1] and found["other"].tolist() == [1, 1]
 
 
 @pytest.mark.parametrize("small", [64, 2])
@@ -97,10 +124,10 @@ def test_partners_against_brute_force(small):
     import pandas as pd
 
     rng = np.random.default_rng(1)
-    masks, radii, rows = {8: embdedup.table_masks(8, 2, 4)}, {8: 2}, []
+    masks, radii, rows = {(8, 2): embdedup.table_masks(8, 2, 4)}, {8: 2}, []
     for g in range(30):
         rows += [(g // 4, g % 4, int(rng.integers(0, 256)), 0, 1, int(rng.integers(0, 2))) for _ in range(int(rng.integers(2, 9)))]
-    batch = pd.DataFrame(rows, columns=["g", "table", "code", "low", "high", "own"]).assign(dims=8)
+    batch = pd.DataFrame(rows, columns=["g", "table", "code", "low", "high", "own"]).assign(dims=8, width=2)
     batch["code"] = batch["code"].astype(np.int64)
     starts = np.flatnonzero(np.r_[True, (np.diff(batch["g"]) != 0) | (np.diff(batch["table"]) != 0), True])
     want = set()
@@ -108,7 +135,7 @@ def test_partners_against_brute_force(small):
         for i in range(a, b):
             for j in range(a, b):
                 differ = rows[i][2] ^ rows[j][2]
-                if rows[i][5] != rows[j][5] and bin(differ).count("1") <= 2 and all(differ & m for m in masks[8][: rows[i][1]]):
+                if rows[i][5] != rows[j][5] and bin(differ).count("1") <= 2 and all(differ & m for m in masks[8, 2][: rows[i][1]]):
                     want.add(i)
     assert set(embdedup._partnered(batch, starts, masks, radii, small).tolist()) == want and want
 
