@@ -20,20 +20,17 @@ def leave_one_out(df: DataFrame, group: str) -> DataFrame:
 def stratified(df: DataFrame, label: str, key: str, most: int = 5, k: int | None = None) -> DataFrame:
     """V2, V4: ``fold`` of 0..k-1, even in every class: k = smallest class within [2, ``most``], rows of a class dealt by ascending key.
 
-    Ranks in a class come from ranges of the key, so a class is not sorted in one task.
+    Ranks in a class come from ranges of (class, key), so a class is not sorted in one task.
     """
-    from tessera.operators.joins import range_bin
+    from tessera.plans import in_ranges, totals_before
 
     if k is None:
         least = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
         k = max(2, min(most, least))
-    tagged = df.withColumn("__bin", range_bin(df, F.col(key)))
-    sizes = tagged.groupBy(label, "__bin").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(label).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col(label).alias("__l"), F.col("__bin").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    tagged = in_ranges(df, [label, key], "__bin")
     rank = F.row_number().over(Window.partitionBy(label, "__bin").orderBy(key))
-    ranked = tagged.withColumn("__rank", rank).join(starts, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__bin") == F.col("__b")))
-    return ranked.withColumn("fold", F.pmod(F.col("__start") + F.col("__rank") - 1, F.lit(k)).cast("int")).drop("__bin", "__rank", "__start", "__l", "__b")
+    ranked = totals_before(tagged.withColumn("__rank", rank), [label], "__bin", {"__start": F.count("*")})
+    return ranked.withColumn("fold", F.pmod(F.col("__start") + F.col("__rank") - 1, F.lit(k)).cast("int")).drop("__bin", "__rank", "__start")
 
 
 def grouped(df: DataFrame, group: str, k: int) -> DataFrame:

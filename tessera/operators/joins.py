@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans import in_ranges, totals_before
+
 
 class DuplicateKeys(ValueError):
     """A side of a one-to-one join repeats a key."""
@@ -62,21 +64,11 @@ def zipped(left: DataFrame, right: DataFrame, left_order: Sequence[Column], righ
     return a.join(b, "ordinal", "full").withColumn("agrees", F.coalesce(F.col("left_key") == F.col("right_key"), F.lit(False)))
 
 
-def range_bin(df: DataFrame, order: Column, bins: int = 64) -> Column:
-    """Number of the range of ``order`` (numeric) that a row falls in; ranges hold about as many rows each."""
-    cuts = df.select(F.percentile_approx(order.cast("double"), [i / bins for i in range(1, bins)], 1000).alias("cuts")).first()["cuts"] or []  # bins - 1 numbers
-    steps = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    return F.size(F.filter(steps, lambda c: c < order.cast("double")))
-
-
-def sorted_ordinal(df: DataFrame, order: Column, ties: Sequence[Column] = (), bins: int = 64) -> DataFrame:
-    """``df`` with a gapless ordinal from 0 by (order, ties), nulls first."""
-    tagged = df.withColumn("__bin", range_bin(df, order, bins))
-    sizes = tagged.groupBy("__bin").agg(F.count("*").alias("__n"))
-    upto = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__bin", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__start"))  # a row for each bin
+def sorted_ordinal(df: DataFrame, order: Column, ties: Sequence[Column] = (), bins: int | None = None) -> DataFrame:
+    """``df`` with a gapless ordinal from 0 by (order, ties), nulls first; ``bins`` ranges, by default as many as the rows ask for."""
+    tagged = in_ranges(df, [order, *ties], "__bin", ranges=bins)
     inside = F.row_number().over(Window.partitionBy("__bin").orderBy(order, *ties))
-    return tagged.withColumn("__rank", inside).join(starts, "__bin").withColumn("ordinal", F.col("__start") + F.col("__rank") - 1).drop("__bin", "__rank", "__start")
+    return totals_before(tagged.withColumn("__rank", inside), [], "__bin", {"__start": F.count("*")}).withColumn("ordinal", F.col("__start") + F.col("__rank") - 1).drop("__bin", "__rank", "__start")
 
 
 def ordinal_match(onsets: DataFrame, prompts: Column, ordinal: Column, missing: int = -1) -> DataFrame:

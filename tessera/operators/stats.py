@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.values import two_sided_p
+from tessera.plans import in_ranges, materialise, totals_before
 
 _TINY = 1e-12
 
@@ -105,29 +106,30 @@ def majority(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return met.groupBy(*by).agg(F.min(value).alias("majority"), F.max("n").alias("n"))
 
 
-def value_table(df: DataFrame, value: str, is_a: Column, by: Sequence[str] = (), bins: int = 64) -> DataFrame:
+def value_table(df: DataFrame, value: str, is_a: Column, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """(by, value, a, b, a_below, b_below, n_a, n_b): counts of two samples at each distinct value, and running counts below it.
 
     Rows fold into distinct values before anything is sorted; running counts come
-    from ranges of the value, each sorted on its own, and the totals of the ranges before.
+    from ranges of (by, value), each sorted on its own, and the totals of the group's ranges before. Ranges follow the number of distinct
+    values, so a group has as many as it needs. A null in ``by`` is a group.
     """
-    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & is_a.isNotNull()).groupBy(*by, F.col(value).cast("double").alias("value")).agg(F.count(F.when(is_a, 1)).alias("a"), F.count(F.when(~is_a, 1)).alias("b"))
-    counts = counts.withColumn("__bin", range_bin_of(df, value, bins))
-    sums = counts.groupBy(*by, "__bin").agg(F.sum("a").alias("__a"), F.sum("b").alias("__b"))
-    group = [F.col(c) for c in by] or [F.lit(0)]
-    before = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-    starts = sums.select(*by, "__bin", *[F.coalesce(F.sum(f"__{s}").over(before), F.lit(0)).alias(f"__{s}0") for s in "ab"], *[F.sum(f"__{s}").over(whole).alias(f"n_{s}") for s in "ab"])
-    inside = Window.partitionBy(*by, "__bin").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.select("*", *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"__{s}1") for s in "ab"])
-    return ranked.join(starts, [*by, "__bin"]).select(*by, "value", "a", "b", *[(F.col(f"__{s}0") + F.col(f"__{s}1")).alias(f"{s}_below") for s in "ab"], "n_a", "n_b")
+    x = F.col(value).cast("double")
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(x) & is_a.isNotNull()).groupBy(*by, x.alias("value")).agg(F.count(F.when(is_a, 1)).alias("a"), F.count(F.when(~is_a, 1)).alias("b"))
+    return running_counts(counts, by, ["value"], ["a", "b"], ranges).select(*by, "value", "a", "b", "a_below", "b_below", "n_a", "n_b")
+
+
+def running_counts(counts: DataFrame, by: Sequence[str], order: Sequence[str], names: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """``counts`` with, for each of ``names``, its total over the group's rows before in ``order`` (x_below) and over all (n_x)."""
+    counts = in_ranges(materialise(counts, "values"), [*by, *order], "__bin", ranges=ranges)
+    inside = Window.partitionBy(*by, "__bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.select("*", *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"__{s}1") for s in names])
+    placed = totals_before(ranked, by, "__bin", {f"__{s}0": F.sum(s) for s in names})
+    whole = counts.groupBy(*[F.col(c).alias(f"__of_{c}") for c in by]).agg(*[F.sum(s).alias(f"n_{s}") for s in names])
+    return placed.join(whole, _same(by)).select(*by, *order, *names, *[(F.col(f"__{s}0") + F.col(f"__{s}1")).alias(f"{s}_below") for s in names], *[f"n_{s}" for s in names])
 
 
-def range_bin_of(df: DataFrame, value: str, bins: int) -> Column:
-    """range_bin of ``value``, for a frame in which it is called value."""
-    cuts = df.select(F.percentile_approx(F.col(value).cast("double"), [i / bins for i in range(1, bins)], 1000).alias("cuts")).first()["cuts"] or []
-    steps = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    return F.size(F.filter(steps, lambda c: c < F.col("value")))
+def _same(by: Sequence[str]) -> Column:
+    return reduce(lambda c, k: c & F.col(k).eqNullSafe(F.col(f"__of_{k}")), by, F.lit(True))
 
 
 def auc(df: DataFrame, score: str, is_positive: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -194,14 +196,23 @@ def position_between(x: Column, low_mean: Column, high_mean: Column) -> Column:
     return F.when(F.abs(high_mean - low_mean) > _TINY, (x - low_mean) / (high_mean - low_mean))
 
 
-def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (), accuracy: int = 1_000) -> DataFrame:
     """Interpolated quantiles, null and NaN left out; a group without a value has no row (without ``by``: one row of nulls).
 
-    Read off the running counts of ``value_table``, so that no task holds all values of a group.
+    Two passes. The first draws a bracket around each quantile from approximate percentiles, twice as wide as their
+    error of n / ``accuracy`` ranks; in a group of less than ten times ``accuracy`` values, where that would be few ranks, all values are in it. The second
+    counts values: those in a bracket each, those before a bracket together, as partial aggregates. Only what is left is sorted, in ranges.
     """
-    t = value_table(df, value, F.lit(True), by)
+    rows = df.select(*by, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("value")).where("value IS NOT NULL")
+    ends = [float(e) for q in shares for e in (max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy))]
+    cuts = rows.groupBy(*[F.col(c).alias(f"__of_{c}") for c in by]).agg(F.count("*").alias("__n"), F.percentile_approx("value", ends, accuracy).alias("__ends"))
+    x, low, high = F.col("value"), [F.get("__ends", F.lit(2 * i)) for i in range(len(shares))], [F.get("__ends", F.lit(2 * i + 1)) for i in range(len(shares))]
+    inside = reduce(lambda c, i: c | x.between(low[i], high[i]), range(len(shares)), F.col("__n") < 10 * accuracy)
+    ahead = F.least(F.lit(float("inf")), *[F.when(c > x, c) for c in low])
+    met = rows.join(F.broadcast(cuts) if not by else cuts, _same(by)).select(*by, F.when(inside, x).otherwise(ahead).alias("value"), inside.alias("inside"))  # without ``by`` one row
+    t = running_counts(met.groupBy(*by, "value", "inside").agg(F.count("*").alias("a")), by, ["value", "inside"], ["a"])
     place = lambda q: q * (F.col("n_a") - 1)
-    at = lambda rank: F.max(F.when((F.col("a_below") <= rank) & (rank < F.col("a_below") + F.col("a")), F.col("value")))
+    at = lambda rank: F.max(F.when(F.col("inside") & (F.col("a_below") <= rank) & (rank < F.col("a_below") + F.col("a")), F.col("value")))
     found = t.groupBy(*by).agg(*[c for i, q in enumerate(shares) for c in (at(F.floor(place(q))).alias(f"__lo{i}"), at(F.ceil(place(q))).alias(f"__hi{i}"), F.max(place(q) - F.floor(place(q))).alias(f"__f{i}"))])
     return found.select(*by, *[(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__f{i}")).alias(f"p{round(q * 100)}") for i, q in enumerate(shares)])
 

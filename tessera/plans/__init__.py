@@ -3,6 +3,7 @@
 from tessera.plans.components import connected_components
 from tessera.plans.partials import array_sums
 from tessera.plans.prefix import running_total
+from tessera.plans.ranges import in_ranges, totals_before
 from tessera.plans.workspace import materialise, settled, small_batches, sorted_run
 
-__all__ = ["array_sums", "connected_components", "materialise", "running_total", "settled", "small_batches", "sorted_run"]
+__all__ = ["array_sums", "connected_components", "in_ranges", "materialise", "running_total", "settled", "small_batches", "sorted_run", "totals_before"]

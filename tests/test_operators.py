@@ -43,6 +43,23 @@ def test_zip_and_ordinals(spark):
     assert joins.zipped(df, df, [F.col("k")], [F.col("k")], "k").where("not agrees").count() == 0
 
 
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_running_counts_in_ranges_cut_by_group(spark, ranges):
+    """A wide group, a narrow one inside its span, a null one and ties, in one range or in more than a group holds."""
+    rng = np.random.default_rng(3)
+    rows = [("wide", float(v), bool(v % 3)) for v in rng.integers(-1000, 1000, 400)] + [("narrow", 5 + v / 1000, bool(v % 2)) for v in range(60)] + [(None, 1.0, True), (None, 1.0, False), (None, None, True), (None, float("nan"), True), ("wide", 0.0, None)]
+    df = spark.createDataFrame(rows, "g string, v double, a boolean")
+    out = stats.value_table(df, "v", F.col("a"), ["g"], ranges).collect()
+    clean = [r for r in rows if r[1] is not None and r[1] == r[1] and r[2] is not None]
+    assert {(r.g, r.value) for r in out} == {r[:2] for r in clean} and len(out) == len({r[:2] for r in clean})
+    for r in out:
+        own = [x for x in clean if x[0] == r.g]
+        count = lambda a, keep: sum(x[2] == a and keep(x[1]) for x in own)
+        want = [count(a, keep) for keep in (lambda v: v == r.value, lambda v: v < r.value, lambda v: True) for a in (True, False)]
+        assert [r.a, r.b, r.a_below, r.b_below, r.n_a, r.n_b] == want
+    assert stats.value_table(df.limit(0), "v", F.col("a"), ["g"]).count() == 0
+
+
 def test_running_total_hot_and_null_keys(spark):
     rows = [(None if i % 3 else "hot", i, i % 5) for i in range(200)]
     df = spark.createDataFrame(rows, "g string, i int, v int")
@@ -240,3 +257,15 @@ def test_quantiles_of_groups(spark):
     got = {r.g: (r.p25, r.p50) for r in stats.quantiles(df, "v", [0.25, 0.5], ["g"]).collect()}
     assert got == {"a": (1.0, 2.5), "c": (2.0, 2.0)}
     assert stats.quantiles(df.where("g = 'b'"), "v", [0.5]).first().p50 is None
+
+
+def test_quantiles_from_brackets(spark):
+    """Groups large enough for brackets (100 values at this accuracy), with ties and a constant one, next to a small one."""
+    rng = np.random.default_rng(9)
+    groups = {"wide": rng.normal(size=3000), "ties": rng.integers(0, 12, 1500).astype(float), "same": np.full(400, 7.0), "few": rng.normal(size=9), None: np.arange(500.0)}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x], "g string, v double").repartition(5)
+    shares = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    for r in stats.quantiles(df, "v", shares, ["g"], accuracy=10).collect() + stats.quantiles(df, "v", shares, ["g"], accuracy=50).collect():
+        assert np.allclose([r[f"p{round(q * 100)}"] for q in shares], np.quantile(groups[r.g], shares)), r
+    one = stats.quantiles(df.where("g = 'wide'"), "v", shares, accuracy=100).first()
+    assert np.allclose([one[f"p{round(q * 100)}"] for q in shares], np.quantile(groups["wide"], shares))
