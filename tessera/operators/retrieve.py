@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans import materialise
+
 
 def _unit(vectors: Iterable) -> np.ndarray:
     rows = np.array([np.asarray(v, np.float64) for v in vectors])
@@ -16,31 +18,98 @@ def _unit(vectors: Iterable) -> np.ndarray:
     return rows / np.where(length == 0, 1.0, length)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+def _angles(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1.0, 1.0))
+
+
+def _cells(v: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cell of each unit vector, the pivot of the smallest angle, and that angle; zero vectors have the last cell to themselves."""
+    cosines = v @ pivots.T
+    cell = cosines.argmax(axis=1)
+    angle = _angles(cosines[np.arange(len(v)), cell])
+    zero = ~v.any(axis=1)
+    return np.where(zero, len(pivots), cell), np.where(zero, 0.0, angle)
+
+
+def _bounds(v: np.ndarray, pivots: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """What no cosine of a vector and a member of a cell exceeds: angles obey the triangle inequality. Zero vectors, on either side, have cosine 0."""
+    bound = np.cos(np.maximum(0.0, _angles(v @ pivots.T) - radii[None, : len(pivots)]))
+    bound[~v.any(axis=1)] = 0.0
+    return np.hstack([bound, np.zeros((len(v), 1))])
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 2048, pivots: int = 1024) -> DataFrame:
     """(query, rank, key, score): the ``k`` rows of largest cosine to each query, itself left out.
 
-    Exact, block against block: both sides are dealt to blocks by a hash and every
-    pair of blocks is one group, so a task holds two blocks whatever the sizes. Each pair returns k rows a query;
-    the best of these win. Ties go to the smaller key; null vectors take no part.
+    Exact. Some rows (half the square root of their number, ``pivots`` at the most) serve as pivots, every row lies in the cell of its
+    nearest one, and a cell knows its largest angle. A query first looks at one block of its own cell; the k-th cosine
+    found there is a floor. Then it goes to those cells only which the triangle inequality lets reach that floor, and
+    what lies below it is left there. Cells are dealt to blocks, and so are the queries that come to them, so a task holds two blocks whatever the sizes.
+    Ties go to the smaller key; null vectors take no part. Keys are unique in ``rows``.
     """
-    n_rows, n_queries = (max(1, -(-df.count() // block)) for df in (rows, queries))
-    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), spread(key, n_rows).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("q"))
-    right = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query"), F.col(vector).cast("array<double>").alias("v"), spread(key, n_queries).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("r"))
-
-    def best(group: tuple, own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(asking):
-            return pd.DataFrame({"query": [], "id": [], "score": []}).astype({"query": "int64", "id": "int64"})
-        own = own.sort_values("id", ignore_index=True)
-        ids, names = own["id"].to_numpy(), asking["query"].to_numpy()
-        scores = _unit(asking["v"]) @ _unit(own["v"]).T
+    spark = rows.sparkSession
+    spread = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    named = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    count = rows.count()
+    drawn = named(rows).orderBy(F.xxhash64("id"), "id").limit(min(pivots, max(1, int(count**0.5 / 2)))).collect()  # the pivots
+    if not drawn:
+        return spark.createDataFrame([], f"query bigint, rank int, {key} bigint, score double")
+    centres = _unit(r.v for r in drawn)
+    centres = centres[centres.any(axis=1)]
+    if not len(centres):  # zero vectors only: any direction serves
+        centres = np.eye(1, len(drawn[0].v))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                v = _unit(batch["v"])
+                cell, angle = _cells(v, centres)
+                yield pd.DataFrame({"id": batch["id"], "v": list(v), "cell": cell.astype(np.int32), "angle": angle})
+
+    schema = "id bigint, v array<double>, cell int, angle double"
+    placed, asking = (materialise(named(df).mapInPandas(place, schema), name) for df, name in ((rows, "placed"), (queries, "asking")))
+    cells = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).collect()  # a row a pivot
+    radii = np.full(len(centres) + 1, -np.inf)  # a cell without rows is out of reach
+    for r in cells:
+        radii[r.cell] = r.radius
+    sizes = F.broadcast(spark.createDataFrame([(r.cell, r.blocks) for r in cells], "cell int, blocks int"))
+    own = placed.drop("angle").join(sizes, "cell").withColumn("r", spread(F.col("blocks"))).drop("blocks")
+
+    def meet(come: DataFrame, mine: DataFrame) -> DataFrame:
+        """Queries (id, v, floor, cell, r) against rows (id, v, cell, r): what reaches the floor, k rows a query and block at the most."""
+        asked = materialise(come.groupBy("cell", "r").agg(F.ceil(F.count("*") / block).cast("int").alias("turns")), "turns")
+        left = mine.join(asked, ["cell", "r"]).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+        right = come.join(asked, ["cell", "r"]).withColumn("q", spread(F.col("turns")))
+        group = ["cell", "r", "q"]
+        return left.select(*group, "id", "v").groupBy(*group).cogroup(right.select(*group, "id", "v", "floor").groupBy(*group)).applyInPandas(best, "query bigint, id bigint, score double")
+
+    def best(group: tuple, mine: pd.DataFrame, come: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(come):
+            return pd.DataFrame({"query": [], "id": [], "score": []}).astype({"query": "int64", "id": "int64", "score": "float64"})
+        mine = mine.sort_values("id", ignore_index=True)
+        ids, names = mine["id"].to_numpy(), come["id"].to_numpy()
+        scores = np.stack(come["v"].to_numpy()) @ np.stack(mine["v"].to_numpy()).T
         scores[names[:, None] == ids[None, :]] = -np.inf
         top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         values = np.take_along_axis(scores, top, axis=1)
-        keep = np.isfinite(values)
+        keep = np.isfinite(values) & (values >= come["floor"].to_numpy()[:, None])
         return pd.DataFrame({"query": np.repeat(names, top.shape[1])[keep.ravel()], "id": ids[top][keep], "score": values[keep]})
 
-    found = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInPandas(best, "query bigint, id bigint, score double")
+    lowest = F.lit(-2.0)
+    first = meet(asking.select("id", "v", lowest.alias("floor"), "cell", F.lit(0).alias("r")), own.where("r = 0"))
+    floors = first.groupBy(F.col("query").alias("id")).agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    floors = floors.select("id", F.when(F.col("n") >= k, F.col("least") - 1e-9).otherwise(lowest).alias("floor"))  # sums in another order differ in the last bits
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                near = np.where(radii > -np.inf, _bounds(np.stack(batch["v"].to_numpy()), centres, np.maximum(radii, 0.0)), -np.inf) >= batch["floor"].to_numpy()[:, None] - 1e-9
+                yield batch.assign(cells=[np.flatnonzero(n).astype(np.int32) for n in near])
+
+    asked = asking.select("id", "v").join(floors, "id", "left").withColumn("floor", F.coalesce("floor", lowest))
+    sent = asked.mapInPandas(reach, "id bigint, v array<double>, floor double, cells array<int>").select("id", "v", "floor", F.explode("cells").alias("cell"))
+    sent = sent.join(sizes, "cell").withColumn("r", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    found = meet(sent, own)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id")))
     return ranked.where(F.col("rank") <= k).select("query", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
 
@@ -59,6 +128,17 @@ def neighbour_lift(found: DataFrame, rows: DataFrame, label: str, key: str = "ve
     return joined.withColumn("lift", F.col("share") / F.nullif(F.col("base"), F.lit(0.0)))
 
 
+def lift_by_label(found: DataFrame, rows: DataFrame, label: str, key: str = "vec_id") -> DataFrame:
+    """(of, label, share, base, lift) for the neighbours of each label's rows, from one search of all of them; a label not met has share 0."""
+    own, other = rows.select(F.col(key).alias("query"), F.col(label).alias("of")), rows.select(key, F.col(label).alias("label"))
+    counts = found.join(own, "query").join(other, key).groupBy("of", "label").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("of").agg(F.sum("n").alias("all"))
+    bases = base_rates(rows, label).agg(F.collect_list(F.struct("label", "base")).alias("bases"))  # one row, an entry a label
+    every = totals.join(bases, F.lit(True)).select("of", "all", F.inline("bases"))
+    shares = every.join(counts, ["of", "label"], "left").select("of", "label", (F.coalesce("n", F.lit(0)) / F.col("all")).alias("share"), "base")
+    return shares.withColumn("lift", F.col("share") / F.nullif(F.col("base"), F.lit(0.0)))
+
+
 def coherence(found: DataFrame, rows: DataFrame, label: str, key: str = "vec_id") -> DataFrame:
     """(label, n, coherence): share of neighbours with the query's label, by the query's label."""
     own = rows.select(F.col(key).alias("query"), F.col(label).alias("label"))

@@ -504,12 +504,8 @@ def knn_coherence(spark, sf):
 def neighbour_lift(spark, sf):
     """For every label the labels of its rows' neighbours against their base rates."""
     e = embeddings(spark, sf)
-    out = None
-    for r in e.select("label").distinct().orderBy("label").collect():  # the class list
-        found = retrieve.nearest(e.where(F.col("label") == r.label), e, 10)
-        own = retrieve.neighbour_lift(found, e, "label").select(F.lit(r.label).cast("bigint").alias("of"), F.col("label").cast("bigint").alias("label"), *r6("share", "base", "lift"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    found = retrieve.lift_by_label(retrieve.nearest(e, e, 10), e, "label")
+    return found.select(F.col("of").cast("bigint").alias("of"), F.col("label").cast("bigint").alias("label"), *r6("share", "base", "lift"))
 
 
 @query

@@ -180,6 +180,35 @@ def test_nearest_neighbours_in_small_blocks(spark):
     assert retrieve.seeded_search(df, F.col("vec_id") < 0, 5, 3).count() == 0
 
 
+@pytest.mark.parametrize("block", [2048, 8])
+def test_neighbours_by_pivots_lose_none(spark, block):
+    """Tight clusters, among which most cells are out of reach, equal vectors, zero ones, and fewer rows than asked for."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(12, 6)), 12, axis=0) + rng.normal(0, 0.05, (144, 6))
+    x[10:14] = x[9]
+    x[20:23] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "vec_id bigint, embedding array<double>")
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    u = x / np.where(length == 0, 1, length)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    got = {}
+    for r in retrieve.nearest(df, df, 5, block=block).collect():
+        got.setdefault(r.query, {})[r.rank] = r.score
+        assert abs(r.score - s[r.query, r.vec_id]) < 1e-9
+    assert set(got) == set(range(144))
+    assert all(np.allclose([got[i][k] for k in range(1, 6)], -np.sort(-s[i])[:5], atol=1e-9) for i in got)
+    assert retrieve.nearest(df.where("vec_id < 3"), df.where("vec_id < 3"), 5).count() == 6
+    zero = df.where("vec_id between 20 and 22")
+    assert [r.vec_id for r in retrieve.nearest(zero.where("vec_id = 21"), zero, 5).orderBy("rank").collect()] == [20, 22]
+    assert retrieve.nearest(df, df.limit(0), 5).count() == retrieve.nearest(df.limit(0), df, 5).count() == 0
+    centres, all_ = u[[0, 30, 60]], u[u.any(axis=1)]
+    cell, angle = retrieve._cells(all_, centres)
+    radii = np.array([angle[cell == c].max() for c in range(3)])
+    bound = retrieve._bounds(all_, centres, radii)
+    assert all(bound[i, cell[j]] >= all_[i] @ all_[j] - 1e-9 for i in range(len(all_)) for j in range(len(all_))) and (bound < 0.9).any()
+
+
 def test_silhouette_needs_two_labels(spark):
     df = spark.createDataFrame([(i, 0, [float(i)]) for i in range(5)], "vec_id bigint, label int, embedding array<double>")
     assert retrieve.silhouette(df, "label").first().silhouette is None
