@@ -41,7 +41,7 @@ def _bounds(v: np.ndarray, pivots: np.ndarray, radii: np.ndarray) -> np.ndarray:
 def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 2048, pivots: int = 1024) -> DataFrame:
     """(query, rank, key, score): the ``k`` rows of largest cosine to each query, itself left out.
 
-    Exact. Some rows (half the square root of their number, ``pivots`` at the most) serve as pivots, every row lies in the cell of its
+    Exact. One row for each ``block`` of them, ``pivots`` at the most, serves as a pivot, every row lies in the cell of its
     nearest one, and a cell knows its largest angle. A query first looks at one block of its own cell; the k-th cosine
     found there is a floor. Then it goes to those cells only which the triangle inequality lets reach that floor, and
     what lies below it is left there. Cells are dealt to blocks, and so are the queries that come to them, so a task holds two blocks whatever the sizes.
@@ -51,7 +51,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", ve
     spread = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     named = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     count = rows.count()
-    drawn = named(rows).orderBy(F.xxhash64("id"), "id").limit(min(pivots, max(1, int(count**0.5 / 2)))).collect()  # the pivots
+    drawn = named(rows).orderBy(F.xxhash64("id"), "id").limit(min(pivots, max(1, -(-count // block)))).collect()  # the pivots
     if not drawn:
         return spark.createDataFrame([], f"query bigint, rank int, {key} bigint, score double")
     centres = _unit(r.v for r in drawn)
