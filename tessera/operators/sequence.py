@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans import HALO, RANGE, Along
 
-def spans(onsets: DataFrame, run: Sequence[str], onset: str, total: Column, ties: Sequence[str] = ()) -> DataFrame:
-    """Ordinal k from 0, and duration to the next onset or the run's end, at least 0."""
-    w = Window.partitionBy(*run).orderBy(onset, *ties)
-    return onsets.withColumn("k", F.row_number().over(w) - 1).withColumn("duration", F.greatest(F.coalesce(F.lead(onset).over(w), total) - F.col(onset), F.lit(0.0)))
+
+def spans(onsets: DataFrame, run: Sequence[str], onset: str, total: Column, ties: Sequence[str] = (), **cut: int) -> DataFrame:
+    """Ordinal k from 0, and duration to the next onset or the run's end, at least 0.
+
+    Rows that are equal in onset and ties stand in any order. ``cut`` (here and below) sets the ranges, see ``plans.Along``.
+    """
+    along = Along(onsets, run, [onset, *ties], **cut)
+    w = Window.partitionBy(*run, RANGE).orderBy(onset, *ties, HALO)
+    found = along.neighbours(0, 1).withColumn("k", F.row_number().over(w) - 1).withColumn("duration", F.greatest(F.coalesce(F.lead(onset).over(w), total) - F.col(onset), F.lit(0.0)))
+    found = along.carried(found.where(~F.col(HALO)), {"__before": (F.count(F.lit(1)), F.sum)})
+    return found.withColumn("k", F.col("k") + F.coalesce("__before", F.lit(0))).drop("__before", RANGE, HALO)
 
 
 def min_gap(times: Column, gap: float) -> Column:
@@ -38,36 +47,47 @@ def with_head(onsets: Column, head_rms: Column, whole_rms: Column, share: float
     return F.when((head_rms > share * whole_rms) & late, F.concat(F.array(F.lit(0.0)), onsets)).otherwise(onsets)
 
 
-def backtracked(peaks: DataFrame, energy: DataFrame, run: Sequence[str]) -> DataFrame:
+def backtracked(peaks: DataFrame, energy: DataFrame, run: Sequence[str], **cut: int) -> DataFrame:
     """Each peak (run, t) moved to the last local minimum of energy (run, t, energy) before or at it; unmoved without one."""
-    w = Window.partitionBy(*run).orderBy("t")
-    low = energy.withColumn("__low", (F.col("energy") <= F.coalesce(F.lag("energy").over(w), F.lit(float("inf")))) & (F.col("energy") < F.coalesce(F.lead("energy").over(w), F.lit(float("inf"))))).where("__low")
-    both = peaks.select(*run, "t", F.lit(1).alias("__peak")).unionByName(low.select(*run, "t", F.lit(0).alias("__peak")))
-    upto = Window.partitionBy(*run).orderBy("t", "__peak").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("__peak") == 0, F.col("t")), ignorenulls=True).over(upto)
-    return both.withColumn("onset", F.coalesce(seen, F.col("t"))).where("__peak = 1").select(*run, "t", "onset")
-
-
-def local_maxima(series: DataFrame, run: Sequence[str], order: str, value: str, least_share: float = 0.1) -> DataFrame:
+    w = Window.partitionBy(*run, RANGE).orderBy("t")
+    low = (F.col("energy") <= F.coalesce(F.lag("energy").over(w), F.lit(float("inf")))) & (F.col("energy") < F.coalesce(F.lead("energy").over(w), F.lit(float("inf"))))
+    near = Along(energy.select(*run, "t", "energy"), run, ["t"], **cut).neighbours(1, 1)
+    lows = near.withColumn("__low", low).where(F.col("__low") & ~F.col(HALO))
+    both = peaks.select(*run, "t", F.lit(1).alias("__peak")).unionByName(lows.select(*run, "t", F.lit(0).alias("__peak")))
+    along = Along(both, run, ["t", "__peak"], **cut)
+    at = F.when(F.col("__peak") == 0, F.col("t"))
+    upto = Window.partitionBy(*run, RANGE).orderBy("t", "__peak").rowsBetween(Window.unboundedPreceding, 0)
+    seen = along.carried(along.rows.withColumn("__seen", F.max(at).over(upto)), {"__last": (F.max(at), F.max)})
+    return seen.where("__peak = 1").select(*run, "t", F.coalesce("__seen", "__last", "t").alias("onset"))
+
+
+def local_maxima(series: DataFrame, run: Sequence[str], order: str, value: str, least_share: float = 0.1, **cut: int) -> DataFrame:
     """Rows above their left and not below their right neighbour, above ``least_share`` of the run's maximum."""
-    w = Window.partitionBy(*run).orderBy(order)
-    low = F.lit(float("-inf"))
+    near, low = Along(series, run, [order], **cut).neighbours(1, 1), F.lit(float("-inf"))
+    w = Window.partitionBy(*run, RANGE).orderBy(order)
     peak = (F.col(value) > F.coalesce(F.lag(value).over(w), low)) & (F.col(value) >= F.coalesce(F.lead(value).over(w), low))
-    top = F.max(value).over(Window.partitionBy(*run))
-    return series.withColumn("__peak", peak & (F.col(value) > least_share * top)).where("__peak").drop("__peak")
+    peaks = near.withColumn("__peak", peak).where(F.col("__peak") & ~F.col(HALO)).drop("__peak", RANGE, HALO)
+    tops = near.groupBy(*[F.col(k).alias(f"__of_{k}") for k in run]).agg((least_share * F.max(value)).alias("__least"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in run])
+    return peaks.join(tops, same).where(F.col(value) > F.col("__least")).drop("__least", *[f"__of_{k}" for k in run])
 
 
-def moving_average(series: DataFrame, run: Sequence[str], order: str, value: str, radius: int = 4) -> DataFrame:
+def moving_average(series: DataFrame, run: Sequence[str], order: str, value: str, radius: int = 4, **cut: int) -> DataFrame:
     """Centred mean, cut off at the ends."""
-    return series.withColumn("smooth", F.avg(value).over(Window.partitionBy(*run).orderBy(order).rowsBetween(-radius, radius)))
+    near = Along(series, run, [order], **cut).neighbours(radius, radius)
+    w = Window.partitionBy(*run, RANGE).orderBy(order).rowsBetween(-radius, radius)
+    return near.withColumn("smooth", F.avg(value).over(w)).where(~F.col(HALO)).drop(RANGE, HALO)
 
 
-def ticks_to_seconds(tempo: DataFrame, run: Sequence[str], per_beat: int = 960) -> DataFrame:
+def ticks_to_seconds(tempo: DataFrame, run: Sequence[str], per_beat: int = 960, **cut: int) -> DataFrame:
     """Start in seconds of each tempo segment (run, tick, bpm)."""
-    w = Window.partitionBy(*run).orderBy("tick")
+    w = Window.partitionBy(*run, RANGE).orderBy("tick")
     lasted = (F.col("tick") - F.lag("tick").over(w)) * 60.0 / (F.lag("bpm").over(w) * per_beat)
-    timed = tempo.withColumn("__lasted", F.coalesce(lasted, F.lit(0.0)))
-    return timed.withColumn("start_s", F.sum("__lasted").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__lasted")
+    along = Along(tempo, run, ["tick"], **cut)
+    timed = along.neighbours(1, 0).withColumn("__lasted", F.coalesce(lasted, F.lit(0.0))).where(~F.col(HALO))
+    timed = timed.withColumn("start_s", F.sum("__lasted").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    timed = along.carried(timed, {"__before": (F.sum("__lasted"), F.sum)})
+    return timed.withColumn("start_s", F.col("start_s") + F.coalesce("__before", F.lit(0.0))).drop("__before", "__lasted", RANGE, HALO)
 
 
 def bridged_run(widths: Column, narrow: float, most_missing: int = 3, low: float = 0.5, high: float = 2.0) -> Column:
