@@ -294,7 +294,6 @@ SELECT l_returnflag, rank, round(abs(w), 3) AS weight FROM r WHERE rank <= 3""",
 SELECT p_partkey, round(CASE WHEN abs(hi - lo) > 1e-12 THEN (p_retailprice - lo) / (hi - lo) END, 4) AS position FROM part, m""",
 }
 
-_TONES = "SELECT s_suppkey::BIGINT AS k, (s_suppkey % 45 + 45)::BIGINT AS midi FROM supplier"
 ORACLES |= {
     "forest_values": "SELECT p_partkey % 3 AS fold, count(*) AS n, true AS close FROM part GROUP BY 1",
     "perceptron": "SELECT p_partkey % 3 AS fold, count(*) AS n, true AS accurate FROM part GROUP BY 1",
@@ -355,8 +354,48 @@ SELECT k AS s_suppkey, angle_a::INT AS angle_a, offset_a, angle_b::INT AS angle_
     "nearest_landmarks": f"""WITH e AS (SELECT *, {_T} AS t FROM events), p AS (SELECT event_id, user_id, t FROM e WHERE event_type = 'purchase'),
 n AS (SELECT p.event_id, abs(v.t - p.t) AS gap, v.value, floor(v.t / 3600) % 24 AS hour, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(v.t - p.t), v.t, v.value) AS rank FROM p JOIN e v ON v.user_id = p.user_id AND v.event_type = 'view' AND abs(v.t - p.t) <= 86400)
 SELECT p.event_id, count(n.rank) AS n_used, round(min(gap), 3) AS gap, round(median(n.value), 6) AS value, median(n.hour)::DOUBLE AS hour FROM p LEFT JOIN n ON n.event_id = p.event_id AND rank <= 3 GROUP BY 1""",
-    "tone_features": f"SELECT k, midi, true AS level, true AS crossings, true AS in_tune, true AS tonal, true AS dark, 1.0::DOUBLE AS chroma_peak, true AS harmonic, true AS cepstrum FROM ({_TONES})",
-    "tone_residuals": f"SELECT k, k % 2 = 0 AS expected FROM ({_TONES})",
-    "tone_onsets": f"SELECT k, true AS in_time FROM ({_TONES})",
-    "wire_laws": "SELECT s_suppkey AS frame, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE -1 END::BIGINT AS sign, 10::BIGINT AS inliers, 1::BIGINT AS gaps, true AS nut_found FROM supplier",
+}
+
+#: The spectrum of the first 256 samples of each tone (k, hz): a Hann window, and the discrete transform as it is defined.
+_SPECTRUM = """s AS (SELECT k, hz, i, (0.5::DOUBLE * sin(2 * pi() * hz * i / 22050))::FLOAT::DOUBLE AS x FROM t, range(0, 8820) r(i)),
+d AS (SELECT k, any_value(hz) AS hz, b, sum(x * h * cos(2 * pi() * b * i / 256)) AS re, sum(x * h * sin(2 * pi() * b * i / 256)) AS im
+  FROM (SELECT *, 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / 255) AS h FROM s WHERE i < 256), range(0, 129) q(b) GROUP BY k, b),
+p AS (SELECT k, hz, b, b * 22050 / 256.0::DOUBLE AS f, re * re + im * im AS p, sqrt(re * re + im * im) AS m FROM d)"""
+_HZ = "440 * 2.0::DOUBLE ** ((s_suppkey % 45 + 45 - 69) / 12.0::DOUBLE)"
+ORACLES |= {
+    "tone_features": f"""WITH t AS (SELECT s_suppkey::BIGINT AS k, {_HZ} * 2.0::DOUBLE ** ((s_suppkey % 7 - 3) * 10 / 1200.0::DOUBLE) AS hz FROM supplier), {_SPECTRUM},
+w AS (SELECT k, sqrt(avg(x * x)) AS rms, count(*) FILTER (flips) / 8819.0::DOUBLE AS zcr FROM (SELECT k, x, (x < 0) <> lag(x < 0) OVER (PARTITION BY k ORDER BY i) AS flips FROM s) GROUP BY 1),
+c AS (SELECT k, sum(m) AS total, sum(m * f) / sum(m) AS centre FROM p GROUP BY 1),
+f AS (SELECT p.k, any_value(centre) AS centre, sqrt(sum(m * (f - centre) ** 2) / any_value(total)) AS width, exp(avg(ln(greatest(p, 1e-10)))) / avg(greatest(p, 1e-10)) AS flat, sum(p) FILTER (f >= 4000) / sum(p) AS buzz FROM p JOIN c USING (k) GROUP BY 1),
+r AS (SELECT k, min(f) AS roll FROM (SELECT p.k, f, total, sum(m) OVER (PARTITION BY p.k ORDER BY b) AS upto FROM p JOIN c USING (k)) WHERE upto >= 0.85::DOUBLE * total GROUP BY 1),
+e AS (SELECT j, 700 * (10 ** (j * (2595 * log10(1 + 11025 / 700.0::DOUBLE) / 41) / 2595) - 1) AS z FROM range(0, 42) g(j)),
+b AS (SELECT lo.j, lo.z AS lo, mid.z AS mid, hi.z AS hi FROM e lo JOIN e mid ON mid.j = lo.j + 1 JOIN e hi ON hi.j = lo.j + 2),
+l AS (SELECT k, j, 10 * log10(greatest(sum(p * greatest(least((f - lo) / (mid - lo), (hi - f) / (hi - mid)), 0)), 1e-10)) AS level FROM p, b GROUP BY ALL),
+o AS (SELECT k, sum(level) * sqrt(1 / 40.0::DOUBLE) AS c1, sum(level * cos(pi() * (j + 0.5::DOUBLE) / 40)) * sqrt(2 / 40.0::DOUBLE) AS c2 FROM l GROUP BY 1)
+SELECT k, k % 45 + 45 AS midi, round(rms, 5) AS rms, round(zcr, 6) AS zcr, (k % 7 - 3) * 10 AS cents, round(centre, 3) AS spec_centroid, round(width, 3) AS spec_bandwidth, round(roll, 3) AS spec_rolloff, round(flat, 7) AS spec_flatness, round(buzz, 7) AS buzz_band_ratio,
+  round(c1, 3) AS mfcc_1, round(c2, 3) AS mfcc_2, -(2 + k % 5) AS decay, true AS harmonic FROM w JOIN f USING (k) JOIN r USING (k) JOIN o USING (k)""",
+    "tone_residuals": f"""WITH t AS (SELECT s_suppkey::BIGINT AS k, {_HZ} AS hz FROM supplier), {_SPECTRUM},
+q AS (SELECT *, CASE WHEN k % 2 = 0 THEN hz ELSE hz * sqrt(2) END AS heard FROM p),
+r AS (SELECT k, f, p, (SELECT bool_and(abs(q.f - h * q.heard) > greatest(1.5::DOUBLE * 22050 / 256, h * q.heard * (2.0::DOUBLE ** (70 / 1200.0::DOUBLE) - 1))) FROM range(1, 9) n(h)) AS kept FROM q),
+c AS (SELECT k, sum(p) AS whole, greatest(sum(p) FILTER (kept), 1e-12) AS rest, sum(p * f) FILTER (kept) AS moment, coalesce(sum(p) FILTER (kept AND f >= 4000), 0) AS high, exp(avg(ln(greatest(p, 1e-10))) FILTER (kept)) / avg(greatest(p, 1e-10)) FILTER (kept) AS flat FROM r GROUP BY 1),
+u AS (SELECT k, min(f) AS roll FROM (SELECT r.k, f, rest, sum(CASE WHEN kept THEN p ELSE 0 END) OVER (PARTITION BY r.k ORDER BY f) AS upto FROM r JOIN c USING (k)) WHERE upto >= 0.85::DOUBLE * rest GROUP BY 1)
+SELECT k, k % 2 = 0 AS expected, round(rest / whole, 7) AS res_energy_ratio, round(moment / rest, 3) AS res_centroid, round(roll, 3) AS res_rolloff, round(high / rest, 6) AS res_highband_ratio, round(flat, 6) AS res_flatness FROM c JOIN u USING (k)""",
+    "tone_onsets": "SELECT s_suppkey::BIGINT AS k, round((s_suppkey % 3 + 1) / 10.0::DOUBLE, 1) AS onset FROM supplier",
+    "wire_laws": "SELECT s_suppkey AS frame, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE -1 END::BIGINT AS sign, 10::BIGINT AS inliers, 1::BIGINT AS gaps, (40 + s_suppkey % 17)::DOUBLE AS nut, (900 + 10 * (s_suppkey % 3))::DOUBLE AS scale FROM supplier",
+    "shrunk_covariance": """WITH l AS (SELECT [l_quantity::DOUBLE, l_discount::DOUBLE, l_tax::DOUBLE] AS v FROM lineitem WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL AND l_tax IS NOT NULL),
+m AS (SELECT count(*) AS n, [avg(v[1]), avg(v[2]), avg(v[3])] AS m FROM l), ij AS (SELECT i, j FROM range(0, 3) a(i), range(0, 3) b(j)),
+s AS (SELECT i, j, covar_pop(v[i + 1], v[j + 1]) AS c FROM l, ij GROUP BY ALL), mu AS (SELECT sum(c) FILTER (i = j) / 3 AS mu, sum(c * c) AS square FROM s),
+d AS (SELECT mu, square, sum((c - CASE WHEN i = j THEN mu ELSE 0 END) ** 2) AS delta FROM s, mu GROUP BY ALL), f AS (SELECT avg(list_distance(v, m) ** 4) AS fourth, any_value(n) AS n FROM l, m),
+h AS (SELECT mu, greatest(least((fourth - square) / n, delta) / delta, 0) AS share FROM d, f)
+SELECT i::INT AS i, j::INT AS j, round((1 - share) * c + CASE WHEN i = j THEN share * mu ELSE 0 END, 6) AS covariance, round(share, 9) AS shrinkage FROM s, h""",
+    "bimodality": """WITH RECURSIVE l AS (SELECT ln(1 + value) AS x FROM events WHERE value IS NOT NULL), a AS (SELECT count(*)::DOUBLE AS n, var_pop(x) AS spread, quantile_cont(x, 0.25) AS lo, quantile_cont(x, 0.75) AS hi FROM l),
+e AS (SELECT 0 AS i, 0.5::DOUBLE AS w, lo AS m0, hi AS m1, spread / 4 AS v0, spread / 4 AS v1, '-infinity'::DOUBLE AS two, false AS done FROM a
+  UNION ALL SELECT i + 1, r / n, rx / r, (sx - rx) / (n - r), greatest(rxx / r - (rx / r) ** 2, 1e-6 * spread), greatest((sxx - rxx) / (n - r) - ((sx - rx) / (n - r)) ** 2, 1e-6 * spread), CASE WHEN k - two < 1e-7 * abs(k) THEN two ELSE k END, k - two < 1e-7 * abs(k)
+  FROM (SELECT i, two, sum(share) AS r, sum(share * x) AS rx, sum(share * x * x) AS rxx, sum(x) AS sx, sum(x * x) AS sxx, sum(ln(total)) AS k FROM (SELECT i, two, x, p / (p + q) AS share, p + q AS total
+    FROM (SELECT i, two, x, w / sqrt(2 * pi() * v0) * exp(-((x - m0) ** 2) / (2 * v0)) + 1e-300 AS p, (1 - w) / sqrt(2 * pi() * v1) * exp(-((x - m1) ** 2) / (2 * v1)) + 1e-300 AS q FROM e, l WHERE NOT done AND i < 60)) GROUP BY i, two), a),
+z AS (SELECT -2 * (-0.5::DOUBLE * n * (ln(2 * pi() * spread) + 1)) + 2 * ln(n) AS b1, -2 * two + 5 * ln(n) AS b2, least(w, 1 - w) AS lw, abs(m0 - m1) / (0.5::DOUBLE * (sqrt(v0) + sqrt(v1))) AS apart FROM e, a ORDER BY i DESC LIMIT 1)
+SELECT round(b1, 3) AS bic_1, round(b2, 3) AS bic_2, round(lw, 3) AS least_weight, round(apart, 3) AS separation, b1 - b2 > 6 AND lw > 0.15 AND apart > 1 AS bimodal FROM z""",
+    "unnest_notes": """WITH c AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations WHERE text IS NOT NULL), n AS (SELECT conv_id, turn, length(w) % 9 AS string, strlen(w) % 5 - 1 AS fret FROM c),
+v AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS event FROM n WHERE string BETWEEN 1 AND 6 AND fret >= 0), g AS (SELECT conv_id AS tab_id, event, string, fret, count(*) AS n FROM v GROUP BY ALL)
+SELECT tab_id, event, round(event * 0.95::DOUBLE, 6) AS t, string, fret, n, round((row_number() OVER (PARTITION BY tab_id, event ORDER BY string DESC, fret) - 1) * 0.04::DOUBLE, 6) AS offset_s, string || CASE WHEN fret BETWEEN 1 AND 6 THEN ',' || (fret + 6) ELSE '' END AS channels FROM g""",
 }

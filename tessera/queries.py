@@ -582,15 +582,16 @@ def lda_out_of_fold(spark, sf):
 
 @query
 def shrunk_covariance(spark, sf):
-    """M9."""
+    """M9. A handful of numbers, which the operator has on the driver."""
     _, cov, share = models.shrunk_covariance(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
-    return spark.createDataFrame([(i, j, float(cov[i, j]), share) for i in range(3) for j in range(3)], "i int, j int, covariance double, shrinkage double")
+    return spark.createDataFrame([(i, j, round(float(cov[i, j]), 6), round(share, 9)) for i in range(3) for j in range(3)], "i int, j int, covariance double, shrinkage double")
 
 
 @query
 def bimodality(spark, sf):
     """M11."""
-    return spark.createDataFrame([tuple(models.bimodality(table(spark, sf, "events").select(F.log1p("value").alias("level")), "level").values())], "bic_1 double, bic_2 double, least_weight double, separation double, bimodal boolean")
+    found = models.bimodality(table(spark, sf, "events").select(F.log1p("value").alias("level")), "level")
+    return spark.createDataFrame([tuple(round(v, 3) if isinstance(v, float) else v for v in found.values())], "bic_1 double, bic_2 double, least_weight double, separation double, bimodal boolean")
 
 
 @query
@@ -663,13 +664,21 @@ def pure_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tone_features(spark, sf):
-    """What the features of pure tones must be: their level, crossings, centre, pitch class and purity."""
-    t = pure_tones(spark, sf)
-    met = signal.extract(t).join(t.select("event_id", "midi", "hz"), "event_id")
-    return met.select(
-        F.col("event_id").cast("bigint").alias("k"), F.col("midi").cast("bigint").alias("midi"), (F.abs(F.col("rms") - 0.5 / 2**0.5) < 0.05).alias("level"), (F.abs(F.col("zcr") * 22050 / 2 / F.col("hz") - 1) < 0.1).alias("crossings"),
-        (F.abs(F.col("pitch_cents_dev")) < 10).alias("in_tune"), (F.col("spec_flatness") < 0.05).alias("tonal"), (F.col("buzz_band_ratio") < 0.01).alias("dark"), F.round("chroma_peak", 6).alias("chroma_peak"),
-        (F.col("hnr") > 0).alias("harmonic"), F.col("mfcc_1").isNotNull().alias("cepstrum"),
+    """X1 to X8 of detuned tones: level, crossings and pitch (to the nearest 10 cents, the kernel is within 5) of the whole tone, the spectrum's numbers of its first 256 samples, the decay of a fading copy."""
+    k = F.col("event_id").cast("bigint")
+    hz = F.col("hz") * F.pow(F.lit(2.0), (k % 7 - 3) * 10 / 1200)
+    whole = F.transform(F.sequence(F.lit(0), F.lit(8819)), lambda i: (0.5 * F.sin(2 * F.pi() * F.col("hz") * i / 22050)).cast("float"))
+    fading = F.transform(F.slice("samples", 1, 8192), lambda x, i: (x * F.exp(-(2 + k % 5) * i / 22050)).cast("float"))
+    t = pure_tones(spark, sf).withColumn("hz", hz).withColumn("samples", whole)
+    parts = {"whole": F.col("samples"), "short": F.slice("samples", 1, 256), "fading": fading}
+    windows = t.select("event_id", "midi", "rate", F.explode(F.array(*[F.struct(F.lit(n).alias("part"), c.alias("samples")) for n, c in parts.items()])).alias("w"))
+    found = signal.extract(windows.select(F.concat_ws(":", "event_id", "midi", "w.part").alias("event_id"), "rate", "w.samples"))
+    name = F.split("event_id", ":")
+    of = lambda part, c: F.max(F.when(name[2] == part, F.col(c)))
+    short = {"spec_centroid": 3, "spec_bandwidth": 3, "spec_rolloff": 3, "spec_flatness": 7, "buzz_band_ratio": 7, "mfcc_1": 3, "mfcc_2": 3}
+    return found.groupBy(name[0].cast("bigint").alias("k"), name[1].cast("bigint").alias("midi")).agg(
+        F.round(of("whole", "rms"), 5).alias("rms"), F.round(of("whole", "zcr"), 6).alias("zcr"), (10 * F.round(of("whole", "pitch_cents_dev") / 10)).cast("bigint").alias("cents"),
+        *[F.round(of("short", c), n).alias(c) for c, n in short.items()], F.round(of("fading", "decay_rate")).cast("bigint").alias("decay"), (of("whole", "hnr") > 0).alias("harmonic"),
     )
 
 
@@ -807,26 +816,32 @@ def nearest_landmarks(spark, sf):
 
 @query
 def tone_residuals(spark, sf):
-    """X11: next to nothing is left of a tone that was expected, nearly all of one a tritone away."""
+    """X11: next to nothing is left of a tone that was expected, nearly all of one a tritone away; what is left of its first 256 samples, in numbers."""
     t = pure_tones(spark, sf).withColumn("pitches", F.array(F.when(F.col("event_id").cast("bigint") % 2 == 0, F.col("hz")).otherwise(F.col("hz") * 2**0.5)))
-    return signal.extract_residual(t).select(F.col("event_id").cast("bigint").alias("k"), (F.col("res_energy_ratio") < 0.1).alias("expected"))
+    short = signal.extract_residual(t.withColumn("samples", F.slice("samples", 1, 256)))
+    whole = signal.extract_residual(t).select("event_id", (F.col("res_energy_ratio") < 0.1).alias("expected"))
+    numbers = {"res_energy_ratio": 7, "res_centroid": 3, "res_rolloff": 3, "res_highband_ratio": 6, "res_flatness": 6}
+    return short.join(whole, "event_id").select(F.col("event_id").cast("bigint").alias("k"), "expected", *[F.round(c, n).alias(c) for c, n in numbers.items()])
 
 
 @query
 def tone_onsets(spark, sf):
-    """The frame of the strongest rise, before it is cut off, of a tone that sets in after 0.2 s of silence."""
-    late = F.concat(F.array_repeat(F.lit(0.0).cast("float"), 4410), F.slice("samples", 1, 4410))
-    runs = pure_tones(spark, sf).select(F.col("event_id").alias("run_id"), "rate", late.alias("samples"))
-    first = signal.onset_peaks(runs).where("t < 0.3").groupBy("run_id").agg(F.max_by("t", "strength").alias("t"))
-    return first.select(F.col("run_id").cast("bigint").alias("k"), (F.abs(F.col("t") - 0.2) < 0.06).alias("in_time"))
+    """When, to a tenth of a second, the strongest rise of a fading tone sets in after 0.1 to 0.3 s of silence."""
+    k = F.col("run_id").cast("bigint")
+    fading = F.transform("samples", lambda x, i: (x * F.exp(-8.0 * i / 22050)).cast("float"))
+    late = F.concat(F.array_repeat(F.lit(0.0).cast("float"), (2205 * (k % 3 + 1)).cast("int")), fading)
+    runs = pure_tones(spark, sf).withColumnRenamed("event_id", "run_id").select("run_id", "rate", late.alias("samples"))
+    return signal.onset_peaks(runs).groupBy(k.alias("k")).agg(F.round(F.max_by("t", "strength"), 1).alias("onset"))
 
 
 @query
 def wire_laws(spark, sf):
-    """Ten wires of each supplier's neck, the nut at either end."""
+    """Ten wires of each supplier's neck, the nut at either end and at one of seventeen places; to whole pixels, as places are rounded to tenths."""
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("frame"), F.when(F.col("s_suppkey") % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
-    wires = s.select("frame", F.explode(F.transform(F.array(*[F.lit(n) for n in (0, 1, 2, 3, 5, 6, 7, 8, 9, 10)]), lambda n: F.lit(40.0) + F.col("sign") * 900 * (1 - F.pow(F.lit(2.0), -n / 12)))).alias("u"))
-    return vision.laws(wires).select("frame", F.col("sign").cast("bigint").alias("sign"), F.col("inliers").cast("bigint").alias("inliers"), F.col("gaps").cast("bigint").alias("gaps"), (F.abs(F.col("nut") - 40) < 3).alias("nut_found"))
+    at, scale = 40.0 + F.col("frame") % 17, 900 + 10 * (F.col("frame") % 3)
+    wires = s.select("frame", F.explode(F.transform(F.array(*[F.lit(n) for n in (0, 1, 2, 3, 5, 6, 7, 8, 9, 10)]), lambda n: at + F.col("sign") * scale * (1 - F.pow(F.lit(2.0), -n / 12)))).alias("u"))
+    found = vision.laws(wires)
+    return found.select("frame", F.col("sign").cast("bigint").alias("sign"), F.col("inliers").cast("bigint").alias("inliers"), F.col("gaps").cast("bigint").alias("gaps"), F.round("nut").alias("nut"), F.round("scale").alias("scale"))
 
 
 @query
