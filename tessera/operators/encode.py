@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.sequence import seeded_shuffle
+
 
 def notes_of(tabs: DataFrame, bpm: Column | None = None, step_s: float = 0.95) -> DataFrame:
     """(tab_id, event, t, string, fret) of charts (tab_id, events array<struct<notes array<struct<string,fret>>, strum_ms>>).
@@ -54,12 +58,19 @@ def correction_priority(note_ok: Column, duration_ok: Column, pressure_ok: Colum
     return F.when(~note_ok, "note").when(~duration_ok, "duration").when(~pressure_ok, "pressure").otherwise("ok")
 
 
-def plan_runs(spark, passes: int, strings: list[int], classes: list[str], seed: int) -> DataFrame:
-    """Every pass, string and class, classes in an order drawn anew for each pass and string."""
-    grid = spark.range(1, passes + 1).select(F.col("id").cast("int").alias("pass"), F.explode(F.array(*[F.lit(s) for s in strings])).alias("string")).select("*", F.explode(F.array(*[F.lit(c) for c in classes])).alias("class"))
-    return grid.withColumn("turn", F.row_number().over(Window.partitionBy("pass", "string").orderBy(F.xxhash64(F.lit(seed), "pass", "string", "class"))))
+def plan_runs(passes: DataFrame, strings: list[int], classes: list[str], seed: int) -> DataFrame:
+    """For every row of ``passes`` (pass) every string and class, classes in an order drawn anew for each pass and string."""
+    grid = passes.select("pass", F.explode(F.array(*[F.lit(s) for s in strings])).alias("string")).select("*", F.explode(F.array(*[F.lit(c) for c in classes])).alias("class"))
+    return seeded_shuffle(grid, ["pass", "string"], F.col("class"), seed)
 
 
-def chart_of_sequence(spark, names: list[str], repeats: int, bpm: float) -> DataFrame:
-    """A repeated sequence of names at the beats of a tempo."""
-    return spark.range(repeats * len(names)).select(F.col("id").alias("pos"), F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("id") % len(names) + 1).cast("int")).alias("name"), (F.col("id") * 60.0 / bpm).alias("t"))
+def chart_of_sequence(steps: DataFrame, chart: Sequence[str], order: str, name: str, repeats: int, bpm: float) -> DataFrame:
+    """(chart, pos, name, t): the names of each chart's steps, in order and repeated, at the beats of a tempo.
+
+    A chart is short; its steps are ordered by one task. Null names are rests and keep their beat.
+    """
+    by = Window.partitionBy(*chart)
+    placed = steps.select(*chart, F.col(name).alias("name"), (F.row_number().over(by.orderBy(order)) - 1).alias("__i"), F.count(F.lit(1)).over(by).alias("__n"))
+    turns = placed.select(*chart, "name", "__i", "__n", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("__turn")) if repeats > 0 else placed.withColumn("__turn", F.lit(0)).limit(0)
+    found = turns.withColumn("pos", F.col("__turn") * F.col("__n") + F.col("__i"))
+    return found.select(*chart, "pos", "name", (F.col("pos") * 60.0 / bpm).alias("t"))

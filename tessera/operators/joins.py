@@ -143,11 +143,17 @@ def class_pairs(classes: DataFrame, label: str, ordinal: str) -> DataFrame:
     return classes.select(F.col(label).alias("class_a"), F.col(ordinal).alias("__a")).join(b, F.col("__a") < F.col("__b")).select("class_a", "class_b")
 
 
-def two_adapters(endpoints: DataFrame, index: str, explicit: tuple[int, int] | None = None) -> DataFrame:
-    """(first, second): the explicit pair, else the first two endpoints by index; a single row, null where one is missing."""
+def two_adapters(endpoints: DataFrame, index: str, explicit: tuple[int, int] | None = None, host: Sequence[str] = ()) -> DataFrame:
+    """(first, second): the explicit pair, else the first two endpoints by index; null where one is missing. A row for each host, or a single one.
+
+    Every task keeps two endpoints a host before anything is shuffled.
+    """
     chosen = endpoints.where(F.col(index).isin(*explicit)) if explicit else endpoints
-    ranked = chosen.select(F.col(index)).orderBy(index).limit(2)
-    return ranked.agg(F.min(index).alias("first"), F.when(F.count("*") > 1, F.max(index)).alias("second"))
+    if host:
+        ranked = chosen.withColumn("__rank", F.row_number().over(Window.partitionBy(*host).orderBy(index))).where("__rank <= 2")
+    else:
+        ranked = chosen.select(F.col(index)).orderBy(index).limit(2)
+    return ranked.groupBy(*host).agg(F.min(index).alias("first"), F.when(F.count("*") > 1, F.max(index)).alias("second"))
 
 
 def medians_nearby(asked: DataFrame, rows: DataFrame, keys: Sequence[str], key: str, time: str, value: str, tolerance: float, most: int = 3) -> DataFrame:

@@ -112,8 +112,9 @@ def bridged_run(widths: Column, narrow: float, most_missing: int = 3, low: float
 
 
 def seeded_shuffle(df: DataFrame, parts: Sequence[str], key: Column, seed: int) -> DataFrame:
-    """Ordinal of each row in its part's seeded order."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(*parts).orderBy(F.xxhash64(F.lit(seed), key), key)))
+    """Ordinal from 1 of each row in its part's seeded order, which is drawn anew for each part. Parts are a pass's few runs; null counts as no text."""
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts], key.cast("string")))
+    return df.withColumn("turn", F.row_number().over(Window.partitionBy(*parts).orderBy(drawn, key)))
 
 
 def rounded_peaks(peaks: Column, digits: int) -> Column:

@@ -68,7 +68,7 @@ SELECT cue_id, round(coalesce(peak, greatest(cue, 0)), 3) AS onset, peak IS NOT
 SELECT o.fold, round(avg(CASE WHEN tr.o_custkey IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS unseen FROM o LEFT JOIN tr ON tr.fold = o.fold AND tr.o_custkey = o.o_custkey WHERE o_orderstatus = 'F' GROUP BY 1""",
     "class_pairs": "SELECT a.n_name AS class_a, b.n_name AS class_b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey",
     "best_keyframe": "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS error FROM customer ORDER BY coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 'inf'::DOUBLE), c_custkey LIMIT 1",
-    "two_adapters": "SELECT min(s_suppkey) AS first, CASE WHEN count(*) > 1 THEN max(s_suppkey) END AS second FROM (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3 ORDER BY 1 LIMIT 2)",
+    "two_adapters": "SELECT s_nationkey, min(s_suppkey) AS first, CASE WHEN count(*) > 1 THEN max(s_suppkey) END AS second FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier) WHERE r <= 2 GROUP BY 1",
     "nearest_fret": """WITH p AS (SELECT p_partkey, p_size / 50.0::DOUBLE * 0.4::DOUBLE AS x, p_size / 50.0::DOUBLE AS y FROM part),
 c AS (SELECT *, n, 1 - 2.0::DOUBLE ** (-n / 12.0::DOUBLE) AS w, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(x - (1 - 2.0::DOUBLE ** (-n / 12.0::DOUBLE))), n) AS rn FROM p CROSS JOIN range(0, 8) r(n))
 SELECT p_partkey, n AS fret, round(x - w, 6) AS d, CAST(least(6, greatest(1, 6 - round_even(y * 5, 0))) AS BIGINT) AS string FROM c WHERE rn = 1""",
@@ -222,10 +222,10 @@ SELECT k, CAST(CASE WHEN p_size % 3 = 0 THEN 5 ELSE 1 END AS BIGINT) AS n, round
     + """, c AS (SELECT k, ['G', 'C', 'D'][p_size % 3 + 1] AS name FROM p)
 SELECT k, name, v.finger::BIGINT AS finger, v.string::BIGINT AS string, v.fret::BIGINT AS fret FROM c JOIN (VALUES (true, 2, 6, 3), (true, 3, 5, 2), (true, 4, 1, 3), (false, 3, 5, 3), (false, 2, 4, 2), (false, 1, 2, 1)) v(g, finger, string, fret) ON v.g = (name = 'G')""",
     "note_channels": _P + " SELECT k, concat_ws(',', CASE WHEN p_size % 8 BETWEEN 1 AND 6 THEN p_size % 8 END, CASE WHEN p_size % 9 BETWEEN 1 AND 6 THEN p_size % 9 + 6 END) AS channels FROM p",
-    "chart_sequence": "SELECT i AS pos, n_name AS name, round(i * 60 / 90.0::DOUBLE, 6) AS t FROM range(50) r(i) JOIN nation ON n_nationkey = i % 25",
-    "planned_runs": "SELECT p AS pass, s AS string, 3::BIGINT AS n, 6::BIGINT AS turns, 3::BIGINT AS classes FROM range(1, 4) a(p) CROSS JOIN range(4, 7) b(s)",
-    "demo_grid": """SELECT concat_ws('-', 'p' || (p + 1), s, f, c, t) AS run_id, 'p' || (p + 1) AS player_id, s AS s_num, 1::BIGINT AS expected, round(440 * 2.0::DOUBLE ** ((CASE s WHEN 6 THEN 40 ELSE 64 END + f - 69) / 12.0::DOUBLE) * (1 + 0.0008::DOUBLE * p), 6) AS hz, round(0.5::DOUBLE + 0.05::DOUBLE * p, 6) AS gain
-FROM range(2) a(p) CROSS JOIN (VALUES (6::BIGINT), (1::BIGINT)) b(s) CROSS JOIN (VALUES (0), (5)) d(f) CROSS JOIN (VALUES ('clean'), ('buzz')) g(c) CROSS JOIN range(2) h(t)""",
+    "chart_sequence": "WITH s AS (SELECT conv_id, role AS name, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, r * n + i AS pos, name, round((r * n + i) * 60 / 90.0::DOUBLE, 6) AS t FROM s, range(0, 2) q(r)",
+    "planned_runs": "WITH g AS (SELECT s_suppkey AS pass, s AS string, c AS class FROM supplier, range(4, 7) b(s), (VALUES ('clean'), ('buzz'), ('mute')) v(c)) SELECT *, row_number() OVER (PARTITION BY pass, string ORDER BY md5(concat_ws('|', 11, pass, string, class))) AS planned, row_number() OVER (PARTITION BY pass, string ORDER BY md5(concat_ws('|', 5, pass, string, class))) AS turn FROM g",
+    "demo_grid": """SELECT concat_ws('-', 'p' || (u + 1), s, f, c, t) AS run_id, 'p' || (u + 1) AS player_id, s AS s_num, 1::BIGINT AS expected, round(440 * 2.0::DOUBLE ** ((CASE s WHEN 6 THEN 40 ELSE 64 END + f - 69) / 12.0::DOUBLE) * (1 + 0.0008::DOUBLE * p), 6) AS hz, round(0.5::DOUBLE + 0.05::DOUBLE * p, 6) AS gain
+FROM (SELECT c_custkey AS u, c_custkey % 5 AS p FROM customer) CROSS JOIN (VALUES (6::BIGINT), (1::BIGINT)) b(s) CROSS JOIN (VALUES (0), (5)) d(f) CROSS JOIN (VALUES ('clean'), ('buzz')) g(c) CROSS JOIN range(2) h(t)""",
     "csv_round_trip": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier",
     "manifest_scan": """SELECT 's' || (event_id % 2) AS session_id, 'p' || (user_id % 3) AS player_id, event_type AS intended_class, count(*) AS n, max(event_id) AS last FROM events
 WHERE user_id % 3 IN (0, 2) AND event_id % 11 > 0 AND event_id % 13 > 0 AND event_id % 17 > 0 GROUP BY ALL""",

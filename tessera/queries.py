@@ -150,8 +150,8 @@ def best_keyframe(spark, sf):
 
 @query
 def two_adapters(spark, sf):
-    """J19, P23."""
-    return joins.two_adapters(table(spark, sf, "supplier").where("s_nationkey = 3").select("s_suppkey"), "s_suppkey")
+    """The first two suppliers of every nation."""
+    return joins.two_adapters(table(spark, sf, "supplier").select("s_nationkey", "s_suppkey"), "s_suppkey", host=["s_nationkey"])
 
 
 @query
@@ -1014,23 +1014,23 @@ def note_channels(spark, sf):
 
 @query
 def chart_sequence(spark, sf):
-    """Nation names at the beats of a tempo, twice over."""
-    names = [r.n_name for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]  # the chart's names
-    return encode.chart_of_sequence(spark, names, 2, 90.0).select("pos", "name", F.round("t", 6).alias("t"))
+    """The roles of each conversation's turns at the beats of a tempo, twice over."""
+    return encode.chart_of_sequence(table(spark, sf, "conversations"), ["conv_id"], "turn", "role", 2, 90.0).select("conv_id", F.col("pos").cast("bigint").alias("pos"), "name", F.round("t", 6).alias("t"))
 
 
 @query
 def planned_runs(spark, sf):
-    """The plan's turns; the seeded order itself is checked by its invariants."""
-    plan = encode.plan_runs(spark, 3, [6, 5, 4], ["clean", "buzz", "mute"], 11)
-    again = sequence.seeded_shuffle(plan.drop("turn"), ["pass", "string"], F.col("class"), 5)
-    return again.groupBy(F.col("pass").cast("bigint").alias("pass"), F.col("string").cast("bigint").alias("string")).agg(F.count("*").alias("n"), F.sum("turn").cast("bigint").alias("turns"), F.count_distinct("class").alias("classes"))
+    """A pass of each supplier, and the same runs shuffled under another seed."""
+    plan = encode.plan_runs(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("pass")), [6, 5, 4], ["clean", "buzz", "mute"], 11)
+    again = sequence.seeded_shuffle(plan.withColumnRenamed("turn", "planned"), ["pass", "string"], F.col("class"), 5)
+    return again.select("pass", F.col("string").cast("bigint").alias("string"), "class", F.col("planned").cast("bigint").alias("planned"), F.col("turn").cast("bigint").alias("turn"))
 
 
 @query
 def demo_grid(spark, sf):
-    """The generated batch's runs and pitches."""
-    return files.demo_runs(spark, 2, [6, 1], [0, 5], ["clean", "buzz"], 2).select("run_id", "player_id", F.col("s_num").cast("bigint").alias("s_num"), F.col("expected_note_count").cast("bigint").alias("expected"), F.round("hz", 6).alias("hz"), F.round("gain", 6).alias("gain"))
+    """The generated runs and pitches of every customer."""
+    players = table(spark, sf, "customer").select(F.concat(F.lit("p"), F.col("c_custkey") + 1).alias("player_id"), (F.col("c_custkey") % 5).alias("p"))
+    return files.demo_runs(players, [6, 1], [0, 5], ["clean", "buzz"], 2).select("run_id", "player_id", F.col("s_num").cast("bigint").alias("s_num"), F.col("expected_note_count").cast("bigint").alias("expected"), F.round("hz", 6).alias("hz"), F.round("gain", 6).alias("gain"))
 
 
 @query

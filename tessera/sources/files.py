@@ -107,9 +107,9 @@ def read_wav_windows(spark: SparkSession, path: str, windows: DataFrame, least_s
     return met.mapInPandas(cut, "event_id string, rate int, samples array<float>")
 
 
-def demo_runs(spark: SparkSession, players: int, strings: Sequence[int], frets: Sequence[int], classes: Sequence[str], takes: int) -> DataFrame:
-    """A grid of runs with the pitch that each should sound; a player is slightly detuned and louder or softer."""
-    grid = spark.range(players).select(F.concat(F.lit("p"), F.col("id") + 1).alias("player_id"), F.col("id").alias("p"))
+def demo_runs(players: DataFrame, strings: Sequence[int], frets: Sequence[int], classes: Sequence[str], takes: int) -> DataFrame:
+    """A grid of runs for each player (player_id, p) with the pitch that each should sound; a player is by ``p`` steps detuned and louder."""
+    grid = players.select("player_id", "p")
     for name, values in (("s_num", strings), ("fret", frets), ("intended_class", classes), ("take", range(takes))):
         grid = grid.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
     opens = F.element_at(F.create_map(*[F.lit(x) for kv in {6: 40, 5: 45, 4: 50, 3: 55, 2: 59, 1: 64}.items() for x in kv]), F.col("s_num"))

@@ -82,7 +82,7 @@ def test_noise_raises_the_residual_and_lowers_presence():
 
 
 def test_demo_grid(spark):
-    runs = files.demo_runs(spark, 2, [6, 5], [0, 1, 2], ["clean", "buzz", "muted"], 3)
+    runs = files.demo_runs(spark.createDataFrame([("p1", 0), ("p2", 1)], "player_id string, p int"), [6, 5], [0, 1, 2], ["clean", "buzz", "muted"], 3)
     assert runs.count() == 108 and runs.select("run_id").distinct().count() == 108
 
 

@@ -222,9 +222,20 @@ def test_chords_keep_the_last_string_of_a_finger(spark):
 
 
 def test_plans(spark):
-    plan = encode.plan_runs(spark, 2, [6, 5], ["a", "b", "c"], 1)
+    plan = encode.plan_runs(spark.range(1, 3).withColumnRenamed("id", "pass"), [6, 5], ["a", "b", "c"], 1)
     assert plan.count() == 12 and plan.groupBy("pass", "string").agg(F.sum("turn").alias("s")).where("s <> 6").count() == 0
-    assert [r.t for r in encode.chart_of_sequence(spark, ["x", "y"], 2, 120.0).orderBy("pos").collect()] == [0, 0.5, 1, 1.5]
+    steps = spark.createDataFrame([("k", 5, "y"), ("k", 2, "x"), ("l", 1, None)], "chart string, i int, name string")
+    chart = [(r.chart, r.pos, r.name, r.t) for r in encode.chart_of_sequence(steps, ["chart"], "i", "name", 2, 120.0).orderBy("chart", "pos").collect()]
+    assert chart == [("k", 0, "x", 0.0), ("k", 1, "y", 0.5), ("k", 2, "x", 1.0), ("k", 3, "y", 1.5), ("l", 0, None, 0.0), ("l", 1, None, 0.5)]
+    assert encode.chart_of_sequence(steps, ["chart"], "i", "name", 0, 120.0).count() == 0
+
+
+def test_two_adapters_of_each_host(spark):
+    rows = spark.createDataFrame([("a", 7), ("a", 3), ("a", 9), ("b", 4), (None, 1)], "host string, i int")
+    found = {r.host: (r.first, r.second) for r in joins.two_adapters(rows, "i", host=["host"]).collect()}
+    assert found == {"a": (3, 7), "b": (4, None), None: (1, None)}
+    assert tuple(joins.two_adapters(rows, "i").first()) == (1, 3) and tuple(joins.two_adapters(rows.limit(0), "i").first()) == (None, None)
+    assert tuple(joins.two_adapters(rows, "i", (9, 4)).first()) == (4, 9)
 
 
 def test_advice_falls_back(spark):
