@@ -61,6 +61,14 @@ def test_known_bars_give_known_notes(spark, tmp_path):
     assert turned.string == 6
 
 
+def test_a_length_within_a_bar_is_one_quotient(spark, tmp_path):
+    """A quarter at 128 is 0.46875 s and rounds up, wherever sums of bars at other tempos put it."""
+    quarters = "".join(note(1, k) for k in range(4))
+    parts = read(spark, tmp_path, *[bar((HEAD if k == 0 else "") + f'<sound tempo="{t}"/>' + quarters) for k, t in enumerate((61, 68, 128, 128))])
+    found = scores.chart_of(parts).groupBy("dur").count().collect()
+    assert {r.dur: r["count"] for r in found} == {0.4688: 8, round(60 / 61, 4): 4, round(60 / 68, 4): 4}
+
+
 @pytest.mark.parametrize(
     "bars,order",
     [
