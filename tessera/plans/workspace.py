@@ -52,6 +52,11 @@ def materialise(df: DataFrame, name: str = "table", partition_by: tuple[str, ...
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, per_task: int) -> DataFrame:
+    """``df`` dealt evenly to tasks of about ``per_task`` rows: short rows that each are much work fill one file's split, and adaptive execution would join tasks by their bytes."""
+    return df.repartition(max(1, -(-df.count() // per_task)))
+
+
 def sorted_run(df: DataFrame, keys: tuple[str, ...], name: str = "run") -> DataFrame:
     """Write ``df`` once, in as many buckets of ``keys`` as the session shuffles to, each sorted by them.
 
