@@ -36,14 +36,27 @@ def resampled(x: np.ndarray, up: int, down: int, first: int, start: int, stop: i
     Output n stands at input position n * down / up; each of the ``up`` phases is a short filter of its own, so
     the zeros of the stretched signal are never multiplied.
     """
-    taps = low_pass(up, down)
-    half, at = len(taps) // 2, np.arange(start, stop, dtype=np.int64) * down
-    width = 2 * (half // up) + 2
+    phases = _phases(up, down)
+    half, width = len(low_pass(up, down)) // 2, phases.shape[1]
+    at = np.arange(start, stop, dtype=np.int64) * down
+    if not len(x) or not len(at):
+        return np.zeros(len(at))
     low = -((half - at) // up)  # the first input whose tap is not before the filter
-    places = low[:, None] + np.arange(width)
-    tap = at[:, None] - places * up + half
-    inside = (tap >= 0) & (tap < len(taps)) & (places >= first) & (places < first + len(x))
-    return (np.where(inside, x[np.clip(places - first, 0, max(len(x) - 1, 0))], 0.0) * taps[np.clip(tap, 0, len(taps) - 1)]).sum(axis=1) if len(x) else np.zeros(len(at))
+    # silence around the samples, as far as the outputs reach
+    head, tail = max(0, first - int(low[0])), max(0, int(low[-1]) + width - first - len(x))
+    padded = np.concatenate([np.zeros(head), x, np.zeros(tail)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, width)[low - (first - head)]
+    return np.einsum("ij,ij->i", windows, phases[at % up])
+
+
+@functools.cache
+def _phases(up: int, down: int) -> np.ndarray:
+    """The filter of each of the ``up`` places of an output between two inputs (up x width)."""
+    taps = low_pass(up, down)
+    half = len(taps) // 2
+    at = np.arange(up)
+    tap = at[:, None] - (-((half - at) // up)[:, None] + np.arange(2 * (half // up) + 2)) * up + half
+    return np.where((tap >= 0) & (tap < len(taps)), taps[np.clip(tap, 0, len(taps) - 1)], 0.0)
 
 
 def _outputs(at: int, up: int, down: int) -> int:
@@ -53,12 +66,13 @@ def _outputs(at: int, up: int, down: int) -> int:
 
 def _chunks(batches: Iterator[pa.RecordBatch], target: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rate, first, before, own, after = (c.to_pylist() for c in batch.columns[1:])
+        rate, first = (c.to_pylist() for c in batch.columns[1:3])
+        before, own, after = (c.to_numpy(zero_copy_only=False) for c in batch.columns[3:])  # an array a row, None for null
         made, starts = [], []
         for r, f, a, b, c in zip(rate, first, before, own, after, strict=True):
             g = gcd(r, target)
             up, down = target // g, r // g
-            a, b, c = (np.nan_to_num(np.array(part or [], np.float64)) for part in (a, b, c))
+            a, b, c = (np.nan_to_num(np.asarray([] if part is None else part, np.float64)) for part in (a, b, c))
             start, stop = _outputs(f, up, down), _outputs(f + len(b), up, down)
             made.append(resampled(np.concatenate([a, b, c]), up, down, f - len(a), start, stop).astype(np.float32))
             starts.append(start)
