@@ -169,7 +169,9 @@ def laws(wires: DataFrame) -> DataFrame:
 
     names = ["nut", "scale", "sign", "fret7", "inliers", "gaps", "residual", "quality"]
     kind = dict(wires.dtypes)["frame"]
-    return wires.groupBy("frame").applyInPandas(solve, f"frame {kind}, nut double, scale double, sign double, fret7 double, inliers int, gaps int, residual double, quality double")
+    # a frame's few places are little to send and much to fit: tasks by frames, not by bytes
+    tasks = max(1, -(-wires.select("frame").distinct().count() // 500))
+    return wires.repartition(tasks, "frame").groupBy("frame").applyInPandas(solve, f"frame {kind}, nut double, scale double, sign double, fret7 double, inliers int, gaps int, residual double, quality double")
 
 
 def robust_homography(board: np.ndarray, image: np.ndarray, most_px: float = 6.0, draws: int = 200, seed: int = 7) -> np.ndarray:
