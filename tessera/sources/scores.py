@@ -140,15 +140,19 @@ def chart_of(parts: DataFrame, seven_strings: bool = False) -> DataFrame:
     def seconds(tick: str, mark: Column) -> Column:
         return mark["start_s"] + (F.col(tick) - mark["tick"]) * 60 / (mark["bpm"] * QUARTER)
 
+    def digits(c: Column) -> Column:
+        """Four digits of the product, as SQL engines round: 7.66875 that a sum left at 7.668749999999999 still goes up."""
+        return F.round(c * 1e4) / 1e4
+
     began = asof_backward(on, marks, keys, "tick", ["mark"], width).withColumnRenamed("mark", "began")
     # a note that ends with its bar ends by that bar's tempo, so the mark is the one of its last tick
     lasting = began.withColumnRenamed("tick", "on_tick").withColumn("tick", F.greatest("on_tick", F.col("stop") - 1))
     ended = asof_backward(lasting, marks, keys, "tick", ["mark"], width)
-    t, stop = F.round(seconds("on_tick", F.col("began")), 4), seconds("stop", F.col("mark"))
+    t, stop = digits(seconds("on_tick", F.col("began"))), seconds("stop", F.col("mark"))
     # within one bar a length is one quotient, not the difference of two sums: 0.46875 s must not become 0.46874999
     inside = (F.col("stop") - F.col("on_tick")) * 60 / (F.col("mark.bpm") * QUARTER)
     lasts = F.when(F.col("mark.tick") == F.col("began.tick"), inside).otherwise(stop - seconds("on_tick", F.col("began")))
-    heard = ended.withColumn("t", t).withColumn("dur", F.round(F.greatest(F.lit(SHORTEST), lasts), 4))
+    heard = ended.withColumn("t", t).withColumn("dur", digits(F.greatest(F.lit(SHORTEST), lasts)))
     beat = ["score", "part", "play", "voice", "beat"]
     sizes = F.count("*").over(Window.partitionBy(*beat))
     chords = F.dense_rank().over(Window.partitionBy("score", "part").orderBy("play", "voice", "beat"))

@@ -3,11 +3,14 @@
 import math
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import lines
+from tessera.oracles import ORACLES
+from tessera.queries import QUERIES
 from tessera.sources import scores
 
 
@@ -69,6 +72,18 @@ def test_a_length_within_a_bar_is_one_quotient(spark, tmp_path):
     assert {r.dur: r["count"] for r in found} == {0.4688: 8, round(60 / 61, 4): 4, round(60 / 68, 4): 4}
 
 
+def test_charts_round_and_begin_as_their_sql_does(spark, tmp_path):
+    """Three bars at 100 and a quarter at 128 end at 7.66875 s, which sums leave just below; a conversation may begin with a null text."""
+    turns = [(1, 0, "a" * 40), (1, 1, "a"), (1, 2, "b"), (1, 3, "a" * 68), (2, 0, None), (2, 1, "abc"), (2, 2, "abcd"), (2, 3, "a" * 7)]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in turns], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    columns = ["conv_id", "t", "string", "fret", "dur", "chord"]
+    want = [tuple(str(v) for v in r) for r in db.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['score_charts']})").fetchall()]
+    got = [tuple(str(v) for v in r) for r in QUERIES["score_charts"](spark, str(tmp_path)).select(columns).collect()]
+    assert sorted(got) == sorted(want) and ("1", "7.6688") in {r[:2] for r in got}
+
+
 @pytest.mark.parametrize(
     "bars,order",
     [
