@@ -22,7 +22,7 @@ PRETOKEN = (
 )
 _INF = 1 << 60
 #: Bytes of a pre-token after which the transducer's state is remembered.
-_STEM = 5
+_STEM = 6
 
 
 def _byte_letters() -> dict[str, int]:
@@ -181,7 +181,7 @@ class Codec(dict):
     are remembered in two generations of ``most`` entries, so memory is bounded.
     """
 
-    def __init__(self, file: str, short: int = 24, most: int = 100_000, chars: int = 1 << 16) -> None:
+    def __init__(self, file: str, short: int = 24, most: int = 250_000, chars: int = 1 << 16) -> None:
         super().__init__()
         self.table, self.short, self.most, self.chars = MergeTable(file), short, most, chars
         self.older: dict[str, bytes] = {}
@@ -214,7 +214,7 @@ class Codec(dict):
         known = self.stems.get(stem)
         if known is None:
             reader._read(stem)
-            if len(self.stems) >= self.most // 2:
+            if len(self.stems) >= self.most // 4:
                 self.stems.clear()
             self.stems[stem] = (tuple(reader.last), reader.open)
         else:

@@ -40,6 +40,14 @@ def test_bpe_of_long_runs(unit):
 CONTRACTIONS = "they're we'll I've don't he'd I'm it's ''re 'll 'rest '  've\n'r'e ''''ll  x'l l'' 'v e're12're!'re  'the 'Re"
 
 
+def test_words_that_come_again_are_encoded_once():
+    """Corpora with many rare words: 240,000 of them are still remembered when they come again."""
+    codec, words = bpe.Codec(FILE), [f" {k:x}q" for k in range(240_000)]
+    first = [codec[w] for w in words]
+    codec._start = None  # what is encoded anew would call it
+    assert [codec[w] for w in words] == first
+
+
 @pytest.mark.parametrize("chars", range(2, 14))
 def test_bpe_windows_may_end_anywhere(chars):
     """Every window length and shift over a text full of contractions, blanks and quotes."""
