@@ -10,6 +10,8 @@ from tessera.plans import materialise
 
 #: Fixed values of the data format: ticks of a quarter, the tempo without a mark, the shortest note in seconds.
 QUARTER, TEMPO, SHORTEST = 960, 120.0, 0.05
+#: Seconds of bars are added by 16, these sums by 16 again, and so on.
+BLOCK, LEVELS = 16, 5
 _NOTE = "struct<`_print-object`: string, chord: string, rest: string, grace: string, duration: bigint, voice: string, tie: array<struct<_type: string>>, notations: struct<technical: struct<string: int, fret: int>>>"
 _SCHEMA = f"""_id string, measure array<struct<
   _number: string,
@@ -98,9 +100,27 @@ def tempo_map(bars: DataFrame, plays: DataFrame) -> DataFrame:
     met = plays.join(bars.select("score", "part", "bar", "ticks", "tempo"), ["score", "part", "bar"])
     upto = Window.partitionBy("score", "part").orderBy("play").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("score", "part").orderBy("play").rowsBetween(Window.unboundedPreceding, -1)
-    timed = met.withColumn("bpm", F.coalesce(F.last("tempo", ignorenulls=True).over(upto), F.lit(TEMPO)))
-    lasts = F.col("ticks") * 60 / (F.col("bpm") * QUARTER)
-    return timed.select("score", "part", "play", "bar", F.coalesce(F.sum("ticks").over(before), F.lit(0)).alias("tick"), "bpm", F.coalesce(F.sum(lasts).over(before), F.lit(0.0)).alias("start_s"))
+    timed = met.withColumn("bpm", F.coalesce(F.last("tempo", ignorenulls=True).over(upto), F.lit(TEMPO))).withColumn("tick", F.coalesce(F.sum("ticks").over(before), F.lit(0)))
+    return sum_before(timed, F.col("ticks") * 60 / (F.col("bpm") * QUARTER), "start_s").select("score", "part", "play", "bar", "tick", "bpm", "start_s")
+
+
+def sum_before(plays: DataFrame, value: Column, name: str) -> DataFrame:
+    """``plays`` with the sum of ``value`` (double) over a part's earlier plays as ``name``, largest blocks first.
+
+    A sum over tens of thousands of bars, one after the other, is off by enough to change the fourth digit of some times. Here no
+    sum has more than ``BLOCK`` terms at each of ``LEVELS`` levels (at the last one, as many as the part has blocks of 65,536), so
+    the error grows with the levels. Up to 32 plays it is the sum one after the other.
+    """
+    rows, terms = plays.withColumn("__sum", value), []
+    for level in range(LEVELS):
+        size = BLOCK**level
+        block = [F.floor(F.col("play") / (size * BLOCK))] if level < LEVELS - 1 else []
+        w = Window.partitionBy("score", "part", *block).orderBy("play")
+        ready = F.when((F.col("play") + 1) % size == 0, F.col("__sum"))  # the sum of the block that ends here
+        rows = rows.withColumns({f"__terms{level}": F.collect_list(ready).over(w.rowsBetween(Window.unboundedPreceding, -1)), "__next": F.sum(ready).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+        rows = rows.withColumn("__sum", F.col("__next"))
+        terms.insert(0, f"__terms{level}")
+    return rows.withColumn(name, F.aggregate(F.concat(*terms), F.lit(0.0), lambda s, x: s + x)).drop("__sum", "__next", *terms)
 
 
 def notes_of_bars(bars: DataFrame) -> DataFrame:

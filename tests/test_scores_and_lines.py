@@ -84,6 +84,36 @@ def test_charts_round_and_begin_as_their_sql_does(spark, tmp_path):
     assert sorted(got) == sorted(want) and ("1", "7.6688") in {r[:2] for r in got}
 
 
+def against_sql(spark, path, turns):
+    """The rows of score_charts and of its SQL over (conv_id, turn, text), sorted."""
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in turns], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/conversations.parquet/*.parquet'")
+    columns = ["conv_id", "t", "string", "fret", "dur", "chord"]
+    want = sorted(tuple(str(v) for v in r) for r in db.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['score_charts']})").fetchall())
+    return sorted(tuple(str(v) for v in r) for r in QUERIES["score_charts"](spark, str(path)).select(columns).collect()), want
+
+
+@pytest.mark.parametrize("slow,fast,marked", [(100, 128, 24), (75, 128, 33), (90, 128, 27)])
+def test_a_long_run_of_bars_adds_up_as_in_sql(spark, tmp_path, slow, fast, marked):
+    """Times that end in a five at the fifth digit, after more bars than one sum after the other adds up well enough."""
+    got, want = against_sql(spark, tmp_path, [(1, k, "a" * ((fast if k >= marked else slow) - 60)) for k in range(marked + 4)])
+    assert got == want
+
+
+def test_sums_by_blocks_are_the_sums(spark):
+    found = scores.sum_before(spark.range(5000).select(F.lit("s").alias("score"), (F.col("id") % 2).cast("string").alias("part"), F.floor(F.col("id") / 2).alias("play")), F.col("play") * 0.1, "total")
+    rows = found.orderBy("part", "play").collect()
+    assert [r.play for r in rows] == [*range(2500)] * 2 and found.columns == ["score", "part", "play", "total"]
+    assert all(math.isclose(r.total, r.play * (r.play - 1) / 20, rel_tol=1e-14) for r in rows)
+
+
+def test_turns_and_conversations_without_a_number(spark, tmp_path):
+    """A turn without a number comes last; turns of no conversation are a part of their own."""
+    got, want = against_sql(spark, tmp_path, [(1, None, "abc"), (1, 0, "abcd"), (1, 3, "ab"), (2, None, "a" * 9), (None, 3, "abcd"), (None, 0, "b"), (None, None, "cc")])
+    assert got == want and {r[0] for r in got} == {"1", "2", "None"}
+
+
 @pytest.mark.parametrize(
     "bars,order",
     [
