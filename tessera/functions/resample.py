@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.workspace import small_batches
+
 #: Fixed value of the data format: every recording is brought to this rate before features are taken.
 CANONICAL_RATE = 48_000
 
@@ -64,6 +66,19 @@ def _outputs(at: int, up: int, down: int) -> int:
     return -(-at * up // down)
 
 
+def _whole_runs(batches: Iterator[pa.RecordBatch], target: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Runs cut and filtered chunk by chunk, a record batch a run; a chunk sees as much of the run around it as the filter reaches."""
+    for batch in batches:
+        names, rates = batch.column(0), batch.column(1).to_pylist()
+        for i, (r, x) in enumerate(zip(rates, batch.column(2).to_numpy(zero_copy_only=False), strict=True)):
+            g = gcd(r, target)
+            up, down = target // g, r // g
+            far, cuts = reach(up, down), range(0, len(x), size)
+            ends = [_outputs(min(at, len(x)), up, down) for at in (*cuts, len(x))]
+            made = [resampled(np.nan_to_num(x[max(0, at - far) : at + size + far].astype(np.float64)), up, down, max(0, at - far), *ends[k : k + 2]).astype(np.float32) for k, at in enumerate(cuts)]
+            yield pa.record_batch([names.take(pa.array([i] * len(made), pa.int32())), pa.array(range(len(made)), pa.int32()), pa.array([target] * len(made), pa.int32()), pa.array(ends[:-1], pa.int64()), pa.array(made, pa.list_(pa.float32()))], ["run", "chunk", "rate", "first", "samples"])
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], target: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rate, first = (c.to_pylist() for c in batch.columns[1:3])
@@ -97,12 +112,25 @@ def resample_chunks(chunks: DataFrame, run: str, target: int = CANONICAL_RATE, s
     heads = rows.select(run, F.col("chunk") - 1, F.slice("samples", 1, far)).toDF(run, "chunk", "after")
     met = rows.join(ends, [run, "chunk"], "left").join(heads, [run, "chunk"], "left")
     row = F.struct(F.col(run), F.col("chunk"))
+    small_batches(chunks.sparkSession)  # else a worker holds thousands of chunks, each several times over
     asked = met.select(row.alias("row"), "rate", (F.col("chunk").cast("bigint") * size).alias("first"), "before", "samples", "after")
     kind = asked.schema["row"].dataType.simpleString()
     found = asked.mapInArrow(functools.partial(_chunks, target=target), f"row {kind}, rate int, first bigint, samples array<float>")
     return found.select(f"row.{run}", "row.chunk", "rate", "first", "samples")
 
 
+def resample_runs(runs: DataFrame, run: str, target: int = CANONICAL_RATE, size: int = 1 << 15) -> DataFrame:
+    """What ``resample_chunks`` gives for the chunks of runs (``run``, rate, samples) that fit in a row, cut and filtered where the run is read.
+
+    A run's chunks have their neighbours in the same row, so nothing is joined or shuffled, and a worker holds a batch of runs and one chunk.
+    The filter may reach beyond a chunk.
+    """
+    small_batches(runs.sparkSession)
+    asked = runs.where("rate > 0 and size(samples) > 0").select(F.col(run).alias("run"), F.col("rate").cast("int").alias("rate"), "samples")
+    kind = asked.schema["run"].dataType.simpleString()
+    return asked.mapInArrow(functools.partial(_whole_runs, target=target, size=size), f"run {kind}, chunk int, rate int, first bigint, samples array<float>").withColumnRenamed("run", run)
+
+
 def cut_in_chunks(runs: DataFrame, run: str, size: int = 1 << 15) -> DataFrame:
     """Chunks, as ``resample_chunks`` takes them, of runs (``run``, rate, samples) that fit in a row; a null or empty run has none."""
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("samples") - 1) / size).cast("int")), lambda k: F.slice(F.col("samples"), k * size + 1, size))

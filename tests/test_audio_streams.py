@@ -53,6 +53,33 @@ def test_chunks_leave_no_step(spark, rate):
         resample.resample_chunks(resample.cut_in_chunks(df, "run", 16), "run", 16_000, 16)
 
 
+def test_runs_are_cut_where_they_are_read(spark, tmp_path):
+    """The same chunks as by joins, without a shuffle and in small batches; the filter may reach beyond a chunk."""
+    from tessera import queries
+
+    rng = np.random.default_rng(6)
+    runs = [("a", 44100, rng.normal(size=3000).tolist()), ("b", 48000, rng.normal(size=512).tolist()), ("c", 16000, [1.0]), ("d", 44100, []), ("e", 44100, None), ("f", None, [1.0]), ("g", 0, [1.0]), (None, 44100, [float("nan"), 1.0, None])]
+    df = spark.createDataFrame(runs, "run string, rate int, samples array<float>")
+    found = resample.resample_runs(df, "run", 16_000, 512)
+    other = resample.resample_chunks(resample.cut_in_chunks(df.where("run is not null and rate is not null"), "run", 512), "run", 16_000, 512)
+    by = lambda rows: {(r.run, r.chunk): r for r in rows}
+    a, b = by(found.collect()), by(other.collect())
+    assert set(a) == {*b, (None, 0)} and found.dtypes == other.dtypes
+    assert all(a[k].first == b[k].first and a[k].rate == b[k].rate == 16_000 and np.allclose(a[k].samples, b[k].samples, atol=1e-6) for k in b)
+    x = rng.normal(size=300)
+    short = spark.createDataFrame([("a", 44100, x.tolist())], "run string, rate int, samples array<float>")
+    cut = resample.resample_runs(short, "run", 16_000, 16)
+    assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
+    rows = cut.orderBy("chunk").collect()
+    whole = resample.resampled(x, 160, 441, 0, 0, -(-300 * 160 // 441))
+    assert len(rows) == 19 and np.allclose(np.concatenate([r.samples for r in rows]), whole, atol=1e-5)
+    spark.range(500).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    plan = queries.resampled_tones(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("ArrowEvalPython") <= 2
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")
+    assert int(size) <= 2 << 20
+
+
 def test_containers(spark):
     import io
     import wave
