@@ -13,7 +13,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import pairs
+from tessera.operators import forest, pairs
 
 
 @dataclass(frozen=True)
@@ -246,9 +246,15 @@ def out_of_fold(df: DataFrame, label: str, features: Sequence[str], key: str, le
 
 
 def forest_out_of_fold(df: DataFrame, label: str, features: Sequence[str], key: str, trees: int = 300, depth: int = 20, bins: int = 64, seed: int = 7) -> DataFrame:
-    """M6, V5: out-of-fold predictions of a random forest with balanced class weights; labels are integers from 0. Leaves hold two rows or more."""
-    learner = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="__w", numTrees=trees, maxDepth=depth, maxBins=bins, minInstancesPerNode=2, seed=seed)
-    return out_of_fold(df, label, features, key, learner).withColumn("guess", F.col("guess").cast("int"))
+    """M6, V5: out-of-fold predictions of a random forest with balanced class weights; labels are integers from 0. Leaves hold two rows or more.
+
+    Grown on counts (``forest``); where rows share too few bins for that, by Spark's learner on rows.
+    """
+    found = forest.counted_forest(df, label, features, key, trees, depth, bins, seed, classes=True)
+    if found is None:
+        learner = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="__w", numTrees=trees, maxDepth=depth, maxBins=bins, minInstancesPerNode=2, seed=seed)
+        found = out_of_fold(df, label, features, key, learner)
+    return found.withColumn("guess", F.col("guess").cast("int"))
 
 
 def forest_values_out_of_fold(df: DataFrame, target: str, features: Sequence[str], key: str, trees: int = 300, depth: int = 20, bins: int = 64, seed: int = 7) -> DataFrame:
