@@ -259,7 +259,10 @@ def forest_out_of_fold(df: DataFrame, label: str, features: Sequence[str], key:
 
 def forest_values_out_of_fold(df: DataFrame, target: str, features: Sequence[str], key: str, trees: int = 300, depth: int = 20, bins: int = 64, seed: int = 7) -> DataFrame:
     """M6, V5: the same with a forest that predicts numbers."""
-    return out_of_fold(df, target, features, key, RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, maxBins=bins, minInstancesPerNode=2, seed=seed))
+    found = forest.counted_forest(df, target, features, key, trees, depth, bins, seed, classes=False)
+    if found is None:
+        found = out_of_fold(df, target, features, key, RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, maxBins=bins, minInstancesPerNode=2, seed=seed))
+    return found
 
 
 def perceptron_out_of_fold(df: DataFrame, label: str, features: Sequence[str], key: str, hidden: Sequence[int] = (128, 64), rounds: int = 200, seed: int = 7) -> DataFrame:

@@ -16,7 +16,7 @@ def parts(spark, n=1500):
     return spark.createDataFrame([(i, i % 3, int(y[i]), float(a[i]), float(b[i]), float(a[i] + 10 * (a[i] > 20))) for i in range(n)], "id int, fold int, y int, a double, b double, v double")
 
 
-@pytest.mark.parametrize("classes", [True])
+@pytest.mark.parametrize("classes", [True, False])
 def test_forest_on_counts_follows_forest_on_rows(spark, classes, monkeypatch):
     df, label = parts(spark), "y" if classes else "v"
     kind = dict(featuresCol="features", labelCol=label, numTrees=40, maxDepth=12, maxBins=16, minInstancesPerNode=2, seed=7)
