@@ -150,3 +150,60 @@ def test_merged_scales():
     one = lambda z: np.concatenate([[len(z)], z.mean(axis=0), ((z - z.mean(axis=0)) ** 2).sum(axis=0)])
     whole = functools.reduce(P.merged_scales, [one(x[:3]), one(x[3:30]), one(x[30:])])
     assert np.allclose(whole, one(x))
+
+
+def test_class_gradients_against_finite_differences():
+    rng = np.random.default_rng(3)
+    sizes = [3, 5, 4, 3]
+    w, x, y, n = P.start_classes(sizes, 1), rng.normal(size=(20, 3)), rng.integers(0, 3, 20), rng.integers(1, 4, 20).astype(float)
+    total = P.class_sums(w, sizes, x, y, n)
+    slopes = [(P.class_sums(w + e, sizes, x, y, n)[0] - P.class_sums(w - e, sizes, x, y, n)[0]) / 2e-6 for e in np.eye(len(w)) * 1e-6]
+    assert total[1] == n.sum() and np.allclose(total[2:], slopes, atol=1e-5)
+    assert np.allclose(total, P.class_sums(w, sizes, np.repeat(x, n.astype(int), axis=0), np.repeat(y, n.astype(int)), np.ones(int(n.sum()))))
+    assert np.isfinite(P.class_sums(w * 1e4, sizes, x, y, n)).all()
+
+
+def test_descent_finds_a_valley():
+    def run(rounds):
+        g, tried = P.descent(np.array([-1.2, 1.0]), rounds), 0
+        at = next(g)
+        while True:
+            a, b = at
+            tried += 1
+            try:
+                at = g.send((100 * (b - a * a) ** 2 + (1 - a) ** 2, np.array([-400 * a * (b - a * a) - 2 * (1 - a), 200 * (b - a * a)])))
+            except StopIteration as end:
+                return end.value, tried
+
+    assert np.allclose(run(100)[0], 1, atol=0.02) and run(100)[1] < 80
+    assert not np.allclose(run(3)[0], 1, atol=0.02)
+
+
+def test_perceptron_for_classes_learns_equal_rows_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    points = [(i % 3, float(a), float(b), int(a * b > 0) + int(a + b > 2)) for i, (a, b) in enumerate(rng.uniform(-2, 2, (400, 2)))]
+    rows = [(4 * i + j, f, c, a, b) for i, (f, a, b, c) in enumerate(points) for j in range(4)]
+    odd = [(9000, 0, None, 1.0, 1.0), (9001, 1, 1, None, 1.0), (9002, 2, 1, float("nan"), 1.0), (9003, 2, 1, 1.0, float("inf"))]
+    df = spark.createDataFrame(rows + odd, "id int, fold int, y int, a double, b double").repartition(5)
+    seen, fit = [], P.fit_class_folds
+    monkeypatch.setattr(P, "fit_class_folds", lambda taught, *rest: seen.append((taught.count(), taught.agg({"n": "sum"}).first()[0])) or fit(taught, *rest))
+    found = {r.id: r for r in P.perceptron_out_of_fold(df, "y", ["a", "b"], "id", hidden=(16, 8), rounds=60).collect()}
+    assert seen == [(400, 1600.0)] and set(found) == {*range(1600), 9000} and found[9000].truth is None and found[9000].guess in (0, 1, 2)
+    assert np.mean([found[i].truth == found[i].guess for i in range(1600)]) > 0.85
+    for fold in range(3):
+        w, g = None, P.descent(P.start_classes([2, 16, 8, 3], 7), 60)
+        train = np.array([p[1:] for p in points if p[0] != fold])
+        w = next(g)
+        while True:
+            total = P.class_sums(w, [2, 16, 8, 3], train[:, :2], train[:, 2].astype(int), np.full(len(train), 4.0))
+            try:
+                w = g.send((total[0] / total[1], total[2:] / total[1]))
+            except StopIteration as end:
+                w = end.value
+                break
+        own = [r for r in rows if r[1] == fold]
+        twin = P._activations(P._layers(w, [2, 16, 8, 3]), np.array([r[3:] for r in own]))[-1].argmax(axis=1)
+        assert np.mean([found[r[0]].guess == t for r, t in zip(own, twin, strict=True)]) > 0.95
+    assert P.perceptron_out_of_fold(df.limit(0), "y", ["a"], "id").count() == 0
+    alone = P.perceptron_out_of_fold(df.where("fold = 1"), "y", ["a"], "id", hidden=(4, 3), rounds=2)
+    assert alone.count() == 4 * len([p for p in points if p[0] == 1]) and alone.where("guess is not null").count() == 0
