@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans import materialise
+
 
 def vote_grid(points: DataFrame, frame: Sequence[str], angles: int = 180, step: float = 1.0, weight: Column | None = None) -> DataFrame:
     """(``frame``, angle, offset, votes): for each of ``angles`` directions how many points (x, y) lie on a line of offset about ``offset`` * ``step``.
@@ -31,9 +33,10 @@ def grid_peaks(grid: DataFrame, frame: Sequence[str], angles: int, near_angle: i
     """The cells with ``least`` votes or more that no cell nearby beats; of equals the smaller (angle, offset) stays.
 
     Nearby is within ``near_angle`` directions and ``near_offset`` steps; past the last direction the grid goes on at the first with the offset turned
-    over. Cells meet in blocks as large as the neighbourhood: a cell sends itself to the blocks that it reaches, nine at the most, as a partial maximum.
+    over. Cells meet in blocks as large as the neighbourhood: a cell sends itself to the blocks that it reaches, nine at the most. The strong cells are written once, and
+    both sides are sorted by block: the planner takes copies for as few as what they are made of, and would gather them in the driver for a broadcast.
     """
-    strong = grid.where(F.col("votes") >= least)
+    strong = materialise(grid.where(F.col("votes") >= least), "cells")
     rank = F.struct(F.col("votes").cast("double").alias("votes"), (-F.col("angle")).alias("a"), (-F.col("offset")).alias("o"))
     # the grid's seam: copies on the other side
     seam = F.array(F.struct(F.lit(0).alias("da"), F.lit(1).alias("sign")), F.struct(F.lit(angles).alias("da"), F.lit(-1).alias("sign")), F.struct(F.lit(-angles).alias("da"), F.lit(-1).alias("sign")))
@@ -46,7 +49,7 @@ def grid_peaks(grid: DataFrame, frame: Sequence[str], angles: int, near_angle: i
     sent = sent.select(*frame, "rank", "at_angle", "at_offset", "ba", around(block(F.col("at_offset"), wide)).alias("bo"))
     # a block's best few settle most cells; what they do not reach is compared cell by cell
     own = strong.select(*frame, "angle", "offset", "votes", rank.alias("own"), block(F.col("angle"), high).alias("ba"), block(F.col("offset"), wide).alias("bo"))
-    met = own.join(sent, [*frame, "ba", "bo"]).where((F.abs(F.col("at_angle") - F.col("angle")) <= near_angle) & (F.abs(F.col("at_offset") - F.col("offset")) <= near_offset))
+    met = own.hint("merge").join(sent, [*frame, "ba", "bo"]).where((F.abs(F.col("at_angle") - F.col("angle")) <= near_angle) & (F.abs(F.col("at_offset") - F.col("offset")) <= near_offset))
     beaten = met.groupBy(*frame, "angle", "offset", "votes").agg(F.max("rank").alias("best"), F.max("own").alias("own"))
     return beaten.where(F.col("best") == F.col("own")).select(*frame, "angle", "offset", "votes")
 
@@ -58,11 +61,11 @@ def neck_edges(points: DataFrame, frame: Sequence[str], angles: int = 180, step:
     with the second offset turned over. The pair with most votes wins, of equals the one with the smallest angles and offsets. Frames without such
     a pair have no row. A frame's peaks are few: a line suppresses its surroundings.
     """
-    peaks = grid_peaks(vote_grid(points, frame, angles, step), frame, angles, least=least)
+    peaks = materialise(grid_peaks(vote_grid(points, frame, angles, step), frame, angles, least=least), "peaks")
     a = peaks.select(*frame, F.col("angle").alias("angle_a"), F.col("offset").alias("offset_a"), F.col("votes").alias("votes_a"))
     b = peaks.select(*frame, F.col("angle").alias("angle_b"), F.col("offset").alias("offset_b"), F.col("votes").alias("votes_b"))
     gap = F.abs(F.col("angle_a") - F.col("angle_b"))
-    pairs = a.join(b, list(frame)).where((F.struct("angle_a", "offset_a") < F.struct(F.col("angle_b").alias("angle_a"), F.col("offset_b").alias("offset_a"))) & ((gap <= parallel) | (gap >= angles - parallel)))
+    pairs = a.hint("merge").join(b, list(frame)).where((F.struct("angle_a", "offset_a") < F.struct(F.col("angle_b").alias("angle_a"), F.col("offset_b").alias("offset_a"))) & ((gap <= parallel) | (gap >= angles - parallel)))
     best = F.max(F.struct((F.col("votes_a") + F.col("votes_b")).alias("votes"), (-F.col("angle_a")).alias("a"), (-F.col("offset_a")).alias("b"), (-F.col("angle_b")).alias("c"), (-F.col("offset_b")).alias("d")))
     found = pairs.groupBy(*frame).agg(best.alias("p"))
     return found.select(*frame, *[(-F.col(f"p.{k}")).alias(n) for k, n in (("a", "angle_a"), ("b", "offset_a"), ("c", "angle_b"), ("d", "offset_b"))], F.col("p.votes").alias("votes"))

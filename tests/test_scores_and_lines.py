@@ -192,6 +192,22 @@ def test_two_planted_edges_in_noise(spark):
     assert lines.neck_edges(df.where("frame < 0"), ["frame"]).count() == 0
 
 
+def test_copies_of_cells_are_not_broadcast(spark, tmp_path):
+    """A scan of few bytes becomes many cells and nine copies of each; the driver gathers none of them."""
+    from tessera import queries
+
+    spark.range(40).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    found = queries.neck_edges(spark, str(tmp_path))
+    assert found.count() == 40
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(f, float(x), float(y)) for f in range(3) for x, y in scene(rng, 5)], "frame int, x double, y double")
+    peaks = lines.grid_peaks(lines.vote_grid(df, ["frame"], 36, 2.0), ["frame"], 36)
+    for plan in (found, peaks):
+        plan.collect()
+        said = plan._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in said and "Broadcast" not in said
+
+
 def test_weights_count_for_votes(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0, 2.5), (1, 0.0, 0.0, None)], "frame int, x double, y double, g double")
     grid = lines.vote_grid(df, ["frame"], 4, 1.0, F.col("g")).collect()
